@@ -1,11 +1,13 @@
-"""The registered queries over the driver's tables, each with the SQL that says the same."""
+"""The registered queries over the driver's tables, and the SQL that each is held against."""
 
 from __future__ import annotations
 
+from reelgrid.plans.queries import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
