@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 LEAF = 24
 #: Pieces whose tokens a worker remembers; beyond it they are forgotten and encoded again.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: White space as Unicode has it, which the pattern's \s stands for.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
