@@ -31,7 +31,7 @@ def nearest_distance(at: Column, previous: Column, following: Column) -> Column:
 
 
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
 def active_at(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, end: str, width: int) -> DataFrame:

@@ -19,7 +19,7 @@ def sorted_by(films: DataFrame, key: str | Column, descending: bool, ties: Seque
 def numbered_by(films: DataFrame, by: Sequence[str], key: Column, descending: bool, ties: Sequence[str], name: str = "place") -> DataFrame:
     """The same order within each group, as a number."""
     w = Window.partitionBy(*by).orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *ties)
-    return films.withColumn(name, F.row_number().over(w))
+    return films.withColumn(name, F.row_number().over(w).cast("long"))
 
 
 def watched_share(finished: Column, progress: Column) -> Column:

@@ -101,7 +101,7 @@ def parsed(files: DataFrame, path: str = "path", text: str = "text") -> tuple[Da
     back = cues.withColumn("back", F.col("start_ms") < F.lag("start_ms").over(by_line))
     back = back.withColumn("back", F.coalesce(F.max("back").over(Window.partitionBy("path")), F.lit(False)))
     final = Window.partitionBy("path").orderBy(F.when(F.col("back"), F.col("start_ms")), F.when(F.col("back"), F.col("end_ms")), "line")
-    cues = back.withColumns({"ordinal": F.row_number().over(final), "overlaps": F.col("start_ms") < F.lag("end_ms").over(final)})
+    cues = back.withColumns({"ordinal": F.row_number().over(final).cast("long"), "overlaps": F.col("start_ms") < F.lag("end_ms").over(final)})
     whole = cues.groupBy("path").agg(F.max("back").alias("back"), F.max(F.coalesce("overlaps", F.lit(False))).alias("overlaps"))
     after = lambda flag, kind, place: whole.where(flag).select("path", F.lit(place).alias("at"), F.lit(0).alias("line"), F.lit(kind).alias("kind"))
     noted = [odd, stray, wrong, after("back", "OutOfOrder", 1e9), after("overlaps", "OverlappingCues", 1e9 + 1)]
@@ -116,7 +116,7 @@ def parsed(files: DataFrame, path: str = "path", text: str = "text") -> tuple[Da
 def folded_warnings(warnings: DataFrame, by: str, order: str) -> DataFrame:
     """(by, kind, first_line, n, rank): each kind once, with the line of its first occurrence and how often it occurs."""
     first = warnings.groupBy(by, "kind").agg(F.min_by("line", order).alias("first_line"), F.count("*").alias("n"), F.min(order).alias("_at"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("_at", "kind"))).drop("_at")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("_at", "kind")).cast("long")).drop("_at")
 
 
 def warning_message(kind: Column, n: Column, first_line: Column) -> Column:
