@@ -1,7 +1,7 @@
 """Audio columns: WAV bytes, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 A column of WAV files (any mono 8-bit PCM) is read by the wave module. Frames of FRAME samples with half a frame's
-overlap are windowed and transformed; a frame's PEAKS strongest bins (by magnitude, the lower bin among equals) that
+overlap are taken about their mean, windowed and transformed; a frame's PEAKS strongest bins (by magnitude, the lower bin among equals) that
 rise above the frame's mean are its peaks. Each peak is paired with those of the FAN next frames; a pair is one long:
 the anchor's frame (32 bits), its bin (8), the other's bin (8) and the frames between (8). So the fingerprints of a clip are an
 array in order of time, and equal clips have equal arrays. Frames are taken in chunks, so memory doesn't grow with a clip.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, PAD = 192, b" "
-RATE, FRAME, PEAKS, FAN = 8000, 256, 2, 3
+RATE, FRAME, PEAKS, FAN = 8000, 128, 2, 3
 CHUNK = 2048
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -59,7 +59,8 @@ def peaks_of(samples: np.ndarray) -> np.ndarray:
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[:: FRAME // 2]
     out = []
     for i in range(0, len(frames), CHUNK):
-        x = (frames[i : i + CHUNK].astype(np.float32) - np.float32(128)) * _WINDOW
+        x = frames[i : i + CHUNK].astype(np.float32)
+        x = (x - x.mean(1, keepdims=True)) * _WINDOW
         size = np.abs(np.fft.rfft(x, axis=1))[:, 1:].astype(np.float32).round(3)
         top = np.empty((len(size), PEAKS), np.int64)
         mean = size.mean(1)
