@@ -230,28 +230,25 @@ def fallback_hue(spark, d):
 
 # ---- pairing -------------------------------------------------------------------------------------------------------------
 
-NAMES = """n AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 2 END AS year FROM part)"""
+NAMES = """n AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, CASE WHEN p_size > 10 THEN p_size END AS year FROM part)"""
 
 
-@query(f"""WITH {NAMES}, m AS (SELECT a.id AS subtitle, count(*) AS n_films, min(b.id) AS film FROM n a JOIN n b ON a.key = b.key AND b.key <> '' AND (a.year IS NULL OR b.year IS NULL OR a.year = b.year)
-      WHERE a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY a.id)
+@query(f"""WITH {NAMES}, m AS (SELECT a.id AS subtitle, count(*) AS n_films, min(b.id) AS film FROM n a JOIN n b ON a.key = b.key AND b.key <> '' AND (a.year IS NULL OR b.year IS NULL OR a.year = b.year) GROUP BY a.id)
     SELECT subtitle, n_films, CASE WHEN n_films = 1 THEN film ELSE -1 END AS film FROM m""")
 def exact_or_nothing_join(spark, d):
-    n = read(spark, d, "part").select("p_partkey", names.comparable(F.col("p_name")).alias("key"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 2).alias("year"))
-    subs, films = n.where("p_partkey % 2 = 1"), n.where("p_partkey % 2 = 0")
-    return pairing.exact(subs.withColumnRenamed("p_partkey", "subtitle"), films.withColumnRenamed("p_partkey", "film")).fillna(-1, ["film"])
+    n = read(spark, d, "part").select("p_partkey", names.comparable(F.col("p_name")).alias("key"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("year"))
+    return pairing.exact(n.withColumnRenamed("p_partkey", "subtitle"), n.withColumnRenamed("p_partkey", "film")).fillna(-1, ["film"])
 
 
-@query("""WITH w AS (SELECT doc_id AS subtitle, regexp_extract_all(lower(left(text, 60)), '[a-z]+')[1:6] AS w FROM documents), f AS (SELECT doc_id AS film, regexp_extract_all(lower(left(text, 60)), '[a-z]+')[1:1 + CAST(doc_id % 3 AS INT)] AS f FROM documents WHERE doc_id % 7 = 0),
-    m AS (SELECT subtitle, film, least(len(w), len(f)) AS shared FROM w, f WHERE len(w) > 0 AND len(f) > 0 AND w[1] = f[1] AND w[1:least(len(w), len(f))] = f[1:least(len(w), len(f))] AND (least(len(w), len(f)) > 1 OR octet_length(encode(w[1])) >= 4)),
+@query("""WITH w AS (SELECT p_partkey AS id, p_size AS year, string_split(lower(p_name || ' ' || p_type), ' ') AS w, string_split(lower(p_name), ' ') AS f FROM part),
+    m AS (SELECT a.id AS subtitle, b.id AS film, least(len(a.w), len(b.f)) AS shared FROM w a JOIN w b ON a.year = b.year AND a.w[1] = b.f[1] AND a.w[1:least(len(a.w), len(b.f))] = b.f[1:least(len(a.w), len(b.f))]
+      WHERE least(len(a.w), len(b.f)) > 1 OR octet_length(encode(a.w[1])) >= 4),
     b AS (SELECT subtitle, max(shared) AS shared FROM m GROUP BY ALL), t AS (SELECT m.subtitle, m.shared, min(film) AS film, count(DISTINCT film) AS n FROM m JOIN b ON m.subtitle = b.subtitle AND m.shared = b.shared GROUP BY ALL)
     SELECT subtitle, film, shared FROM t WHERE n = 1""")
 def prefix_join_best(spark, d):
-    w = F.regexp_extract_all(F.lower(F.substring("text", 1, 60)), F.lit("([a-z]+)"), 1)
-    docs = read(spark, d, "documents").select("doc_id", w.alias("w"), F.lit(None).cast("int").alias("year"))
-    subs = docs.select(F.col("doc_id").alias("subtitle"), F.slice("w", 1, 6).alias("words"), "year")
-    films = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("film"), F.slice("w", F.lit(1), (1 + F.col("doc_id") % 3).cast("int")).alias("words"), "year")
-    return pairing.by_beginning(subs, films)
+    p = read(spark, d, "part").select("p_partkey", F.col("p_size").alias("year"), F.lower("p_name").alias("name"), F.lower("p_type").alias("type"))
+    subs = p.select(F.col("p_partkey").alias("subtitle"), F.split(F.concat_ws(" ", "name", "type"), " ").alias("words"), "year")
+    return pairing.by_beginning(subs, p.select(F.col("p_partkey").alias("film"), F.split("name", " ").alias("words"), "year"))
 
 
 @query("""SELECT p_partkey, 'Film Of ' || p_brand || '' AS title, 1950 + p_size AS year, 'en' AS language, p_partkey % 3 = 0 AS forced FROM
@@ -265,20 +262,20 @@ def name_parse(spark, d):
 
 # ---- upserts and plans -----------------------------------------------------------------------------------------------------
 
-DELTA = """f AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0
-    UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal, NULL FROM customer WHERE c_custkey % 10 = 1)"""
+DELTA = """f AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_acctbal > 2000
+    UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal, NULL FROM customer WHERE c_nationkey < 3)"""
 
 
 def delta(c: DataFrame) -> DataFrame:
-    even = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
-    return even.unionByName(c.where("c_custkey % 10 = 1").select((F.col("c_custkey") + 10_000_000).alias("c_custkey"), "c_name", "c_acctbal", F.lit(None).cast("string").alias("c_mktsegment")))
+    kept = c.where("c_acctbal > 2000").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return kept.unionByName(c.where("c_nationkey < 3").select((F.col("c_custkey") + 10_000_000).alias("c_custkey"), "c_name", "c_acctbal", F.lit(None).cast("string").alias("c_mktsegment")))
 
 
 @query(f"""WITH {DELTA} SELECT coalesce(s.c_custkey, f.c_custkey) AS c_custkey, CASE WHEN f.c_custkey IS NULL THEN s.c_acctbal ELSE f.c_acctbal END AS c_acctbal, coalesce(f.c_mktsegment, s.c_mktsegment) AS c_mktsegment,
     s.c_custkey IS NULL OR (f.c_custkey IS NOT NULL AND (s.c_acctbal IS DISTINCT FROM f.c_acctbal OR coalesce(f.c_mktsegment, s.c_mktsegment) IS DISTINCT FROM s.c_mktsegment)) AS changed FROM customer s FULL JOIN f ON s.c_custkey = f.c_custkey""")
 def upsert_changed(spark, d):
-    c = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    return upserts.upserted(c, delta(c), ["c_custkey"], ["c_acctbal"], ["c_mktsegment"]).drop("c_name")
+    c = read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return upserts.upserted(c.drop("c_nationkey"), delta(c), ["c_custkey"], ["c_acctbal"], ["c_mktsegment"]).drop("c_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
@@ -299,14 +296,14 @@ def soft_delete(spark, d):
     return upserts.marked_missing(c, read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", 99).fillna(0, ["missing_since"])
 
 
-@query("""WITH s AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 5 <> 0), f AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_partkey % 7 AS film FROM part WHERE p_partkey % 4 <> 0)
+@query("""WITH s AS (SELECT p_partkey, p_size FROM part WHERE p_size > 10), f AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_partkey % 7 AS film FROM part WHERE p_brand <> 'Brand#1')
     SELECT CAST(coalesce(s.p_partkey, f.p_partkey) AS VARCHAR) AS path, CASE WHEN s.p_partkey IS NULL THEN 'read' WHEN f.p_partkey IS NULL THEN CASE WHEN s.p_partkey % 6 = 0 THEN 'keep' ELSE 'remove' END
       WHEN s.p_size <> f.p_size THEN 'read' WHEN s.p_partkey % 6 <> 0 AND f.film = 0 THEN 'repoint' ELSE 'keep' END AS action FROM s FULL JOIN f ON s.p_partkey = f.p_partkey""")
 def removed_plan(spark, d):
     p = read(spark, d, "part")
     by_hand = F.when(F.col("p_partkey") % 6 == 0, "by-hand").otherwise("exact")
-    stored = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_size").alias("size_bytes"), F.lit(1).alias("modified_at"), F.lit(1).alias("film_id"), by_hand.alias("match_kind"))
-    found = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size_bytes"), F.lit(1).alias("modified_at"), F.when(F.col("p_partkey") % 7 == 0, 2).otherwise(1).alias("film_id"), F.lit("exact").alias("match_kind"))
+    stored = p.where("p_size > 10").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_size").alias("size_bytes"), F.lit(1).alias("modified_at"), F.lit(1).alias("film_id"), by_hand.alias("match_kind"))
+    found = p.where("p_brand <> 'Brand#1'").select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size_bytes"), F.lit(1).alias("modified_at"), F.when(F.col("p_partkey") % 7 == 0, 2).otherwise(1).alias("film_id"), F.lit("exact").alias("match_kind"))
     return upserts.plan(stored, found)
 
 
