@@ -24,9 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.llm.common import mapped
+
 LEAF = 24
 #: Pieces whose tokens a worker remembers; beyond it they are forgotten and encoded again.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 #: White space as Unicode has it, which the pattern's \s stands for.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -157,7 +159,7 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, text: str = "tex
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path, pattern)
         for texts in batches:
-            yield pa.array([own.ids(t or "") for t in texts.to_pylist()], pa.binary())
+            yield mapped(texts, lambda t: own.ids(t or ""), pa.binary())
 
     return docs.withColumn("ids", ids(F.col(text)))
 
@@ -169,13 +171,26 @@ def decoded_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids"
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path, pattern)
         for some in batches:
-            yield pa.array([own.decoded_ids(x or b"") for x in some.to_pylist()], pa.binary())
+            yield mapped(some, lambda x: own.decoded_ids(x or b""), pa.binary())
 
     return docs.withColumn("decoded", decoded(F.col(ids)))
 
 
+def both_ways(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with ``ids`` and, decoded from them, ``decoded``: as the two above, in one Python worker."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = encoder(path, pattern)
+        for texts in batches:
+            ids = mapped(texts, lambda t: own.ids(t or ""), pa.binary())
+            yield pa.StructArray.from_arrays([ids, mapped(ids, own.decoded_ids, pa.binary())], ["ids", "decoded"])
+
+    return docs.withColumn("_coded", coded(F.col(text))).withColumns({"ids": F.col("_coded.ids"), "decoded": F.col("_coded.decoded")}).drop("_coded")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each document, by encoding and decoding again."""
-    coded = encoded_documents(docs.select(id, text), path, pattern, text).select(id, "ids")
+    coded = both_ways(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), path, pattern, "_text")
     n = (F.octet_length("ids") / 4).cast("long")
-    return decoded_documents(coded, path, pattern).select(id, n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select(F.col("_id").alias(id), n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,23 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-#: The same for str.translate.
+#: The same for str.translate and bytes.translate.
 LOWER_TABLE = str.maketrans(UPPER, LOWER)
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Rows of an Arrow batch that a UDF takes at a time.
+ROWS = 500
+
+
+def space_words(text: str | bytes | None) -> list[bytes]:
+    """The words SPACE_WORD of a text, A-Z lower-cased, in UTF-8: bytes are split at the same six characters."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return raw.translate(LOWER_BYTES).split()
+
+
+def mapped(values: pa.Array, make: Callable, kind: pa.DataType) -> pa.Array:
+    """An array of make(value) for each value; Python objects are held for ROWS of them only."""
+    done = [pa.array([make(x.as_py()) for x in values[i : i + ROWS]], kind) for i in range(0, len(values), ROWS)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -141,8 +141,9 @@ def _votes(rows: DataFrame, by: str, n: int) -> DataFrame:
 def fused(rows: DataFrame, model: Model) -> DataFrame:
     """rows: struct columns ``seen`` (text, declared, country, path, host, domain; strings) and ``kept`` (anything).
 
-    Returns the fields of kept, then language, posterior, text_language, accepted. One shuffle by host over rows
-    without their texts; a hot host is split by AQE's skew join.
+    Returns the fields of kept, then language, posterior, text_language, accepted. The hosts' votes are written as a
+    table first, so Spark knows its size: within its threshold it is sent to the tasks and the rows stay where they are, beyond
+    it both are shuffled by host, and a hot host is split by AQE's skew join.
     """
     langs, n = model.langs, len(model.langs)
     if not n:
@@ -162,8 +163,9 @@ def fused(rows: DataFrame, model: Model) -> DataFrame:
     seen = staged(rows.select("kept", *codes, read("seen.text").alias("r")).select("*", "r.logs", "r.letters").drop("r").withColumn("vote", vote), "language")
     totals = seen.where("vote >= 0").agg(*(F.count_if(F.col("vote") == i).cast("double") for i in range(n))).first()
     everywhere = [(totals[i] + 1.0) / (sum(totals) + n) for i in range(n)]
-    hosts = _votes(seen, "host", n).join(seen.where("vote >= 0").select("host", "domain").distinct(), "host").join(_votes(seen, "domain", n), "domain")
-    out = seen.drop("domain").join(hosts.dropDuplicates(["host"]).drop("domain"), "host", "left")
+    domains = seen.where("vote >= 0").groupBy("host").agg(F.min("domain").alias("domain"))  # of a host it is always the same
+    hosts = staged(_votes(seen, "host", n).join(domains, "host").join(_votes(seen, "domain", n), "domain").drop("domain"), "hosts")
+    out = seen.drop("domain").join(hosts, "host", "left")
     for by in SMALL:
         out = out.join(F.broadcast(_votes(seen, by, n)), by, "left")
     mine = [F.when(F.col("vote") == i, 1.0).otherwise(0.0) for i in range(n)]

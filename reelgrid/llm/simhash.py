@@ -14,16 +14,15 @@ non-null one.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import LOWER_TABLE, SPACE_WORD, staged
+from reelgrid.llm.common import mapped, space_words, staged
 from reelgrid.llm.components import components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 2
@@ -32,16 +31,16 @@ SMALL = 32
 CHUNK = 1 << 16
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+def simhash(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of one text: a bit is set if over half of the shingles' XXH64 have it."""
-    words = re.findall(SPACE_WORD, (text or "").translate(LOWER_TABLE))
+    words = space_words(text)
     if not words:
         return 0
-    encoded = [w.encode("utf-8", "surrogatepass") for w in words]
-    line = b" ".join(encoded)
-    ends = np.cumsum([len(w) + 1 for w in encoded])
+    line = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
     k = min(shingle, len(words))
-    begins = (ends - [len(w) + 1 for w in encoded])[: len(words) - k + 1].tolist()
+    begins = (ends - lengths)[: len(words) - k + 1].tolist()
     ends = (ends[k - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(BITS, np.int64)
@@ -54,10 +53,10 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(shingle: int = SHINGLE):
     """A UDF from texts to fingerprints as signed longs."""
 
-    @F.pandas_udf("long")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield pd.Series(np.array([simhash(t, shingle) for t in series], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield mapped(texts.cast(pa.binary()), lambda t: _signed(simhash(t, shingle)), pa.int64())
 
     return of
 
