@@ -17,6 +17,7 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,20 +51,19 @@ class Encoder:
 
     def merged(self, piece: bytes) -> list[int]:
         """The tokens of a short piece: the pair of the lowest rank is merged, the first among equals, until none is left."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        get = self.ranks.get
+        if (whole := get(piece)) is not None:
             return [whole]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        at = list(range(len(piece) + 1))  # where tokens begin, and the end
+        pairs = [get(piece[i : i + 2], _NONE) for i in at[:-2]]
         while pairs and (least := min(pairs)) < _NONE:
             i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del at[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+                pairs[i] = get(piece[at[i] : at[i + 2]], _NONE)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
-        return [ranks[p] for p in parts]
+                pairs[i - 1] = get(piece[at[i - 1] : at[i + 1]], _NONE)
+        return [self.ranks[piece[a:b]] for a, b in pairwise(at)]
 
     def decoded(self, tokens: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, tokens))
