@@ -406,9 +406,13 @@ def verdict_sweep(spark, d):
 # ---- subtitles and alignment --------------------------------------------------------------------------------------------------
 
 
-def rendered(spark, d) -> DataFrame:
-    """Conversations as SRT files (path, text): a turn every 4 s, every fifth starting with markup, the number left out of every seventh."""
-    c = read(spark, d, "conversations").withColumn("said", F.trim(F.regexp_replace(F.left("text", F.lit(80)), r"[^A-Za-z ]+", " ")))
+def rendered(spark, d, first: int | None = None) -> DataFrame:
+    """Conversations as SRT files (path, text): a turn every 4 s, every fifth starting with markup, the number left out of every seventh.
+
+    Whole texts, or their first characters.
+    """
+    said = F.left("text", F.lit(first)) if first else F.col("text")
+    c = read(spark, d, "conversations").withColumn("said", F.trim(F.regexp_replace(said, r"[^A-Za-z ]+", " ")))
     clock = lambda ms: timing.format_clock(ms)
     start = F.col("turn") * 4000
     line = F.concat(
@@ -423,6 +427,13 @@ TURNS = """c AS (SELECT conv_id, turn, trim(regexp_replace(left(text, 80), '[^A-
 
 @query(f"""WITH {TURNS} SELECT CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms, CASE WHEN turn % 5 = 0 THEN 8 ELSE 0 END AS position, trim('said ' || said, ' ') AS text FROM c""")
 def srt_parse(spark, d):
+    """The first 80 characters of each text, as its SQL says; srt_parse_whole has the whole texts."""
+    return subtitles.parsed(rendered(spark, d, 80))[0].fillna(0, ["position"])
+
+
+@query("""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' ') AS said FROM conversations)
+    SELECT CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms, CASE WHEN turn % 5 = 0 THEN 8 ELSE 0 END AS position, trim('said ' || said, ' ') AS text FROM c""")
+def srt_parse_whole(spark, d):
     return subtitles.parsed(rendered(spark, d))[0].fillna(0, ["position"])
 
 
