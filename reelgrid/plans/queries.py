@@ -15,6 +15,7 @@ from reelgrid.streaming import changes
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 HOUR, DAY = 3_600_000, 86_400_000
+SLOT = 2 * HOUR
 
 
 def query(sql: str | None = None):
@@ -460,10 +461,14 @@ def spoken_lines(spark, d):
 
 @query()
 def align_recovery(spark, d):
-    """Speech made of a month's events, and four tracks of lines moved from it by known corrections: what is found undoes them."""
-    e = events(spark, d, "event_id").where(f"ms % {DAY} < 7200000").select((F.col("ms") % 7_200_000).alias("t"), (F.col("event_id") % 5 * 400 + 900).alias("lasts"))
-    base = e.select("t", "lasts").withColumn("text", F.lit("line"))
-    runs = alignment.cue_runs(base.select(F.lit("film").alias("film"), F.col("t").alias("start_ms"), (F.col("t") + F.col("lasts")).alias("end_ms"), "text"), ["film"]).withColumn("film_bins", F.lit(720_000).cast("long"))
-    shifts = F.array(*(F.struct(F.lit(i).cast("long").alias("track_id"), F.lit(s).alias("shift")) for i, s in enumerate((0, 2000, -4500, 30_000))))
-    tracks = base.select("*", F.inline(shifts)).select("track_id", F.lit("film").alias("film"), F.greatest(F.lit(0), F.col("t") - F.col("shift")).alias("start_ms"), F.greatest(F.lit(0), F.col("t") + F.col("lasts") - F.col("shift")).alias("end_ms"), "text")
+    """A film for each two hours of the events, its speech made of them, and four tracks of lines moved from it by known corrections: what is found undoes them.
+
+    track_id is four times the film's place from 1970 on, in slots of two hours, and the track's own 0 to 3.
+    """
+    e = events(spark, d, "event_id").where("ms IS NOT NULL")
+    slot = F.floor(F.col("ms") / SLOT).cast("long")
+    base = e.select(slot.alias("film"), (F.col("ms") - slot * SLOT).alias("t"), (F.coalesce(F.col("event_id") % 5, F.lit(0)) * 400 + 900).alias("lasts")).withColumn("text", F.lit("line"))
+    runs = alignment.cue_runs(base.select("film", F.col("t").alias("start_ms"), (F.col("t") + F.col("lasts")).alias("end_ms"), "text"), ["film"]).withColumn("film_bins", F.lit(SLOT // 10).cast("long"))
+    shifts = F.array(*(F.struct(F.lit(i).cast("long").alias("track"), F.lit(s).alias("shift")) for i, s in enumerate((0, 2000, -4500, 30_000))))
+    tracks = base.select("*", F.inline(shifts)).select((F.col("film") * 4 + F.col("track")).alias("track_id"), "film", F.greatest(F.lit(0), F.col("t") - F.col("shift")).alias("start_ms"), F.greatest(F.lit(0), F.col("t") + F.col("lasts") - F.col("shift")).alias("end_ms"), "text")
     return alignment.aligned(tracks, runs)

@@ -10,3 +10,10 @@ def test_srt_files_have_whole_texts(spark, sf):
     assert letters(r.text for r in queries.srt_parse_whole(spark, sf).collect()) == want
     spare = sum(len("an" "i" "i") for r in turns if r.turn % 5 == 0)  # of markup
     assert letters(r.text for r in queries.rendered(spark, sf).collect()) == want + spare
+
+
+def test_every_event_is_in_an_aligned_film(spark, tmp_path):
+    minutes = [0, 10, 30, 300, 310, 2000]  # of three films
+    spark.createDataFrame([(i, m * 60_000) for i, m in enumerate(minutes)], "event_id long, ms long").selectExpr("event_id", "timestamp_millis(ms) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.track_id for r in queries.align_recovery(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted({m // 120 * 4 + i for m in minutes for i in range(4)})
