@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from reelgrid.llm.common import mapped
 
 LEAF = 24
+#: White space other than blanks and line feeds.
+OTHER_WHITE = re.compile(r"[^\S \n]")
 #: Pieces whose tokens a worker remembers; beyond it they are forgotten and encoded again.
 REMEMBERED = 120_000
 #: White space as Unicode has it, which the pattern's \s stands for.
@@ -121,7 +123,9 @@ class Encoder:
 def lone_spaces(text: str) -> bool:
     """Whether each space stands alone between others than white space: the pattern then cuts before every space, so
     a text may be split at spaces, and what follows each be encoded with its space on its own."""
-    return not re.search(r" \s|\s ", text)
+    if "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not OTHER_WHITE.search(text) or not re.search(r" \s|\s ", text)
 
 
 class Remembered(dict):

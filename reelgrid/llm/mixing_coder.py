@@ -1,14 +1,17 @@
 """An adaptive context-mixing range coder for token ids.
 
-Ids (below 65,535) are cut into blocks of BLOCK. Each block has a model and a coder of its own, begun anew, so a block
+Ids (0 to LARGEST) are cut into blocks of BLOCK. Each block has a model and a coder of its own, begun anew, so a block
 is decoded without any other; many blocks are coded side by side, one step of all of them at a time, as array operations.
 
 The model mixes three predictions of the next id into one distribution. Order 2 and order 1 predict the id that last
-followed the same two ids or one id; order 0 is a product of adaptive counts of the id's high and low byte. The weights of the
-orders follow each one's recent success in the block. A carry-less range coder with 64 bits of state codes each id within
-the mixed distribution and gives out 16-bit words.
+followed the same two ids or one id; order 0 is a product of shares of the id's high and low byte, taken anew from the
+block's counts so far at the steps RENEWED. The weights of the orders follow each one's recent success in the block.
+The distribution is laid out as order 2's id, order 1's id, then all ids by order 0; an id takes the first of its
+intervals. A range coder with 56 bits of state narrows to that interval and gives out 16-bit words; carries are added
+to the words before at the end.
 
-A coded block: magic, number of ids, crc32 of the ids as little-endian unsigned 32-bit integers, then the words.
+A coded block: magic, number of ids, crc32 of the ids as little-endian unsigned 32-bit integers, then the words. Ids
+outside the range are refused by an OutOfRange error, damaged blocks by a Damaged error.
 """
 
 from __future__ import annotations
@@ -21,104 +24,118 @@ import numpy as np
 
 BLOCK = 2048
 #: Blocks coded side by side.
-LANES = 4096
-MAGIC = b"TKB1"
+LANES = 2048
+MAGIC = b"TKB2"
 HEAD = struct.Struct("<4sII")
 _NONE = 0xFFFF
-_SHARES = 64  # what the weights of the orders add up to
-_INC = 2
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_WORD = np.uint64(16)
-_COLUMNS = 264  # cumulative counts before each byte, and after the last
-#: What a byte adds to them.
-_ADDED = (np.arange(_COLUMNS) > np.arange(256)[:, None]).astype(np.uint16) * _INC
+LARGEST = _NONE - 1
+#: Steps before which the shares of order 0 are taken anew.
+RENEWED = frozenset({16, 32, 64, 128, 256, 384, 512, 768, 1024, 1536})
+_PARTS, _BITS = 64, 12  # the orders' weights add up to the one, a byte's shares to two to the power of the other
+_TOTAL_BITS = 2 * _BITS + 6
+_U = np.uint64
+_FULL, _LOW, _DOWN, _WORD = _U(1 << 56), _U(1 << 40), _U(40), _U(16)
+_REST = _LOW - _U(1)
+_SLOTS1, _SLOTS2 = 10, 11  # bits of a block's tables of what followed one id, and two
+
+
+class OutOfRange(ValueError):
+    """An id that the format can't hold."""
+
+
+class Damaged(ValueError):
+    """A block that isn't what was written."""
+
+
+class _Bytes:
+    """Shares of one byte of the ids, for n blocks: begin and width of every byte, and the byte of every slot."""
+
+    def __init__(self, n: int, inverse: bool):
+        self.n, self.inverse = n, inverse
+        self.counts = np.zeros(n * 256, np.int64)
+        self.rows, self.slots = np.arange(n) << 8, np.arange(n) << _BITS
+        self._shared()
+
+    def count(self, some: np.ndarray) -> None:
+        """Adds the bytes of some steps (steps by blocks), and takes the shares anew."""
+        self.counts += np.bincount((self.rows + some).ravel(), minlength=len(self.counts))
+        self._shared()
+
+    def _shared(self) -> None:
+        c = self.counts.reshape(self.n, 256).astype(np.int32)
+        total = np.maximum(c.sum(1, keepdims=True, dtype=np.int32), 1)
+        width = c * ((1 << _BITS) - 256) // total + 1
+        left = (1 << _BITS) - width.sum(1, dtype=np.int32)
+        width += (left >> 8)[:, None]  # all of it before any byte was seen
+        width[:, 0] += left & 255
+        end = np.cumsum(width, 1, dtype=np.int32)
+        self.table = ((end - width) << 16 | width).ravel().astype(np.int64)
+        if self.inverse:
+            self.byte_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), width.ravel())
 
 
 class _Model:
-    """The models of n blocks. Arrays hold one entry, or one row, for each."""
-
-    def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.high = np.tile(np.arange(_COLUMNS, dtype=np.uint16), (n, 1))  # cumulative counts of high bytes
-        self.low = self.high.copy()
-        self.flat_high, self.flat_low, self.rows = self.high.reshape(-1), self.low.reshape(-1), self.lane * _COLUMNS
-        self.after1 = np.full(n << 11, _NONE, np.uint16)
-        self.after2 = np.full(n << 12, _NONE, np.uint16)
-        self.trust1, self.trust2 = np.full(n, 16 << 4, np.int64), np.full(n, 32 << 4, np.int64)
-        self.last, self.before = np.full(n, _NONE, np.int64), np.full(n, _NONE, np.int64)
-        self.steps = 0
+    """The models of n blocks. Arrays hold one entry for each."""
+
+    def __init__(self, n: int, inverse: bool):
+        self.high, self.low = _Bytes(n, inverse), _Bytes(n, inverse)
+        self.base1, self.base2 = np.arange(n) << _SLOTS1, np.arange(n) << _SLOTS2
+        self.after1, self.after2 = np.full(n << _SLOTS1, _NONE, np.int64), np.full(n << _SLOTS2, _NONE, np.int64)
+        self.trust1, self.trust2 = np.full(n, 16 << 4), np.full(n, 32 << 4)
+        self.last, self.before = np.full(n, _NONE), np.full(n, _NONE)
 
     def predict(self, n: int) -> None:
-        """For the first n blocks: the predicted ids and the orders' weights."""
-        last, before = self.last[:n], self.before[:n]
-        self.at1 = (self.lane[:n] << 11) + ((last * 40503 >> 4) & 2047)
-        self.at2 = (self.lane[:n] << 12) + ((last * 40503 + before * 30011 >> 3) & 4095)
-        self.p1, self.p2 = self.after1[self.at1].astype(np.int64), self.after2[self.at2].astype(np.int64)
+        """For the first n blocks: the predicted ids, and the weights of the three orders."""
+        last = self.last[:n] * 40503
+        self.at1 = self.base1[:n] + ((last >> 6) & ((1 << _SLOTS1) - 1))
+        self.at2 = self.base2[:n] + ((last + self.before[:n] * 30011 >> 5) & ((1 << _SLOTS2) - 1))
+        self.p1, self.p2 = self.after1[self.at1], self.after2[self.at2]
         self.seen1, self.seen2 = self.p1 != _NONE, self.p2 != _NONE
-        self.w2 = (self.trust2[:n] >> 4) * self.seen2
-        self.w1 = ((self.trust1[:n] >> 4) * self.seen1 * (_SHARES - self.w2)) >> 6
-        self.w0 = _SHARES - self.w1 - self.w2
-        self.row = 256 + _INC * self.steps  # the total of each byte's counts
-        self.unit = self.row * self.row
-        self.total = self.unit * _SHARES
-
-    def _plain(self, x: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width of ids by order 0 alone; row is where their blocks' counts begin."""
-        h, l = row + (x >> 8), row + (x & 255)
-        c, d = self.flat_high[h].astype(np.int64), self.flat_low[l].astype(np.int64)
-        f, g = self.flat_high[h + 1] - c, self.flat_low[l + 1] - d
-        return c * self.row + f * d, f * g
-
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width of ids in the mixed distribution."""
-        begin, width = self._plain(x, self.rows[: len(x)])
-        begin = self.w0 * begin + self.unit * (self.w1 * (self.p1 < x) + self.w2 * (self.p2 < x))
-        return begin, self.w0 * width + self.unit * (self.w1 * (self.p1 == x) + self.w2 * (self.p2 == x))
+        w2 = (self.trust2[:n] >> 4) * self.seen2
+        upto = w2 + ((self.trust1[:n] >> 4) * (_PARTS - w2) * self.seen1 >> 6)
+        self.w0 = _PARTS - upto
+        self.end2, self.end1 = w2 << 24, upto << 24
+
+    def interval(self, x: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of the ids' intervals, out of 2 to the power of _TOTAL_BITS."""
+        n = len(x)
+        h, l = self.high.table[self.high.rows[:n] + high], self.low.table[self.low.rows[:n] + low]
+        f = (h & 0xFFFF) * self.w0
+        begin = self.end1 + self.w0 * (h >> 16 << _BITS) + f * (l >> 16)
+        width = f * (l & 0xFFFF)
+        self.hit1, self.hit2 = x == self.p1, x == self.p2
+        one = self.hit1 & (self.end1 > self.end2)
+        begin, width = np.where(one, self.end2, begin), np.where(one, self.end1 - self.end2, width)
+        return np.where(self.hit2, 0, begin), np.where(self.hit2, self.end2, width)
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose intervals hold v, and those intervals' begins and widths."""
         n = len(v)
-        out, begins, widths = np.full(n, -1, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
-        rest, same = v.copy(), self.p1 == self.p2
-        for p, w, seen, q, u in ((self.p2, self.w2, self.seen2, self.p1, self.w1), (self.p1, self.w1, self.seen1 & ~same, self.p2, self.w2)):
-            k = np.flatnonzero(seen)
-            if not len(k):
-                continue
-            x = p[k]
-            begin, width = self._plain(x, self.rows[k])
-            own, other, equal = self.unit * w[k], self.unit * u[k], q[k] == x
-            begin = self.w0[k] * begin + other * (q[k] < x)
-            width = self.w0[k] * width + own + other * equal
-            behind = v[k] >= begin + width
-            rest[k[behind]] -= (own + other * equal)[behind]
-            inside = np.flatnonzero((v[k] >= begin) & ~behind)
-            at = k[inside]
-            out[at], begins[at], widths[at] = x[inside], begin[inside], width[inside]
-        k = np.flatnonzero(out < 0)
-        if len(k):
-            r = rest[k] // self.w0[k]
-            h = (self.high[k, 1:257] <= (r // self.row).astype(np.uint16)[:, None]).sum(1, dtype=np.int16).astype(np.int64)
-            row = self.rows[k]
-            c = self.flat_high[row + h].astype(np.int64)
-            f = self.flat_high[row + h + 1] - c
-            l = (self.low[k, 1:257] <= ((r - c * self.row) // f).astype(np.uint16)[:, None]).sum(1, dtype=np.int16).astype(np.int64)
-            d = self.flat_low[row + l].astype(np.int64)
-            out[k] = (h << 8) | l
-            begins[k], widths[k] = v[k] - rest[k] + self.w0[k] * (c * self.row + f * d), self.w0[k] * f * (self.flat_low[row + l + 1] - d)
-        return out, begins, widths
+        x, begin, width = self.p2.copy(), np.zeros(n, np.int64), self.end2.copy()
+        one = np.flatnonzero((v >= self.end2) & (v < self.end1))
+        x[one], begin[one], width[one] = self.p1[one], self.end2[one], self.end1[one] - self.end2[one]
+        k = np.flatnonzero(v >= self.end1)
+        start, w0 = self.end1[k], self.w0[k]
+        r = (v[k] - start) // w0
+        high = self.high.byte_of[self.high.slots[k] + (r >> _BITS)]
+        h = self.high.table[self.high.rows[k] + high]
+        c, f = h >> 16 << _BITS, h & 0xFFFF
+        low = self.low.byte_of[self.low.slots[k] + (r - c) // f]
+        l = self.low.table[self.low.rows[k] + low]
+        x[k] = (high.astype(np.int64) << 8) | low
+        begin[k], width[k] = start + w0 * (c + f * (l >> 16)), w0 * f * (l & 0xFFFF)
+        self.hit1, self.hit2 = x == self.p1, x == self.p2
+        return x, begin, width
 
     def learn(self, x: np.ndarray) -> None:
         n = len(x)
-        self.high[:n] += _ADDED.take(x >> 8, 0)
-        self.low[:n] += _ADDED.take(x & 255, 0)
-        for trust, seen, p, most in ((self.trust1, self.seen1, self.p1, 40), (self.trust2, self.seen2, self.p2, 56)):
-            goal = np.where(p == x, most << 4, 1 << 4)
-            trust[:n] += ((goal - trust[:n]) * seen) >> 4
+        for trust, seen, hit, most in ((self.trust1, self.seen1, self.hit1, 40), (self.trust2, self.seen2, self.hit2, 56)):
+            own = trust[:n]
+            own += (hit * ((most - 1) << 4) + (16 - own)) * seen >> 4
         self.after1[self.at1] = x
         self.after2[self.at2] = x
         self.before[:n] = self.last[:n]
         self.last[:n] = x
-        self.steps += 1
 
 
 def _cut(ids: np.ndarray, block: int) -> tuple[np.ndarray, list[int]]:
@@ -132,6 +149,8 @@ def _cut(ids: np.ndarray, block: int) -> tuple[np.ndarray, list[int]]:
 
 def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Iterator[bytes]:
     """The coded blocks of ids."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) <= LARGEST:
+        raise OutOfRange(f"ids from {int(ids.min())} to {int(ids.max())}; the format holds 0 to {LARGEST}")
     for i in range(0, len(ids), block * lanes):
         yield from _encode(ids[i : i + block * lanes], block)
 
@@ -139,44 +158,51 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Iterator[
 def _encode(ids: np.ndarray, block: int) -> Iterator[bytes]:
     steps, live = _cut(ids, block)
     n = steps.shape[1]
-    model = _Model(n)
-    low, width = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
-    out, size = np.zeros((n, 2 * block + 8), np.uint16), np.zeros(n, np.int64)
+    high, low_byte = steps >> 8, steps & 255
+    model, renewed = _Model(n, False), 0
+    low, width = np.zeros(n, np.uint64), np.full(n, _FULL)
+    wide = 2 * block + 8
+    out, size = np.zeros(n * wide, np.uint32), np.arange(n) * wide
+    begin_of = size.copy()
     for t in range(block):
-        m = live[t]
-        if not m:
+        if not (m := live[t]):
             break
-        x = steps[t, :m]
+        if t in RENEWED:
+            model.high.count(high[renewed:t])
+            model.low.count(low_byte[renewed:t])
+            renewed = t
+        x, lo, wi, at = steps[t, :m], low[:m], width[:m], size[:m]
         model.predict(m)
-        begin, wide = model.interval(x)
-        unit = width[:m] // np.uint64(model.total)
-        low[:m] += begin.astype(np.uint64) * unit
-        width[:m] = wide.astype(np.uint64) * unit
-        some = None
-        while True:
-            lo, wi = (low[:m], width[:m]) if some is None else (low[some], width[some])
-            settled = (lo ^ (lo + wi)) < _TOP
-            need = np.flatnonzero(settled | (wi < _BOTTOM))
-            if not len(need):
-                break
-            lo, wi, settled = lo[need], wi[need], settled[need]
-            some = need if some is None else some[need]
-            wi = np.where(settled, wi, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-            out[some, size[some]] = (lo >> np.uint64(48)).astype(np.uint16)
-            size[some] += 1
-            low[some], width[some] = lo << _WORD, wi << _WORD
+        begin, share = model.interval(x, high[t, :m], low_byte[t, :m])
+        wi >>= _U(_TOTAL_BITS)
+        lo += begin.view(np.uint64) * wi
+        wi *= share.view(np.uint64)
+        need = wi < _LOW
+        out[at] = lo >> _DOWN  # written again where nothing settled
+        at += need
+        settled = need.astype(np.uint64)
+        lo &= (settled - _U(1)) | _REST
+        settled <<= _U(4)
+        lo <<= settled
+        wi <<= settled
+        while len(more := np.flatnonzero(wi < _LOW)):
+            out[at[more]] = lo[more] >> _DOWN
+            at[more] += 1
+            lo[more] = (lo[more] & _REST) << _WORD
+            wi[more] <<= _WORD
         model.learn(x)
-    for k in (48, 32, 16, 0):
-        out[np.arange(n), size] = (low >> np.uint64(k)).astype(np.uint16)
-        size += 1
-    raw = ids.astype("<u4")
+    out[size] = low >> _DOWN
+    out[size + 1] = low >> _U(24) & _U(0xFFFF)
+    out[size + 2] = low >> _U(8) & _U(0xFFFF)
+    out[size + 3] = (low & _U(0xFF)) << _U(8)
+    words = out.reshape(n, wide)
+    for k in range(int((size - begin_of).max()) + 3, 0, -1):
+        words[:, k - 1] += words[:, k] >> 16
+    words &= 0xFFFF
+    raw, ends = ids.astype("<u4"), size + 4 - begin_of
     for i in range(n):
         own = raw[i * block : (i + 1) * block]
-        yield HEAD.pack(MAGIC, len(own), zlib.crc32(own.tobytes())) + out[i, : size[i]].astype("<u2").tobytes()
-
-
-class Damaged(ValueError):
-    """A block that isn't what was written."""
+        yield HEAD.pack(MAGIC, len(own), zlib.crc32(own.tobytes())) + words[i, : ends[i]].astype("<u2").tobytes()
 
 
 def decode(blocks: list[bytes], lanes: int = LANES) -> np.ndarray:
@@ -185,6 +211,8 @@ def decode(blocks: list[bytes], lanes: int = LANES) -> np.ndarray:
 
 
 def _decode(blocks: list[bytes]) -> np.ndarray:
+    if any(len(b) < HEAD.size + 8 or len(b) % 2 for b in blocks):
+        raise Damaged("a block is cut off")
     heads = [HEAD.unpack_from(b) for b in blocks]
     if any(h[0] != MAGIC for h in heads):
         raise Damaged("not a block of token ids")
@@ -193,42 +221,48 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
     n, most = len(blocks), int(lengths.max(initial=0))
     words = [np.frombuffer(blocks[i], "<u2", offset=HEAD.size) for i in order]
     flat = np.concatenate([*words, np.zeros(8, np.uint16)]).astype(np.uint64)
+    end = len(flat) - 1
     at = np.cumsum([0, *map(len, words)])[:-1]
     code = np.zeros(n, np.uint64)
-    for _ in range(4):
+    for _ in range(3):
         code = code << _WORD | flat[at]
         at += 1
-    model = _Model(n)
-    low, width = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
-    out = np.zeros((most, n), np.uint32)
+    code = code << _U(8) | flat[at] >> _U(8)  # 56 bits; the next word's low half comes first
+    held = flat[at] & _U(0xFF)
+    at += 1
+    model, renewed = _Model(n, True), 0
+    width = np.full(n, _FULL)
+    out = np.zeros((most, n), np.int64)
     ends = np.searchsorted(-lengths[order], -np.arange(1, most + 1), side="right")
     for t in range(most):
         m = int(ends[t])
+        if t in RENEWED:
+            some = out[renewed:t]
+            model.high.count(some >> 8)
+            model.low.count(some & 255)
+            renewed = t
         model.predict(m)
-        unit = width[:m] // np.uint64(model.total)
-        v = np.minimum((code[:m] - low[:m]) // unit, np.uint64(model.total - 1)).astype(np.int64)
-        x, begin, wide = model.find(v)
-        low[:m] += begin.astype(np.uint64) * unit
-        width[:m] = wide.astype(np.uint64) * unit
-        some = None
-        while True:
-            lo, wi = (low[:m], width[:m]) if some is None else (low[some], width[some])
-            settled = (lo ^ (lo + wi)) < _TOP
-            need = np.flatnonzero(settled | (wi < _BOTTOM))
-            if not len(need):
-                break
-            lo, wi, settled = lo[need], wi[need], settled[need]
-            some = need if some is None else some[need]
-            wi = np.where(settled, wi, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-            low[some], width[some] = lo << _WORD, wi << _WORD
-            code[some] = code[some] << _WORD | flat[np.minimum(at[some], len(flat) - 1)]
-            at[some] += 1
+        co, wi, where = code[:m], width[:m], at[:m]
+        wi >>= _U(_TOTAL_BITS)
+        v = np.minimum(co // wi, _U((1 << _TOTAL_BITS) - 1)).view(np.int64)
+        x, begin, share = model.find(v)
+        co -= begin.view(np.uint64) * wi
+        wi *= share.view(np.uint64)
+        more = np.flatnonzero(wi < _LOW)
+        while len(more):
+            new = flat[np.minimum(where[more], end)]
+            co[more] = co[more] << _WORD | held[more] << _U(8) | new >> _U(8)
+            held[more] = new & _U(0xFF)
+            where[more] += 1
+            wi[more] <<= _WORD
+            more = more[wi[more] < _LOW]
         model.learn(x)
         out[t, :m] = x
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    found = [out[: lengths[i], back[i]] for i in range(n)]
+    by_block = np.ascontiguousarray(out.T).astype(np.uint32)
+    found = [by_block[back[i], : lengths[i]] for i in range(n)]
     for ids, h in zip(found, heads, strict=True):
-        if zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()) != h[2]:
+        if zlib.crc32(ids.tobytes()) != h[2]:
             raise Damaged("a block's checksum differs")
     return np.concatenate(found)

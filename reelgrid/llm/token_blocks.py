@@ -11,52 +11,93 @@ are all written. Null ids come first.
 from __future__ import annotations
 
 import os
-import zlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.llm import mixing_coder
-from reelgrid.llm.bpe import Remembered, lone_spaces
+from reelgrid.llm.bpe import lone_spaces
 
 END_ID = 0
+#: Words whose ids a worker remembers; twice as many at most.
+REMEMBERED = 300_000
+#: Characters of texts that are encoded at a time.
+CHARACTERS = 1 << 20
+#: How a byte-level vocabulary writes the space that a token begins with.
+SPACE = "\u0120"
+LONE = re.compile(r"(?<=\S) (?=\S)")
 SEGMENT = mixing_coder.BLOCK * mixing_coder.LANES
 _ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("blocks", pa.list_(pa.binary()))])
 SCHEMA = "part int, segment int, doc_ids array<long>, lengths array<long>, n_ids long, blocks array<binary>"
 
 
 class Encoder:
-    """A tokenizer file's encoder that remembers words between lone spaces, which the tokenizer treats apart."""
+    """A tokenizer file's encoder that remembers what lies between lone spaces, which the tokenizer treats apart.
 
-    def __init__(self, path: str):
+    New words are encoded many at a time, joined by their spaces: a token that begins with a space begins a word.
+    """
+
+    def __init__(self, path: str, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = Remembered(lambda w: self._whole(" " + w))
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def prepare(self, texts: list[str]) -> None:
-        """Encodes together all words that aren't known yet."""
-        known, older = self.words, self.words.older
-        new = {w for t in texts if lone_spaces(t) for w in t.split(" ")[1:] if w not in known and w not in older and len(w) <= known.longest}
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if not lone_spaces(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        return self._whole(first) + b"".join(map(self.words.__getitem__, rest))
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after its space."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.begins[ids]) * 4
+        if len(at) != len(words):  # white space within a word
+            return [self._whole(" " + w) for w in words]
+        raw, ends = ids.tobytes(), [*at[1:].tolist(), len(ids) * 4]
+        return [raw[a:b] for a, b in zip(at.tolist(), ends, strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > self.most:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in words:
+            if (made := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = made
+        for i in range(0, len(new), 1000):
+            some = new[i : i + 1000]
+            self.known.update(zip(some, self._together(some), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [t.split(" ") if lone_spaces(t) else LONE.split(t) for t in texts]
+        words = [w for ws in cut for w in ws[1:]]
+        made = list(map(self.known.get, words))
+        gaps = [i for i, m in enumerate(made) if m is None]
+        if gaps:
+            new = list({words[i] for i in gaps})
+            for i in range(0, len(new), self.most):
+                self._learn(new[i : i + self.most])
+                for k in gaps:
+                    if made[k] is None:
+                        made[k] = self.known.get(words[k])
+        out, at = [], 0
+        for ws in cut:
+            end = at + len(ws) - 1
+            out.append(self._whole(ws[0]) + b"".join(made[at:end]))
+            at = end
+        return out
 
 
 @cache
@@ -65,6 +106,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with about CHARACTERS bytes of text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARACTERS, side="right"))
+        upto = max(at + 1, upto)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _segments(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -80,12 +132,10 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
         return pa.RecordBatch.from_pylist([row], _ARROW)
 
     for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            some = batch.slice(i, 500)
+        for some in _slices(batch):
             texts = [t or "" for t in some.column(1).to_pylist()]
-            own.prepare(texts)
-            for doc_id, text in zip(some.column(0).to_pylist(), texts, strict=True):
-                ids = own.ids(text) + end
+            for doc_id, found in zip(some.column(0).to_pylist(), own.ids(texts), strict=True):
+                ids = found + end
                 if size and size + len(ids) // 4 > SEGMENT:
                     yield closed()
                     doc_ids, coded, size, segment = [], [], 0, segment + 1

@@ -245,6 +245,26 @@ def test_damage_is_noticed():
         mixing_coder.decode([bytes(broken)])
 
 
+def test_ids_outside_the_format_are_refused():
+    for ids in ([3, 65_535], [-1, 4]):
+        with pytest.raises(mixing_coder.OutOfRange):
+            list(mixing_coder.encode(np.array(ids)))
+    for cut in (b"", b"TKB2", next(mixing_coder.encode(np.arange(9)))[:-7], b"x" * 40):
+        with pytest.raises(mixing_coder.Damaged):
+            mixing_coder.decode([cut])
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_words_encoded_together_are_the_library_s(most):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = token_blocks.Encoder(path, most), Tokenizer.from_file(path)
+    texts = [t or "" for _, t, *_ in odd_rows()] + ["a  b c", "  a b  ", "a\nb c d\n e", "x <|endoftext|> y a", " q", "tab\t b c", "it's I'll 'x' 12a a1,.b", "a\x1c b\u3000c \x85d"]
+    for _ in range(2):
+        assert [np.frombuffer(i, "<u4").tolist() for i in own.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_token_blocks_hold_every_id(spark, which, request, tmp_path):
     from tokenizers import Tokenizer
