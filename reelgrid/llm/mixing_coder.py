@@ -31,6 +31,8 @@ _NONE = 0xFFFF
 LARGEST = _NONE - 1
 #: Steps before which the shares of order 0 are taken anew.
 RENEWED = frozenset({16, 32, 64, 128, 256, 384, 512, 768, 1024, 1536})
+#: Steps that the encoder looks ahead.
+AHEAD = 64
 _PARTS, _BITS = 64, 12  # the orders' weights add up to the one, a byte's shares to two to the power of the other
 _TOTAL_BITS = 2 * _BITS + 6
 _U = np.uint64
@@ -48,7 +50,7 @@ class Damaged(ValueError):
 
 
 class _Bytes:
-    """Shares of one byte of the ids, for n blocks: begin and width of every byte, and the byte of every slot."""
+    """Shares of one byte of the ids, for n blocks: begin << 16 | width of every byte, and the byte of every slot."""
 
     def __init__(self, n: int, inverse: bool):
         self.n, self.inverse = n, inverse
@@ -69,52 +71,66 @@ class _Bytes:
         width += (left >> 8)[:, None]  # all of it before any byte was seen
         width[:, 0] += left & 255
         end = np.cumsum(width, 1, dtype=np.int32)
-        self.table = ((end - width) << 16 | width).ravel().astype(np.int64)
+        self.table = ((end - width) << 16 | width).ravel()
         if self.inverse:
             self.byte_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), width.ravel())
 
 
+def _after_one(last: np.ndarray) -> np.ndarray:
+    return ((last * np.int32(40503)) >> 6) & ((1 << _SLOTS1) - 1)
+
+
+def _after_two(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return ((last * np.int32(40503) + before * np.int32(30011)) >> 5) & ((1 << _SLOTS2) - 1)
+
+
 class _Model:
-    """The models of n blocks. Arrays hold one entry for each."""
+    """The models of n blocks. Arrays hold one entry for each; places in the tables are longs, all else has 32 bits."""
 
     def __init__(self, n: int, inverse: bool):
         self.high, self.low = _Bytes(n, inverse), _Bytes(n, inverse)
         self.base1, self.base2 = np.arange(n) << _SLOTS1, np.arange(n) << _SLOTS2
-        self.after1, self.after2 = np.full(n << _SLOTS1, _NONE, np.int64), np.full(n << _SLOTS2, _NONE, np.int64)
-        self.trust1, self.trust2 = np.full(n, 16 << 4), np.full(n, 32 << 4)
-        self.last, self.before = np.full(n, _NONE), np.full(n, _NONE)
-
-    def predict(self, n: int) -> None:
-        """For the first n blocks: the predicted ids, and the weights of the three orders."""
-        last = self.last[:n] * 40503
-        self.at1 = self.base1[:n] + ((last >> 6) & ((1 << _SLOTS1) - 1))
-        self.at2 = self.base2[:n] + ((last + self.before[:n] * 30011 >> 5) & ((1 << _SLOTS2) - 1))
-        self.p1, self.p2 = self.after1[self.at1], self.after2[self.at2]
+        self.after1, self.after2 = np.full(n << _SLOTS1, _NONE, np.uint16), np.full(n << _SLOTS2, _NONE, np.uint16)
+        self.trust1, self.trust2 = np.full(n, 16 << 4, np.int32), np.full(n, 32 << 4, np.int32)
+
+    def predict(self, at1: np.ndarray, at2: np.ndarray) -> None:
+        """The predicted ids for places in the tables, and where the orders' intervals end."""
+        n = len(at1)
+        self.at1, self.at2 = at1, at2
+        self.p1, self.p2 = self.after1[at1].astype(np.int32), self.after2[at2].astype(np.int32)
         self.seen1, self.seen2 = self.p1 != _NONE, self.p2 != _NONE
         w2 = (self.trust2[:n] >> 4) * self.seen2
         upto = w2 + ((self.trust1[:n] >> 4) * (_PARTS - w2) * self.seen1 >> 6)
         self.w0 = _PARTS - upto
-        self.end2, self.end1 = w2 << 24, upto << 24
-
-    def interval(self, x: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width of the ids' intervals, out of 2 to the power of _TOTAL_BITS."""
-        n = len(x)
-        h, l = self.high.table[self.high.rows[:n] + high], self.low.table[self.low.rows[:n] + low]
-        f = (h & 0xFFFF) * self.w0
-        begin = self.end1 + self.w0 * (h >> 16 << _BITS) + f * (l >> 16)
-        width = f * (l & 0xFFFF)
+        self.end2, self.end1 = w2 << 2 * _BITS, upto << 2 * _BITS
+
+    def plain(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of ids (steps by blocks) by order 0 alone."""
+        n = ids.shape[1]
+        h, l = self.high.table[self.high.rows[:n] + (ids >> 8)], self.low.table[self.low.rows[:n] + (ids & 255)]
+        f = h & 0xFFFF
+        return (h >> 16 << _BITS) + f * (l >> 16), f * (l & 0xFFFF)
+
+    def interval(self, x: np.ndarray, begin: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of the ids' intervals, out of 2 to the power of _TOTAL_BITS, given those by order 0."""
+        begin, width = self.end1 + self.w0 * begin, self.w0 * width
         self.hit1, self.hit2 = x == self.p1, x == self.p2
-        one = self.hit1 & (self.end1 > self.end2)
-        begin, width = np.where(one, self.end2, begin), np.where(one, self.end1 - self.end2, width)
-        return np.where(self.hit2, 0, begin), np.where(self.hit2, self.end2, width)
+        one = np.flatnonzero(self.hit1 & (self.end1 > self.end2))
+        begin[one] = self.end2[one]
+        width[one] = self.end1[one] - begin[one]
+        two = np.flatnonzero(self.hit2)
+        begin[two], width[two] = 0, self.end2[two]
+        return begin, width
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose intervals hold v, and those intervals' begins and widths."""
         n = len(v)
-        x, begin, width = self.p2.copy(), np.zeros(n, np.int64), self.end2.copy()
-        one = np.flatnonzero((v >= self.end2) & (v < self.end1))
-        x[one], begin[one], width[one] = self.p1[one], self.end2[one], self.end1[one] - self.end2[one]
-        k = np.flatnonzero(v >= self.end1)
+        x, begin, width = self.p2.copy(), np.zeros(n, np.int32), self.end2.copy()
+        below = v < self.end1
+        one = np.flatnonzero(below & (v >= self.end2))
+        x[one], begin[one] = self.p1[one], self.end2[one]
+        width[one] = self.end1[one] - begin[one]
+        k = np.flatnonzero(~below)
         start, w0 = self.end1[k], self.w0[k]
         r = (v[k] - start) // w0
         high = self.high.byte_of[self.high.slots[k] + (r >> _BITS)]
@@ -122,8 +138,8 @@ class _Model:
         c, f = h >> 16 << _BITS, h & 0xFFFF
         low = self.low.byte_of[self.low.slots[k] + (r - c) // f]
         l = self.low.table[self.low.rows[k] + low]
-        x[k] = (high.astype(np.int64) << 8) | low
-        begin[k], width[k] = start + w0 * (c + f * (l >> 16)), w0 * f * (l & 0xFFFF)
+        x[k] = (high.astype(np.int32) << 8) | low
+        begin[k], width[k] = start + w0 * (c + f * (l >> 16)), w0 * (f * (l & 0xFFFF))
         self.hit1, self.hit2 = x == self.p1, x == self.p2
         return x, begin, width
 
@@ -131,20 +147,19 @@ class _Model:
         n = len(x)
         for trust, seen, hit, most in ((self.trust1, self.seen1, self.hit1, 40), (self.trust2, self.seen2, self.hit2, 56)):
             own = trust[:n]
-            own += (hit * ((most - 1) << 4) + (16 - own)) * seen >> 4
-        self.after1[self.at1] = x
-        self.after2[self.at2] = x
-        self.before[:n] = self.last[:n]
-        self.last[:n] = x
+            own += (hit * np.int32((most - 1) << 4) + (16 - own)) * seen >> 4
+        self.after1[self.at1] = self.after2[self.at2] = x
 
 
 def _cut(ids: np.ndarray, block: int) -> tuple[np.ndarray, list[int]]:
-    """Steps by blocks, and how many blocks have a step; only the last block is shorter."""
+    """Steps by blocks after two rows of _NONE, and how many blocks have a step; only the last block is shorter."""
     n = -(-len(ids) // block)
-    steps = np.zeros(n * block, np.int64)
-    steps[: len(ids)] = ids
+    padded = np.zeros(n * block, np.int32)
+    padded[: len(ids)] = ids
+    steps = np.full((block + 2, n), _NONE, np.int32)
+    steps[2:] = padded.reshape(n, block).T
     tail = len(ids) - (n - 1) * block
-    return np.ascontiguousarray(steps.reshape(n, block).T), [n if t < tail else n - 1 for t in range(block)]
+    return steps, [n if t < tail else n - 1 for t in range(block)]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Iterator[bytes]:
@@ -158,8 +173,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Iterator[
 def _encode(ids: np.ndarray, block: int) -> Iterator[bytes]:
     steps, live = _cut(ids, block)
     n = steps.shape[1]
-    high, low_byte = steps >> 8, steps & 255
-    model, renewed = _Model(n, False), 0
+    model, renewed, known = _Model(n, False), 0, 0
     low, width = np.zeros(n, np.uint64), np.full(n, _FULL)
     wide = 2 * block + 8
     out, size = np.zeros(n * wide, np.uint32), np.arange(n) * wide
@@ -168,15 +182,21 @@ def _encode(ids: np.ndarray, block: int) -> Iterator[bytes]:
         if not (m := live[t]):
             break
         if t in RENEWED:
-            model.high.count(high[renewed:t])
-            model.low.count(low_byte[renewed:t])
+            some = steps[renewed + 2 : t + 2]
+            model.high.count(some >> 8)
+            model.low.count(some & 255)
             renewed = t
-        x, lo, wi, at = steps[t, :m], low[:m], width[:m], size[:m]
-        model.predict(m)
-        begin, share = model.interval(x, high[t, :m], low_byte[t, :m])
+        if t == renewed or t == known:  # what doesn't depend on the weights, for some steps at once
+            since, known = t, min([t + AHEAD, block, *(r for r in RENEWED if r > t)])
+            before, last, own = (steps[t + i : known + i] for i in range(3))
+            at1, at2 = model.base1 + _after_one(last), model.base2 + _after_two(last, before)
+            begins, widths = model.plain(own)
+        x, lo, wi, at, row = steps[t + 2, :m], low[:m], width[:m], size[:m], t - since
+        model.predict(at1[row, :m], at2[row, :m])
+        begin, share = model.interval(x, begins[row, :m], widths[row, :m])
         wi >>= _U(_TOTAL_BITS)
-        lo += begin.view(np.uint64) * wi
-        wi *= share.view(np.uint64)
+        lo += begin.astype(np.uint64) * wi
+        wi *= share.astype(np.uint64)
         need = wi < _LOW
         out[at] = lo >> _DOWN  # written again where nothing settled
         at += need
@@ -232,22 +252,23 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
     at += 1
     model, renewed = _Model(n, True), 0
     width = np.full(n, _FULL)
-    out = np.zeros((most, n), np.int64)
+    out = np.full((most + 2, n), _NONE, np.int32)
     ends = np.searchsorted(-lengths[order], -np.arange(1, most + 1), side="right")
     for t in range(most):
         m = int(ends[t])
         if t in RENEWED:
-            some = out[renewed:t]
+            some = out[renewed + 2 : t + 2]
             model.high.count(some >> 8)
             model.low.count(some & 255)
             renewed = t
-        model.predict(m)
+        last = out[t + 1, :m]
+        model.predict(model.base1[:m] + _after_one(last), model.base2[:m] + _after_two(last, out[t, :m]))
         co, wi, where = code[:m], width[:m], at[:m]
         wi >>= _U(_TOTAL_BITS)
-        v = np.minimum(co // wi, _U((1 << _TOTAL_BITS) - 1)).view(np.int64)
+        v = np.minimum(co // wi, _U((1 << _TOTAL_BITS) - 1)).astype(np.int32)
         x, begin, share = model.find(v)
-        co -= begin.view(np.uint64) * wi
-        wi *= share.view(np.uint64)
+        co -= begin.astype(np.uint64) * wi
+        wi *= share.astype(np.uint64)
         more = np.flatnonzero(wi < _LOW)
         while len(more):
             new = flat[np.minimum(where[more], end)]
@@ -257,10 +278,10 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
             wi[more] <<= _WORD
             more = more[wi[more] < _LOW]
         model.learn(x)
-        out[t, :m] = x
+        out[t + 2, :m] = x
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    by_block = np.ascontiguousarray(out.T).astype(np.uint32)
+    by_block = np.ascontiguousarray(out[2:].T).astype(np.uint32)
     found = [by_block[back[i], : lengths[i]] for i in range(n)]
     for ids, h in zip(found, heads, strict=True):
         if zlib.crc32(ids.tobytes()) != h[2]:

@@ -26,11 +26,12 @@ from reelgrid.llm.bpe import lone_spaces
 
 END_ID = 0
 #: Words whose ids a worker remembers; twice as many at most.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Characters of texts that are encoded at a time.
-CHARACTERS = 1 << 20
+CHARACTERS = 1 << 22
 #: How a byte-level vocabulary writes the space that a token begins with.
 SPACE = "\u0120"
+NOT_LONE = "[{0}] | [{0}]".format("\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
 LONE = re.compile(r"(?<=\S) (?=\S)")
 SEGMENT = mixing_coder.BLOCK * mixing_coder.LANES
 _ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("blocks", pa.list_(pa.binary()))])
@@ -40,7 +41,8 @@ SCHEMA = "part int, segment int, doc_ids array<long>, lengths array<long>, n_ids
 class Encoder:
     """A tokenizer file's encoder that remembers what lies between lone spaces, which the tokenizer treats apart.
 
-    New words are encoded many at a time, joined by their spaces: a token that begins with a space begins a word.
+    Each distinct word of a chunk is looked up once. New words are encoded many at a time, joined by their spaces: a
+    token that begins with a space begins a word.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
@@ -66,38 +68,54 @@ class Encoder:
         raw, ends = ids.tobytes(), [*at[1:].tolist(), len(ids) * 4]
         return [raw[a:b] for a, b in zip(at.tolist(), ends, strict=True)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words after its space."""
+        made = list(map(self.known.get, words))
+        if None not in made:
+            return made
         if len(self.known) + len(words) > self.most:
             self.known, self.older = {}, self.known
-        new = []
-        for w in words:
-            if (made := self.older.get(w)) is None:
-                new.append(w)
-            else:
-                self.known[w] = made
+        found = {}
+        for w, m in zip(words, made, strict=True):
+            if m is None:
+                found[w] = self.older.get(w)
+        new = [w for w, m in found.items() if m is None]
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
-            self.known.update(zip(some, self._together(some), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split(" ") if lone_spaces(t) else LONE.split(t) for t in texts]
-        words = [w for ws in cut for w in ws[1:]]
-        made = list(map(self.known.get, words))
-        gaps = [i for i, m in enumerate(made) if m is None]
-        if gaps:
-            new = list({words[i] for i in gaps})
-            for i in range(0, len(new), self.most):
-                self._learn(new[i : i + self.most])
-                for k in gaps:
-                    if made[k] is None:
-                        made[k] = self.known.get(words[k])
-        out, at = [], 0
-        for ws in cut:
-            end = at + len(ws) - 1
-            out.append(self._whole(ws[0]) + b"".join(made[at:end]))
-            at = end
-        return out
+            found.update(zip(some, self._together(some), strict=True))
+        self.known.update(found)
+        return [found[w] if m is None else m for w, m in zip(words, made, strict=True)]
+
+    def ids(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each with ``end`` after it if there is one; and each text's number of ids."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if pc.any(pc.match_substring_regex(texts, NOT_LONE)).as_py():
+            cut = pa.array([t.split(" ") if lone_spaces(t) else LONE.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            cut = pc.split_pattern(texts, " ")
+        offsets, pieces = cut.offsets.to_numpy(), cut.values
+        offsets = offsets - offsets[0]
+        first = np.zeros(len(pieces), bool)
+        first[offsets[:-1]] = True
+        coded = pieces.filter(pa.array(~first)).dictionary_encode()
+        made = self._of_words(coded.dictionary.to_pylist())
+        n = len(made)
+        made += [self._whole(t) for t in pieces.take(pa.array(offsets[:-1])).to_pylist()]
+        which = np.empty(len(pieces), np.int64)
+        which[offsets[:-1]] = n + np.arange(len(texts))
+        which[~first] = coded.indices.to_numpy(zero_copy_only=False)
+        ends = offsets[1:]
+        if end is not None:
+            which = np.insert(which, ends, len(made))
+            made.append(np.array([end], "<u4").tobytes())
+            ends = ends + np.arange(1, len(texts) + 1)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        flat, begins = np.frombuffer(b"".join(made), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[which]
+        upto = np.cumsum(size)
+        return flat[np.repeat(begins[which] - (upto - size), size) + np.arange(upto[-1])], np.diff(upto[ends - 1], prepend=0)
 
 
 @cache
@@ -106,9 +124,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows with about CHARACTERS bytes of text each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows with about CHARACTERS bytes of text together, in the column of that number."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARACTERS, side="right"))
@@ -121,28 +139,30 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
     from pyspark import TaskContext
 
     own, part, segment = encoder(path), TaskContext.get().partitionId(), 0
-    end = np.array([END_ID], "<u4").tobytes()
     doc_ids: list = []
-    coded: list[bytes] = []
+    lengths: list[int] = []
+    coded: list[np.ndarray] = []
     size = 0
 
     def closed() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(coded), "<u4")
-        row = {"part": part, "segment": segment, "doc_ids": doc_ids, "lengths": [len(c) // 4 for c in coded], "n_ids": len(ids), "blocks": list(mixing_coder.encode(ids))}
+        row = {"part": part, "segment": segment, "doc_ids": doc_ids, "lengths": lengths, "n_ids": size, "blocks": list(mixing_coder.encode(np.concatenate(coded)))}
         return pa.RecordBatch.from_pylist([row], _ARROW)
 
     for batch in batches:
-        for some in _slices(batch):
-            texts = [t or "" for t in some.column(1).to_pylist()]
-            for doc_id, found in zip(some.column(0).to_pylist(), own.ids(texts), strict=True):
-                ids = found + end
-                if size and size + len(ids) // 4 > SEGMENT:
+        for some in slices(batch, 1):
+            ids, counts = own.ids(some.column(1), END_ID)
+            at = begin = 0
+            for doc_id, n in zip(some.column(0).to_pylist(), counts.tolist(), strict=True):
+                if size and size + n > SEGMENT:
+                    coded.append(ids[begin:at])
                     yield closed()
-                    doc_ids, coded, size, segment = [], [], 0, segment + 1
+                    doc_ids, lengths, coded, size, segment, begin = [], [], [], 0, segment + 1, at
                 doc_ids.append(doc_id)
-                coded.append(ids)
-                size += len(ids) // 4
-    if coded:
+                lengths.append(n)
+                size += n
+                at += n
+            coded.append(ids[begin:])
+    if doc_ids:
         yield closed()
 
 
