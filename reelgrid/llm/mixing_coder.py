@@ -30,15 +30,15 @@ HEAD = struct.Struct("<4sII")
 _NONE = 0xFFFF
 LARGEST = _NONE - 1
 #: Steps before which the shares of order 0 are taken anew.
-RENEWED = frozenset({16, 32, 64, 128, 256, 384, 512, 768, 1024, 1536})
+RENEWED = frozenset({16, 64, 192, 512, 1024})
 #: Steps that the encoder looks ahead.
 AHEAD = 64
-_PARTS, _BITS = 64, 12  # the orders' weights add up to the one, a byte's shares to two to the power of the other
+_PARTS, _BITS = 64, 11  # the orders' weights add up to the one, a byte's shares to two to the power of the other
 _TOTAL_BITS = 2 * _BITS + 6
 _U = np.uint64
 _FULL, _LOW, _DOWN, _WORD = _U(1 << 56), _U(1 << 40), _U(40), _U(16)
 _REST = _LOW - _U(1)
-_SLOTS1, _SLOTS2 = 10, 11  # bits of a block's tables of what followed one id, and two
+_SLOTS1, _SLOTS2 = 9, 10  # bits of a block's tables of what followed one id, and two
 
 
 class OutOfRange(ValueError):
@@ -77,11 +77,11 @@ class _Bytes:
 
 
 def _after_one(last: np.ndarray) -> np.ndarray:
-    return ((last * np.int32(40503)) >> 6) & ((1 << _SLOTS1) - 1)
+    return ((last * np.int32(40503)) >> 7) & ((1 << _SLOTS1) - 1)
 
 
 def _after_two(last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return ((last * np.int32(40503) + before * np.int32(30011)) >> 5) & ((1 << _SLOTS2) - 1)
+    return ((last * np.int32(40503) + before * np.int32(30011)) >> 6) & ((1 << _SLOTS2) - 1)
 
 
 class _Model:
@@ -240,15 +240,15 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
     order = np.argsort(-lengths, kind="stable")
     n, most = len(blocks), int(lengths.max(initial=0))
     words = [np.frombuffer(blocks[i], "<u2", offset=HEAD.size) for i in order]
-    flat = np.concatenate([*words, np.zeros(8, np.uint16)]).astype(np.uint64)
+    flat = np.concatenate([*words, np.zeros(8, np.uint16)])
     end = len(flat) - 1
     at = np.cumsum([0, *map(len, words)])[:-1]
     code = np.zeros(n, np.uint64)
     for _ in range(3):
-        code = code << _WORD | flat[at]
+        code = code << _WORD | flat[at].astype(np.uint64)
         at += 1
-    code = code << _U(8) | flat[at] >> _U(8)  # 56 bits; the next word's low half comes first
-    held = flat[at] & _U(0xFF)
+    new = flat[at].astype(np.uint64)
+    code, held = code << _U(8) | new >> _U(8), new & _U(0xFF)  # 56 bits; the word's low half comes next
     at += 1
     model, renewed = _Model(n, True), 0
     width = np.full(n, _FULL)
@@ -271,7 +271,7 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
         wi *= share.astype(np.uint64)
         more = np.flatnonzero(wi < _LOW)
         while len(more):
-            new = flat[np.minimum(where[more], end)]
+            new = flat[np.minimum(where[more], end)].astype(np.uint64)
             co[more] = co[more] << _WORD | held[more] << _U(8) | new >> _U(8)
             held[more] = new & _U(0xFF)
             where[more] += 1

@@ -26,9 +26,9 @@ from reelgrid.llm.bpe import lone_spaces
 
 END_ID = 0
 #: Words whose ids a worker remembers; twice as many at most.
-REMEMBERED = 600_000
+REMEMBERED = 750_000
 #: Characters of texts that are encoded at a time.
-CHARACTERS = 1 << 22
+CHARACTERS = 1 << 23
 #: How a byte-level vocabulary writes the space that a token begins with.
 SPACE = "\u0120"
 NOT_LONE = "[{0}] | [{0}]".format("\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
