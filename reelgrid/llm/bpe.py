@@ -6,7 +6,7 @@ tokens next to the seam are decoded, encoded anew, and kept once both edges are
 the side that isn't. An edge between two tokens is stable if their bytes together encode to just these two. If that
 holds for every neighbouring pair, then no merge ever crosses an edge (the first one to do so would also
 happen when the two tokens' bytes are encoded alone), so the tokens are what the merges give for the whole piece.
-Decoding concatenates the tokens' bytes.
+Decoding halves the tokens and concatenates the halves' bytes up the tree.
 
 Null texts are empty, and an empty text has no tokens. Repeated rows are encoded alike.
 """
@@ -30,6 +30,8 @@ from reelgrid.llm.common import mapped
 LEAF = 24
 #: White space other than blanks and line feeds.
 OTHER_WHITE = re.compile(r"[^\S \n]")
+#: Tokens of a leaf in decoding.
+TOKENS = 4096
 #: Pieces whose tokens a worker remembers; beyond it they are forgotten and encoded again.
 REMEMBERED = 120_000
 #: White space as Unicode has it, which the pattern's \s stands for.
@@ -68,7 +70,11 @@ class Encoder:
         return [self.ranks[piece[a:b]] for a, b in pairwise(at)]
 
     def decoded(self, tokens: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, tokens))
+        """The bytes of tokens: leaves of TOKENS each, concatenated up the tree."""
+        if len(tokens) <= TOKENS:
+            return b"".join(map(self.bytes_of.__getitem__, tokens))
+        half = len(tokens) // 2
+        return self.decoded(tokens[:half]) + self.decoded(tokens[half:])
 
     def is_stable(self, a: int, b: int) -> bool:
         found = self.stable.get((a, b))
@@ -98,10 +104,8 @@ class Encoder:
         """The tokens of a piece of any length: a tree of halves, joined from the leaves up."""
         if len(piece) <= self.leaf:
             return self.merged(piece)
-        level = [self.merged(piece[i : i + self.leaf]) for i in range(0, len(piece), self.leaf)]
-        while len(level) > 1:
-            level = [self.joined(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0]
+        half = len(piece) // 2
+        return self.joined(self.encoded(piece[:half]), self.encoded(piece[half:]))
 
     def ids(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""

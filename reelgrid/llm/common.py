@@ -44,9 +44,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that hot_join sets apart, whatever the table: so many rows are broadcast at most.
+HOTTEST = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key at most; how: inner or left.
+
+    The HOTTEST keys of left, by their counts, meet their rows of right by a broadcast of these rows alone, so a key with a
+    large share of left's rows isn't dealt to one task. All other rows are joined as usual. left is read twice: a table.
+    """
+    hot = staged(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), key).limit(HOTTEST).select(key), "hot")
+    theirs = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    one = left.join(F.broadcast(hot), key, "left_semi").join(theirs, key, how)
+    return one.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+
+
+def whole_rows(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows as one struct column ``row`` beside columns of our own, so that no name of theirs can clash."""
+    return rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own on a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="reelgrid-")
         spark.sparkContext.setCheckpointDir(found)

@@ -10,7 +10,8 @@ Four kinds of evidence about a row's language are multiplied:
   domain, which are smoothed towards those of all rows.
 
 The shares and tables are grouped aggregates over all rows, less the row's own vote. The trigram model is fitted on
-labelled rows: TRAIN_ROWS of each of LANGUAGES at most, taken by a hash of their ids (the documented bounds).
+labelled rows: TRAIN_ROWS of each language at most, taken by a hash of their ids (the documented bound). Labels are read
+as two or three letters without their region, so there are 27^2 + 27^3 languages at most; other labels are none.
 Null and empty texts have no text evidence; null declarations, addresses and hosts are values of their own. A row is
 rejected if junk is likelier than every language, if its text has no letters, or if the best language's posterior is
 below LEAST. Rejected rows have the language ``und``.
@@ -25,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import staged
+from reelgrid.llm.common import staged, whole_rows
 
 BUCKETS = 1 << 15
 TRAIN_ROWS = 500
-#: Languages that a model tells apart, the most frequent labels.
-LANGUAGES = 200
 EVIDENCE = 60
 HOST_WEIGHT = 20.0
 #: Pseudo-rows of the tables of declarations and suffixes.
@@ -80,9 +79,9 @@ class Model:
 def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
     """A model of the languages that labelled rows have; at most ``rows`` of each, by the least hashes of id and text."""
     order = F.xxhash64(F.col(id).cast("string"), F.col(text))
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("o"))
+    known = labelled.select(short_code(F.col(lang)).alias("lang"), F.col(text).alias("text"), order.alias("o")).where("lang <> '' AND text IS NOT NULL")
     # the least hashes of each language, without sorting a language in one task: a cut by its rows' share first
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * rows / n))))) if sizes else None
     if share is None:
         return Model([], np.zeros((0, BUCKETS)))
@@ -163,21 +162,27 @@ def fused(rows: DataFrame, model: Model) -> DataFrame:
     seen = staged(rows.select("kept", *codes, read("seen.text").alias("r")).select("*", "r.logs", "r.letters").drop("r").withColumn("vote", vote), "language")
     totals = seen.where("vote >= 0").agg(*(F.count_if(F.col("vote") == i).cast("double") for i in range(n))).first()
     everywhere = [(totals[i] + 1.0) / (sum(totals) + n) for i in range(n)]
-    domains = seen.where("vote >= 0").groupBy("host").agg(F.min("domain").alias("domain"))  # of a host it is always the same
-    hosts = staged(_votes(seen, "host", n).join(domains, "host").join(_votes(seen, "domain", n), "domain").drop("domain"), "hosts")
+    domains = seen.groupBy("host").agg(F.min("domain").alias("domain"))  # of a host it is always the same
+    hosts = staged(domains.join(_votes(seen, "host", n), "host", "left").join(_votes(seen, "domain", n), "domain", "left").drop("domain"), "hosts")
     out = seen.drop("domain").join(hosts, "host", "left")
     for by in SMALL:
         out = out.join(F.broadcast(_votes(seen, by, n)), by, "left")
-    mine = [F.when(F.col("vote") == i, 1.0).otherwise(0.0) for i in range(n)]
-    others = lambda by, i: F.greatest(F.coalesce(F.col(f"{by}_votes")[i], F.lit(0.0)) - mine[i], F.lit(0.0))
-    size = lambda by: sum((others(by, i) for i in range(1, n)), others(by, 0))
-    logs = []
-    for i in range(n):
-        domain = (others("domain", i) + HOST_WEIGHT * everywhere[i]) / (size("domain") + HOST_WEIGHT)
-        prior = (others("host", i) + HOST_WEIGHT * domain) / (size("host") + HOST_WEIGHT)
-        says = [F.log((others(by, i) + TABLE_WEIGHT / k) / (max(totals[i] - 1, 0.0) + TABLE_WEIGHT)) for by, k in SMALL.items()]
-        logs.append(F.col("logs")[i] + F.log(prior) + sum(says[1:], says[0]))
-    out = out.withColumn("fused", F.array(*logs))
+    # arrays over the languages, each computed once for a row
+    zeros, numbers = F.array_repeat(F.lit(0.0), n), F.sequence(F.lit(0), F.lit(n - 1))
+    out = out.withColumn("mine", F.transform(numbers, lambda i: F.when(i == F.col("vote"), 1.0).otherwise(0.0)))
+    others = lambda by: F.zip_with(F.coalesce(f"{by}_votes", zeros), "mine", lambda a, own: F.greatest(a - own, F.lit(0.0)))
+    out = out.withColumns({f"{by}_others": others(by) for by in ("host", "domain", *SMALL)})
+    size = lambda by: F.aggregate(f"{by}_others", F.lit(0.0), lambda a, x: a + x)
+    out = out.withColumns({"host_size": size("host"), "domain_size": size("domain")})
+    shares, rows_of = F.array(*(F.lit(float(x)) for x in everywhere)), F.array(*(F.lit(float(max(t - 1, 0.0))) for t in totals))
+    domain = F.zip_with("domain_others", shares, lambda o, e: (o + HOST_WEIGHT * e) / (F.col("domain_size") + HOST_WEIGHT))
+    prior = F.zip_with("host_others", domain, lambda o, d: (o + HOST_WEIGHT * d) / (F.col("host_size") + HOST_WEIGHT))
+    fused_logs = F.zip_with(F.slice("logs", 1, n), prior, lambda x, p: x + F.log(p))
+    for by, k in SMALL.items():
+        share = F.transform(f"{by}_others", lambda o: o + TABLE_WEIGHT / k)  # noqa: B023
+        says = F.zip_with(share, rows_of, lambda o, t: F.log(o / (t + TABLE_WEIGHT)))
+        fused_logs = F.zip_with(fused_logs, says, lambda a, x: a + x)
+    out = out.withColumn("fused", fused_logs)
     top = F.array_max("fused")
     posterior = F.lit(1.0) / F.aggregate(F.transform("fused", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
     out = out.withColumns({"posterior": posterior, "best": F.array_position("fused", top).cast("int")})
@@ -190,8 +195,9 @@ def fused(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def of_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with language, posterior, text_language and accepted: lang is the declaration, source the host."""
-    return fused(_documents(docs, docs.columns), model or fitted(docs))
+    """docs with language, posterior, text_language and accepted: lang is the declaration, source the host. Columns of these names are replaced."""
+    kept = [c for c in docs.columns if c not in ("language", "posterior", "text_language", "accepted")]
+    return fused(_documents(docs, kept), model or fitted(docs))
 
 
 def _documents(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -210,6 +216,5 @@ def of_pages(pages: DataFrame, model: Model, columns: tuple[str, ...] = ("page_i
 
 def accepted_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs without the rejected rows; their columns stay as they were. Names that clash with the results' don't matter."""
-    made = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
-    rows = _documents(docs.withColumn("__row", made), ["__row"])
-    return fused(rows, model or fitted(docs)).where("accepted").select("__row.*")
+    held = whole_rows(docs, text=F.col("text"), lang=F.col("lang"), source=F.col("source"))
+    return fused(_documents(held, ["row"]), model or fitted(docs)).where("accepted").select("row.*")

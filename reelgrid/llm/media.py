@@ -53,9 +53,10 @@ def from_wav(stored: bytes) -> bytes:
 
 
 def peaks_of(samples: np.ndarray) -> np.ndarray:
-    """The bins of each frame's peaks, -1 where it has fewer; samples shorter than a frame are followed by silence."""
-    if len(samples) < FRAME:
-        samples = np.concatenate((samples, np.full(FRAME - len(samples), 128, np.uint8)))
+    """The bins of each frame's peaks, -1 where it has fewer; silence follows what doesn't fill the last frame."""
+    short = FRAME - len(samples) if len(samples) < FRAME else (FRAME - len(samples)) % (FRAME // 2)
+    if short:
+        samples = np.concatenate((samples, np.full(short, 128, np.uint8)))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[:: FRAME // 2]
     out = []
     for i in range(0, len(frames), CHUNK):
@@ -103,35 +104,34 @@ def with_fingerprints(clips: DataFrame, media: str = "media") -> DataFrame:
     @F.arrow_udf("array<long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for some in batches:
-            yield pa.array([fingerprint(np.frombuffer(from_wav(m), np.uint8)) if m else None for m in some.to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([fingerprint(np.frombuffer(from_wav(m), np.uint8)) if m is not None else None for m in some.to_pylist()], pa.list_(pa.int64()))
 
     return clips.withColumn("landmarks", of(F.col(media)))
 
 
-_KIND = "payload_bytes long, payload_sha256 string, tail_crc32 long, landmarks long, feature string"
+def summaries(clips: DataFrame, media: str = "media", landmarks: str = "landmarks") -> DataFrame:
+    """clips (with landmarks) with a struct column ``read``: figures of the samples read back, and a digest of their fingerprint. Null clips have nulls."""
 
-
-def summaries(clips: DataFrame, media: str = "media") -> DataFrame:
-    """clips with a struct column ``read``: figures of the samples read back, and a digest of their fingerprint."""
-
-    @F.arrow_udf("struct<" + ", ".join(": ".join(x.split(" ")) for x in _KIND.split(", ")) + ">")
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        for some in batches:
+    @F.arrow_udf("struct<payload_bytes: long, payload_sha256: string, tail_crc32: long, feature: string>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+        for some, marks in batches:
             rows = []
-            for m in some.to_pylist():
-                samples = from_wav(m)
-                marks = fingerprint(np.frombuffer(samples, np.uint8))
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(marks), f"{len(marks)}:{hashlib.sha256(marks.astype('<i8').tobytes()).hexdigest()}"))
-            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split(" ")[0] for x in _KIND.split(", ")])
+            for m, own in zip(some, marks, strict=True):
+                if not m.is_valid:
+                    rows.append((None,) * 4)
+                    continue
+                samples, own = from_wav(m.as_py()), own.values.to_numpy(zero_copy_only=False)
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), f"{len(own)}:{hashlib.sha256(own.astype('<i8').tobytes()).hexdigest()}"))
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    return clips.withColumn("read", of(F.col(media)))
+    return clips.withColumn("read", of(F.col(media), F.col(landmarks)))
 
 
 def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row of figures for each document: stored as WAV, read back, transformed. A map without a shuffle."""
-    clips = summaries(with_wav(docs.select(id, text), text))
+    """A row of figures for each document: stored as WAV, its landmarks stored beside it, both read back. A map without a shuffle."""
+    clips = summaries(with_fingerprints(with_wav(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), "_text")))
     return clips.select(
-        id, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "read.payload_bytes", "read.payload_sha256", "read.tail_crc32",
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "read.feature",
+        F.col("_id").alias(id), F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), "read.payload_bytes", "read.payload_sha256", "read.tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "read.feature", F.size("landmarks").cast("long").alias("n_landmarks"),
     )

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import mapped, space_words, staged
+from reelgrid.llm.common import hot_join, mapped, space_words, staged, whole_rows
 from reelgrid.llm.components import components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 2
@@ -128,17 +128,30 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     rooted = _rooted(prints, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.join(least, "root").select("f", "component_id")
-    return prints.join(of_print, "f").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return hot_join(prints, of_print, "f").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: the least id's (null ids last, then by a hash of the text); of its repeats one."""
-    key, digest = F.coalesce(F.col(id), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    prints = staged(docs.select(key.alias("id"), digest.alias("digest"), fingerprints(shingle)(text).alias("f")), "fingerprints")
+    prints = staged(docs.select(order_of(F.col(id)).alias("id"), digest_of(F.col(text)).alias("digest"), fingerprints(shingle)(text).alias("f")), "fingerprints")
     rooted = _rooted(prints.select("id", "f"), radius).select("f", "root")
-    rows = prints.groupBy("f", "id", "digest").agg(F.count("*").alias("n")).join(rooted, "f")
-    chosen = staged(rows.groupBy("root").agg(F.min(F.struct("id", "digest", "n")).alias("c")).select("c.*"), "chosen")
-    match = lambda some: (key == some["id"]) & (digest == some["digest"])
-    once, more = chosen.where("n = 1"), chosen.where("n > 1")
-    several = docs.join(more, match(more), "left_semi").dropDuplicates([id, text])
-    return docs.join(once, match(once), "left_semi").unionByName(several)
+    rows = hot_join(staged(prints.groupBy("f", "id", "digest").agg(F.count("*").alias("n")), "counted"), rooted, "f")
+    return chosen_rows(docs, rows.groupBy("root").agg(F.min(F.struct("id", "digest", "n")).alias("c")).select("c.*"), id, text)
+
+
+def order_of(id: Column) -> Column:
+    """Null ids last."""
+    return F.coalesce(id.cast("long"), F.lit((1 << 63) - 1))
+
+
+def digest_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of docs that chosen (id, digest, n) names; of n repeats of an id and a text, one."""
+    kept = staged(chosen, "chosen")
+    rows = whole_rows(docs, id=order_of(F.col(id)), digest=digest_of(F.col(text)))
+    once = rows.join(kept.where("n = 1"), ["id", "digest"], "left_semi")
+    several = rows.join(kept.where("n > 1"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    return once.unionByName(several).select("row.*")

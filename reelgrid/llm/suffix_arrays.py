@@ -3,13 +3,15 @@
 The documents of an Arrow batch form shards of about SHARD_BYTES; a document never leaves its shard. A shard's suffix
 array orders its positions by the words that follow, up to the longest item or the document's end, by doubling the
 compared length. Only runs of benchmark words can match, so positions at other words are left out. Every suffix of
-every item is binary-searched in every shard: its neighbours give the longest verbatim match, and the range of its
-first WINDOW words gives all occurrences of that window. Hits are compared word by word, so equal hashes never
-make a match.
+every item is binary-searched in every shard: the range of its first WINDOW words gives all occurrences of that
+window, and windows that follow each other in an item and a document make up the longest verbatim matches, with their
+locations. (longest() gives the longest match of any length for every suffix, from its neighbours in the array.) Hits
+are compared word by word, so equal hashes never make a match.
 
 The benchmark is sent to the tasks in blocks of BLOCK_BYTES at most, larger ones one block after another, each block
-over all documents, with the spans found so far carried along. Null and empty texts have no words. Repeated rows are
-judged alike. Columns of the same names as the results are replaced.
+over all documents, with the spans found so far carried along. Null and empty texts have no words. Items without an id
+are searched for like others, but aren't among the ids found. Repeated rows are judged alike. Documents' columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import LOWER, UPPER, staged
+from reelgrid.llm.common import LOWER, UPPER, staged, whole_rows
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text in a task at once.
 BLOCK_BYTES = 16 << 20
 
@@ -190,27 +192,47 @@ class Shard:
             want = [b.words.word(begin[i] + k) for k in range(n)]
             yield int(begin[i]), n, np.array([p for p in at.tolist() if all(self.words.word(p + k) == want[k] for k in range(n))], np.int64)
 
-    def hits(self) -> list[tuple[int, list[int], list[str]]]:
-        """For each document: its number of words, hit spans as [begin, end, begin, end, ...] in words, and item ids."""
+    def hits(self) -> list[tuple]:
+        """A tuple of RESULT for each document. Windows that follow each other in an item and in a document make one verbatim match."""
         w, b = self.words, self.block
         n, docs = len(w.hash), len(w.first) - 1
         cover, found = np.zeros(n + 1, np.int64), [set() for _ in range(docs)]
+        longest, where = np.zeros(docs, np.int64), np.full(docs, -1)
+        begins: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
         for start, length, at in self.occurrences():
             np.add.at(cover, at, 1)
             np.add.at(cover, at + length, -1)
-            for d in np.unique(np.searchsorted(w.first, at, side="right") - 1).tolist():
-                found[d].add(b.ids[b.item[start]])
+            begins.append(np.column_stack((np.full(len(at), start), at, np.full(len(at), length))))
+            if (item := b.ids[b.item[start]]) is not None:
+                for d in np.unique(self.document_of(at)).tolist():
+                    found[d].add(item)
+        start, at, length = np.concatenate(begins).T
+        if len(at):
+            shift = at - start  # a match keeps it, and lies in one item and one document
+            order = np.lexsort((start, shift))
+            start, at, length, item, doc = start[order], at[order], length[order], b.item[start[order]], self.document_of(at[order])
+            shift = shift[order]
+            new = np.concatenate(([True], (np.diff(shift) != 0) | (np.diff(start) != 1) | (np.diff(item) != 0) | (np.diff(doc) != 0)))
+            first = np.flatnonzero(new)
+            words = length[first] + np.diff(np.append(first, len(at))) - 1
+            doc, at = doc[first], at[first]
+            best = np.lexsort((at, -words, doc))
+            best = best[np.concatenate(([True], np.diff(doc[best]) != 0))]
+            longest[doc[best]], where[doc[best]] = words[best], at[best] - w.first[doc[best]]
         hit = np.cumsum(cover[:-1]) > 0
         out = []
         for d in range(docs):
             own = hit[w.first[d] : w.first[d + 1]]
-            spans = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist() if found[d] else []
-            out.append((len(own), spans, sorted(found[d])))
+            spans = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist() if longest[d] else []
+            out.append((len(own), spans, sorted(found[d]), int(longest[d]), int(where[d])))
         return out
 
+    def document_of(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.words.first, words, side="right") - 1
 
-RESULT = ("n_words", "hit_spans", "hit_items")
-_FIELDS = pa.struct([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.int64())), ("hit_items", pa.list_(pa.string()))])
+
+RESULT = pa.struct([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.int64())), ("hit_items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64())])
+KIND = "struct<n_words: long, hit_spans: array<long>, hit_items: array<string>, longest: long, longest_at: long>"
 
 
 def _shards(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
@@ -225,23 +247,23 @@ def _shards(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
 
 
 def _searched(block: Benchmark):
-    """A UDF: struct (n_words, hit_spans, hit_items) of each text against a block."""
+    """A UDF: RESULT of each text against a block."""
 
-    @F.arrow_udf("struct<n_words: long, hit_spans: array<long>, hit_items: array<string>>")
+    @F.arrow_udf(KIND)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
             unique = {t: i for i, t in enumerate(dict.fromkeys(raw))}  # exact copies are searched once in a batch
             found = [h for shard in _shards(list(unique), SHARD_BYTES) for h in Shard(shard, block).hits()]
             rows = [found[unique[t]] for t in raw]
-            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FIELDS)], fields=list(_FIELDS))
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(RESULT)], fields=list(RESULT))
 
     return search
 
 
 def blocks_of(benchmark: DataFrame, id: str, text: str, window: int, block_bytes: int) -> Iterator[Benchmark]:
     """The benchmark in blocks of about block_bytes, each fetched on its own; its size is looked at first."""
-    items = benchmark.select(F.col(id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).where("id IS NOT NULL")
+    items = benchmark.select(F.col(id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + 2 * total // block_bytes if total > block_bytes else 1
     for i in range(n):
@@ -250,16 +272,22 @@ def blocks_of(benchmark: DataFrame, id: str, text: str, window: int, block_bytes
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, hit_spans (word spans [begin, end, ...], of all blocks, they may overlap) and hit_items.
+    """(row, found): docs' rows as a struct, and a struct of RESULT.
 
-    A map over documents, without a shuffle. With more than one block each pass is written to the shared folder.
+    n_words; hit_spans (word spans [begin, end, ...], of all blocks, they may overlap); hit_items, the ids of items found;
+    longest, the words of the longest verbatim match that holds a window, and longest_at, the first word where one begins
+    (0 and -1 if there is none). A map over documents, without a shuffle. With more than one block each pass is written
+    to the shared folder.
     """
     out = None
     for block in blocks_of(benchmark, item_id, item_text, window, block_bytes):
-        base = docs.drop(*RESULT) if out is None else staged(out, "blocks")
-        got = base.withColumn("_found", _searched(block)(F.col(text)))
-        joined = {"n_words": F.col("_found.n_words")} | ({c: F.col(f"_found.{c}") for c in RESULT[1:]} if out is None else {"hit_spans": F.concat("hit_spans", "_found.hit_spans"), "hit_items": F.array_union("hit_items", "_found.hit_items")})
-        out = got.withColumns(joined).drop("_found")
+        if out is None:
+            out = whole_rows(docs, found=_searched(block)(F.col(text)))
+            continue
+        both = staged(out, "blocks").select("row", F.col("found").alias("a"), _searched(block)(F.col(f"row.`{text}`")).alias("b"))
+        better = (F.col("b.longest") > F.col("a.longest")) | ((F.col("b.longest") == F.col("a.longest")) & (F.col("b.longest_at") < F.col("a.longest_at")))
+        best = [F.when(better, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("longest", "longest_at")]
+        out = both.select("row", F.struct("a.n_words", F.concat("a.hit_spans", "b.hit_spans").alias("hit_spans"), F.array_union("a.hit_items", "b.hit_items").alias("hit_items"), *best).alias("found"))
     return out
 
 
@@ -272,21 +300,21 @@ def words_covered(spans: Column) -> Column:
 
 
 def contaminated() -> Column:
-    return F.size("hit_items") > 0
+    return F.col("found.longest") > 0
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """A row of figures for each document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    items = F.array_join(F.array_sort("hit_items"), ",")
+    """A row of figures for each document: id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at."""
+    items = F.array_join(F.array_sort("found.hit_items"), ",")
     return matched(docs.select(id, options.get("text", "text")), benchmark, **options).select(
-        id, "n_words", words_covered(F.col("hit_spans")).alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(items, 256).alias("items_sha256"), contaminated().alias("contaminated"),
+        f"row.{id}", "found.n_words", words_covered(F.col("found.hit_spans")).alias("n_hit"), F.size("found.hit_items").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"), contaminated().alias("contaminated"), "found.longest", "found.longest_at",
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a window of the benchmark; their columns stay as they were."""
-    return matched(docs, benchmark, **options).where(~contaminated()).select(docs.columns)
+    """docs without those that hold a window of the benchmark; their columns stay as they were, whatever their names."""
+    return matched(docs, benchmark, **options).where(~contaminated()).select("row.*")
 
 
 def oracle_sql(window: int = WINDOW) -> str:
@@ -294,13 +322,16 @@ def oracle_sql(window: int = WINDOW) -> str:
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
     WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents),
-    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
-    bw AS (SELECT DISTINCT item, least({window}, len(w)) AS n, array_to_string(w[i:i + least({window}, len(w)) - 1], ' ') AS g
-        FROM (SELECT item, w, unnest(range(1, len(w) - least({window}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+    b AS (SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+    bw AS (SELECT k, item, j, least({window}, len(w)) AS n, array_to_string(w[j:j + least({window}, len(w)) - 1], ' ') AS g
+        FROM (SELECT k, item, w, unnest(range(1, len(w) - least({window}, len(w)) + 2)) AS j FROM b WHERE len(w) > 0)),
     sizes AS (SELECT DISTINCT n FROM bw),
     dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-    m AS (SELECT dw.r, dw.i, bw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+    m AS (SELECT dw.r, dw.i, bw.n, bw.k, bw.j, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
     h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
-    t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
-    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+    t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m WHERE item IS NOT NULL) GROUP BY r),
+    v AS (SELECT r, min(i) AS i, max(n) + count(*) - 1 AS words FROM (SELECT *, j - row_number() OVER (PARTITION BY r, k, i - j ORDER BY j) AS run FROM m) GROUP BY r, k, i - j, run),
+    l AS (SELECT r, max(words) AS longest, CAST(arg_min(i, struct_pack(a := -words, b := i)) - 1 AS BIGINT) AS longest_at FROM v GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, coalesce(longest_at, -1) AS longest_at
+        FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN l USING (r)"""

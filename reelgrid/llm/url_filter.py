@@ -22,6 +22,9 @@ SOFT_TERMS = (
     "pills", "poker", "sex", "slots", "spam", "torrent", "viagra", "webcam",
 )
 SOFT_LIMIT = 2
+#: The weights of terms, and the weight at which a URL is rejected.
+LIMIT = 1.0
+VOCABULARY = {t: LIMIT / SOFT_LIMIT for t in SOFT_TERMS} | {t: LIMIT for t in STRICT_TERMS}
 #: (verdict, host and path prefix); a rule holds for its host and all subdomains.
 RULES = (
     ("block", "com/en/"),
@@ -43,37 +46,45 @@ def path_of(url: Column) -> Column:
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, null where none does; the first wins among equals."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, text in sorted(rules, key=lambda r: len(r[1])):
+    for what, text in sorted(reversed(rules), key=lambda r: len(r[1])):
         at, slash, rest = text.partition("/")
         fits = ((host == at) | host.endswith("." + at)) & path.startswith(slash + rest)
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, what).otherwise(verdict)
     return rule, verdict
 
 
-def term_hits(strict: Sequence[str], soft: Sequence[str]):
-    """A UDF: how many distinct strict and soft terms a URL holds, each bounded by non-alphanumeric characters."""
+def vocabulary_of(terms: DataFrame, most: int = 1_000_000) -> dict[str, float]:
+    """The vocabulary in a table (term, weight): terms in lower case, the highest weight of each. Refuses more than ``most`` terms, the bound of what tasks are sent."""
+    rows = terms.where("term <> '' AND weight > 0").groupBy(lower_ascii(F.col("term")).alias("term")).agg(F.max("weight").cast("double").alias("weight")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return {r.term: r.weight for r in rows}
 
-    @F.pandas_udf("strict int, soft int")
+
+def term_hits(vocabulary: dict[str, float]):
+    """A UDF: how many distinct strict terms (of weight LIMIT or more) and soft ones a URL holds, each bounded by non-alphanumeric characters, and their weight together."""
+
+    @F.pandas_udf("strict int, soft int, weight double")
     def hits(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = ahocorasick.Automaton()
-        for kind, terms in ((1, soft), (0, strict)):
-            for term in terms:
-                automaton.add_word(term, (term, kind))
-        automaton.make_automaton()
+        for term, weight in vocabulary.items():
+            automaton.add_word(term, (term, weight))
+        if vocabulary:
+            automaton.make_automaton()
         word = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
-        def count(url: str | None) -> tuple[int, int]:
+        def count(url: str | None) -> tuple[int, int, float]:
             url = (url or "").translate(LOWER_TABLE)
-            found = set()
-            for end, (term, kind) in automaton.iter(url):
+            found = {}
+            for end, (term, weight) in automaton.iter(url) if vocabulary else ():
                 begin = end - len(term)
                 if (begin < 0 or url[begin] not in word) and (end + 1 == len(url) or url[end + 1] not in word):
-                    found.add((kind, term))
-            n = sum(kind for kind, _ in found)
-            return len(found) - n, n
+                    found[term] = weight
+            strict = sum(w >= LIMIT for w in found.values())
+            return strict, len(found) - strict, float(sum(found.values()))
 
         for series in urls:
-            yield pd.DataFrame([count(u) for u in series], columns=["strict", "soft"])
+            yield pd.DataFrame([count(u) for u in series], columns=["strict", "soft", "weight"])
 
     return hits
 
@@ -81,25 +92,23 @@ def term_hits(strict: Sequence[str], soft: Sequence[str]):
 def judge_urls(
     pages: DataFrame,
     url: str = "url",
-    strict: Sequence[str] = STRICT_TERMS,
-    soft: Sequence[str] = SOFT_TERMS,
-    soft_limit: int = SOFT_LIMIT,
+    vocabulary: dict[str, float] = VOCABULARY,
     rules: Sequence[tuple[str, str]] = RULES,
 ) -> DataFrame:
-    """pages with a struct column ``judged`` (host, path, rule, strict_hits, soft_hits, verdict).
+    """pages with a struct column ``judged`` (host, path, rule, strict_hits, soft_hits, weight, verdict).
 
-    The longest fitting rule decides; without one, a URL is blocked on one strict or soft_limit distinct soft terms.
+    The longest fitting rule decides; without one, a URL is blocked if its distinct terms weigh LIMIT or more together.
     A map over rows: no shuffle. An existing column ``judged`` is replaced.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, said = longest_rule(F.col("judged.host"), F.col("judged.path"), rules)
-    hits = term_hits(strict, soft)(F.col(url))
-    own = F.when((F.col("judged.hits.strict") >= 1) | (F.col("judged.hits.soft") >= soft_limit), "block").otherwise("allow")
+    hits = term_hits(vocabulary)(F.col(url))
+    own = F.when(F.col("judged.hits.weight") >= LIMIT, "block").otherwise("allow")
     return pages.withColumn("judged", F.struct(host.alias("host"), path.alias("path"), hits.alias("hits"))).withColumn(
         "judged",
         F.struct(
             F.col("judged.host"), F.col("judged.path"), rule.alias("rule"), F.col("judged.hits.strict").alias("strict_hits"),
-            F.col("judged.hits.soft").alias("soft_hits"), F.coalesce(said, own).alias("verdict"),
+            F.col("judged.hits.soft").alias("soft_hits"), F.col("judged.hits.weight").alias("weight"), F.coalesce(said, own).alias("verdict"),
         ),
     )
 

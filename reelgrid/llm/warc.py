@@ -6,6 +6,8 @@ Null URLs and bodies are empty. All of it is column expressions: a map without a
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -110,7 +112,7 @@ def parsed(data: bytes) -> Iterator[dict]:
     at = 0
     while (begin := data.find(b"WARC/1.", at)) >= 0 and (end := data.find(b"\r\n\r\n", begin)) >= 0:
         head = dict(x.split(": ", 1) for x in data[begin:end].decode("utf-8", "replace").split(CRLF)[1:] if ": " in x)
-        n = int(head.get("Content-Length", 0))
+        n = int(length) if re.fullmatch("[0-9]{1,15}", length := head.get("Content-Length", "").strip()) else 0  # damaged: the next record is looked for after the header
         block, at = data[end + 4 : end + 4 + n], end + 4 + n
         yield {"record_type": head.get("WARC-Type"), "record_id": head.get("WARC-Record-ID"), "refers_to": head.get("WARC-Refers-To"), "concurrent_to": head.get("WARC-Concurrent-To"), "target_uri": head.get("WARC-Target-URI"), "date": head.get("WARC-Date"), "block_digest": head.get("WARC-Block-Digest"), "payload_digest": head.get("WARC-Payload-Digest"), "content_type": head.get("Content-Type"), "source_key": head.get("X-Source-Key"), "block": block.decode("utf-8", "replace")}
 
@@ -124,9 +126,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def records(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parsed(content.as_py()))
-                for i in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_pylist(rows[i : i + 256], schema=arrow)
+                rows = parsed(content.as_py())
+                while some := list(itertools.islice(rows, 256)):
+                    yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
     arrow = pa.schema([(c.split()[0], pa.string()) for c in RECORD.split(", ")])
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, RECORD)

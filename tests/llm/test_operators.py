@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import wave
 import zlib
 
@@ -133,27 +134,47 @@ def test_first_of_each_keeps_one_of_a_group(odd, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def test_first_of_each_by_any_column_s_name(odd):
+    rows = odd.drop("id").withColumnRenamed("doc_id", "id").withColumns({c: F.lit(1) for c in ("n", "root", "row", "digest", "f")})
+    kept = simhash.first_of_each(rows, id="id")
+    assert kept.columns == rows.columns and kept.count() == simhash.first_of_each(odd).count()
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOTTEST", 2)
+    left = spark.createDataFrame([(i, k) for i, k in enumerate([1] * 50 + [2] * 20 + [3, 4, 5, None])], "i long, k long")
+    right = spark.createDataFrame([(1, "a"), (3, "c"), (4, "d"), (None, "n")], "k long, v string")
+    for how in ("inner", "left"):
+        assert some(map(tuple, common.hot_join(left, right, "k", how).select("i", "v").collect())) == some(map(tuple, left.join(right, "k", how).select("i", "v").collect()))
+
+
 # ---- 2 ----
 
 
 def brute_hits(text, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(common.LOWER_TABLE))
-    w, hit, found = words(text), set(), set()
+    w, hit, found, longest = words(text), set(), set(), (0, 1)
     for item, t in items:
         v = words(t)
         n = min(window, len(v))
-        grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if v else set()
+        places = collections.defaultdict(list)
+        for j in range(len(v) - n + 1 if v else 0):
+            places[tuple(v[j : j + n])].append(j)
         for i in range(len(w) - n + 1):
-            if tuple(w[i : i + n]) in grams:
+            for j in places.get(tuple(w[i : i + n]), ()):
                 hit |= set(range(i, i + n))
-                found.add(str(item))
+                found |= {str(item)} - {"None"}
+                m = n
+                while i + m < len(w) and j + m < len(v) and w[i + m] == v[j + m]:
+                    m += 1
+                longest = max(longest, (m, -i))
     ids = ",".join(sorted(found))
-    return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
+    return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit), longest[0], -longest[1]
 
 
 def leaky(spark, docs):
     """Items cut out of the documents, short ones, overlapping ones, an empty one, repeats."""
-    rng, rows = random.Random(3), [(None, "nothing"), (1, None), (2, ""), (3, "One TWO"), (3, "One TWO"), (4, "ab ab ab ab ab ab ab ab ab ab ab ab ab")]
+    rng, rows = random.Random(3), [(None, "nothing"), (None, "one two three"), (1, None), (2, ""), (3, "One TWO"), (3, "One TWO"), (4, "ab ab ab ab ab ab ab ab ab ab ab ab ab")]
     for k, r in enumerate(docs.where("text is not null").limit(40).collect()):
         w = r.text.split()
         if len(w) > 30:
@@ -167,20 +188,28 @@ def leaky(spark, docs):
 def test_decontamination_equals_brute_force(spark, which, block_bytes, request):
     df = request.getfixturevalue(which)
     bench = leaky(spark, df)
-    items = [(r.item_id, r.text) for r in bench.collect() if r.item_id is not None]
+    items = [(r.item_id, r.text) for r in bench.collect()]
     want = [(r.doc_id, *brute_hits(r.text, items)) for r in df.collect()]
     assert some(map(tuple, suffix_arrays.report(df, bench, block_bytes=block_bytes).collect())) == some(want)
 
 
 def test_decontaminated_keeps_clean_rows_as_they_were(odd, empty, spark):
     bench = spark.createDataFrame([(3, "one two")], "item_id long, text string")
-    kept = suffix_arrays.decontaminated(odd, bench)
-    assert kept.columns == odd.columns
-    assert some(map(tuple, kept.collect())) == some(tuple(r) for r in odd.collect() if not brute_hits(r.text, [(3, "one two")])[4])
+    rows = odd.withColumns({c: F.lit(777) for c in ("n_words", "hit_spans", "found", "row", "_found", "longest")})
+    kept = suffix_arrays.decontaminated(rows, bench)
+    assert kept.columns == rows.columns
+    assert some(map(tuple, kept.collect())) == some(tuple(r) for r in rows.collect() if not brute_hits(r.text, [(3, "one two")])[4])
     assert suffix_arrays.report(empty, bench).count() == 0
     assert suffix_arrays.report(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_blocks_are_joined_for_clashing_names(odd, spark):
+    bench = spark.createDataFrame([(i, f"one two {w}" if w else "one two") for i, w in enumerate(["", "three", "x"] * 40)], "item_id long, text string")
+    rows = odd.withColumns({c: F.lit(5) for c in ("a", "b", "found")})
+    want = some(tuple(r) for r in rows.collect() if not brute_hits(r.text, [(3, "one two")])[4])
+    assert some(map(tuple, suffix_arrays.decontaminated(rows, bench, block_bytes=300).collect())) == want
+
+
 def test_longest_matches_of_every_suffix():
     rng = random.Random(1)
     text = lambda n: " ".join(rng.choice("abcd") for _ in range(n)).encode()
@@ -306,6 +335,70 @@ def test_language_of_odd_rows(odd, empty, docs):
     assert language.accepted_documents(empty).count() == 0 and language.fitted(empty).langs == []
 
 
+def brute_fused(model, rows):
+    """(language, posterior, text_language, accepted) of rows (text, declared, country, path, host, domain), by plain counts of votes."""
+    n, read = len(model.langs), [model.scores((r[0] or "").encode()) for r in rows]
+    vote = [max(range(n), key=lambda i: (logs[i], -i)) if letters and max(logs[:n]) >= logs[n] else None for logs, letters in read]
+    totals = [vote.count(i) for i in range(n)]
+    tables = [collections.Counter((r[k], v) for r, v in zip(rows, vote, strict=True) if v is not None) for k in range(6)]
+    out = []
+    for r, v, (logs, letters) in zip(rows, vote, read, strict=True):
+        others = lambda k, i: max(tables[k][r[k], i] - (v == i), 0)  # noqa: B023, E731
+        fused = []
+        for i in range(n):
+            everywhere = (totals[i] + 1) / (sum(totals) + n)
+            domain = (others(5, i) + 20 * everywhere) / (sum(others(5, j) for j in range(n)) + 20)
+            prior = (others(4, i) + 20 * domain) / (sum(others(4, j) for j in range(n)) + 20)
+            says = sum(math.log((others(k, i) + 1 / values) / (max(totals[i] - 1, 0) + 1)) for k, values in ((1, 27**3), (2, 27**2), (3, 27**2)))
+            fused.append(logs[i] + math.log(prior) + says)
+        best = max(range(n), key=lambda i: (fused[i], -i))
+        posterior = 1 / sum(math.exp(x - fused[best]) for x in fused)
+        accepted = letters > 0 and logs[n] + math.log(1e-3) <= max(logs[:n]) and posterior >= 0.5
+        out.append((model.langs[best] if accepted else "und", round(posterior, 6), "und" if v is None else model.langs[v], accepted))
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_fusion_of_documents_equals_brute_force(which, request, docs):
+    df, model = request.getfixturevalue(which), language.fitted(docs)
+    code = lambda d: m[1] if (m := re.fullmatch("([a-z]{2,3})(?:[-_].*)?", (d or "").lower())) else ""
+    ends = lambda h: m[1] if (m := re.search(r"\.([a-z]{2})$", h)) else ""
+    rows = [(r.doc_id, (r.text, code(r.lang), ends((r.source or "").lower()), "", (r.source or "").lower(), ".".join((r.source or "").lower().split(".")[-2:]))) for r in df.collect()]
+    want = some((d, *w) for (d, _), w in zip(rows, brute_fused(model, [r for _, r in rows]), strict=True))
+    clash = df.withColumns({c: F.lit("x") for c in ("language", "row", "host", "fused", "kept")})
+    got = language.of_documents(clash, model).select("doc_id", "language", F.round("posterior", 6), "text_language", "accepted").collect()
+    assert some(map(tuple, got)) == want
+
+
+def test_fusion_of_pages_equals_brute_force(spark, sf, docs):
+    model = language.fitted(docs)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (1, "http://a.b.de/fr/x", "<html lang='es-MX'>la la"), (2, "http://c.b.de/", "")], "page_id long, url string, html string"))
+    rows = []
+    for r in pages.collect():
+        url, html = r.url or "", r.html or ""
+        host = m[1].lower() if (m := re.search("://([^/?#:]*)", url)) else ""
+        shown = re.sub("<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</(script|style)\s*>", " ", html))
+        declared = m[1].lower() if (m := re.search(r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", html)) else ""
+        path = m[1].lower() if (m := re.search("://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", url)) else ""
+        rows.append((r.page_id, (shown, declared if 2 <= len(declared) <= 3 else "", m[1] if (m := re.search(r"\.([a-z]{2})$", host)) else "", path, host, ".".join(host.split(".")[-2:]))))
+    want = some((p, *w) for (p, _), w in zip(rows, brute_fused(model, [r for _, r in rows]), strict=True))
+    got = language.of_pages(pages, model).select("page_id", "language", F.round("posterior", 6), "text_language", "accepted").collect()
+    assert some(map(tuple, got)) == want
+
+
+def test_many_languages_take_no_longer_expressions(spark):
+    rng = random.Random(0)
+    words = lambda k: " ".join("".join(chr(97 + (k * 7 + rng.randrange(6)) % 26) for _ in range(5)) for _ in range(30))
+    langs = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(250)]
+    rows = [(i, words(i // 3), langs[i // 3], "s") for i in range(750)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fitted(df)
+    assert model.langs == langs
+    began = time.time()
+    assert language.of_documents(df.limit(8), model).where("language IS NOT NULL").count() == 8
+    assert time.time() - began < 30
+
+
 def test_junk_is_rejected(spark, docs):
     rng = random.Random(2)
     junk = ["".join(rng.choice("qxzjkvwpyfghbc") for _ in range(400)), "0123 4567 89", "!!! ???"]
@@ -342,6 +435,25 @@ def test_url_rules_and_terms(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_first_of_equally_long_rules_wins(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x/1")], "page_id long, url string")
+    for rules in ((("block", "a.com/x"), ("allow", "a.com/x")), (("allow", "a.com/x"), ("block", "a.com/x"))):
+        assert url_filter.judge_urls(df, rules=rules).first().judged.verdict == rules[0][0]
+
+
+def test_terms_weigh_what_their_table_says(spark):
+    terms = spark.createDataFrame([("Bet", 0.4), ("bet", 0.6), ("slots", 0.5), ("odd", None), (None, 2.0), ("", 3.0), ("vile", 1.5)], "term string, weight double")
+    vocabulary = url_filter.vocabulary_of(terms)
+    assert vocabulary == {"bet": 0.6, "slots": 0.5, "vile": 1.5}
+    urls = ["http://s.info/bet", "http://s.info/bet/BET", "http://s.info/bet-slots", "http://s.info/vile", "http://s.info/alphabet-slots"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.judged.verdict for r in url_filter.judge_urls(df, vocabulary=vocabulary).collect()}
+    assert got == {0: "allow", 1: "allow", 2: "block", 3: "block", 4: "allow"}
+    assert {r.judged.verdict for r in url_filter.judge_urls(df, vocabulary={}, rules=()).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        url_filter.vocabulary_of(terms, most=2)
+
+
 # ---- 7 ----
 
 
@@ -456,6 +568,38 @@ def test_fingerprints_follow_the_spectrum():
     assert (np.diff(marks) >= 0).all() and set((marks >> 16 & 255).tolist()) <= {15, 16, 17}
 
 
+def test_the_last_samples_count():
+    clip = np.full(1000, 128, np.uint8)
+    other = clip.copy()
+    other[-30:] = np.tile([0, 255], 15)
+    assert (media.peaks_of(clip)[-1] != media.peaks_of(other)[-1]).any()
+    for n in (0, 1, 127, 128, 129, 192, 1000):
+        assert len(media.peaks_of(np.zeros(n, np.uint8))) == 1 + -(-max(0, n - 128) // 64)
+
+
+def brute_landmarks(samples):
+    """Peaks by direct sums, paired over the next frames."""
+    x = np.concatenate((samples.astype(float), np.full(-(len(samples) - 128) % 64, 128.0)))
+    peaks, k = [], np.arange(128)
+    for i in range(0, len(x) - 127, 64):
+        frame = ((x[i : i + 128] - np.float32(x[i : i + 128].mean())) * np.hanning(128)).astype(np.float32)
+        size = [round(abs(sum(frame * np.exp(-2j * np.pi * k * b / 128))), 3) for b in range(1, 65)]
+        best = sorted(range(64), key=lambda b: (-size[b], b))[:2]
+        peaks.append([b + 1 for b in best if size[b] > sum(size) / 64])
+    return sorted((i << 24) | (a << 16) | (b << 8) | g for i in range(len(peaks)) for g in (1, 2, 3) if i + g < len(peaks) for a in peaks[i] for b in peaks[i + g])
+
+
+def test_landmarks_equal_direct_sums(spark):
+    rng = np.random.default_rng(4)
+    t = np.arange(960)
+    clips = [bytes((128 + 60 * np.sin(2 * np.pi * a * t / 8000) + 50 * np.sin(2 * np.pi * b * t / 8000 + 1)).astype(np.uint8)) for a, b in rng.integers(300, 3700, (6, 2))]
+    df = spark.createDataFrame([(i, media.to_wav(c), "x") for i, c in enumerate(clips)] + [(99, None, "y")], "doc_id long, media binary, row string")
+    got = {r.doc_id: r.landmarks for r in media.with_fingerprints(df).collect()}
+    assert got.pop(99) is None
+    assert got == {i: brute_landmarks(np.frombuffer(c, np.uint8)) for i, c in enumerate(clips)}
+    assert media.summaries(media.with_fingerprints(df)).where("doc_id = 99").first()["read"].feature is None
+
+
 # ---- 10 ----
 
 
@@ -466,9 +610,11 @@ def test_rollup_commits_are_idempotent(spark, tmp_path):
     two = rollup.image(F.col("source"), F.col("lang"), "alnum-2", F.col("doc_id"))
     null = F.lit(None).cast("struct<source: string, lang: string, tokenizer: string, n_tokens: bigint>")
     sums = rollup.Rollup(spark, f"{tmp_path}/r")
+    assert sums.totals().collect() == [] and sums.version() == 0
     sums.commit("a", df.select(null.alias("before"), one.alias("after")))
-    for _ in range(2):
-        sums.commit("b", df.where("doc_id < 5").select(one.alias("before"), null.alias("after")))
+    for again in range(2):
+        (tmp_path / "r" / "version=99").mkdir(exist_ok=True)  # an attempt that failed
+        assert sums.commit("a/b:c", df.where("doc_id < 5").select(one.alias("before"), null.alias("after"))) is not bool(again)
         sums.commit("c", df.where("doc_id >= 15").select(one.alias("before"), two.alias("after")))
     sums.commit("d", df.limit(0).select(one.alias("before"), null.alias("after")))
     want = collections.Counter()
@@ -477,6 +623,38 @@ def test_rollup_commits_are_idempotent(spark, tmp_path):
         want[key, 0] += 1
         want[key, 1] += i if i >= 15 else len(t.split())
     got = {((r.source, r.lang, r.tokenizer), k): v for r in sums.totals().collect() for k, v in enumerate((r.n_docs, r.n_tokens))}
+    assert got == dict(want) and sums.version() == 4
+
+
+def test_counts_by_tokenizer_files_equal_the_libraries(odd, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, (ranks, own) = Tokenizer.from_file(path), reference_encoding()
+    counts = (rollup.counted(path)("text"), rollup.counted(ranks, public_tokenizers.PATTERN)("text"))
+    got = odd.select("text", *(c.alias(f"n{i}") for i, c in enumerate(counts))).collect()
+    assert all(r.n0 == len(library.encode(r.text or "", add_special_tokens=False).ids) and r.n1 == len(own.encode_ordinary(r.text or "")) for r in got)
+    assert empty.select(counts[0]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op10_token_rollups", "token_rollups_by_pattern"])
+def test_rollups_of_the_documents(spark, sf, docs, name):
+    from tokenizers import Tokenizer
+
+    library, (_, own) = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), reference_encoding()
+    words = lambda p: lambda t: len(re.findall(p, t))
+    count = {
+        "op10_token_rollups": (("byte_bpe_50k", lambda t: len(library.encode(t, add_special_tokens=False).ids)), ("byte_bpe_multi_50k", lambda t: len(own.encode_ordinary(t)))),
+        "token_rollups_by_pattern": (("words-1", words(common.SPACE_WORD)), ("alnum-2", words("[A-Za-z0-9]+"))),
+    }[name]
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    want = collections.Counter()
+    for r in docs.collect():
+        if r.doc_id not in toxic:
+            version, of = count[r.lang == "en"]
+            want[(r.source, r.lang, version), 0] += 1
+            want[(r.source, r.lang, version), 1] += of(r.text or "")
+    got = {((r.source, r.lang, r.tokenizer), k): v for r in queries.queries()[name](spark, sf).collect() for k, v in enumerate((r.n_docs, r.n_tokens))}
     assert got == dict(want)
 
 
