@@ -29,12 +29,16 @@ def token_count(text: Column, tokenizer: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
 
 
+#: Words that a worker remembers of a tokenizer in the library's format; twice as many at most.
+REMEMBERED = 100_000
+
+
 def counted(path: str, pattern: str | None = None):
     """A UDF: tokens of whole texts under a tokenizer file: ranks with the pattern that cuts a text, or the library's own format. Null has none."""
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = bpe.encoder(path, pattern) if pattern else token_blocks.encoder(path)
+        own = bpe.encoder(path, pattern) if pattern else token_blocks.encoder(path, REMEMBERED)
         for texts in batches:
             if pattern:
                 yield mapped(texts, lambda t: len(own.ids(t or "")) // 4, pa.int64())

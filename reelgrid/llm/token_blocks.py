@@ -26,7 +26,7 @@ from reelgrid.llm.bpe import lone_spaces
 
 END_ID = 0
 #: Words whose ids a worker remembers; twice as many at most.
-REMEMBERED = 750_000
+REMEMBERED = 500_000
 #: Characters of texts that are encoded at a time.
 CHARACTERS = 1 << 23
 #: How a byte-level vocabulary writes the space that a token begins with.
@@ -119,9 +119,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = REMEMBERED) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
