@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.llm.common import mapped
+
 BLOCK, PAD = 192, b" "
 RATE, FRAME, PEAKS, FAN = 8000, 128, 2, 3
 CHUNK = 2048
@@ -109,6 +111,21 @@ def with_fingerprints(clips: DataFrame, media: str = "media") -> DataFrame:
     return clips.withColumn("landmarks", of(F.col(media)))
 
 
+def with_clips(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with ``media`` and its ``landmarks``: the two above in one Python worker, by small slices of rows."""
+
+    @F.arrow_udf("struct<media: binary, landmarks: array<long>>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def clip(t: bytes | None) -> dict:
+            wav = to_wav(padded(t or b""))
+            return {"media": wav, "landmarks": fingerprint(np.frombuffer(from_wav(wav), np.uint8))}
+
+        for texts in batches:
+            yield mapped(texts.cast(pa.binary()), clip, pa.struct([("media", pa.binary()), ("landmarks", pa.list_(pa.int64()))]))
+
+    return docs.withColumn("_made", made(F.col(text))).withColumns({"media": F.col("_made.media"), "landmarks": F.col("_made.landmarks")}).drop("_made")
+
+
 def summaries(clips: DataFrame, media: str = "media", landmarks: str = "landmarks") -> DataFrame:
     """clips (with landmarks) with a struct column ``read``: figures of the samples read back, and a digest of their fingerprint. Null clips have nulls."""
 
@@ -130,7 +147,7 @@ def summaries(clips: DataFrame, media: str = "media", landmarks: str = "landmark
 
 def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row of figures for each document: stored as WAV, its landmarks stored beside it, both read back. A map without a shuffle."""
-    clips = summaries(with_fingerprints(with_wav(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), "_text")))
+    clips = summaries(with_clips(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), "_text"))
     return clips.select(
         F.col("_id").alias(id), F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), "read.payload_bytes", "read.payload_sha256", "read.tail_crc32",
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "read.feature", F.size("landmarks").cast("long").alias("n_landmarks"),
