@@ -94,16 +94,31 @@ def spoken(text: Column) -> Column:
     return of(text)
 
 
-def folded(text: Column) -> Column:
+def fold_text(text: str) -> str:
     """Lower case without any combining marks (NFD), as searches compare."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M").lower()
+
+
+def folded(text: Column) -> Column:
+    """The same of a column; an Arrow UDF."""
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c)[0] != "M").lower())
+        return texts.map(lambda t: None if t is None else fold_text(t))
 
     return of(text)
 
 
+#: Texts whose letters are all up to U+017F, and what those fold to, one letter for one.
+LATIN = r"^[\x00-\x{17f}]*$"
+_FOLDS = {chr(c): f for c in range(0x180) if len(f := fold_text(chr(c))) == 1 and f != chr(c)}
+
+
+def folded_latin(text: Column) -> Column:
+    """The same of a text that is LATIN, in the JVM."""
+    return F.translate(text, "".join(_FOLDS), "".join(_FOLDS.values()))
+
+
 def filed_title(title: Column) -> Column:
     """The title without a leading article; the whole title if nothing is left."""
     rest = F.trim(F.regexp_replace(title, r"(?i)^(?:the|a|an)\s+", ""))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.functions.media import base_name, cover_rank, folder_of
+from reelgrid.functions.labels import poster_name
+from reelgrid.functions.media import base_name, cover_rank, folder_of, is_picture
 from reelgrid.functions.names import parsed_name
 from reelgrid.operators.pairing import years_agree
 
@@ -31,11 +32,11 @@ def best_in_folder(films: DataFrame, pictures: DataFrame, folder: str, fixed_whe
 
     films: film, key, year, folder and a boolean column fixed_when.
     """
-    p = pictures.select("path", F.col("folder").alias(folder), F.col("key").alias("k"), F.col("year").alias("y"), "fixed")
-    met = films.join(p, folder)
-    named = ~F.col("fixed") & (F.col("key") == F.col("k")) & years_agree(F.col("year"), F.col("y")) & (F.col("k") != "")
-    rank = F.when(named, 0).when(F.col("fixed") & F.col(fixed_when), 1)
-    return met.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("film").agg(F.min(F.struct("rank", "path")).alias("b")).select("film", F.col("b.path").alias("picture"))
+    p = pictures.select("path", F.col("folder").alias(folder), "key", F.col("year").alias("y"), "fixed")
+    named = films.join(p.where("NOT fixed AND key <> ''"), [folder, "key"]).where(years_agree(F.col("year"), F.col("y"))).select("film", F.lit(0).alias("rank"), "path")
+    own = p.where("fixed").groupBy(folder).agg(F.min("path").alias("path"))  # one for each folder
+    fixed = films.where(F.col(fixed_when)).join(own, folder).select("film", F.lit(1).alias("rank"), "path")
+    return named.unionByName(fixed).groupBy("film").agg(F.min(F.struct("rank", "path")).alias("b")).select("film", F.col("b.path").alias("picture"))
 
 
 def candidates(films: DataFrame, images: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -57,13 +58,60 @@ def decided(found: DataFrame, id: str = "film") -> DataFrame:
     return found.groupBy(id).agg(best.alias("b")).select(id, "b.source", "b.path")
 
 
+def chosen(films: DataFrame, found: DataFrame, named: DataFrame) -> DataFrame:
+    """(film, cover): what stands for each film now, a struct (path, source) or null.
+
+    films: film, recorded (struct path, source, or null) and opened (whether it carries artwork; null if it wasn't opened).
+    found: candidates() (film, source, path); named: thumbs() by sidecar (path, picture). What a person chose stays. Artwork
+    inside a film counts as it was recorded where the film wasn't opened. A sidecar is only read where nothing better was
+    found, and one that was recorded is kept as it is.
+    """
+    one = lambda source: found.where(F.col("source") == source).groupBy("film").agg(F.min("path").alias(source.replace("-", "_")))
+    rows = films
+    for source in ("beside", "sidecar", "folder-above"):
+        rows = rows.join(one(source), "film", "left")
+    rows = rows.join(named.select(F.col("path").alias("sidecar"), "picture"), "sidecar", "left")
+    was = F.col("recorded.source")
+    inside = F.coalesce(F.col("opened"), was == "in-file", F.lit(False))
+    cover = lambda path, source: F.struct(path.alias("path"), F.lit(source).alias("source"))
+    sidecar = F.when(was == "sidecar", F.col("recorded.path")).otherwise(F.col("picture"))
+    best = (
+        F.when(was == "chosen", F.struct(F.col("recorded.path").alias("path"), was.alias("source"))).when(inside, cover(F.col("film"), "in-file"))
+        .when(F.col("beside").isNotNull(), cover(F.col("beside"), "beside")).when(sidecar.isNotNull(), cover(sidecar, "sidecar"))
+        .when(F.col("folder_above").isNotNull(), cover(F.col("folder_above"), "folder-above"))
+    )
+    return rows.select("film", best.alias("cover"))
+
+
+def from_folder(films: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(film, cover): films given the first picture of a folder that has their key and an agreeing year, as chosen.
+
+    films: film, key, year; pictures: path and content (their first bytes are enough). What isn't a picture is passed over.
+    """
+    named = indexed(pictures.where(is_picture(F.col("content"))).select("path"), ()).where("key <> ''").select("path", "key", F.col("year").alias("y"))
+    met = films.join(named, "key").where(years_agree(F.col("year"), F.col("y"))).groupBy("film").agg(F.min("path").alias("path"))
+    return met.select("film", F.struct("path", F.lit("chosen").alias("source")).alias("cover"))
+
+
+def posters_wanted(films: DataFrame, cached: DataFrame, directory: str) -> DataFrame:
+    """(id, path, cover): films there are whose cached picture isn't the one they should have, or isn't on the disk (cached: path)."""
+    wanted = F.concat(F.lit(directory.rstrip("/") + "/"), poster_name(F.col("path"), F.col("modified_at"), F.col("cover_path")))
+    rows = films.where("missing_since IS NULL").withColumn("_wanted", wanted)
+    there = cached.select(F.col("path").alias("_wanted"), F.lit(True).alias("_there")).distinct()
+    return rows.join(there, "_wanted", "left").where(F.col("_there").isNull() | ~F.col("poster_path").eqNullSafe(F.col("_wanted"))).select("id", "path", F.col("cover_path").isNotNull().alias("cover"))
+
+
+#: What a sidecar may be: bytes of text and thumb elements that are looked at.
+SIDECAR_BYTES, THUMBS = 65_536, 8
+
+
 def thumbs(sidecars: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, picture): the first existing picture that a sidecar's text (path, text) names in its first 8 thumb elements.
+    """(path, picture): the first existing picture that a sidecar's text (path, text) names in its first THUMBS thumb elements.
 
-    Texts over 64 KiB are refused; URLs and other than pictures are passed over; files: path.
+    Texts over SIDECAR_BYTES are refused (refused_sidecars() lists them); URLs and other than pictures are passed over; files: path.
     """
-    values = F.slice(F.regexp_extract_all("text", F.lit(r"(?is)<thumb\b[^>]*>(.*?)</thumb>"), 1), 1, 8)
-    t = sidecars.where(F.octet_length("text") <= 65536).select("path", F.posexplode(values).alias("i", "value"))
+    values = F.slice(F.regexp_extract_all("text", F.lit(r"(?is)<thumb\b[^>]*>(.*?)</thumb>"), 1), 1, THUMBS)
+    t = sidecars.where(F.octet_length("text") <= SIDECAR_BYTES).select("path", F.posexplode(values).alias("i", "value"))
     value = F.trim("value")
     for entity, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         value = F.replace(value, F.lit(entity), F.lit(to))
@@ -71,3 +119,10 @@ def thumbs(sidecars: DataFrame, files: DataFrame) -> DataFrame:
     t = t.withColumn("picture", F.when(F.col("value").startswith("/"), F.col("value")).otherwise(F.concat_ws("/", folder_of(F.col("path")), "value")))
     there = t.join(files.select(F.col("path").alias("picture")), "picture", "left_semi")
     return there.groupBy("path").agg(F.min_by("picture", "i").alias("picture"))
+
+
+def refused_sidecars(sidecars: DataFrame) -> DataFrame:
+    """(path, reason) of sidecars (path, text) that thumbs() doesn't read, or not whole."""
+    n = F.regexp_count("text", F.lit(r"(?is)<thumb\b"))
+    reason = F.when(F.octet_length("text") > SIDECAR_BYTES, "too-large").when(n > THUMBS, "more-thumbs")
+    return sidecars.select("path", reason.alias("reason")).where("reason IS NOT NULL")

@@ -40,9 +40,11 @@ def active_at(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: st
     Intervals are dealt to buckets of ``width``, so only those near a point meet it; a hot bucket is split by AQE.
     """
     spans = intervals.where(F.col(end) > F.col(start)).select(*by, F.struct(start, end).alias("span"), F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))).alias("bucket"))
-    keyed = points.withColumn("bucket", F.floor(F.col(at) / width))
-    hits = keyed.join(spans, [*by, "bucket"], "left").withColumn("span", F.when((F.col(f"span.{start}") <= F.col(at)) & (F.col(at) < F.col(f"span.{end}")), F.col("span")))
-    return hits.groupBy(*points.columns).agg(F.max("span").alias("span")).select(*points.columns, F.col(f"span.{start}").alias(start), F.col(f"span.{end}").alias(end))
+    moments = points.select(*by, F.col(at).alias("_at")).distinct().withColumn("bucket", F.floor(F.col("_at") / width))
+    on = (F.col(f"span.{start}") <= F.col("_at")) & (F.col("_at") < F.col(f"span.{end}"))
+    best = moments.join(spans, [*by, "bucket"]).where(on).groupBy(*by, "_at").agg(F.max("span").alias("_span"))
+    met = points.withColumn("_at", F.col(at)).join(best, [*by, "_at"], "left")  # every point, repeats too
+    return met.select(*points.columns, F.col(f"_span.{start}").alias(start), F.col(f"_span.{end}").alias(end))
 
 
 def running_end(intervals: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:

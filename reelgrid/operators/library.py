@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.functions.text import folded
+from reelgrid.functions.text import LATIN, fold_text, folded, folded_latin
 
 
 def sorted_by(films: DataFrame, key: str | Column, descending: bool, ties: Sequence[str | Column]) -> DataFrame:
@@ -39,14 +39,18 @@ def resumable(positions: DataFrame, films: DataFrame, n: int) -> DataFrame:
 def search(entries: DataFrame, text: str, query: str, order: str, shown: int = 40) -> DataFrame:
     """(order, found): the first ``shown`` entries whose folded text holds the folded query, with ``found``, how many there are in all.
 
-    A blank query finds nothing. The match runs before Python sees a row only where the text is ASCII; others are folded.
+    A blank query finds nothing. Texts of letters up to U+017F are folded in the JVM, by a table of what Unicode's decomposition
+    makes of each letter; only the others reach Python. All texts are read once: each part's count and first entries go on.
     """
-    wanted = folded(F.lit(query.strip()))
-    plain = F.col(text).rlike(r"^[\x00-\x7F]*$")
-    hit = F.when(plain, F.lower(F.col(text))).otherwise(folded(F.col(text))).contains(wanted)
-    hits = entries.where(hit if query.strip() else F.lit(False)).select(order)
-    n = hits.agg(F.count("*").alias("found"))
-    return hits.orderBy(order).limit(shown).crossJoin(F.broadcast(n))  # n is one row
+    wanted = fold_text(query.strip())
+    if not wanted:
+        return entries.select(order, F.lit(0).cast("long").alias("found")).limit(0)
+    rows = entries.select(order, F.col(text).alias("_text"))
+    plain = F.col("_text").rlike(LATIN)
+    hits = rows.where(plain & folded_latin(F.col("_text")).contains(wanted)).unionByName(rows.where(~plain & folded(F.col("_text")).contains(wanted))).select(order)
+    held = hits.groupBy(F.spark_partition_id().alias("_part")).agg(F.count("*").alias("_n"), F.slice(F.array_sort(F.collect_list(order)), 1, shown).alias("_first"))
+    both = held.agg(F.sum("_n").cast("long").alias("found"), F.slice(F.array_sort(F.flatten(F.collect_list("_first"))), 1, shown).alias("_first"))  # ``shown`` of each part
+    return both.select(F.explode("_first").alias(order), "found")
 
 
 def cover_tally(films: DataFrame, source: str, example: str, order: str) -> DataFrame:

@@ -31,9 +31,12 @@ def by_beginning(subtitles: DataFrame, films: DataFrame) -> DataFrame:
         n = F.size("words")
         starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(joined(F.slice("words", 1, i)).alias("start"), i.alias("shared"), (i == n).alias("whole")))
         return rows.where(n > 0).select(id, "year", F.inline(starts))
-    a = offered(subtitles, "subtitle")
-    b = offered(films, "film").select("film", F.col("year").alias("film_year"), "start", F.col("whole").alias("film_whole"))
-    met = a.join(b, "start").where((F.col("whole") | F.col("film_whole")) & years_agree(F.col("year"), F.col("film_year")) & ((F.col("shared") > 1) | (F.octet_length("start") >= 4)))
+    worth = (F.col("shared") > 1) | (F.octet_length("start") >= 4)
+    a, b = offered(subtitles, "subtitle").where(worth), offered(films, "film").where(worth)
+    side = lambda rows: rows.select("film", F.col("year").alias("film_year"), "start")
+    # a whole film among a subtitle's beginnings, and a whole subtitle among the longer films' beginnings
+    met = a.join(side(b.where("whole")), "start").unionByName(a.where("whole").join(side(b.where("NOT whole")), "start"))
+    met = met.where(years_agree(F.col("year"), F.col("film_year")))
     best = met.groupBy("subtitle", "shared").agg(F.countDistinct("film").alias("n"), F.min("film").alias("film")).groupBy("subtitle").agg(F.max(F.struct("shared", "n", "film")).alias("b"))
     return best.where("b.n = 1").select("subtitle", "b.film", F.col("b.shared").cast("long").alias("shared"))
 
