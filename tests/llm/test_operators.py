@@ -511,6 +511,81 @@ def test_base_scores_equal_brute_force(which, rare, request, monkeypatch):
     assert key(some((*tuple(r)[:5], round(r.base_score, 6)) for r in got)) == key(want)
 
 
+def brute_scores(rows, share):
+    """Scores when no context is common: states of one and two words from plain counts; share: of the words with codes."""
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(common.LOWER_TABLE)), "\n"]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    before = lambda w, i: ((w[i - 1],), (w[i - 2] if i > 1 else None, w[i - 1]))
+    count, total, gram = collections.Counter(), collections.Counter(), collections.Counter()
+    for d, t in rows:
+        if not held(d):
+            w = words(t)
+            count.update(w)
+            for i in range(1, len(w)):
+                for c in before(w, i):
+                    total[c] += 1
+                    gram[c, w[i]] += 1
+    n, v = sum(count.values()), len(count)
+    least = max(1.0, share * n)
+    root = lambda w: math.log((count[w] + 1) / (n + v + 1))
+    known = lambda w: root(w) if count[w] >= least else math.log((least + 1) / (n + v + 1))
+    after = collections.defaultdict(dict)
+    for (c, w), k in gram.items():
+        after[c][w] = k
+    direct = lambda c, w: math.log((after[c][w] - 0.75) / total[c])
+    counted = lambda c, w: after[c].get(w, 0) >= 2
+    back = lambda c: math.log(1 - sum(k - 0.75 for k in after[c].values() if k >= 2) / total[c])
+    differs = lambda c, lower: total[c] >= 2 and sum(k / total[c] * (math.log(k / total[c]) - lower(w)) for w, k in after[c].items() if k >= 2) >= 0.05
+    one = {c for c in list(after) if len(c) == 1 and differs(c, known)}
+    two = set()
+    for c in [c for c in after if len(c) == 2]:
+        s = c[1:]
+        lower = lambda w, s=s: (direct(s, w) if counted(s, w) else known(w) + back(s)) if s in one else known(w)
+        if differs(c, lower):
+            two.add(c)
+    one |= {c[1:] for c in two}
+    out = []
+    for d, t in rows:
+        w, score = words(t), 0.0
+        for i in range(len(w)):
+            p = root(w[i])
+            for c, kept in zip(before(w, i), (one, two), strict=True) if i else ():
+                if c in kept:
+                    p = direct(c, w[i]) if counted(c, w[i]) else p + back(c)
+            score += p
+        out.append((d, t, score / math.log(10)))
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_scores_of_rarer_words_contexts_equal_brute_force(which, request, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "LEAST_CONTEXT", 2.0)  # no context is common
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(suffix_tree, "HELD", 3000)
+    df = request.getfixturevalue(which)
+    df = df.unionByName(df.withColumn("doc_id", F.col("doc_id") + 100_000))  # copies, so that states are met
+    got = some((r.doc_id, round(r.score, 5)) for r in suffix_tree.score_held_out(df).collect())
+    want = some((d, round(x, 5)) for d, _, x in brute_scores([(r.doc_id, r.text) for r in df.collect()], 2.0 * suffix_tree.LEAST_NEXT))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(g[1] - w[1]) < 1e-3 for g, w in zip(got, want, strict=True))
+
+
+def test_scores_by_any_column_s_name(odd):
+    rows = odd.drop("id", "key").withColumnRenamed("doc_id", "key").withColumnRenamed("text", "copies")
+    got = suffix_tree.scored(rows, rows, id="key", text="copies")
+    assert got.columns[0] == "key" and got.count() == odd.count()
+
+
+def test_states_grow_with_the_texts(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(120)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score - r.base_score for r in suffix_tree.scored(df, df).collect()}
+    twice, once = [got[i] for i in range(20)], [got[i] for i in range(20, 60)]
+    assert min(twice) > max(once) + 20
+
+
 def test_suffix_tree_is_a_distribution_and_beats_its_base(spark, docs):
     got = suffix_tree.score_held_out(docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert got[1] > got[0]
