@@ -134,8 +134,8 @@ def attached(tracks: DataFrame, cues: DataFrame, films: DataFrame, film_id: int,
     if films.where(F.col("id") == film_id).isEmpty():
         raise Refused(f"no film {film_id}")
     own = track.withColumns({"film_id": F.lit(film_id).cast("long"), "match_kind": F.lit("by-hand"), "origin": F.lit("sidecar"), "stream_number": F.lit(0).cast("long")})
-    now, fresh = written_tracks(tracks, cues, own, track_cues)
-    return pointed(now.drop("changed"), own.select("id", "film_id")), fresh
+    now, fresh = written_tracks(pointed(tracks, own.select("id", "film_id")), cues, own, track_cues)
+    return now.drop("changed"), fresh
 
 
 def saved_positions(stored: DataFrame, fresh: DataFrame) -> DataFrame:

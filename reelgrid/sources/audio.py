@@ -5,11 +5,14 @@ from __future__ import annotations
 import io
 import math
 import wave
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from reelgrid.sources.ranged import opened, rows_of
+
 LOW_HZ, HIGH_HZ, Q, MARGIN = 300.0, 3400.0, 1 / math.sqrt(2), 0.45
 STEP = 1 << 16
 
@@ -47,6 +50,13 @@ def band(samples: np.ndarray, rate: int) -> np.ndarray:
     return samples
 
 
+def _samples(raw: bytes, width: int) -> np.ndarray:
+    if width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        return (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000).astype(np.float64)
+    return np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64) - (128 if width == 1 else 0)
+
+
 def energy_of(content: bytes) -> tuple[str, list[tuple[int, float, int]]]:
     """(outcome, [(bin, sum of squares, samples)]): outcome is ok, no-audio, or unreadable."""
     try:
@@ -57,17 +67,77 @@ def energy_of(content: bytes) -> tuple[str, list[tuple[int, float, int]]]:
         return "unreadable", []
     if not n:
         return "no-audio", []
-    if width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000
-    else:
-        x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64) - (128 if width == 1 else 0)
+    x = _samples(raw, width)
     x = x[: len(x) // channels * channels].reshape(-1, channels).mean(1) / float(1 << 8 * width - 1)
     x = band(x, rate)
     bins = np.arange(len(x)) * 100 // rate
     return "ok", list(zip(range(int(bins[-1]) + 1), np.bincount(bins, x * x).tolist(), np.bincount(bins).tolist(), strict=True))
 
 
+class _Filter:
+    """A filter over samples that come in parts."""
+
+    def __init__(self, rate: int, hz: float, high: bool):
+        self.h = _impulse(rate, hz, high)
+        self.size = 1 << (STEP + len(self.h) - 1).bit_length()
+        self.spectrum, self.tail = np.fft.rfft(self.h, self.size), np.zeros(len(self.h) - 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        y = np.fft.irfft(np.fft.rfft(x, self.size) * self.spectrum, self.size)[: len(x) + len(self.h) - 1]
+        y[: len(self.tail)] += self.tail[: len(y)]
+        rest = np.zeros(len(self.h) - 1)
+        rest[: len(y) - len(x)] = y[len(x) :]
+        self.tail = rest
+        return y[: len(x)]
+
+
+def streamed_energy(file, stop: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, list[tuple[int, float, int]]]]:
+    """energy_of() of an open WAV file in parts of STEP frames, so that memory doesn't grow with it. The sums of a bin may come in two parts.
+
+    stop is asked before each part; a reading that was stopped ends with the outcome "stopped".
+    """
+    try:
+        w = wave.open(file, "rb")
+    except (wave.Error, EOFError):
+        yield "unreadable", []
+        return
+    rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
+    if not w.getnframes():
+        yield "no-audio", []
+        return
+    filters = [_Filter(rate, hz, high) for hz, high in ((LOW_HZ, True), (HIGH_HZ, False)) if hz < MARGIN * rate]
+    at = 0
+    while raw := w.readframes(STEP):
+        if stop():
+            yield "stopped", []
+            return
+        x = _samples(raw, width)
+        x = x[: len(x) // channels * channels].reshape(-1, channels).mean(1) / float(1 << 8 * width - 1)
+        for f in filters:
+            x = f(x)
+        bins = (at + np.arange(len(x))) * 100 // rate
+        first = int(bins[0])
+        sums, n = np.bincount(bins - first, x * x), np.bincount(bins - first)
+        yield "ok", [(first + k, float(s), int(c)) for k, (s, c) in enumerate(zip(sums, n, strict=True))]
+        at += len(x)
+
+
+def energy_at(paths: DataFrame) -> DataFrame:
+    """energy() of the files at paths (path), read in parts where they lie: a bin's sums may come in two rows, which levels() adds up."""
+    arrow = pa.schema([("film", pa.string()), ("outcome", pa.string()), ("bin", pa.int64()), ("sum_sq", pa.float64()), ("n", pa.int64())])
+
+    def make(path: str) -> Iterator[dict]:
+        try:
+            with opened(path) as f:
+                for outcome, rows in streamed_energy(f):
+                    for b, s, n in rows or [(None, None, None)]:
+                        yield {"film": path, "outcome": outcome, "bin": b, "sum_sq": s, "n": n}
+        except OSError:
+            yield {"film": path, "outcome": "unreadable", "bin": None, "sum_sq": None, "n": None}
+
+    return rows_of(paths, make, arrow, "film string, outcome string, bin long, sum_sq double, n long", held=50_000)
+
+
 def energy(files: DataFrame) -> DataFrame:
     """(film, outcome, bin, sum_sq, n) of WAV files (path, content); a refused file has one row without a bin."""
     arrow = pa.schema([("film", pa.string()), ("outcome", pa.string()), ("bin", pa.int64()), ("sum_sq", pa.float64()), ("n", pa.int64())])

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from reelgrid.functions.media import SKIPPED_FOLDERS
 
@@ -19,34 +20,95 @@ def _walkable(name: str) -> bool:
     return not name.startswith(".") and name.lower() not in SKIPPED_FOLDERS
 
 
+def _encodable(name: str) -> bool:
+    """Names that aren't UTF-8 can't be held in a table."""
+    try:
+        name.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _parts(root: str) -> list[_Folder]:
+    """The files of the root and of its folders as tasks of their own, and each folder two levels down as one, so that a large first-level folder is many tasks."""
+    found = [_Folder(root, False)]
+    for one in _inner(root):
+        deeper = _inner(one)
+        found += [_Folder(one, False), *(_Folder(p, True) for p in deeper)] if deeper else [_Folder(one, True)]
+    return found
+
+
+def _inner(folder: str) -> list[str]:
+    try:
+        return sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False) and _walkable(e.name) and _encodable(e.name))
+    except OSError:
+        return []
+
+
+def _walk(partition: _Folder) -> Iterator[tuple[str, int | None, int | None, bool, bool]]:
+    """(path, size, modified_at, readable, folder) of what lies in a part; what vanishes while it is looked at is passed over."""
+    todo = [partition.path]
+    while todo:
+        at = todo.pop()
+        try:
+            entries = sorted(os.scandir(at), key=lambda e: e.name)
+            yield at, None, os.stat(at).st_mtime_ns // 1_000_000, True, True
+        except FileNotFoundError:
+            continue
+        except OSError:
+            yield at, None, None, False, True
+            continue
+        for e in entries:
+            if not _encodable(e.name):
+                continue
+            if e.is_dir(follow_symlinks=False):
+                if partition.deep and _walkable(e.name):
+                    todo.append(e.path)
+            elif e.is_file(follow_symlinks=False):
+                try:
+                    s = e.stat(follow_symlinks=False)
+                except OSError:
+                    continue
+                yield e.path, s.st_size, s.st_mtime_ns // 1_000_000, True, False
+
+
 class _Reader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root.rstrip("/")
 
     def partitions(self) -> list[InputPartition]:
-        """The root's own files, and each of its folders as a task."""
-        try:
-            inner = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and _walkable(e.name))
-        except OSError:
-            inner = []
-        return [_Folder(self.root, False), *(_Folder(p, True) for p in inner)]
+        return _parts(self.root)
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
-        todo = [partition.path]
-        while todo:
-            at = todo.pop()
-            try:
-                entries = sorted(os.scandir(at), key=lambda e: e.name)
-            except OSError:
-                yield (at, None, None, False)
-                continue
-            for e in entries:
-                if e.is_dir(follow_symlinks=False):
-                    if partition.deep and _walkable(e.name):
-                        todo.append(e.path)
-                elif e.is_file(follow_symlinks=False):
-                    s = e.stat(follow_symlinks=False)
-                    yield (e.path, s.st_size, s.st_mtime_ns // 1_000_000, True)
+        for path, size, modified, readable, folder in _walk(partition):
+            if not folder or not readable:
+                yield path, size, modified, readable
+
+
+class _Span(InputPartition):
+    def __init__(self, folder: _Folder, after: int, upto: int):
+        self.folder, self.after, self.upto = folder, after, upto
+
+
+class _Changes(DataSourceStreamReader):
+    """Paths changed between two times: files by their own time, and folders by theirs, which a file that came or went has moved."""
+
+    def __init__(self, root: str, since: int | None):
+        self.root, self.since = root.rstrip("/"), since
+
+    def initialOffset(self) -> dict:
+        return {"at": self.since if self.since is not None else time.time_ns() // 1_000_000}
+
+    def latestOffset(self) -> dict:
+        return {"at": time.time_ns() // 1_000_000 - 1}  # the millisecond that isn't over belongs to the next batch
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Span(p, start["at"], end["at"]) for p in _parts(self.root)]
+
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        for path, _, modified, readable, _ in _walk(partition.folder):
+            if readable and partition.after < modified <= partition.upto:
+                yield self.root, path, modified
 
 
 class FolderSource(DataSource):
@@ -63,5 +125,23 @@ class FolderSource(DataSource):
         return _Reader(self.options["path"])
 
 
+class ChangeSource(DataSource):
+    """``spark.readStream.format("folder-changes").load(root)``: folder, path, modified_at of what changes under a root.
+
+    Offsets are times, so a batch that is retried finds the same span. The option ``since`` (ms) begins in the past.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder-changes"
+
+    def schema(self) -> str:
+        return "folder string, path string, modified_at long"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Changes(self.options["path"], int(self.options["since"]) if "since" in self.options else None)
+
+
 def register(spark) -> None:
     spark.dataSource.register(FolderSource)
+    spark.dataSource.register(ChangeSource)

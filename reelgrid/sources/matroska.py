@@ -1,7 +1,8 @@
-"""Facts, subtitle tracks, dialogue and artwork of Matroska files, from their bytes.
+"""Facts, subtitle tracks, dialogue and artwork of Matroska files, from their bytes or by ranges of files where they lie.
 
-The element tree is walked with sizes never trusted beyond the parent or the file. A file is read by one task (Spark's
-binaryFile), its cues leave it as rows.
+The element tree is walked with sizes never trusted beyond the parent or the file; what isn't asked for is skipped, not
+read. A file is read by one task, its cues leave it as rows. What the limits leave out is counted: probe() has the tracks
+and dialogue_left_out() the cues and blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions.media import SUBTITLE_CODECS, TEXT_CODECS
 from reelgrid.functions.names import language_code
 from reelgrid.functions.text import clean_markup
+from reelgrid.sources.ranged import Ranged, opened, rows_of
 
 # Ids of the elements that are read.
 SEGMENT, INFO, SCALE, DURATION, TRACKS, ENTRY = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x1654AE6B, 0xAE
@@ -62,11 +64,14 @@ def _text(b: bytes, span: tuple[int, int] | None) -> str | None:
     return b[span[0] : span[1]].split(b"\0")[0].decode("utf-8", "replace") if span else None
 
 
-def tracks_of(b: bytes, begin: int, end: int) -> list[dict]:
-    """The track entries in order of their numbers, TRACK_LIMIT at most."""
-    found = []
+def tracks_of(b: bytes, begin: int, end: int) -> tuple[list[dict], int]:
+    """The track entries in order of their numbers, TRACK_LIMIT at most, and how many more there are."""
+    found, more = [], 0
     for i, a, z in children(b, begin, end):
-        if i != ENTRY or len(found) == TRACK_LIMIT:
+        if i != ENTRY:
+            continue
+        if len(found) == TRACK_LIMIT:
+            more += 1
             continue
         f = _fields(b, a, z)
         flag = lambda k, d: bool(_uint(b, *f[k])) if k in f else d  # noqa: E731, B023
@@ -79,7 +84,7 @@ def tracks_of(b: bytes, begin: int, end: int) -> list[dict]:
             "is_default": flag(DEFAULT, True), "forced": flag(FORCED, False), "hearing_impaired": flag(IMPAIRED, False), "width": number(video, WIDTH), "height": number(video, HEIGHT),
             "bit_depth": number(colour, DEPTH), "frame_ns": number(f, FRAME_NS), "channels": number(audio, CHANNELS),
         })
-    return sorted(found, key=lambda t: t["number"])
+    return sorted(found, key=lambda t: t["number"]), more
 
 
 def _segment(b: bytes) -> tuple[int, int] | None:
@@ -89,7 +94,11 @@ def _segment(b: bytes) -> tuple[int, int] | None:
 def described(b: bytes) -> dict:
     """Duration and tracks of a file; nothing where it isn't Matroska."""
     span = _segment(b)
-    top = _fields(b, *span) if span else {}
+    top: dict[int, tuple[int, int]] = {}
+    for i, a, z in children(b, *span) if span else ():
+        top.setdefault(i, (a, z))
+        if INFO in top and TRACKS in top:  # the rest of the file isn't needed
+            break
     info = _fields(b, *top[INFO]) if INFO in top else {}
     scale = _uint(b, *info[SCALE]) if SCALE in info else 1_000_000
     units = 0.0
@@ -97,11 +106,13 @@ def described(b: bytes) -> dict:
         a, z = info[DURATION]
         units = struct.unpack(">d" if z - a == 8 else ">f", b[a:z])[0] if z - a in (4, 8) else 0.0
     ms = int(units * scale / 1e6) if DURATION in info and units > 0 and scale > 0 else None
-    return {"duration_ms": ms, "scale": scale, "tracks": tracks_of(b, *top[TRACKS]) if TRACKS in top else []}
+    tracks, more = tracks_of(b, *top[TRACKS]) if TRACKS in top else ([], 0)
+    return {"duration_ms": ms, "scale": scale, "tracks": tracks, "tracks_left_out": more}
 
 
-def dialogue_of(b: bytes) -> list[dict]:
-    """The cues of the text tracks: by track, in order of time, numbered from 1."""
+def dialogue_of(b: bytes, left_out: dict | None = None) -> list[dict]:
+    """The cues of the text tracks: by track, in order of time, numbered from 1. left_out takes counts of what the limits leave out, by track and kind."""
+    missed = left_out if left_out is not None else {}
     facts, span = described(b), _segment(b)
     text = {t["number"]: SUBTITLE_CODECS.get(t["codec_id"]) for t in facts["tracks"] if t["kind"] == 0x11 and SUBTITLE_CODECS.get(t["codec_id"]) in TEXT_CODECS}
     if not span or not text:
@@ -111,7 +122,11 @@ def dialogue_of(b: bytes) -> list[dict]:
 
     def block(a: int, z: int, lasts: int) -> None:
         head = _vint(b, a, z, 8, False)
-        if not head or head[0] not in text or head[1] + 3 > z or b[head[1] + 2] & 0x06 or z - a > BLOCK_LIMIT or len(found[head[0]]) >= CUE_LIMIT:
+        if not head or head[0] not in text or head[1] + 3 > z or b[head[1] + 2] & 0x06:
+            return
+        if (large := z - a > BLOCK_LIMIT) or len(found[head[0]]) >= CUE_LIMIT:
+            key = head[0], "large-block" if large else "more-cues"
+            missed[key] = missed.get(key, 0) + 1
             return
         start = max(0, now + struct.unpack(">h", b[head[1] : head[1] + 2])[0])
         try:
@@ -192,3 +207,82 @@ def facts(files: DataFrame) -> DataFrame:
         return pa.array([{"duration_ms": r["duration_ms"], "tracks": r["tracks"]} for r in rows], arrow)
 
     return files.withColumn("_f", read("content")).select("path", "_f.*")
+
+
+# ---- by ranges -----------------------------------------------------------------------------------------------------------
+
+_PROBE = "path string, outcome string, duration_ms long, video_codec_id string, width long, height long, bit_depth long, frame_ns long, tracks_left_out long, bytes_read long, audio array<struct<stream_number: long, codec_id: string, channels: long, language: string, is_default: boolean>>, subtitles array<struct<stream_number: long, codec_id: string, language: string, forced: boolean, hearing_impaired: boolean>>"
+_AUDIO = pa.struct([("stream_number", pa.int64()), ("codec_id", pa.string()), ("channels", pa.int64()), ("language", pa.string()), ("is_default", pa.bool_())])
+_SUBTITLE = pa.struct([("stream_number", pa.int64()), ("codec_id", pa.string()), ("language", pa.string()), ("forced", pa.bool_()), ("hearing_impaired", pa.bool_())])
+_PROBED = pa.schema([("path", pa.string()), ("outcome", pa.string()), *((c, pa.string() if c == "video_codec_id" else pa.int64()) for c in ("duration_ms", "video_codec_id", "width", "height", "bit_depth", "frame_ns", "tracks_left_out", "bytes_read")), ("audio", pa.list_(_AUDIO)), ("subtitles", pa.list_(_SUBTITLE))])
+
+
+def probed(path: str) -> Iterator[dict]:
+    """One row of _PROBE: outcome is ok, not-matroska or unreadable; bytes_read is what it took."""
+    try:
+        with opened(path) as f:
+            b = Ranged(f)
+            if _segment(b) is None:
+                yield {"path": path, "outcome": "not-matroska", "bytes_read": b.fetched}
+                return
+            found = described(b)
+    except OSError:
+        yield {"path": path, "outcome": "unreadable"}
+        return
+    tracks = found["tracks"]
+    video = next((t for t in tracks if t["kind"] == 1), {})
+    yield {
+        "path": path, "outcome": "ok", "duration_ms": found["duration_ms"], "video_codec_id": video.get("codec_id"), **{c: video.get(c) for c in ("width", "height", "bit_depth", "frame_ns")}, "tracks_left_out": found["tracks_left_out"], "bytes_read": b.fetched,
+        "audio": [{"stream_number": t["number"], **{c: t[c] for c in ("codec_id", "channels", "language", "is_default")}} for t in tracks if t["kind"] == 2],
+        "subtitles": [{"stream_number": t["number"], **{c: t[c] for c in ("codec_id", "language", "forced", "hearing_impaired")}} for t in tracks if t["kind"] == 0x11],
+    }
+
+
+def probe(paths: DataFrame) -> DataFrame:
+    """_PROBE of each path (path): a few pages of each file are read, whatever its size."""
+    return rows_of(paths, probed, _PROBED, _PROBE)
+
+
+def dialogue(paths: DataFrame) -> DataFrame:
+    """The columns of cues() of each path (path); only the blocks of text tracks are read of what follows the headers."""
+    arrow = pa.schema([("path", pa.string()), ("stream_number", pa.int64()), ("ordinal", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("position", pa.int32()), ("text", pa.string())])
+
+    def make(path: str) -> Iterator[dict]:
+        try:
+            with opened(path) as f:
+                found = dialogue_of(Ranged(f))
+        except OSError:
+            return
+        yield from ({"path": path, **c} for c in found)
+
+    return rows_of(paths, make, arrow, _CUES)
+
+
+def dialogue_left_out(paths: DataFrame) -> DataFrame:
+    """(path, stream_number, why, n) of cues and blocks that the limits leave out."""
+
+    def make(path: str) -> Iterator[dict]:
+        missed: dict = {}
+        try:
+            with opened(path) as f:
+                dialogue_of(Ranged(f), missed)
+        except OSError:
+            return
+        yield from ({"path": path, "stream_number": t, "why": why, "n": n} for (t, why), n in sorted(missed.items()))
+
+    return rows_of(paths, make, pa.schema([("path", pa.string()), ("stream_number", pa.int64()), ("why", pa.string()), ("n", pa.int64())]), "path string, stream_number long, why string, n long")
+
+
+def artwork(paths: DataFrame) -> DataFrame:
+    """(path, name, content) of the best attached picture of each path (path) that has one."""
+
+    def make(path: str) -> Iterator[dict]:
+        try:
+            with opened(path) as f:
+                found = artwork_of(Ranged(f))
+        except OSError:
+            return
+        if found:
+            yield {"path": path, "name": found[0], "content": found[1]}
+
+    return rows_of(paths, make, pa.schema([("path", pa.string()), ("name", pa.string()), ("content", pa.binary())]), "path string, name string, content binary", held=8)

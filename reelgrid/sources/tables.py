@@ -73,9 +73,9 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/version={now}")
 
     def write(self, name: str, rows: DataFrame) -> int:
-        """Writes the next version of a table: columns in the schema's order, cast to its types, missing ones null."""
+        """Writes the next version of a table: columns in the schema's order, cast to its types; missing ones are their defaults or null."""
         fields = [f.split(" ") for f in SCHEMAS[name].split(", ")]
-        held = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in fields))
+        held = rows.select(*((F.col(c) if c in rows.columns else F.lit(DEFAULTS.get((name, c)))).cast(t).alias(c) for c, t in fields))
         if name in CLUSTERED:
             held = held.repartitionByRange(*CLUSTERED[name]).sortWithinPartitions(*CLUSTERED[name])
         now = self.version(name) + 1

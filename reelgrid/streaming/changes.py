@@ -6,6 +6,7 @@ state is the set, its first and its last time; processing time only.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -74,3 +75,47 @@ def windowed_counts(events: DataFrame, at: str, width: str, slide: str | None =
     """Tumbling or sliding counts with a watermark; an extension of what file changes need."""
     w = F.window(at, width, slide) if slide else F.window(at, width)
     return events.withWatermark(at, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n")).select("w.start", "w.end", *by, "n")
+
+
+def refreshed(changes: DataFrame, watched: Callable[[], DataFrame], scan: Callable[[DataFrame, int], Any], checkpoint: str):
+    """Scans the watched folders (id, path) that hold a path of a batch (path): scan takes those folders and the batch's number. Batches that touch none scan nothing."""
+    from reelgrid.operators.catalogue import touched_folders
+
+    def write(batch: DataFrame, number: int) -> None:
+        touched = touched_folders(watched(), batch)
+        if not touched.isEmpty():
+            scan(touched, number)
+
+    return into(changes, write, checkpoint)
+
+
+def kept_positions(stream: DataFrame, stored: Callable[[], DataFrame], store: Callable[[DataFrame], Any], checkpoint: str, every: str = "5 seconds"):
+    """Positions (film_id, position_ms, duration_ms, finished, updated_at) written every few seconds: the latest of each film, nothing under a second."""
+    from reelgrid.operators.mutations import saved_positions
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = saved_positions(stored(), batch)
+        if not new.where("changed").isEmpty():
+            store(new.drop("changed"))
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+class OneAtATime:
+    """Runs one job of a kind at a time as a Spark job group; another is refused meanwhile, and cancel() stops its tasks."""
+
+    def __init__(self, spark, group: str):
+        self.context, self.group, self.lock = spark.sparkContext, group, threading.Lock()
+
+    def run(self, job: Callable[[], Any]) -> Any:
+        if not self.lock.acquire(blocking=False):
+            raise RuntimeError(f"{self.group} is running already")
+        try:
+            self.context.setJobGroup(self.group, self.group, interruptOnCancel=True)
+            return job()
+        finally:
+            self.context._jsc.clearJobGroup()
+            self.lock.release()
+
+    def cancel(self) -> None:
+        self.context.cancelJobGroup(self.group)
