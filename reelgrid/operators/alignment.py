@@ -169,44 +169,42 @@ def _apply(t: float, offset: int, rate: float) -> float:
     return t if (offset, rate) == (0, 1.0) else min(max(math.floor(t * rate + offset + 0.5), 0), 4_294_967_295)
 
 
+def _foretold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of some readings lie on the line through the two before them."""
+    out = np.zeros(len(y), bool)
+    if len(y) > 2:
+        slope = np.diff(y)[:-1] / np.diff(x)[:-1]
+        out[2:] = np.abs(y[1:-1] + slope * (x[2:] - x[1:-1]) - y[2:]) <= AGREE_MS
+    return out
+
+
 def _misfit(said: list[float | None], at: np.ndarray) -> tuple[str, int] | None:
-    """DifferentCut or Breaks and where, from each chunk's distance to the line: None is a quiet chunk, nan one without an answer."""
-    known = lambda i: said[i] is not None and not math.isnan(said[i])
-
-    def borne_out(i: int) -> bool:
-        if not known(i):
-            return False
-        for side in (range(i - 1, -1, -1), range(i + 1, len(said))):
-            near = [k for k in side if known(k)][:2]
-            if len(near) == 2:
-                slope = (said[near[0]] - said[near[1]]) / (at[near[0]] - at[near[1]])
-                if abs(said[near[0]] + slope * (at[i] - at[near[0]]) - said[i]) <= AGREE_MS:
-                    return True
-        return False
-
-    run, first = 0, len(said)
-    for i in range(len(said) - 1, -1, -1):
-        if said[i] is None:
-            continue
-        if (known(i) and abs(said[i]) <= FAR_MS) or borne_out(i):
-            break
-        run, first = run + 1, i
-    if run >= 3 and run * 5 >= len(said):
-        return "DifferentCut", int((at[first - 1] + at[first]) / 2) if first else 0
-
-    def side(order) -> tuple[float, float] | None:
-        near = [i for i in order if borne_out(i)][:4]
-        if len(near) < 2:
-            return None
-        left = np.array([said[i] for i in near])
-        level = _lower_median(left)
-        tight = _lower_median(np.abs(left - level)) <= AGREE_MS and abs(left[0] - level) <= AGREE_MS
-        return (level, at[near[0]]) if tight else None
-
-    for k in range(1, len(said)):
-        one, two = side(range(k - 1, -1, -1)), side(range(k, len(said)))
-        if one and two and abs(two[0] - one[0]) >= STEP_MS:
-            return "Breaks", int((one[1] + two[1]) / 2)
+    """DifferentCut or Breaks and where, from each chunk's distance to the line: None is a quiet chunk, nan one without an answer.
+
+    A reading holds if its neighbours on one side foretell it. If the film ends with enough chunks that neither hold nor are near
+    the line, it is another cut. If the readings that hold nearest to a boundary are level on each side of it, but a step apart,
+    it has breaks.
+    """
+    n, heard = len(said), np.array([s is not None for s in said], bool)
+    y = np.array([math.nan if s is None else s for s in said], float)
+    known = np.flatnonzero(~np.isnan(y))
+    holds, good = np.zeros(n, bool), np.zeros(n, bool)
+    x, z = np.asarray(at, float)[known], y[known]
+    holds[known] = _foretold(x, z) | _foretold(x[::-1], z[::-1])[::-1]
+    good[known] = np.abs(z) <= FAR_MS
+    good |= holds
+    fine = np.flatnonzero(heard & good)
+    tail = np.flatnonzero(heard)
+    tail = tail[tail > (fine[-1] if len(fine) else -1)]
+    if len(tail) >= 3 and 5 * len(tail) >= n:
+        return "DifferentCut", int((at[tail[0] - 1] + at[tail[0]]) / 2) if tail[0] else 0
+    held = np.flatnonzero(holds)
+    for k in range(2, len(held) - 1):  # boundaries before which and after which two readings hold
+        before, after = held[:k][::-1][:4], held[k:][:4]
+        levels = [_lower_median(y[near]) for near in (before, after)]
+        spreads = [np.abs(y[near] - level) for near, level in zip((before, after), levels, strict=True)]
+        if all(_lower_median(s) <= AGREE_MS and s[0] <= AGREE_MS for s in spreads) and abs(levels[1] - levels[0]) >= STEP_MS:
+            return "Breaks", int((at[before[0]] + at[after[0]]) / 2)
     return None
 
 

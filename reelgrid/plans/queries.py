@@ -167,7 +167,11 @@ def merged_runs(spark, d):
     return intervals.merged_runs(spans(spark, d), ["user_id"], "a", "b", DAY, HOUR)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, d AS (SELECT event_type, ms, count(*) AS n FROM e GROUP BY ALL), m AS (SELECT *, CASE WHEN ms - lag(ms) OVER w < {HOUR // 2} THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY event_type ORDER BY ms)),
+    r AS (SELECT *, max(CASE WHEN new = 1 THEN ms END) OVER (PARTITION BY event_type ORDER BY ms) AS run FROM m),
+    x AS (SELECT a.event_type, a.run, a.ms, min(b.ms) AS nxt FROM r a JOIN r b ON a.event_type = b.event_type AND a.run = b.run AND b.ms >= a.ms + {4 * HOUR} AND b.ms < a.ms + {4 * HOUR + HOUR // 2} GROUP BY ALL),
+    c AS (SELECT event_type, run, run AS s FROM r WHERE new = 1 UNION ALL SELECT c.event_type, c.run, x.nxt FROM c JOIN x ON x.event_type = c.event_type AND x.run = c.run AND x.ms = c.s),
+    k AS (SELECT r.event_type, r.ms, r.n, c.s FROM r ASOF JOIN c ON r.event_type = c.event_type AND r.ms >= c.s) SELECT event_type, s AS first, max(ms) AS last, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY event_type, s""")
 def debounce_sessions(spark, d):
     return changes.sessions(events(spark, d, "event_type"), "event_type", "ms", HOUR // 2, 4 * HOUR)
 
@@ -407,35 +411,31 @@ def verdict_sweep(spark, d):
 # ---- subtitles and alignment --------------------------------------------------------------------------------------------------
 
 
-def rendered(spark, d, first: int | None = None) -> DataFrame:
-    """Conversations as SRT files (path, text): a turn every 4 s, every fifth starting with markup, the number left out of every seventh.
-
-    Whole texts, or their first characters.
-    """
-    said = F.left("text", F.lit(first)) if first else F.col("text")
-    c = read(spark, d, "conversations").withColumn("said", F.trim(F.regexp_replace(said, r"[^A-Za-z ]+", " ")))
+def rendered(spark, d, end: str = "\n") -> DataFrame:
+    """Conversations as SRT files (path, text): a turn every 4 s, every fifth starting with markup, the number left out of every seventh. Whole texts."""
+    c = read(spark, d, "conversations").withColumn("said", F.trim(F.regexp_replace("text", r"[^A-Za-z ]+", " ")))
     clock = lambda ms: timing.format_clock(ms)
     start = F.col("turn") * 4000
     line = F.concat(
-        F.when(F.col("turn") % 7 == 6, "").otherwise(F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"))), clock(start), F.lit(" --> "), clock(start + 3000), F.lit("\n"),
-        F.when(F.col("turn") % 5 == 0, "{\\an8}<i>").otherwise(""), F.lit("said "), F.col("said"), F.when(F.col("turn") % 5 == 0, "</i>").otherwise(""), F.lit("\n\n"),
+        F.when(F.col("turn") % 7 == 6, "").otherwise(F.concat((F.col("turn") + 1).cast("string"), F.lit(end))), clock(start), F.lit(" --> "), clock(start + 3000), F.lit(end),
+        F.when(F.col("turn") % 5 == 0, "{\\an8}<i>").otherwise(""), F.lit("said "), F.col("said"), F.when(F.col("turn") % 5 == 0, "</i>").otherwise(""), F.lit(end * 2),
     )
     return c.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "").alias("text"))
 
 
-TURNS = """c AS (SELECT conv_id, turn, trim(regexp_replace(left(text, 80), '[^A-Za-z ]+', ' ', 'g'), ' ') AS said FROM conversations)"""
+PARSED = """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' ') AS said FROM conversations)
+    SELECT CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms, CASE WHEN turn % 5 = 0 THEN 8 ELSE 0 END AS position, trim('said ' || said, ' ') AS text FROM c"""
 
 
-@query(f"""WITH {TURNS} SELECT CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms, CASE WHEN turn % 5 = 0 THEN 8 ELSE 0 END AS position, trim('said ' || said, ' ') AS text FROM c""")
+@query(PARSED)
 def srt_parse(spark, d):
-    """The first 80 characters of each text, as its SQL says; srt_parse_whole has the whole texts."""
-    return subtitles.parsed(rendered(spark, d, 80))[0].fillna(0, ["position"])
+    return subtitles.parsed(rendered(spark, d))[0].fillna(0, ["position"])
 
 
-@query("""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' ') AS said FROM conversations)
-    SELECT CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, turn * 4000 AS start_ms, turn * 4000 + 3000 AS end_ms, CASE WHEN turn % 5 = 0 THEN 8 ELSE 0 END AS position, trim('said ' || said, ' ') AS text FROM c""")
+@query(PARSED)
 def srt_parse_whole(spark, d):
-    return subtitles.parsed(rendered(spark, d))[0].fillna(0, ["position"])
+    """The same with the line ends of another system."""
+    return subtitles.parsed(rendered(spark, d, "\r\n"))[0].fillna(0, ["position"])
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS path, 'MissingIndex' AS kind, count(*) AS n FROM conversations WHERE turn % 7 = 6 GROUP BY ALL""")
@@ -453,10 +453,17 @@ def tag_strip(spark, d):
     return read(spark, d, "pages").select("page_id", text.cleaned(F.col("html")).alias("c")).select("page_id", "c.text", "c.position")
 
 
-@query("""SELECT conv_id, turn, regexp_matches(text, '[\\p{L}\\p{N}]') AS spoken FROM conversations WHERE NOT regexp_matches(text, '[\\[\\]()#:：♪♫♬♩［（］）]')""")
+@query("""WITH c AS (SELECT conv_id, turn, conv_id % 7 AS way, regexp_matches(text, '[A-Za-z0-9]') AS said FROM conversations)
+    SELECT conv_id, turn, CASE WHEN way IN (1, 2, 4) THEN FALSE WHEN way = 5 THEN TRUE ELSE said END AS spoken FROM c""")
 def spoken_lines(spark, d):
-    c = read(spark, d, "conversations").where(~F.col("text").rlike(r"[\[\]()#:\x{ff1a}\x{266a}\x{266b}\x{266c}\x{2669}\x{ff3b}\x{ff08}\x{ff3d}\x{ff09}]"))
-    return c.select("conv_id", "turn", text.spoken(F.col("text")).alias("spoken"))
+    """Every line, as it is, in brackets over two lines, sung, with a speaker's label, as a lyric, as an aside before a word, and as an aside inside one."""
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 ]+", " ")
+    ways = F.array(
+        plain, F.concat(F.lit("[ah\n"), plain, F.lit("]")), F.concat(F.lit("\u266a "), plain), F.concat(F.lit("MAN: "), plain), F.concat(F.lit(" # "), plain),
+        F.concat(F.lit("("), plain, F.lit(") Yes")), F.concat(F.lit("(so [to] say) "), plain),
+    )
+    c = read(spark, d, "conversations")
+    return c.select("conv_id", "turn", text.spoken(F.element_at(ways, (F.col("conv_id") % 7 + 1).cast("int"))).alias("spoken"))
 
 
 @query()

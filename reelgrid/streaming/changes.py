@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from reelgrid.sources.shared import written
+
 QUIET_MS, PATIENCE_MS = 300, 30_000
 
 
@@ -39,31 +41,46 @@ def settled(changes: DataFrame, quiet_ms: int = QUIET_MS, patience_ms: int = PAT
     return changes.groupBy("folder").applyInPandasWithState(step, "folder string, path string", "paths array<string>, first long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _latest(rows: DataFrame, by: str, at: str, mark: str, name: str) -> DataFrame:
+    """rows (by, at, b) with the last time up to theirs that is marked: windows over buckets, and what came before a bucket from one row for each."""
+    w = Window.partitionBy(by, "b").orderBy(at)
+    inner = rows.withColumn("_in", F.max(F.when(F.col(mark), F.col(at))).over(w))
+    last = rows.where(mark).groupBy(by, "b").agg(F.max(at).alias("_last"))
+    every = rows.select(by, "b").distinct().join(last, [by, "b"], "left")
+    before = every.withColumn("_before", F.max("_last").over(Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    return inner.join(before, [by, "b"]).withColumn(name, F.coalesce("_in", "_before")).drop("_in", "_before")
+
+
 def sessions(changes: DataFrame, by: str, at: str, quiet: int = QUIET_MS, patience: int = PATIENCE_MS) -> DataFrame:
     """The same over a table: (by, first, last, n) of runs broken by ``quiet`` without a change, long runs cut every ``patience`` from their first.
 
-    Windows find the runs; the cuts depend on the first change after each, so a run longer than patience is walked in its own group.
+    Equal times are summed first. Times are dealt to buckets as wide as patience with their neighbours' edges, so a long or dense
+    series is many tasks. Each time points at the first one patience later in its run; which times begin a session is found
+    from the runs' first ones by pointers that double their reach, in as many rounds as the logarithm of a run's sessions,
+    each written to the shared folder. quiet is no longer than patience.
     """
-    w = Window.partitionBy(by).orderBy(at)
-    marked = changes.select(by, at, F.when(F.col(at) - F.lag(at).over(w) < quiet, 0).otherwise(1).alias("new")).withColumn("run", F.sum("new").over(w))
-    spans = Window.partitionBy(by, "run")
-    marked = marked.withColumns({"long": F.max(at).over(spans) - F.min(at).over(spans) >= patience})
-    short = marked.where(~F.col("long")).withColumn("cut", F.lit(0).cast("long"))
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at)
-        first, k, out = None, 0, []
-        for t in rows[at]:
-            if first is not None and t - first >= patience:
-                k, first = k + 1, None
-            first = t if first is None else first
-            out.append(k)
-        return rows.assign(cut=out)[[by, at, "run", "cut"]]
-
-    kind = marked.schema
-    long_ = marked.where("long").groupBy(by, "run").applyInPandas(cut, f"{by} {kind[by].dataType.simpleString()}, {at} {kind[at].dataType.simpleString()}, run long, cut long")
-    both = short.select(by, at, "run", "cut").unionByName(long_)
-    return both.groupBy(by, "run", "cut").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("run", "cut")
+    from reelgrid.operators.intervals import nearest
+
+    if quiet > patience:
+        raise ValueError("quiet is longer than patience")
+    bucket = F.floor(F.col(at) / patience)
+    times = changes.where(F.col(at).isNotNull()).groupBy(by, at).agg(F.count("*").alias("n")).withColumn("b", bucket)
+    own = F.array(F.struct(F.lit(0).alias("step"), F.lit(True).alias("own")), F.struct(F.lit(1).alias("step"), F.lit(False).alias("own")))
+    dealt = times.select(by, at, "n", "b", F.inline(own)).withColumn("b", F.col("b") + F.col("step")).drop("step")
+    lag = F.lag(at).over(Window.partitionBy(by, "b").orderBy(at))
+    marked = dealt.withColumn("new", F.coalesce(F.col(at) - lag >= quiet, F.lit(True))).where("own").drop("own")
+    runs = written(_latest(marked, by, at, "new", "run"), "runs")
+    probes = runs.select(by, "run", F.col(at).alias("t"), (F.col(at) + patience).alias("target")).withColumn("b", F.floor(F.col("target") / patience))
+    near = runs.select(by, F.col(at).alias("next"), F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"))
+    found = nearest(probes, near, [by, "b"], "target", "next").select(by, "run", "t", F.col("following").alias("next")).where("next IS NOT NULL")
+    jump = written(found.join(runs.select(by, F.col("run").alias("_run"), F.col(at).alias("next")), [by, "next"]).where(F.col("run") == F.col("_run")).select(by, "t", "next"), "links")
+    starts = runs.where("new").select(by, F.col(at).alias("t"))
+    while not jump.isEmpty():
+        starts = written(starts.unionByName(starts.join(jump, [by, "t"]).select(by, F.col("next").alias("t"))).distinct(), "starts")
+        jump = written(jump.join(jump.select(by, F.col("t").alias("next"), F.col("next").alias("after")), [by, "next"]).select(by, "t", F.col("after").alias("next")), "links")
+    opened = starts.select(by, F.col("t").alias(at), F.lit(True).alias("start"))
+    cut = _latest(runs.drop("new").join(opened, [by, at], "left").withColumn("start", F.coalesce("start", F.lit(False))), by, at, "start", "first")
+    return cut.groupBy(by, "first").agg(F.max(at).alias("last"), F.sum("n").alias("n")).select(by, "first", "last", "n")
 
 
 def into(stream: DataFrame, write: Callable[[DataFrame, int], Any], checkpoint: str):

@@ -8,7 +8,7 @@ import numpy as np
 from reelgrid.operators import subtitles
 from reelgrid.sources import audio, folders, matroska
 
-TIMES = "1\n00:00:01,000 --> 00:00:04,000\nFirst.\n\n2\n00:00:05,000 --> 00:00:06,500\nSecond.\n"
+TIMES = "1\n00:00:01,000 --> 00:00:04,000\nAlpha here.\n\n2\n00:00:05,000 --> 00:00:06,500\nBeta here.\n"
 
 
 def cues(spark, **files):
@@ -24,7 +24,7 @@ def cues(spark, **files):
 
 
 def test_subtitles(spark):
-    both = [(1000, 4000, "First."), (5000, 6500, "Second.")]
+    both = [(1000, 4000, "Alpha here."), (5000, 6500, "Beta here.")]
     texts, kinds = cues(
         spark,
         plain=TIMES,
@@ -35,10 +35,10 @@ def test_subtitles(spark):
         empty="",
         blank="\n\n\n",
         prose="This is not\na subtitle file.\n",
-        back="1\n00:00:05,000 --> 00:00:06,500\nSecond.\n\n2\n00:00:01,000 --> 00:00:04,000\nFirst.\n",
+        back="1\n00:00:05,000 --> 00:00:06,500\nBeta here.\n\n2\n00:00:01,000 --> 00:00:04,000\nAlpha here.\n",
         cut=TIMES + "\n3\n",
-        negative="1\n00:00:05,000 --> 00:00:04,000\nNever.\n",
-        hollow="1\n00:00:01,000 --> 00:00:02,000\n\n2\n00:00:03,000 --> 00:00:04,000\nKept.\n",
+        negative="1\n00:00:05,000 --> 00:00:04,000\nBackwards.\n",
+        hollow="1\n00:00:01,000 --> 00:00:02,000\n\n2\n00:00:03,000 --> 00:00:04,000\nStays.\n",
     )
     for name in ("plain", "windows", "mac", "unnumbered", "named", "back", "cut"):
         assert texts[name] == both, name
@@ -49,8 +49,8 @@ def test_subtitles(spark):
     assert kinds["cut"] == [("TruncatedCue", 1)]
     assert texts["empty"] == texts["blank"] == texts["prose"] == [] and not kinds["empty"] and not kinds["blank"]
     assert kinds["prose"] == [("UnexpectedLine", 2)]
-    assert texts["negative"] == [(5000, 5000, "Never.")] and kinds["negative"] == [("NegativeDuration", 1)]
-    assert texts["hollow"] == [(3000, 4000, "Kept.")] and kinds["hollow"] == [("EmptyCue", 1)]
+    assert texts["negative"] == [(5000, 5000, "Backwards.")] and kinds["negative"] == [("NegativeDuration", 1)]
+    assert texts["hollow"] == [(3000, 4000, "Stays.")] and kinds["hollow"] == [("EmptyCue", 1)]
 
 
 def test_encodings():
