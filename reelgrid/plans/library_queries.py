@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.functions import labels, timing
+from reelgrid.functions import labels, names, text, timing
 from reelgrid.operators import alignment, catalogue, covers, evaluation, library, mutations, upserts
 from reelgrid.plans.queries import query, read
 
@@ -496,3 +496,28 @@ def scan_progress(spark, d):
     none = (k % 10 == 0) & (k % 4 == 0)
     wanted = F.when(none, 0).otherwise(k % 10 + 5), F.when(none, 0).otherwise(k % 4)
     return read(spark, d, "orders").select("o_orderkey", F.round(catalogue.fraction_read(k % 7, k % 3, *wanted), 9).alias("done"))
+
+
+# ---- names ---------------------------------------------------------------------------------------------------------------
+
+CAPITALS = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 6 AS way, p_name, {CAPITALS} AS c, 1950 + p_size AS y FROM part)
+    SELECT k, CASE way WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN 'Big ' || p_name || ' 1931' WHEN 3 THEN c WHEN 4 THEN 'Big-' || p_name ELSE c END AS title, CASE WHEN way IN (1, 2, 5) THEN y END AS year,
+    CASE WHEN way = 3 THEN 'fr' WHEN way = 5 THEN 'en' END AS language, way = 3 AS forced, way = 5 AS hearing_impaired, CASE WHEN way = 2 THEN 'big' || replace(p_name, ' ', '') || '1931' WHEN way = 4 THEN 'big' || replace(p_name, ' ', '') ELSE replace(p_name, ' ', '') END AS key FROM p""")
+def name_rules(spark, d):
+    """Names without capitals, with brackets, two years, a suffix of several words, a hyphen and weak words, and of a subtitle for the hard of hearing."""
+    y, dotted = (1950 + F.col("p_size")).cast("string"), F.replace("p_name", F.lit(" "), F.lit("."))
+    ways = F.array(
+        F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".mkv")), F.concat("p_name", F.lit(" ("), y, F.lit(") [1080p].avi")), F.concat(F.lit("Big "), "p_name", F.lit(" 1931 "), y, F.lit(" remux.mkv")),
+        F.concat(dotted, F.lit(".french.forced.srt")), F.concat(F.lit("Big-"), "p_name", F.lit(" uncut 720p web rip.mkv")), F.concat(dotted, F.lit("."), y, F.lit(".x264.en.sdh.srt")),
+    )
+    got = read(spark, d, "part").select(F.col("p_partkey").alias("k"), names.parsed_name(F.element_at(ways, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("n"))
+    return got.select("k", "n.title", "n.year", "n.language", "n.forced", "n.hearing_impaired", "n.key")
+
+
+@query("SELECT p_partkey, 'part ' || lpad(CAST(p_size AS VARCHAR), 12, '0') || ' of ' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') || ' e' AS key FROM part")
+def natural_keys(spark, d):
+    name = F.concat(F.lit("Part "), F.col("p_size"), F.lit(" OF "), F.col("p_partkey"), F.lit(" \u00e9"))
+    return read(spark, d, "part").select("p_partkey", text.natural_key(name).alias("key"))
