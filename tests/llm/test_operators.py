@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import html.parser
 import io
 import itertools
 import math
@@ -254,6 +255,50 @@ def test_warc_round_trip_and_links(spark, sf, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+class Shown(html.parser.HTMLParser):
+    """The text that a page shows, by a parser: a line for each block."""
+
+    BLOCKS = set("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav footer header title body head html blockquote pre".split())
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=False)
+        self.out, self.hidden = [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "template")
+        self.out.append("\n" if tag in self.BLOCKS and not self.hidden else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript", "template")
+        self.out.append("\n" if tag in self.BLOCKS and not self.hidden else "")
+
+    def handle_data(self, data):
+        self.out.append("" if self.hidden else data)
+
+    def handle_entityref(self, name):
+        self.handle_data(dict(warc.ENTITIES).get(f"&{name};", f"&{name};"))
+
+    def handle_charref(self, name):
+        self.handle_data(dict(warc.ENTITIES).get(f"&#{name};", f"&#{name};"))
+
+    def text(self) -> str:
+        lines = (re.sub(r"[\x20\x09\x0B-\x0D]+", " ", x).strip(" ") for x in "".join(self.out).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+
+def test_plain_text_is_what_a_parser_shows(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL").select("html", warc.plain_text(F.col("html")).alias("plain")).collect()
+    assert len(pages) > 10 and all(r.plain == Shown(r.html).text() for r in pages)
+
+
+def test_damaged_records_are_passed_over():
+    good = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    bad = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nxyz\r\n\r\n"
+    assert [(r["record_type"], r["block"]) for r in warc.parsed(good + bad + good + b"WARC/1.0\r\n")] == [("metadata", "abc"), ("response", ""), ("metadata", "abc")]
+
+
 # ---- 4 ----
 
 
