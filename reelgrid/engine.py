@@ -6,9 +6,12 @@ Times are epoch milliseconds given by the caller, so that everything can be repe
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgrid.functions import labels
 from reelgrid.functions.media import SUBTITLE_CODECS, VIDEO_CODECS, _cases, base_name, codec_name, container_name, file_kind
 from reelgrid.functions.names import parsed_name
 from reelgrid.functions.timing import frame_rate
@@ -23,7 +26,7 @@ class Library:
 
     def __init__(self, spark: SparkSession, root: str, now: int = 0):
         self.spark, self.store = spark, tables.Store(spark, root)
-        self.aligning = OneAtATime(spark, "alignment")
+        self.aligning, self.scanning = OneAtATime(spark, "alignment"), OneAtATime(spark, "scan")
         folders.register(spark)
         self.store.migrate(now)
 
@@ -68,7 +71,23 @@ class Library:
         for name, rows in held.items():
             self.store.write(name, rows)
 
+    def folders_for_paths(self, paths: list[str]) -> list[str]:
+        """The folders to watch for some dropped paths: folders themselves, those that files lie in, each once and none inside another."""
+        given = [(p.rstrip("/") if os.path.isdir(p) else os.path.dirname(p),) for p in paths]
+        return sorted(r.path for r in catalogue.outermost(self.spark.createDataFrame(given, "path string")).collect())
+
+    def rescan(self, now: int) -> list[int]:
+        """Scans all watched folders; their ids."""
+        ids = [r.id for r in self.folders().select("id").collect()]  # watched folders are few
+        for i in ids:
+            self.scan(i, now)
+        return ids
+
     def scan(self, folder_id: int, now: int) -> DataFrame:
+        """_scan(), one at a time; ``scanning.busy`` says whether one runs."""
+        return self.scanning.run(lambda: self._scan(folder_id, now))
+
+    def _scan(self, folder_id: int, now: int) -> DataFrame:
         """Brings the tables up to what a folder holds; counts of what was found and done, one row.
 
         Films are upserted and vanished ones marked; subtitle files are paired by name and read where their bytes or pairs
@@ -185,6 +204,18 @@ class Library:
         found = covers.from_folder(films, ranged.contents(files.select("path")).where("outcome = 'ok'").select("path", "content"))
         return self._changed("film", mutations.set_covers(self.table("film"), found.join(films.select("id", "film"), "film").select("id", "cover")))
 
+    def posters_wanted(self, directory: str) -> DataFrame:
+        """(id, path, cover) of films whose cached picture in a directory is stale or isn't there."""
+        cached = self.spark.read.format("folder").load(directory).where("readable").select("path")
+        return covers.posters_wanted(self.table("film"), cached, directory)
+
+    def save_poster(self, film_id: int, path: str, accent: str | None) -> bool:
+        """A film's cached picture and its two colours, which are Refused if they aren't two."""
+        row = self.spark.createDataFrame([(film_id, path, accent)], "id long, poster_path string, accent string")
+        if accent is not None and not row.where(labels.colour_pair(F.col("accent")).isNull()).isEmpty():
+            raise mutations.Refused("that is not a pair of colours")
+        return self._changed("film", mutations.set_columns(self.table("film"), "id", row, ["poster_path"], ["accent"]))
+
     def attach(self, film_id: int, path: str, now: int) -> None:
         """Gives a subtitle file to a film by hand."""
         text = written(subtitles.decoded(ranged.contents(self.spark.createDataFrame([(path,)], "path string")).where("outcome = 'ok'").drop("outcome")), "text")
@@ -196,6 +227,9 @@ class Library:
         new, said = mutations.attached(tracks, self.table("cue"), self.table("film"), film_id, row, cues.join(row.select("path", F.col("id").alias("track_id")), "path"))
         self._write({"subtitle_track": new, "cue": said})
 
+    def cancel_alignment(self) -> None:
+        self.aligning.cancel()
+
     def align(self, track_id: int) -> str:
         """Measures a track against its reference, or else the film's audio, and corrects it where that lands better; the outcome."""
         return self.aligning.run(lambda: self._align(track_id))

@@ -57,7 +57,7 @@ def sessions(changes: DataFrame, by: str, at: str, quiet: int = QUIET_MS, patien
     Equal times are summed first. Times are dealt to buckets as wide as patience with their neighbours' edges, so a long or dense
     series is many tasks. Each time points at the first one patience later in its run; which times begin a session is found
     from the runs' first ones by pointers that double their reach, in as many rounds as the logarithm of a run's sessions,
-    each written to the shared folder. quiet is no longer than patience.
+    each written to the shared folder. quiet is no longer than patience. Rows without a key or a time are left out.
     """
     from reelgrid.operators.intervals import nearest
 
@@ -134,5 +134,9 @@ class OneAtATime:
             self.context._jsc.clearJobGroup()
             self.lock.release()
 
+    @property
+    def busy(self) -> bool:
+        return self.lock.locked()
+
     def cancel(self) -> None:
         self.context.cancelJobGroup(self.group)

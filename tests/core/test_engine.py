@@ -52,7 +52,12 @@ def test_a_library_from_its_first_scan_on(spark, tmp_path):
     lib.set_preference("theme", "dark")
     lib.set_preference("theme", None)
     assert lib.table("preference").count() == 0
-    assert lib.align(beside.id) == "too-few-cues"
+    assert lib.align(beside.id) == "too-few-cues" and not lib.aligning.busy
+    assert lib.folders_for_paths([str(films), str(films / "other.mp4"), str(films / "Blue Moon (1999)")]) == [str(films)]
+    assert sorted(r.id for r in lib.posters_wanted(str(tmp_path / "cache")).collect()) == sorted(r.id for r in rows.values())
+    assert lib.save_poster(moon.id, "/cache/x.webp", "#112233 #aabbcc")
+    with pytest.raises(mutations.Refused):
+        lib.save_poster(moon.id, "/cache/x.webp", "red")
 
     (films / "Blue Moon (1999)" / "Blue.Moon.1999.en.srt").unlink()
     (films / "other.mp4").unlink()

@@ -1,3 +1,4 @@
+import random
 import time
 
 import numpy as np
@@ -70,6 +71,23 @@ def test_sessions_are_cut_by_patience(spark):
     assert sum(r[3] for r in got) == len(rows) and all(r[2] - r[1] < 30_000 for r in got) and len(got) == 4
 
 
+def test_sessions_equal_a_walk(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.randrange(60_000 if k == "dense" else 3_000_000)) for k in ("dense", "thin", None) for _ in range(700)] + [("dense", None)]
+    want = []
+    for k in ("dense", "thin", None):
+        first = last = None
+        for t in sorted(t for j, t in rows if j == k and t is not None):
+            if first is None or t - last >= 900 or t - first >= 5000:
+                first = t
+                want.append([k, t, t, 0])
+            last = want[-1][2] = t
+            want[-1][3] += 1
+    got = changes.sessions(spark.createDataFrame(rows, "k string, t long"), "k", "t", 900, 5000).where("k IS NOT NULL").collect()
+    assert sorted(map(list, got)) == sorted(w for w in want if w[0])
+    assert changes.sessions(spark.createDataFrame([], "k string, t long"), "k", "t", 900, 5000).count() == 0
+
+
 def test_stream_of_counts_and_batches(spark, tmp_path):
     source, seen = tmp_path / "in", []
     rows = spark.range(60).select(F.timestamp_millis(F.col("id") * 30_000).alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("kind"))
