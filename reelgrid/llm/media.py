@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import mapped
+from reelgrid.llm.common import ROWS
 
 BLOCK, PAD = 192, b" "
 RATE, FRAME, PEAKS, FAN = 8000, 128, 2, 3
@@ -120,8 +120,10 @@ def with_clips(docs: DataFrame, text: str = "text") -> DataFrame:
             wav = to_wav(padded(t or b""))
             return {"media": wav, "landmarks": fingerprint(np.frombuffer(from_wav(wav), np.uint8))}
 
+        kind = pa.struct([("media", pa.binary()), ("landmarks", pa.list_(pa.int64()))])
         for texts in batches:
-            yield mapped(texts.cast(pa.binary()), clip, pa.struct([("media", pa.binary()), ("landmarks", pa.list_(pa.int64()))]))
+            for i in range(0, len(texts), ROWS):  # given out slice by slice, so that a worker holds one
+                yield pa.array([clip(t.as_py()) for t in texts[i : i + ROWS].cast(pa.binary())], kind)
 
     return docs.withColumn("_made", made(F.col(text))).withColumns({"media": F.col("_made.media"), "landmarks": F.col("_made.landmarks")}).drop("_made")
 
