@@ -96,10 +96,10 @@ def cover_projection(spark, d):
     return catalogue.covers(films(spark, d)).select("id", "cover.path", "cover.source")
 
 
-@query(f"""SELECT id, video_codec AS codec, CASE WHEN video_codec IS NOT NULL AND video_width > 0 THEN CAST(video_width AS BIGINT) END AS width, CASE WHEN video_codec IS NOT NULL AND bit_depth <= 255 THEN bit_depth END AS bit_depth,
+@query(f"""SELECT id, video_codec AS codec, CASE WHEN video_codec IS NOT NULL AND video_width > 0 THEN CAST(video_width AS BIGINT) ELSE -1 END AS width, CASE WHEN video_codec IS NOT NULL AND bit_depth <= 255 THEN bit_depth ELSE -1 END AS bit_depth,
     CASE WHEN video_codec IS NOT NULL THEN frame_rate END AS frame_rate FROM {F_}""")
 def video_projection(spark, d):
-    return catalogue.video(films(spark, d)).select("id", "video.codec", "video.width", "video.bit_depth", "video.frame_rate")
+    return catalogue.video(films(spark, d)).select("id", "video.codec", "video.width", "video.bit_depth", "video.frame_rate").fillna(-1, ["width", "bit_depth"])
 
 
 @query(f"""SELECT c.track_id, row_number() OVER (PARTITION BY c.track_id ORDER BY c.start_ms, c.ordinal) AS place, x.start_ms, x.end_ms, CASE WHEN position BETWEEN 1 AND 9 THEN position ELSE -1 END AS position FROM {CUES} c JOIN {T_} t ON t.id = c.track_id,
@@ -120,9 +120,9 @@ def folder_list(spark, d):
     return library.numbered_by(listed.withColumn("_all", F.lit(1)), ["_all"], F.col("added_at"), False, ["id"]).select("id", "place")
 
 
-@query(f"SELECT film_id, position_ms, duration_ms FROM {P_} WHERE film_id = 4")
+@query(f"SELECT film_id, position_ms, coalesce(duration_ms, -1) AS duration_ms FROM {P_} WHERE film_id = 4")
 def position_lookup(spark, d):
-    return catalogue.matching(positions(spark, d), film_id=4).select("film_id", "position_ms", "duration_ms")
+    return catalogue.matching(positions(spark, d), film_id=4).select("film_id", "position_ms", "duration_ms").fillna(-1, ["duration_ms"])
 
 
 @query(f"SELECT id FROM {F_} WHERE folder_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND missing_since IS NULL")
@@ -214,9 +214,9 @@ def scan_counters(spark, d):
 
 
 @query(f"""WITH t AS {T_}, u AS (SELECT * FROM t WHERE codec IN ('subrip', 'ass', 'webvtt') AND cue_count >= 100),
-    r AS (SELECT t.id AS track_id, u.id AS reference_id, row_number() OVER (PARTITION BY t.id ORDER BY CASE WHEN u.origin = 'stream' THEN 0 ELSE 1 END, u.cue_count DESC, u.id) AS k FROM t LEFT JOIN u ON u.film_id = t.film_id AND u.id <> t.id) SELECT track_id, reference_id FROM r WHERE k = 1""")
+    r AS (SELECT t.id AS track_id, u.id AS reference_id, row_number() OVER (PARTITION BY t.id ORDER BY CASE WHEN u.origin = 'stream' THEN 0 ELSE 1 END, u.cue_count DESC, u.id) AS k FROM t LEFT JOIN u ON u.film_id = t.film_id AND u.id <> t.id) SELECT track_id, coalesce(reference_id, -1) AS reference_id FROM r WHERE k = 1""")
 def best_reference(spark, d):
-    return catalogue.best_reference(tracks(spark, d))
+    return catalogue.best_reference(tracks(spark, d)).fillna(-1, ["reference_id"])
 
 
 @query(f"""WITH a AS (SELECT film_id, 0 AS k, stream_number AS n, 'sound-' || CAST(row_number() OVER (PARTITION BY film_id ORDER BY stream_number) AS VARCHAR) AS key, CASE WHEN language = 'de' THEN 'German' END AS language, CASE channels WHEN 2 THEN 'Stereo' WHEN 6 THEN '5.1' WHEN 3 THEN '3 channels' END AS what, CASE WHEN is_default THEN 'Default' END AS state FROM {A_}),
@@ -346,11 +346,11 @@ def correction_updates(spark, d):
 
 
 @query(f"""WITH f AS {F_}, t AS {T_}, c AS (SELECT f.id, t.id AS track_id, t.film_id <> f.id AS refused FROM f JOIN t ON t.id = f.id * 3)
-    SELECT f.id, CASE WHEN c.refused = FALSE THEN c.track_id ELSE f.chosen_track_id END AS chosen_track_id, CASE WHEN c.refused = FALSE THEN FALSE ELSE f.subtitles_off END AS subtitles_off, coalesce(c.refused, FALSE) AS refused FROM f LEFT JOIN c USING (id)""")
+    SELECT f.id, coalesce(CASE WHEN c.refused = FALSE THEN c.track_id ELSE f.chosen_track_id END, -1) AS chosen_track_id, CASE WHEN c.refused = FALSE THEN FALSE ELSE f.subtitles_off END AS subtitles_off, coalesce(c.refused, FALSE) AS refused FROM f LEFT JOIN c USING (id)""")
 def track_choices(spark, d):
     f, t = films(spark, d), tracks(spark, d)
     asked = f.select("id", (F.col("id") * 3).alias("track_id"), F.lit(False).alias("off")).join(t.select(F.col("id").alias("track_id")), "track_id", "left_semi")
-    return mutations.chosen_tracks(f, t, asked).select("id", "chosen_track_id", "subtitles_off", "refused")
+    return mutations.chosen_tracks(f, t, asked).select("id", "chosen_track_id", "subtitles_off", "refused").fillna(-1, ["chosen_track_id"])
 
 
 @query("SELECT min(s_suppkey) AS id, '/f/' || s_nationkey AS path FROM supplier GROUP BY s_nationkey")
@@ -359,12 +359,12 @@ def insert_or_ignore(spark, d):
     return mutations.added(s.where("id < 10").groupBy("path").agg(F.min("id").alias("id")).select("id", "path"), s.where("id >= 10"), "path")
 
 
-@query(f"""WITH f AS {F_} SELECT id, CASE WHEN id % 2 = 0 THEN 'WebM' ELSE container END AS container, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN 1000 + id ELSE duration_ms END AS duration_ms, id % 2 = 0 AS opened FROM f""")
+@query(f"""WITH f AS {F_} SELECT id, CASE WHEN id % 2 = 0 THEN 'WebM' ELSE container END AS container, coalesce(CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN 1000 + id ELSE duration_ms END, -1) AS duration_ms, id % 2 = 0 AS opened FROM f""")
 def media_facts(spark, d):
     f = films(spark, d)
     facts = f.where("id % 2 = 0").select("id", F.lit("WebM").alias("container"), F.when(F.col("id") % 4 != 0, 1000 + F.col("id")).alias("duration_ms"))
     new, _ = mutations.described(f, audio(spark, d), facts, audio(spark, d))
-    return new.select("id", "container", "duration_ms", (F.col("id") % 2 == 0).alias("opened"))
+    return new.select("id", "container", "duration_ms", (F.col("id") % 2 == 0).alias("opened")).fillna(-1, ["duration_ms"])
 
 
 @query(f"""WITH f AS {F_}, a AS {A_} SELECT film_id, stream_number, codec FROM a WHERE film_id NOT IN (SELECT id FROM f WHERE id % 2 = 0) UNION ALL SELECT id, CAST(9 AS BIGINT), 'Opus' FROM f WHERE id % 4 = 0""")
@@ -385,10 +385,10 @@ def stream_sink(spark, d):
 
 
 @query(f"""WITH p AS {P_}, n AS (SELECT * FROM (SELECT o_custkey AS film_id, CAST(floor(o_totalprice / 50) AS BIGINT) AS position_ms, o_orderkey AS updated_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders WHERE floor(o_totalprice / 50) >= 1000) WHERE k = 1)
-    SELECT coalesce(p.film_id, n.film_id) AS film_id, coalesce(n.position_ms, p.position_ms) AS position_ms, p.duration_ms, coalesce(n.updated_at, p.updated_at) AS updated_at FROM p FULL JOIN n ON p.film_id = n.film_id""")
+    SELECT coalesce(p.film_id, n.film_id) AS film_id, coalesce(n.position_ms, p.position_ms) AS position_ms, coalesce(p.duration_ms, -1) AS duration_ms, coalesce(n.updated_at, p.updated_at) AS updated_at FROM p FULL JOIN n ON p.film_id = n.film_id""")
 def saved_positions(spark, d):
     fresh = read(spark, d, "orders").select(F.col("o_custkey").alias("film_id"), F.floor(F.col("o_totalprice") / 50).alias("position_ms"), F.lit(None).cast("long").alias("duration_ms"), F.lit(False).alias("finished"), F.col("o_orderkey").alias("updated_at"))
-    return mutations.saved_positions(positions(spark, d), fresh).select("film_id", "position_ms", "duration_ms", "updated_at")
+    return mutations.saved_positions(positions(spark, d), fresh).select("film_id", "position_ms", "duration_ms", "updated_at").fillna(-1, ["duration_ms"])
 
 
 @query("""WITH s AS (SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_custkey < 800), n AS (SELECT c_name AS key, CASE WHEN c_custkey % 3 <> 0 THEN 'new' END AS value FROM customer WHERE c_custkey >= 600)
@@ -504,7 +504,7 @@ CAPITALS = "array_to_string(list_transform(string_split(p_name, ' '), lambda w:
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 6 AS way, p_name, {CAPITALS} AS c, 1950 + p_size AS y FROM part)
-    SELECT k, CASE way WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN 'Big ' || p_name || ' 1931' WHEN 3 THEN c WHEN 4 THEN 'Big-' || p_name ELSE c END AS title, CASE WHEN way IN (1, 2, 5) THEN y END AS year,
+    SELECT k, CASE way WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN 'Big ' || p_name || ' 1931' WHEN 3 THEN c WHEN 4 THEN 'Big-' || p_name ELSE c END AS title, CASE WHEN way IN (1, 2, 5) THEN y ELSE -1 END AS year,
     CASE WHEN way = 3 THEN 'fr' WHEN way = 5 THEN 'en' END AS language, way = 3 AS forced, way = 5 AS hearing_impaired, CASE WHEN way = 2 THEN 'big' || replace(p_name, ' ', '') || '1931' WHEN way = 4 THEN 'big' || replace(p_name, ' ', '') ELSE replace(p_name, ' ', '') END AS key FROM p""")
 def name_rules(spark, d):
     """Names without capitals, with brackets, two years, a suffix of several words, a hyphen and weak words, and of a subtitle for the hard of hearing."""
@@ -514,7 +514,7 @@ def name_rules(spark, d):
         F.concat(dotted, F.lit(".french.forced.srt")), F.concat(F.lit("Big-"), "p_name", F.lit(" uncut 720p web rip.mkv")), F.concat(dotted, F.lit("."), y, F.lit(".x264.en.sdh.srt")),
     )
     got = read(spark, d, "part").select(F.col("p_partkey").alias("k"), names.parsed_name(F.element_at(ways, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("n"))
-    return got.select("k", "n.title", "n.year", "n.language", "n.forced", "n.hearing_impaired", "n.key")
+    return got.select("k", "n.title", "n.year", "n.language", "n.forced", "n.hearing_impaired", "n.key").fillna(-1, ["year"])
 
 
 @query("SELECT p_partkey, 'part ' || lpad(CAST(p_size AS VARCHAR), 12, '0') || ' of ' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') || ' e' AS key FROM part")
