@@ -299,10 +299,10 @@ def picture_rectangles(spark, d):
     return p.select("k", crop.alias("c"), fit.alias("f")).select("k", "c.x", "c.width", F.col("f.width").alias("fit_width"), F.col("f.height").alias("fit_height"))
 
 
-@query("""SELECT event_id, round(greatest(0, least(4294967295, (epoch_us(ts) // 1000) % 5000000000 - 3000000000))) AS held, CASE WHEN event_id % 4 = 0 THEN 90.0::DOUBLE ELSE round((event_id % 4) * 1000 * 0.2::DOUBLE, 6) END AS moment FROM events""")
+@query("""SELECT event_id, CAST(greatest(0, least(4294967295, (epoch_us(ts) // 1000) % 5000000000 - 3000000000)) AS BIGINT) AS held, CASE WHEN event_id % 4 = 0 THEN 90.0::DOUBLE ELSE round((event_id % 4) * 1000 * 0.2::DOUBLE, 6) END AS moment FROM events""")
 def saturated_times(spark, d):
     e = read(spark, d, "events").select("event_id", (F.unix_millis(F.col("ts").cast("timestamp")) % 5_000_000_000 - 3_000_000_000).alias("t"))
-    return e.select("event_id", catalogue.saturating(F.col("t")).cast("double").alias("held"), F.round(labels.frame_moment(((F.col("event_id") % 4) * 1000).cast("double")), 6).alias("moment"))
+    return e.select("event_id", catalogue.saturating(F.col("t")).alias("held"), F.round(labels.frame_moment(((F.col("event_id") % 4) * 1000).cast("double")), 6).alias("moment"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '#00ff' || lpad(CAST(p_size AS VARCHAR), 2, '0') END AS "primary", CASE WHEN p_partkey % 3 = 0 THEN '#ABCDEF' END AS pair FROM part""")
