@@ -87,3 +87,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of an expression of ASCII text for DuckDB, which has no such function: a step for each byte, eight within it."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _ : xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s : CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b : {step}), 4294967295)"

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import bpe, language, media, rollup, simhash, suffix_arrays, suffix_tree, token_blocks, url_filter, warc
+from reelgrid.llm import bpe, language, main_text, media, periodic_runs, rollup, simhash, suffix_arrays, suffix_tree, token_blocks, turn_repair, url_filter, warc
 from reelgrid.llm.common import shared_path, staged, table
 
 
@@ -92,13 +92,25 @@ def _four_commits(spark: SparkSession, sf_dir: str, counts: dict[str, Column]) -
     return sums.totals()
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_simhash_near_dedup, op2_benchmark_decontamination, op3_warc_derivatives, op4_token_blocks, op5_language_id, page_languages,
             op6_url_vocabulary, op7_byte_bpe, op8_suffix_tree_scores, op9_audio_fingerprints, op10_token_rollups,
-            token_rollups_by_pattern,
+            token_rollups_by_pattern, op11_turn_repair, op12_periodic_runs, op13_main_text,
         )
     }
 
@@ -116,4 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc_derivatives": warc.oracle_sql(),
         "op6_url_vocabulary": url_filter.oracle_sql(),
         "token_rollups_by_pattern": ROLLUP_SQL,
+        "op11_turn_repair": turn_repair.oracle_sql(),
+        "op12_periodic_runs": periodic_runs.oracle_sql(),
+        "op13_main_text": main_text.oracle_sql(),
     }
