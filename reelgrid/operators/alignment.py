@@ -1,7 +1,7 @@
 """Where dialogue lies against speech: levels to speech, correlation, a robust line through chunks, landing, misfit, and the decision.
 
 Levels, speech, landing and decisions are relational, over (film, bin) or (track, line) rows. Only the search for a
-correction needs a film's whole signal at once: a grouped map by track, each group no longer than a film (MAX_BINS).
+correction needs a film's whole signal at once, as runs: a grouped map by film and track, each group a film's runs and a track's lines.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions.text import spoken
 from reelgrid.functions.timing import FURTHEST_MS, RATE_TOLERANCE, RATES, DRIFT_MS, corrected
-from reelgrid.operators import intervals
+from reelgrid.operators import intervals, series
+from reelgrid.operators.correlation import Signal, clipped, part_correlations, peaks, tiled, united
 
 # Fixed values.
 BIN_MS, MAX_BINS = 10, 4_320_000
@@ -42,10 +43,14 @@ def moving_mean(column: Column | str, width: int, by: list[str], order: str) ->
     return F.avg(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-(width // 2), width // 2))
 
 
-def swing(rows: DataFrame, by: list[str], order: str, level: str, slow: int = SLOW_BINS, fast: int = FAST_BINS, depth: int = DEPTH_BINS) -> DataFrame:
-    """rows with swing: how far the level moves about its slow mean."""
-    out = rows.withColumn("_d", F.col(level) - moving_mean(level, slow, by, order)).withColumn("_f", F.abs(moving_mean("_d", fast, by, order)))
-    return out.withColumn("swing", moving_mean("_f", depth, by, order)).drop("_d", "_f")
+def swing(rows: DataFrame, by: list[str], place: str, level: str, slow: int = SLOW_BINS, fast: int = FAST_BINS, depth: int = DEPTH_BINS) -> DataFrame:
+    """rows with swing: how far the level moves about its slow mean. place: 0, 1, 2 and so on in each series (``series.placed``).
+
+    A series is dealt to chunks of places with a halo as wide as the three windows reach: any length of series is many tasks.
+    """
+    dealt, keys = series.with_halo(rows, place, slow // 2 + fast // 2 + depth // 2), [*by, "chunk"]
+    out = dealt.withColumn("_d", F.col(level) - moving_mean(level, slow, keys, place)).withColumn("_f", F.abs(moving_mean("_d", fast, keys, place)))
+    return out.withColumn("swing", moving_mean("_f", depth, keys, place)).where("own").drop("_d", "_f", "chunk", "own")
 
 
 def rolling_floor(rows: DataFrame, by: list[str], order: str, level: str, tile: int = TILE_BINS, share: float = FLOOR_SHARE) -> DataFrame:
@@ -80,18 +85,23 @@ def cue_runs(cues: DataFrame, by: list[str], rate: Column | float = 1.0) -> Data
 # ---- landing ---------------------------------------------------------------------------------------------------------
 
 
-def landing(lines: DataFrame, starts: DataFrame, by: list[str], at: str, start: str, lead: int = LEAD_MS, late: int = LATE_MS, reach: int = REACH_MS) -> DataFrame:
-    """(by, examined, landed, fraction, median_ms): how many lines begin near an utterance's start.
+def landing(lines: DataFrame, starts: DataFrame, by: list[str], at: str, start: str, lead: int = LEAD_MS, late: int = LATE_MS, reach: int = REACH_MS, groups: list[str] | None = None) -> DataFrame:
+    """(groups, examined, landed, fraction, median_ms): how many lines begin near an utterance's start; groups: columns of lines, ``by`` if none are given.
 
-    A line is examined if a start is within reach; it lands if a start follows within lead or came within late. The median
-    is the upper one, of distances capped at reach. One window shuffle by series.
+    A line is examined if a start is within reach; it lands if a start follows within lead or came within late. The median is
+    the upper one, of distances within reach: lines are counted by distance before they are shuffled, so a series has a row for
+    each whole distance at most, and the median is read off the running count.
     """
+    groups = groups or by
     near = intervals.nearest(lines, starts, by, at, start)
     before, after = F.col(at) - F.col("previous"), F.col("following") - F.col(at)
     away = F.least(before, after)
-    seen = near.withColumns({"_away": F.least(away, F.lit(reach)), "_hit": F.coalesce(after <= lead, F.lit(False)) | F.coalesce(before <= late, F.lit(False))}).where(away <= reach)
-    ranked = F.array_sort(F.collect_list("_away"))
-    out = seen.groupBy(*by).agg(F.count("*").alias("examined"), F.count_if("_hit").alias("landed"), F.element_at(ranked, (F.floor(F.size(ranked) / 2) + 1).cast("int")).alias("median_ms"))
+    seen = near.select(*groups, away.alias("_away"), (F.coalesce(after <= lead, F.lit(False)) | F.coalesce(before <= late, F.lit(False))).alias("_hit")).where(F.col("_away") <= reach)
+    slots = seen.groupBy(*groups, "_away").agg(F.count("*").alias("_n"), F.count_if("_hit").alias("_landed"))
+    w = Window.partitionBy(*groups)
+    ranked = slots.withColumns({"_upto": F.sum("_n").over(w.orderBy("_away")), "_all": F.sum("_n").over(w)})
+    middle = F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("_away")))
+    out = ranked.groupBy(*groups).agg(F.sum("_n").alias("examined"), F.sum("_landed").alias("landed"), middle.alias("median_ms"))
     return out.withColumn("fraction", F.col("landed") / F.col("examined"))
 
 
@@ -119,44 +129,10 @@ def theil_sen(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 # ---- the search for a correction, a track at a time ----------------------------------------------------------------------
 
 
-def _fast(n: int) -> int:
-    """The next even number of no other factors than 2, 3 and 5."""
-    n += n % 2
-    while True:
-        m = n
-        for p in (2, 3, 5):
-            while m % p == 0:
-                m //= p
-        if m == 1:
-            return n
-        n += 2
-
-
-def correlated(film: np.ndarray, cues: np.ndarray, window: int) -> list[tuple[int, float]]:
-    """The best lag of cues against film and its height, and the best positive one a shoulder away; nothing for flat signals."""
-    if not len(film) or not len(cues) or film.all() or not film.any() or cues.all() or not cues.any():
-        return []
-    a, b = film - film.mean(), cues - cues.mean()
-    size = _fast(max(len(a), len(b)) + window + 1)
-    c = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size) / math.sqrt((a @ a) * (b @ b))
-    c = np.concatenate((c[-window:], c[: window + 1]))
-    best = int(c.argmax())
-    far = np.where(np.abs(np.arange(len(c)) - best) > SHOULDER_BINS, c, -1.0)
-    rival = int(far.argmax())
-    return [(best - window, float(c[best]))] + ([(rival - window, float(far[rival]))] if far[rival] > 0 else [])
-
-
 def _lower_median(x: np.ndarray) -> float:
     return float(np.sort(x)[(len(x) - 1) // 2])
 
 
-def _chunk(cues: np.ndarray, at: int, size: int) -> np.ndarray:
-    out = np.zeros(size, bool)
-    part = cues[max(0, at) : max(0, at + size)]
-    out[max(0, -at) : max(0, -at) + len(part)] = part
-    return out
-
-
 def _line(at: np.ndarray, left: np.ndarray) -> tuple[float, float]:
     if len(at) == 1:
         return 0.0, float(left[0])
@@ -208,38 +184,42 @@ def _misfit(said: list[float | None], at: np.ndarray) -> tuple[str, int] | None:
     return None
 
 
-def found_correction(starts: np.ndarray, ends: np.ndarray, film: np.ndarray) -> dict:
-    """The correction of a track of spoken lines (ms) against a film's speech bins, with its score and misfit."""
+def found_correction(starts: np.ndarray, ends: np.ndarray, film: Signal) -> dict:
+    """The correction of a track of spoken lines (ms) against a film's speech, with its score and misfit."""
     none = {"offset_ms": 0, "rate": 1.0, "score": 0.0, "misfit": None, "misfit_at_ms": None}
-    n = len(film)
+    n = film.length
     if not n or not len(starts):
         return none
 
-    def bins(rate: float) -> np.ndarray:
+    def signal(rate: float) -> Signal:
         a, b = np.floor(starts * rate / BIN_MS).astype(np.int64), np.floor(ends * rate / BIN_MS).astype(np.int64)
-        edge = np.zeros(min(MAX_BINS, int(b.max(initial=0))) + 1, np.int64)
-        np.add.at(edge, np.minimum(a, len(edge) - 1), 1)
-        np.add.at(edge, np.minimum(np.maximum(a, b), len(edge) - 1), -1)
-        return np.cumsum(edge)[:-1] > 0
+        return united(a, b, min(MAX_BINS, int(b.max(initial=0))))
 
-    distinct = [r for i, r in enumerate(RATES) if all(abs(r - q) > 1e-6 for q in RATES[:i])]
-    tried = sorted(((h, r, lag) for r in distinct for lag, h in correlated(film, bins(r), COARSE_BINS)), key=lambda x: -x[0])
+    lines = {r: signal(r) for i, r in enumerate(RATES) if all(abs(r - q) > 1e-6 for q in RATES[:i])}
+    tried = sorted(((h, r, lag) for r, own in lines.items() for lag, h in peaks(film, own, COARSE_BINS, SHOULDER_BINS)), key=lambda x: -x[0])
     own = next((i for i, x in enumerate(tried) if x[1] == 1.0), None)
     if own is not None and own >= CARRIED:
         tried[CARRIED - 1], tried[own] = tried[own], tried[CARRIED - 1]
     size = min(n, max(SHORTEST_BINS, min(LONGEST_BINS, n // CHUNKS)))
     count, film_ms = max(1, n // size), float(n * BIN_MS)
     middles = np.array([(k * size + size // 2) * BIN_MS for k in range(count)], float)
+    parts = tiled(film, 0, size, count)  # once for all rates and lags
+
+    def local(track: Signal, lag: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each chunk's best lag and its height; a lag of the window's edge is none."""
+        own = tiled(track, -lag, size, count)
+        c = part_correlations(parts, own, LOCAL_BINS)
+        best = c.argmax(1)
+        found = np.where(parts.flat | own.flat, LOCAL_BINS, best - LOCAL_BINS)
+        return found, c[np.arange(count), best]
+
     measured = []
     for _, rate, lag in tried[:CARRIED]:
-        track, seen = bins(rate), []
-        for k in range(count):
-            peak = correlated(film[k * size : (k + 1) * size], _chunk(track, k * size - lag, size), LOCAL_BINS)
-            if peak and abs(peak[0][0]) < LOCAL_BINS:
-                seen.append((middles[k], peak[0][0] * BIN_MS))
-        if not seen:
+        found, height = local(lines[rate], lag)
+        ok = np.abs(found) < LOCAL_BINS
+        if not ok.any():
             continue
-        x, y = np.array(seen, float).T
+        x, y = middles[ok], found[ok] * float(BIN_MS)
         slope, intercept = _line(x, y)
         away = np.abs(y - intercept - slope * x)
         score = float((away <= AGREE_MS).sum() / count * min(1.0, max(0.0, 1 - _lower_median(away) / AGREE_MS)))
@@ -248,25 +228,23 @@ def found_correction(starts: np.ndarray, ends: np.ndarray, film: np.ndarray) ->
         if abs(near - stretched) > RATE_TOLERANCE or abs(near - stretched) * film_ms > DRIFT_MS:
             continue
         settled = int((stretched - near) * ((film_ms / 2 - moved) / stretched) + moved)
-        measured.append((score, max(-FURTHEST_MS, min(FURTHEST_MS, settled)), near, lag, track, slope, intercept))
+        measured.append((score, max(-FURTHEST_MS, min(FURTHEST_MS, settled)), near, lag, lines[rate], slope, intercept, found, height))
     measured.sort(key=lambda m: -m[0])
     if not measured or measured[0][0] <= 0:
         return none
-    score, offset, rate, lag, track, slope, intercept = measured[0]
+    score, offset, rate, lag, track, slope, intercept, found, height = measured[0]
     other = next((m for m in measured[1:] if any(abs(_apply(t, offset, rate) - _apply(t, m[1], m[2])) > APART_MS for t in (0, film_ms))), None)
     separation = 1.0 if other is None else min(1.0, max(0.0, (score - other[0]) / score))
 
-    def reading(k: int, window: int) -> float | None:
-        part = film[k * size : (k + 1) * size]
-        if part.all() or not part.any():
-            return None
-        peak = correlated(part, _chunk(track, k * size - lag, size), window)
+    def wider(k: int) -> float:
+        window = min(COARSE_BINS, size // 2)
+        peak = peaks(clipped(film, k * size, size), clipped(track, k * size - lag, size), window, SHOULDER_BINS)
         return peak[0][0] * BIN_MS - (slope * middles[k] + intercept) if peak and abs(peak[0][0]) < window and peak[0][1] > 0 else math.nan
 
-    said = [reading(k, LOCAL_BINS) for k in range(count)]
+    away = np.where((np.abs(found) < LOCAL_BINS) & (height > 0), found * float(BIN_MS) - (slope * middles + intercept), math.nan)
+    said = [None if quiet else float(d) for d, quiet in zip(away, parts.flat, strict=True)]
     for k in [k for k, s in enumerate(said) if s is not None and (math.isnan(s) or abs(s) > FAR_MS)]:
-        wide = reading(k, min(COARSE_BINS, size // 2))
-        said[k] = said[k] if wide is None or math.isnan(wide) else wide
+        said[k] = said[k] if math.isnan(wide := wider(k)) else wide
     kind, where = _misfit(said, middles) or (None, None)
     return {"offset_ms": offset, "rate": rate, "score": score * separation, "misfit": kind, "misfit_at_ms": where}
 
@@ -277,20 +255,23 @@ ALIGNED = "track_id long, offset_ms int, rate double, score double, misfit strin
 def aligned(cues: DataFrame, speech_runs: DataFrame) -> DataFrame:
     """ALIGNED for each track of cues (track_id, film, start_ms, end_ms, text) against speech_runs (film, from_bin, to_bin, film_bins).
 
-    A cogrouped map by film: signals travel as runs, and are bins only inside a task.
+    A cogrouped map by film and track: a film's runs go to each of its tracks, so one film with many tracks is many tasks. Signals stay runs.
     """
 
-    def per_film(lines: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        n = int(runs["film_bins"].max()) if len(runs) else 0
-        film = np.zeros(min(n, MAX_BINS), bool)
-        for a, b in zip(runs["from_bin"], runs["to_bin"], strict=True):
-            film[a:b] = True
-        rows = [{"track_id": t, **found_correction(g["start_ms"].to_numpy(float), g["end_ms"].to_numpy(float), film)} for t, g in lines.groupby("track_id")]
-        out = pd.DataFrame(rows, columns=["track_id", "offset_ms", "rate", "score", "misfit", "misfit_at_ms"])
+    def per_track(lines: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        columns = ["track_id", "offset_ms", "rate", "score", "misfit", "misfit_at_ms"]
+        n = min(int(runs["film_bins"].max()), MAX_BINS) if len(runs) else 0
+        film = united(runs["from_bin"].to_numpy(np.int64), runs["to_bin"].to_numpy(np.int64), n)
+        rows = [{"track_id": lines["track_id"].iloc[0], **found_correction(lines["start_ms"].to_numpy(float), lines["end_ms"].to_numpy(float), film)}] if len(lines) else []
+        out = pd.DataFrame(rows, columns=columns)
         return out.astype({"track_id": "int64", "offset_ms": "int32", "rate": "float64", "score": "float64", "misfit": object, "misfit_at_ms": "Int64"})
 
     lines = cues.where(spoken(F.col("text"))).select("track_id", "film", "start_ms", "end_ms")
-    return lines.groupBy("film").cogroup(speech_runs.groupBy("film")).applyInPandas(per_film, ALIGNED)
+    pairs = lines.select(F.col("film").alias("of_film"), F.col("track_id").alias("of_track")).distinct()
+    runs = speech_runs.select(F.col("film").alias("run_film"), "from_bin", "to_bin", "film_bins").join(pairs, F.col("run_film") == F.col("of_film"))
+    n = max(4 * lines.sparkSession.sparkContext.defaultParallelism, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lines.repartition(n, "film", "track_id")  # the rows are few and each group is work: their number isn't to be made less by their size
+    return dealt.groupBy("film", "track_id").cogroup(runs.repartition(n, "of_film", "of_track").groupBy("of_film", "of_track")).applyInPandas(per_track, ALIGNED)
 
 
 def decided(found: DataFrame) -> DataFrame:

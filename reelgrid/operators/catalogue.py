@@ -100,14 +100,14 @@ def sort_keys(films: DataFrame) -> dict[str, Column]:
 
 
 def ordered(films: DataFrame, name: str, descending: bool = False) -> DataFrame:
-    """Films in one of the eight orders, what has no key last either way; ties by the filed title, then the title."""
-    return library.sorted_by(films, sort_keys(films)[name], descending, [natural_key(filed_title(F.col("title"))), F.col("title")])
+    """Films in one of the eight orders, what has no key last either way; ties by the filed title, the title, then the id."""
+    return library.sorted_by(films, sort_keys(films)[name], descending, [natural_key(filed_title(F.col("title"))), F.col("title"), F.col("id")])
 
 
 def places(films: DataFrame, name: str, descending: bool = False) -> DataFrame:
     """(id, place): the same order as numbers, by folder."""
     k = films.withColumns({"_k": sort_keys(films)[name], "_filed": natural_key(filed_title(F.col("title")))})
-    return library.numbered_by(k, ["folder_id"], F.col("_k"), descending, ["_filed", "title"]).select("id", "folder_id", "place")
+    return library.numbered_by(k, ["folder_id"], F.col("_k"), descending, ["_filed", "title", "id"]).select("id", "folder_id", "place")
 
 
 def shelves(films: DataFrame, resumable: DataFrame) -> DataFrame:

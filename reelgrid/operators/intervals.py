@@ -11,18 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.operators import series
 
-def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str) -> DataFrame:
+
+#: Milliseconds of a chunk of an as-of join, unless its caller says otherwise.
+CHUNK_MS = 6 * 3_600_000
+
+
+def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, width: int | None = CHUNK_MS) -> DataFrame:
     """left with ``previous`` (the last right_at <= at) and ``following`` (the first right_at >= at), null where there is none.
 
-    One shuffle of the union by the series; no row is paired with another's.
+    In chunks of ``width`` of a series' time; None for series that are short by themselves.
     """
-    cols = list(left.columns)
-    l = left.select(F.struct(*cols).alias("row"), *by, F.col(at).alias("t"), F.lit(None).cast(right.schema[right_at].dataType).alias("hit"))
+    if width is not None:
+        return series.nearest(left, right, by, at, right_at, width)
+    l = left.select(F.struct(*left.columns).alias("row"), *by, F.col(at).alias("t"), F.lit(None).cast(right.schema[right_at].dataType).alias("hit"))
     r = right.select(F.lit(None).cast(l.schema["row"].dataType).alias("row"), *by, F.col(right_at).alias("t"), F.col(right_at).alias("hit"))
-    w = Window.partitionBy(*by).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    v = Window.partitionBy(*by).orderBy(F.col("t")).rangeBetween(0, Window.unboundedFollowing)
-    both = l.unionByName(r).withColumns({"previous": F.max("hit").over(w), "following": F.min("hit").over(v)})
+    w = Window.partitionBy(*by).orderBy("t")
+    both = l.unionByName(r).withColumns({"previous": F.max("hit").over(w.rangeBetween(Window.unboundedPreceding, 0)), "following": F.min("hit").over(w.rangeBetween(0, Window.unboundedFollowing))})
     return both.where("row IS NOT NULL").select("row.*", "previous", "following")
 
 

@@ -145,7 +145,7 @@ PADDED = f"(SELECT id, lower(regexp_replace({FILED}, '[0-9]+$', '')) || CASE WHE
 
 def _order_sql(key: str, descending: bool) -> str:
     return f"""WITH p AS {P_}, f AS (SELECT f.*, k.filed, p.position_ms, p.finished, coalesce(p.duration_ms, f.duration_ms) AS watched FROM {F_} f JOIN {PADDED} k USING (id) LEFT JOIN p ON p.film_id = f.id)
-        SELECT id, folder_id, row_number() OVER (PARTITION BY folder_id ORDER BY {key} {"DESC" if descending else "ASC"} NULLS LAST, filed, title) AS place FROM f"""
+        SELECT id, folder_id, row_number() OVER (PARTITION BY folder_id ORDER BY {key} {"DESC" if descending else "ASC"} NULLS LAST, filed, title, id) AS place FROM f"""
 
 
 def views(spark, d):

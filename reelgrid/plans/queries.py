@@ -5,11 +5,11 @@ The library's own tables (films, tracks, cues) aren't among the driver's, so eac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.functions import media, names, text, timing
-from reelgrid.operators import alignment, covers, intervals, library, pairing, subtitles, upserts
+from reelgrid.operators import alignment, covers, decisions, intervals, library, pairing, series, subtitles, upserts
 from reelgrid.streaming import changes
 
 QUERIES: dict = {}
@@ -142,7 +142,7 @@ def theil_sen_slope(spark, d):
     SELECT r.event_type, r.bin, round(CASE WHEN r.bin + 0.5 < mid THEN coalesce(lb + (low - lb) * (r.bin + 0.5 - mb) / (mid - mb), low) ELSE coalesce(low + (la - low) * (r.bin + 0.5 - mid) / (ma - mid), low) END, 6) AS floor
     FROM r JOIN n ON r.event_type = n.event_type AND r.bin // 100 = n.tile""")
 def rolling_floor(spark, d):
-    e = intervals.numbered(events(spark, d, "event_id", "event_type", "value"), ["event_type"], ["ms", "event_id"], "bin").withColumn("bin", (F.col("bin") - 1).cast("long"))
+    e = series.placed(events(spark, d, "event_id", "event_type", "value"), ["event_type"], ["ms", "event_id"], DAY, "bin")
     return alignment.rolling_floor(e, ["event_type"], "bin", "value", 100).select("event_type", "bin", F.round("floor", 6).alias("floor"))
 
 
@@ -150,8 +150,8 @@ def rolling_floor(spark, d):
     b AS (SELECT event_id, event_type, abs(avg(x) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS x FROM a)
     SELECT event_id, round(avg(x) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING), 4) AS swing FROM b""")
 def moving_swing(spark, d):
-    e = read(spark, d, "events").select("event_id", "event_type", "value")
-    return alignment.swing(e, ["event_type"], "event_id", "value").select("event_id", F.round("swing", 4).alias("swing"))
+    e = series.placed(read(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"], ["event_id"], 4096)
+    return alignment.swing(e, ["event_type"], "place", "value").select("event_id", F.round("swing", 4).alias("swing"))
 
 
 @query(f"""WITH {SPANS}, c AS (SELECT event_id, user_id, a, b, lag(b) OVER w AS pb, lead(a) OVER w AS na FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, b))
@@ -479,3 +479,31 @@ def align_recovery(spark, d):
     shifts = F.array(*(F.struct(F.lit(i).cast("long").alias("track"), F.lit(s).alias("shift")) for i, s in enumerate((0, 2000, -4500, 30_000))))
     tracks = base.select("*", F.inline(shifts)).select((F.col("film") * 4 + F.col("track")).alias("track_id"), "film", F.greatest(F.lit(0), F.col("t") - F.col("shift")).alias("start_ms"), F.greatest(F.lit(0), F.col("t") + F.col("lasts") - F.col("shift")).alias("end_ms"), "text")
     return alignment.aligned(tracks, runs)
+
+
+LINES = "SELECT event_id // 400 AS film, event_id AS line, (ms * 7919 + event_id * 104729) % 7200000 // 10 * 10 AS t, 900 + event_id % 5 * 400 AS lasts FROM e WHERE event_id IS NOT NULL AND ms IS NOT NULL"
+
+
+@query(f"""WITH {EVENTS}, l AS ({LINES}), n AS (SELECT film, count(*) AS n FROM l GROUP BY film), t AS (SELECT film, unnest([0, 1, 2, 3]) AS k FROM n),
+    c AS (SELECT t.film, k, CASE k WHEN 2 THEN least(n.n, 50) WHEN 3 THEN coalesce(m.n, 0) ELSE n.n END AS cues, coalesce(m.n, 0) AS other, n.n AS own FROM t JOIN n USING (film) LEFT JOIN n m ON m.film = t.film + 1),
+    o AS (SELECT *, CASE WHEN cues < 100 THEN 'too-few-cues' WHEN k < 2 THEN 'aligned' WHEN film % 3 = 0 THEN 'no-audio' ELSE 'uncertain' END AS outcome FROM c)
+    SELECT film * 4 + k AS track_id, outcome, CASE outcome WHEN 'aligned' THEN 'track' WHEN 'uncertain' THEN 'sound' END AS against, CASE WHEN outcome = 'aligned' THEN CASE k WHEN 0 THEN -2000 ELSE 2000 END ELSE 0 END AS offset_ms FROM o""")
+def track_outcomes(spark, d):
+    """A film of each 400 events, its speech made of them but for each third, and four tracks: the lines, the lines 2 s early, 50 of them, and the next film's."""
+    e = events(spark, d, "event_id").where("event_id IS NOT NULL AND ms IS NOT NULL")
+    at = F.floor((F.col("ms") * 7919 + F.col("event_id") * 104729) % 7_200_000 / 10) * 10
+    lines = e.select(F.floor(F.col("event_id") / 400).alias("film"), F.col("event_id").alias("line"), at.alias("t"), (900 + F.col("event_id") % 5 * 400).alias("lasts"))
+    early = F.greatest(F.lit(0), F.col("t") - 2000)
+    ways = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), film.alias("film_id"), start.alias("start_ms")) for k, film, start in ((0, F.col("film"), F.col("t")), (1, F.col("film"), early), (2, F.col("film"), F.col("t")), (3, F.col("film") - 1, F.col("t")))))
+    place = F.row_number().over(Window.partitionBy("film").orderBy("line"))  # 400 rows
+    dealt = lines.withColumn("place", place).select("*", F.inline(ways)).where("(k <> 2 OR place <= 50) AND film_id >= 0")
+    cues = dealt.select((F.col("film_id") * 4 + F.col("k")).alias("track_id"), F.col("place").alias("ordinal"), "start_ms", (F.col("start_ms") + F.col("lasts")).alias("end_ms"), F.lit(None).cast("int").alias("position"), F.lit("line").alias("text"))
+    films = lines.select("film").distinct()
+    counts = cues.groupBy(F.col("track_id").alias("id")).agg(F.count("*").alias("cue_count"))
+    tracks = films.select(F.col("film").alias("film_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select((F.col("film_id") * 4 + F.col("k")).alias("id"), "film_id", "k").join(counts, "id", "left").select(
+        "id", "film_id", F.when(F.col("k") == 0, "stream").otherwise("sidecar").alias("origin"), F.when(F.col("k") == 3, "odd").otherwise("subrip").alias("codec"), F.coalesce("cue_count", F.lit(0)).alias("cue_count"), F.lit(0).alias("offset_ms"), F.lit(1.0).alias("rate"),
+    )
+    listened = films.where("film % 3 <> 0").select(F.col("film").alias("film_id"), F.lit("ok").alias("outcome"))
+    speech = alignment.cue_runs(lines.where("film % 3 <> 0").select("film", F.col("t").alias("start_ms"), (F.col("t") + F.col("lasts")).alias("end_ms"), F.lit("line").alias("text")), ["film"]).withColumn("film_bins", F.lit(SLOT // 10).cast("long"))
+    decided = decisions.outcomes(tracks, cues, listened, speech)
+    return decided.select("track_id", "outcome", "against", F.when(F.col("outcome") == "aligned", F.round(F.col("offset_ms") / 100) * 100).otherwise(0).cast("long").alias("offset_ms"))

@@ -72,7 +72,7 @@ def sessions(changes: DataFrame, by: str, at: str, quiet: int = QUIET_MS, patien
     runs = written(_latest(marked, by, at, "new", "run"), "runs")
     probes = runs.select(by, "run", F.col(at).alias("t"), (F.col(at) + patience).alias("target")).withColumn("b", F.floor(F.col("target") / patience))
     near = runs.select(by, F.col(at).alias("next"), F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"))
-    found = nearest(probes, near, [by, "b"], "target", "next").select(by, "run", "t", F.col("following").alias("next")).where("next IS NOT NULL")
+    found = nearest(probes, near, [by, "b"], "target", "next", None).select(by, "run", "t", F.col("following").alias("next")).where("next IS NOT NULL")
     jump = written(found.join(runs.select(by, F.col("run").alias("_run"), F.col(at).alias("next")), [by, "next"]).where(F.col("run") == F.col("_run")).select(by, "t", "next"), "links")
     starts = runs.where("new").select(by, F.col(at).alias("t"))
     while not jump.isEmpty():

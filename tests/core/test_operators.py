@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.operators import alignment, intervals, pairing, upserts
+from reelgrid.operators import alignment, correlation, intervals, pairing, upserts
 from reelgrid.streaming import changes
 
 
@@ -14,16 +14,41 @@ def test_alignment_undoes_a_known_correction(offset, rate):
     gaps = 1400 + np.arange(1200) % 7 * 900
     starts = 30_000 + np.cumsum(gaps)
     ends = starts + 900 + np.arange(1200) % 5 * 400
-    film = np.zeros(int(ends.max()) // 10 + 6000, bool)
-    for a, b in zip(starts // 10, ends // 10, strict=True):
-        film[a:b] = True
+    film = correlation.united(starts // 10, ends // 10, int(ends.max()) // 10 + 6000)
     found = alignment.found_correction(((starts - offset) / rate).astype(np.int64), ((ends - offset) / rate).astype(np.int64), film)
     assert abs(found["offset_ms"] - offset) <= 60 and abs(found["rate"] - rate) < 1e-4, found
 
 
+def in_bins(signal):
+    out = np.zeros(signal.length, bool)
+    for a, b in zip(signal.starts, signal.ends, strict=True):
+        out[a:b] = True
+    return out
+
+
+def test_correlation_of_runs_equals_that_of_bins():
+    """Against a Fourier transform of the bins, for random runs that overlap, touch or leave the signal."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, m = (int(x) for x in rng.integers(5, 400, 2))
+        starts = [rng.integers(-20, k, int(rng.integers(1, 30))) for k in (n, m)]
+        a, b = (correlation.united(s, s + rng.integers(0, 30, len(s)), k) for s, k in zip(starts, (n, m), strict=True))
+        assert (np.diff(np.stack((a.starts, a.ends), 1).ravel()) > 0).all()
+        if a.flat or b.flat:
+            assert correlation.peaks(a, b, 5, 1) == []
+            continue
+        x, y, window = in_bins(a) - in_bins(a).mean(), in_bins(b) - in_bins(b).mean(), int(rng.integers(1, max(n, m)))
+        size = n + m + window + 1
+        c = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size) / np.sqrt((x @ x) * (y @ y))
+        assert np.allclose(correlation.correlations(a, b, window), np.concatenate((c[-window:], c[: window + 1])), atol=1e-9)
+        at, size = int(rng.integers(-50, n)), int(rng.integers(1, 200))
+        part = np.concatenate((np.zeros(50, bool), in_bins(a), np.zeros(400, bool)))[at + 50 : at + 50 + size]
+        assert (in_bins(correlation.clipped(a, at, size)) == part).all()
+
+
 def test_alignment_of_an_empty_track_says_nothing():
     none = np.zeros(0, np.int64)
-    assert not alignment.found_correction(none, none, np.zeros(1000, bool))["score"]
+    assert not alignment.found_correction(none, none, correlation.united(none, none, 1000))["score"]
 
 
 def test_upsert_keeps_what_is_known(spark):
