@@ -15,7 +15,7 @@ from reelgrid.functions import labels
 from reelgrid.functions.media import SUBTITLE_CODECS, VIDEO_CODECS, _cases, base_name, codec_name, container_name, file_kind
 from reelgrid.functions.names import parsed_name
 from reelgrid.functions.timing import frame_rate
-from reelgrid.operators import alignment, catalogue, covers, library, mutations, pairing, subtitles, upserts
+from reelgrid.operators import alignment, catalogue, covers, decisions, library, mutations, pairing, subtitles, upserts
 from reelgrid.sources import audio, folders, matroska, ranged, tables
 from reelgrid.sources.shared import written
 from reelgrid.streaming.changes import OneAtATime
@@ -27,6 +27,7 @@ class Library:
     def __init__(self, spark: SparkSession, root: str, now: int = 0):
         self.spark, self.store = spark, tables.Store(spark, root)
         self.aligning, self.scanning = OneAtATime(spark, "alignment"), OneAtATime(spark, "scan")
+        self.left_out: DataFrame | None = None
         folders.register(spark)
         self.store.migrate(now)
 
@@ -95,7 +96,12 @@ class Library:
         """
         root = catalogue.matching(self.table("watched_folder"), id=folder_id).first().path
         name = base_name(F.col("path"))
-        files = written(self.spark.read.format("folder").load(root).where("readable").select("path", "size_bytes", "modified_at", file_kind(name).alias("kind"), parsed_name(name).alias("n")), "files")
+        seen = written(self.spark.read.format("folder").load(root).select("path", "size_bytes", "modified_at", "readable", file_kind(name).alias("kind"), parsed_name(name).alias("n")), "files")
+        closed = seen.where("NOT readable").select("path")
+        if not closed.where(F.col("path") == root).isEmpty():
+            self.left_out = closed.select("path", F.lit("unreadable").alias("outcome"))
+            return self._counted(seen.where("readable"), root, 0, 0, 0)
+        files = seen.where("readable")
         films, tracks, cues = self.table("film"), self.table("subtitle_track"), self.table("cue")
         of = lambda kind: files.where(F.col("kind") == kind)
 
@@ -105,28 +111,37 @@ class Library:
         jobs = written(upserts.film_jobs(fresh.select("path", "size_bytes", "modified_at"), films.select("path", "size_bytes", "modified_at", "missing_since", "probed_at", "container")), "jobs")
         now_films = upserts.upserted(films, fresh, ["path"], ["title", "year", "size_bytes", "modified_at", "missing_since"]).drop("changed")
         ours = now_films.where(F.col("folder_id") == folder_id)
-        now_films = now_films.where(F.col("folder_id") != folder_id).unionByName(upserts.marked_missing(ours, fresh, "path", now))
+        known = fresh.select("path").unionByName(catalogue.under(ours.select("path"), closed))  # what can't be looked at isn't gone
+        now_films = now_films.where(F.col("folder_id") != folder_id).unionByName(upserts.marked_missing(ours, known, "path", now))
         now_films = written(now_films, "films")
 
         # subtitle files
         named = found.select(F.col("id").alias("film"), "n.key", F.col("n.key_words").alias("words"), "n.year")
         subs = of("subtitle").select(F.col("path").alias("subtitle"), "n.key", F.col("n.key_words").alias("words"), "n.year")
         pairs = written(pairing.paired(subs, named).select(F.col("subtitle").alias("path"), F.col("film").alias("film_id"), F.col("match").alias("match_kind")), "pairs")
-        beside = tracks.where("origin = 'sidecar'").join(now_films.where(F.col("folder_id") == folder_id).select(F.col("id").alias("film_id")), "film_id", "left_semi")
-        on_disk = of("subtitle").select("path", "size_bytes", "modified_at").join(pairs, "path")
-        plan = written(upserts.plan(beside, on_disk), "plan")
-        read = plan.where("action = 'read'").select("path")
-        text = subtitles.decoded(ranged.contents(read).where("outcome = 'ok'").drop("outcome"))
-        got, _ = subtitles.parsed(written(text, "texts"))
+        # tracks of films that are there; those of missing films, and what lies in closed folders, are left alone
+        here = now_films.where((F.col("folder_id") == folder_id) & F.col("missing_since").isNull()).select(F.col("id").alias("film_id"))
+        beside = tracks.where("origin = 'sidecar'").join(here, "film_id", "left_semi")
+        beside = written(beside.join(catalogue.under(beside.select("path"), closed), "path", "left_anti"), "beside")
+        hand = tracks.where("origin = 'sidecar' AND match_kind = 'by-hand'").select("path", F.col("film_id").alias("_film"))
+        on_disk = of("subtitle").select("path", "size_bytes", "modified_at").join(pairs, "path", "left").join(hand, "path", "left")
+        on_disk = on_disk.select("path", "size_bytes", "modified_at", F.coalesce("_film", "film_id").alias("film_id"), F.when(F.col("_film").isNotNull(), "by-hand").otherwise(F.col("match_kind")).alias("match_kind")).where("film_id IS NOT NULL")
+        on_disk = written(on_disk, "on_disk")
+        elsewhere = written(beside.where("match_kind = 'by-hand'").select("path").join(on_disk, "path", "left_anti"), "elsewhere")
+        plan = written(upserts.plan(beside, on_disk, "path", elsewhere.join(ranged.existing(elsewhere), "path", "left_anti")), "plan")
+        held = written(ranged.contents(plan.where("action = 'read'").select("path")), "contents")
+        text = written(subtitles.decoded(held.where("outcome = 'ok'").drop("outcome")), "texts")
+        read = text.select("path")
+        got, _ = subtitles.parsed(text)
         got = written(got, "cues")
         counts = got.groupBy("path").agg(F.count("*").alias("cue_count"))
         labelled = of("subtitle").select("path", "size_bytes", "modified_at", "n.language", "n.forced", "n.hearing_impaired")
-        made = read.join(labelled, "path").join(pairs, "path").join(counts, "path", "left").join(text.select("path", "encoding"), "path", "left")
+        made = read.join(labelled, "path").join(on_disk.select("path", "film_id", "match_kind"), "path").join(counts, "path", "left").join(text.select("path", "encoding"), "path", "left")
         made = made.select(F.lit(None).cast("long").alias("id"), "film_id", "path", F.lit("sidecar").alias("origin"), F.lit(0).cast("long").alias("stream_number"), F.lit("subrip").alias("codec"), "language", "forced", "hearing_impaired", "match_kind", F.coalesce("encoding", F.lit("")).alias("encoding"), F.coalesce("cue_count", F.lit(0)).alias("cue_count"), "size_bytes", "modified_at", F.lit(0).alias("offset_ms"), F.lit(1.0).alias("rate"))
         made = written(mutations.numbered_ids(tracks, made, ["path", "stream_number"]), "tracks")
         ids = made.select("path", F.col("id").alias("track_id"))
         gone = plan.where("action = 'remove'").select("path")
-        removed = tracks.join(gone, "path", "left_semi").select("id")
+        removed = written(tracks.where("origin = 'sidecar'").join(gone, "path", "left_semi").select("id"), "removed")
         kept = upserts.repaired(upserts.without(tracks, removed, "id", "id"), pairs.join(plan.where("action = 'repoint'"), "path", "left_semi"))
         new_tracks, new_cues = mutations.written_tracks(kept, upserts.without(cues, removed, "track_id", "id"), made, got.join(ids, "path"))
 
@@ -142,7 +157,7 @@ class Library:
         streams = written(mutations.numbered_ids(stored, streams, ["path", "stream_number"]), "streams")
         stream_cues = said.join(streams.select("path", "stream_number", F.col("id").alias("track_id")), ["path", "stream_number"])
         opened = probe.select("film_id")
-        now_tracks, now_cues, now_films = mutations.with_streams(written(stored, "stored"), new_cues, now_films, streams, stream_cues, opened, now)
+        now_tracks, now_cues, now_films = mutations.with_streams(written(stored, "stored"), new_cues, upserts.nulled(now_films, removed, "chosen_track_id", "id"), streams, stream_cues, opened, now)
         facts = probe.select(F.col("film_id").alias("id"), container_name(base_name(F.col("path"))).alias("container"), codec_name(F.col("video_codec_id"), VIDEO_CODECS).alias("video_codec"), F.col("width").cast("int").alias("video_width"), F.col("height").cast("int").alias("video_height"), F.col("bit_depth").cast("int").alias("bit_depth"), frame_rate(F.col("frame_ns")).alias("frame_rate"), "duration_ms")
         sound = probe.select("film_id", F.explode("audio").alias("a")).select("film_id", "a.stream_number", F.col("a.codec_id").alias("codec"), F.col("a.channels").cast("int").alias("channels"), "a.language", "a.is_default")
         described, now_audio = mutations.described(now_films, self.table("audio_stream"), facts, sound)
@@ -159,8 +174,13 @@ class Library:
         known = catalogue.covers(here).join(here.select("id", "path"), "id").join(opened_art, "path", "left").select(F.col("path").alias("film"), F.col("cover").alias("recorded"), "opened")
         decided = covers.chosen(known, offered, thumbs).join(here.select("id", F.col("path").alias("film")), "film").select("id", "cover")
         self._write({"film": mutations.set_covers(now_films, decided).drop("changed"), "subtitle_track": now_tracks, "cue": now_cues, "audio_stream": now_audio})
+        self.left_out = closed.select("path", F.lit("unreadable").alias("outcome")).unionByName(held.where("outcome <> 'ok'").select("path", "outcome")).unionByName(probe.where("outcome <> 'ok'").select("path", "outcome"))
+        return self._counted(files, root, jobs.count(), read.count(), removed.count())
+
+    def _counted(self, files: DataFrame, root: str, opened: int, read: int, removed: int) -> DataFrame:
+        """One row: what was found under a root and what was done about it. ``left_out`` has the paths (path, outcome) that couldn't be read."""
         total = catalogue.scan_counts(files.withColumn("folder", F.lit(root)))
-        return total.crossJoin(F.broadcast(jobs.agg(F.count("*").alias("opened")))).crossJoin(F.broadcast(plan.agg(F.count_if(F.col("action") == "read").alias("read"), F.count_if(F.col("action") == "remove").alias("removed"))))  # one row each
+        return total.withColumns({"opened": F.lit(opened), "read": F.lit(read), "removed": F.lit(removed), "unreadable": F.lit(self.left_out.count())})
 
     def scan_containing(self, paths: DataFrame, now: int) -> list[int]:
         """Scans the watched folders that hold one of the paths (path); their ids."""
@@ -231,45 +251,30 @@ class Library:
         self.aligning.cancel()
 
     def align(self, track_id: int) -> str:
-        """Measures a track against its reference, or else the film's audio, and corrects it where that lands better; the outcome."""
-        return self.aligning.run(lambda: self._align(track_id))
-
-    def _align(self, track_id: int) -> str:
-        tracks, cues = self.table("subtitle_track"), self.table("cue")
-        track = catalogue.matching(tracks, id=track_id).first()
-        if track.cue_count < alignment.FEWEST_CUES:
-            return "too-few-cues"
-        own = written(self.cues(track_id, authored=True).select("track_id", F.lit(track_id).cast("long").alias("film"), "start_ms", "end_ms", "text"), "own")
-        against, runs = catalogue.against_references(cues, tracks)
-        outcome = self._try(own, against.where(F.col("track_id") == track_id), runs.where(F.col("film") == track_id), True, track.cue_count)
-        if outcome != "accepted":
-            path = self.table("film").where(F.col("id") == track.film_id).first().path
-            energy = written(audio.energy_at(self.spark.createDataFrame([(path,)], "path string")), "energy")
-            if not energy.where("outcome <> 'ok'").isEmpty():
-                return energy.where("outcome <> 'ok'").first().outcome
-            level = alignment.levels(energy.withColumn("film", F.lit(track_id).cast("long")))
-            length = level.agg((F.max("bin") + 1).alias("film_bins"))
-            speech = alignment.speech(level).crossJoin(F.broadcast(length))  # one row
-            outcome = self._try(own, own, speech, False, track.cue_count)
-        return outcome
-
-    def _try(self, own: DataFrame, cues: DataFrame, runs: DataFrame, reference: bool, n_cues: int) -> str:
-        runs = written(runs, "runs")
-        found = written(alignment.aligned(cues, runs), "found")
-        row = found.first()
-        if row is None:
-            return "uncertain"
-        starts = runs.select("film", (F.col("from_bin") * alignment.BIN_MS).alias("start_at"))
-
-        def landed(offset: int, rate: float) -> float:
-            got = alignment.landing(alignment.moved(own, offset, rate).select("film", "start_ms"), starts, ["film"], "start_ms", "start_at").first()
-            return got.fraction if got else 0.0
-
-        said = self.spark.createDataFrame([(n_cues, row.score, row.misfit, landed(row.offset_ms, row.rate), landed(0, 1.0), reference)], "n_cues long, score double, misfit string, after double, before double, reference boolean")
-        outcome = alignment.decided(said).first().outcome
-        if outcome == "accepted":
-            self.correct(row.track_id, row.offset_ms, row.rate)
-        return outcome
+        """align_all() of one track; its outcome."""
+        asked = self.spark.createDataFrame([(track_id,)], "track_id long")
+        return self.align_all(asked).first().outcome
+
+    def align_all(self, wanted: DataFrame | None = None) -> DataFrame:
+        """Measures tracks (track_id; all of them if none are given) against another track of their film, else its sound, and corrects those that land better.
+
+        The outcome of each (``decisions.outcomes``). All corrections are one write.
+        """
+        return self.aligning.run(lambda: self._align(wanted))
+
+    def _align(self, wanted: DataFrame | None) -> DataFrame:
+        decided = written(decisions.outcomes(self.table("subtitle_track"), self.table("cue"), self._listened, wanted), "outcomes")
+        self._changed("subtitle_track", mutations.with_corrections(self.table("subtitle_track"), decisions.corrections(decided)))
+        return decided
+
+    def _listened(self, films: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(film_id, outcome) and speech (film, from_bin, to_bin, film_bins) of films (film_id), read once each."""
+        paths = written(self.table("film").select(F.col("id").alias("film_id"), "path").join(films, "film_id", "left_semi"), "paths")
+        energy = written(audio.energy_at(paths.select("path")).join(paths.withColumnRenamed("path", "film"), "film"), "energy")
+        said = energy.groupBy("film_id").agg(F.coalesce(F.max(F.when(F.col("outcome") != "ok", F.col("outcome"))), F.lit("ok")).alias("outcome"))
+        level = written(alignment.levels(energy.where("outcome = 'ok' AND bin IS NOT NULL").withColumn("film", F.col("film_id"))), "levels")
+        length = level.groupBy("film").agg((F.max("bin") + 1).alias("film_bins"))
+        return said, alignment.speech(level).join(length, "film")
 
     def _changed(self, name: str, new: DataFrame) -> bool:
         """Writes a table whose rows say whether they changed, if one did."""

@@ -221,14 +221,15 @@ def best_reference(tracks: DataFrame) -> DataFrame:
     return met.select("track_id", F.when(F.col("track_id").eqNullSafe(F.col("_one")), F.col("_two")).otherwise(F.col("_one")).alias("reference_id"))
 
 
-def against_references(track_cues: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cues, runs) that alignment.aligned() takes to measure tracks against their references: a track's authored cues, its reference's corrected ones.
+def against_references(track_cues: DataFrame, tracks: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cues, runs) that alignment.aligned() takes to measure tracks (all, or those wanted: track_id) against their references: a track's authored cues, its reference's corrected ones.
 
     ``film`` is the track's id in both, so each track is measured on its own.
     """
     from reelgrid.operators.alignment import BIN_MS, cue_runs
 
     pairs = best_reference(tracks).where("reference_id IS NOT NULL")
+    pairs = pairs if wanted is None else pairs.join(wanted.select("track_id"), "track_id", "left_semi")
     own = cues(track_cues, tracks, authored=True).join(pairs.select("track_id"), "track_id", "left_semi").select("track_id", F.col("track_id").alias("film"), "start_ms", "end_ms", "text")
     theirs = pairs.select(F.col("track_id").alias("film"), F.col("reference_id").alias("track_id")).join(cues(track_cues, tracks), "track_id").select("film", "start_ms", "end_ms", "text")
     length = theirs.groupBy("film").agg((F.floor(F.max("end_ms") / BIN_MS) + 1).cast("long").alias("film_bins"))
@@ -258,6 +259,14 @@ def track_rows(audio: DataFrame, tracks: DataFrame, active: DataFrame) -> DataFr
 # ---- folders -------------------------------------------------------------------------------------------------------------
 
 
+def under(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (path) that are, or lie below, one of roots (path). Each row is offered under all its beginnings, so it is a hash join."""
+    parts = F.split("path", "/")
+    above = rows.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("_above"))
+    met = above.join(roots.select(F.col("path").alias("_above")), "_above", "left_semi").select("path").distinct()
+    return rows.join(met, "path", "left_semi").select(rows.columns)
+
+
 def touched_folders(watched: DataFrame, paths: DataFrame) -> DataFrame:
     """Watched folders (id, path) that hold one of the changed paths (path). Each path is offered under all its beginnings, so it is a hash join."""
     parts = F.split("path", "/")

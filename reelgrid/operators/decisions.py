@@ -7,6 +7,8 @@ one write stores all corrections.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,25 +59,29 @@ def said_of_sound(score: Column, misfit: Column, before: Column, after: Column)
     return F.when(F.coalesce(score, F.lit(0.0)) < LEAST_SCORE, "uncertain").when(misfit.isNotNull(), kinds).when(~worth_writing(before, after), "no-better").otherwise("aligned")
 
 
-def outcomes(tracks: DataFrame, cues: DataFrame, sound: DataFrame, speech: DataFrame) -> DataFrame:
+def outcomes(tracks: DataFrame, cues: DataFrame, listen: Callable[[DataFrame], tuple[DataFrame, DataFrame]], wanted: DataFrame | None = None) -> DataFrame:
     """COLUMNS for every track: aligned, too-few-cues, uncertain, breaks, different-cut, no-better, or why the film's sound couldn't be read.
 
-    tracks and cues: the library's tables. sound: (film_id, outcome), ok or a refusal, for each film that was listened to; a film that isn't there has
-    no-audio. speech: (film, from_bin, to_bin, film_bins) of these. against: track or sound, null where nothing was measured.
+    tracks and cues: the library's tables. listen: of films (film_id) that other tracks don't settle, (film_id, outcome), ok or a refusal, and the speech
+    (film, from_bin, to_bin, film_bins) of those that are ok; a film without an outcome has no-audio. wanted: (track_id) of the tracks to decide, all if
+    none are given. against: track or sound, null where nothing was measured.
     """
-    wide = tracks.withColumn("_few", F.col("cue_count") < FEWEST_CUES)
+    asked = tracks if wanted is None else tracks.join(wanted.select(F.col("track_id").alias("id")), "id", "left_semi")
+    wide = asked.withColumn("_few", F.col("cue_count") < FEWEST_CUES)
     few = wide.where("_few").select(F.col("id").alias("track_id"), F.lit("too-few-cues").alias("outcome"), F.lit(None).cast("string").alias("against"), "cue_count", *(F.lit(None).alias(c) for c in FOUND))
     enough = wide.where("NOT _few").select(F.col("id").alias("track_id"), "film_id", "cue_count")
 
     # against other tracks
-    lines, runs = catalogue.against_references(cues, tracks)
+    lines, runs = catalogue.against_references(cues, tracks, enough.select("track_id"))
     own = lines.join(enough.select("track_id"), "track_id", "left_semi")
     held = written(runs, "runs")
     done = written(settled(measured(written(own, "lines"), held)), "settled")
     first = enough.join(done, "track_id").select("track_id", F.lit("aligned").alias("outcome"), F.lit("track").alias("against"), "cue_count", *FOUND)
 
     # against the sound of their films
-    rest = written(enough.join(done.select("track_id"), "track_id", "left_anti").join(sound.select("film_id", F.col("outcome").alias("heard")), "film_id", "left"), "rest")
+    unsettled = written(enough.join(done.select("track_id"), "track_id", "left_anti"), "unsettled")
+    sound, speech = listen(unsettled.select("film_id").distinct())
+    rest = written(unsettled.join(sound.select("film_id", F.col("outcome").alias("heard")), "film_id", "left"), "rest")
     silent = rest.where("NOT heard <=> 'ok'").select("track_id", F.coalesce("heard", F.lit("no-audio")).alias("outcome"), F.lit(None).cast("string").alias("against"), "cue_count", *(F.lit(None).alias(c) for c in FOUND))
     heard = rest.where("heard = 'ok'")
     lines = catalogue.cues(cues, tracks, authored=True).join(heard.select("track_id", F.col("film_id").alias("film")), "track_id").select("track_id", "film", "start_ms", "end_ms", "text")

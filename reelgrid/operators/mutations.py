@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.functions.timing import clamped_offset, clamped_rate
-from reelgrid.operators.upserts import differs, replaced, upserted, without
+from reelgrid.operators.upserts import differs, nulled, replaced, upserted, without
 
 LEAST_POSITION_MS = 1_000
 
@@ -98,29 +98,39 @@ def described(films: DataFrame, audio: DataFrame, facts: DataFrame, streams: Dat
     return new, kept.unionByName(streams.join(facts.select(F.col("id").alias("film_id")).distinct(), "film_id", "left_semi").select(audio.columns))
 
 
+def _by_hand_kept(tracks: DataFrame, found: DataFrame) -> DataFrame:
+    """found tracks, where a stored one of the same file and stream was paired by hand, with its film and match kind."""
+    hand = tracks.where("match_kind = 'by-hand'").select("path", "stream_number", F.col("film_id").alias("_film"))
+    both = found.join(hand, ["path", "stream_number"], "left")
+    return both.withColumns({"match_kind": F.when(F.col("_film").isNotNull(), "by-hand").otherwise(F.col("match_kind")), "film_id": F.coalesce("_film", "film_id")}).select(found.columns)
+
+
 def with_streams(tracks: DataFrame, cues: DataFrame, films: DataFrame, found: DataFrame, found_cues: DataFrame, opened: DataFrame, now: Column | int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tracks, cues, films) after films (opened: film_id) were looked inside.
 
     found: their tracks (id set, origin stream), found_cues: the cues of these. Tracks inside a film that it no longer has go,
-    cues are replaced whether or not the track changed, and the films are stamped. Files beside a film aren't touched.
+    cues are replaced whether or not the track changed, and the films are stamped; a choice of a track that went is none. Files beside a
+    film aren't touched.
     """
     inside_ = tracks.where("origin = 'stream'").join(opened.select("film_id").distinct(), "film_id", "left_semi")
     gone = inside_.join(found.select("path", "stream_number"), ["path", "stream_number"], "left_anti").select("id")
     stayed = without(tracks, gone, "id", "id")
     columns = [c for c in tracks.columns if c not in ("id", "path", "stream_number", "offset_ms", "rate")]
-    new_tracks = upserted(stayed, found.select(tracks.columns), ["path", "stream_number"], columns).drop("changed")
+    new_tracks = upserted(stayed, _by_hand_kept(stayed, found.select(tracks.columns)), ["path", "stream_number"], columns).drop("changed")
     left = without(cues, gone, "track_id", "id")
     fresh = without(left, found, "track_id", "id").unionByName(found_cues.select(cues.columns))
     stamp = F.lit(now) if isinstance(now, int) else now
     seen = opened.select(F.col("film_id").alias("id"), F.lit(True).alias("_seen")).distinct()
     stamped = films.join(seen, "id", "left").withColumn("probed_at", F.when(F.col("_seen"), stamp).otherwise(F.col("probed_at"))).select(films.columns)
+    if "chosen_track_id" in films.columns:
+        stamped = nulled(stamped, gone, "chosen_track_id", "id")
     return new_tracks, fresh, stamped
 
 
 def written_tracks(tracks: DataFrame, cues: DataFrame, found: DataFrame, found_cues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tracks with changed, cues): the track/cue sink: tracks upserted by (path, stream_number), the cues of all of them replaced."""
+    """(tracks with changed, cues): the track/cue sink: tracks upserted by (path, stream_number), the cues of all of them replaced. What was paired by hand stays with its film."""
     columns = [c for c in tracks.columns if c not in ("id", "path", "stream_number", "offset_ms", "rate")]
-    return upserted(tracks, found.select(tracks.columns), ["path", "stream_number"], columns), without(cues, found, "track_id", "id").unionByName(found_cues.select(cues.columns))
+    return upserted(tracks, _by_hand_kept(tracks, found.select(tracks.columns)), ["path", "stream_number"], columns), without(cues, found, "track_id", "id").unionByName(found_cues.select(cues.columns))
 
 
 def attached(tracks: DataFrame, cues: DataFrame, films: DataFrame, film_id: int, track: DataFrame, track_cues: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -70,10 +70,11 @@ def replaced(rows: DataFrame, fresh: DataFrame, scope: str) -> DataFrame:
     return without(rows, fresh, scope, scope).unionByName(fresh)
 
 
-def plan(stored: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
+def plan(stored: DataFrame, found: DataFrame, key: str = "path", gone_by_hand: DataFrame | None = None) -> DataFrame:
     """(key, action) of an incremental scan: read (new, or other bytes), repoint (same bytes, other film or match), remove, or keep.
 
-    stored: key, size_bytes, modified_at, film_id, match_kind; found the same for what is on disk now. Hand-made pairs are never repointed.
+    stored: key, size_bytes, modified_at, film_id, match_kind; found the same for what is on disk now. Hand-made pairs are never repointed, and
+    as their files may lie elsewhere, they are removed only if gone_by_hand (key) says that they are gone.
     """
     s, f = stored.alias("s"), found.alias("f")
     both = s.join(f, key, "full_outer")
@@ -84,7 +85,11 @@ def plan(stored: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
         F.when(F.col("s.size_bytes").isNull(), "read").when(F.col("f.size_bytes").isNull(), F.when(by_hand, "keep").otherwise("remove"))
         .when(~same, "read").when(moved, "repoint").otherwise("keep")
     )
-    return both.select(key, action.alias("action"))
+    done = both.select(key, action.alias("action"))
+    if gone_by_hand is None:
+        return done
+    gone = gone_by_hand.select(key).distinct().withColumn("_gone", F.lit(True))
+    return done.join(gone, key, "left").select(key, F.when(F.coalesce("_gone", F.lit(False)) & (F.col("action") == "keep"), "remove").otherwise(F.col("action")).alias("action"))
 
 
 def film_jobs(found: DataFrame, stored: DataFrame) -> DataFrame:

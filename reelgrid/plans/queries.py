@@ -505,5 +505,5 @@ def track_outcomes(spark, d):
     )
     listened = films.where("film % 3 <> 0").select(F.col("film").alias("film_id"), F.lit("ok").alias("outcome"))
     speech = alignment.cue_runs(lines.where("film % 3 <> 0").select("film", F.col("t").alias("start_ms"), (F.col("t") + F.col("lasts")).alias("end_ms"), F.lit("line").alias("text")), ["film"]).withColumn("film_bins", F.lit(SLOT // 10).cast("long"))
-    decided = decisions.outcomes(tracks, cues, listened, speech)
+    decided = decisions.outcomes(tracks, cues, lambda wanted: (listened.join(wanted, "film_id", "left_semi"), speech.join(wanted.select(F.col("film_id").alias("film")), "film", "left_semi")))
     return decided.select("track_id", "outcome", "against", F.when(F.col("outcome") == "aligned", F.round(F.col("offset_ms") / 100) * 100).otherwise(0).cast("long").alias("offset_ms"))

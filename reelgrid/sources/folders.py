@@ -80,6 +80,9 @@ class _Reader(DataSourceReader):
         return _parts(self.root)
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
+        if partition.path == self.root and not os.path.isdir(self.root):  # a root that isn't there isn't an empty one
+            yield self.root, None, None, False
+            return
         for path, size, modified, readable, folder in _walk(partition):
             if not folder or not readable:
                 yield path, size, modified, readable
@@ -112,7 +115,10 @@ class _Changes(DataSourceStreamReader):
 
 
 class FolderSource(DataSource):
-    """``spark.read.format("folder").load(root)``: path, size_bytes, modified_at (ms), readable. Symbolic links aren't followed."""
+    """``spark.read.format("folder").load(root)``: path, size_bytes, modified_at (ms), readable. Symbolic links aren't followed.
+
+    A folder that can't be read, and a root that isn't there, is a row that isn't readable.
+    """
 
     @classmethod
     def name(cls) -> str:

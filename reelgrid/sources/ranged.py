@@ -85,3 +85,16 @@ def contents(paths: DataFrame, most: int = 32 << 20) -> DataFrame:
         yield {"path": path, "content": raw if len(raw) <= most else None, "outcome": "ok" if len(raw) <= most else "too-large"}
 
     return rows_of(paths, make, pa.schema([("path", pa.string()), ("content", pa.binary()), ("outcome", pa.string())]), "path string, content binary, outcome string", held=16)
+
+
+def existing(paths: DataFrame) -> DataFrame:
+    """(path): those of paths (path) that can be opened."""
+
+    def make(path: str) -> Iterator[dict]:
+        try:
+            with opened(path):
+                yield {"path": path}
+        except OSError:
+            return
+
+    return rows_of(paths, make, pa.schema([("path", pa.string())]), "path string")

@@ -71,3 +71,83 @@ def test_a_library_from_its_first_scan_on(spark, tmp_path):
     assert lib.table("subtitle_track").where("match_kind = 'by-hand'").first().cue_count == 2
     lib.remove_folder(folder)
     assert all(lib.table(t).count() == 0 for t in ("film", "subtitle_track", "cue", "playback_position", "watched_folder"))
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """A library of one folder with one film and a subtitle beside it, scanned once."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    films = tmp_path / "films"
+    (films / "inner").mkdir(parents=True)
+    (films / "inner" / "Red.Sun.1971.mkv").write_bytes(b"not matroska")
+    (films / "inner" / "Red.Sun.1971.srt").write_text(SRT)
+    lib = Library(spark, str(tmp_path / "lib"), now=1)
+    lib.scan(lib.add_folder(str(films), 1), 10)
+    return lib, films, lib.table("subtitle_track").first()
+
+
+def test_an_unplugged_folder_keeps_its_tracks(small):
+    lib, films, track = small
+    assert lib.correct(track.id, 500, 1.0)
+    (films / "inner").rename(films.parent / "away")  # the folder is there and empty
+    assert lib.rescan(20) and lib.table("film").first().missing_since == 20
+    assert lib.table("subtitle_track").count() == 1 and lib.table("cue").count() == 2
+    films.rename(films.parent / "off")  # now it isn't there
+    counts = lib.scan(1, 30).first()
+    assert lib.table("film").first().missing_since == 20 and lib.table("subtitle_track").count() == 1
+    assert counts is None and [tuple(r) for r in lib.left_out.collect()] == [(str(films), "unreadable")]
+    (films.parent / "off").rename(films)
+    (films.parent / "away").rename(films / "inner")
+    lib.rescan(40)
+    back = lib.table("subtitle_track").first()
+    assert lib.table("film").first().missing_since is None and (back.id, back.offset_ms) == (track.id, 500)
+
+
+def test_a_folder_that_cannot_be_read_is_not_gone(small, monkeypatch):
+    lib, films, track = small
+    walked = lib.spark.createDataFrame([(str(films / "inner"), None, None, False)], "path string, size_bytes long, modified_at long, readable boolean")
+    walked.write.parquet(str(films.parent / "walk"))
+    real = type(lib.spark.read).format
+    monkeypatch.setattr(type(lib.spark.read), "format", lambda self, kind: type("R", (), {"load": lambda _, root: lib.spark.read.parquet(str(films.parent / "walk"))})() if kind == "folder" else real(self, kind))
+    lib.scan(1, 20)
+    assert lib.table("film").first().missing_since is None and lib.table("subtitle_track").first().id == track.id
+    assert [r.path for r in lib.left_out.collect()] == [str(films / "inner")]
+
+
+def test_what_was_paired_by_hand_stays(spark, small):
+    lib, films, _ = small
+    (films / "odd name.srt").write_text(SRT)
+    film = lib.table("film").first()
+    lib.attach(film.id, str(films / "odd name.srt"), 20)
+    lib.rescan(30)
+    own = lib.table("subtitle_track").where("match_kind = 'by-hand'").first()
+    assert (own.film_id, own.cue_count) == (film.id, 2)
+    (films / "odd name.srt").write_text(SRT + "\n3\n00:00:05,000 --> 00:00:06,000\nMore.\n")
+    lib.rescan(40)
+    own = lib.table("subtitle_track").where("match_kind = 'by-hand'").first()
+    assert (own.film_id, own.cue_count) == (film.id, 3) and lib.table("cue").where(F.col("track_id") == own.id).count() == 3
+    tracks = spark.createDataFrame([{**own.asDict(), "film_id": 77, "match_kind": "exact", "language": "fr"}], lib.table("subtitle_track").schema)
+    new, _ = mutations.written_tracks(lib.table("subtitle_track"), lib.table("cue"), tracks, lib.table("cue").limit(0))
+    kept = new.where(F.col("id") == own.id).first()
+    assert (kept.film_id, kept.match_kind, kept.language) == (film.id, "by-hand", "fr")
+    (films / "odd name.srt").unlink()
+    lib.rescan(50)
+    assert lib.table("subtitle_track").where("match_kind = 'by-hand'").count() == 0
+
+
+def test_a_chosen_track_that_goes_is_no_choice(spark, small, tmp_path):
+    lib, films, track = small
+    assert lib.choose_track(track.film_id, track.id)
+    (films / "inner" / "Red.Sun.1971.srt").unlink()
+    assert lib.rescan(20) and lib.table("film").first().chosen_track_id is None
+    assert Library(spark, str(tmp_path / "lib"), now=30).table("film").count() == 1
+
+
+def test_a_subtitle_too_large_is_left_out(small, monkeypatch):
+    lib, films, _ = small
+    big = films / "inner" / "Red.Sun.1971.fr.srt"
+    with open(big, "wb") as f:
+        f.truncate((32 << 20) + 1)
+    counts = lib.scan(1, 20).first()
+    assert counts.read == 0 and lib.table("subtitle_track").count() == 1
+    assert (str(big), "too-large") in [tuple(r) for r in lib.left_out.collect()]
