@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
@@ -33,7 +34,7 @@ OTHER_WHITE = re.compile(r"[^\S \n]")
 #: Tokens of a leaf in decoding.
 TOKENS = 4096
 #: Pieces whose tokens a worker remembers; beyond it they are forgotten and encoded again.
-REMEMBERED = 120_000
+REMEMBERED = 100_000
 #: White space as Unicode has it, which the pattern's \s stands for.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -47,6 +48,10 @@ class Encoder:
         self.cut = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")).findall
         self.stable: dict[tuple[int, int], bool] = {}
         self.words = Remembered(lambda w: self._cut(" " + w))
+        self.pieces = Remembered(self._piece)
+        self.byte_ids = [ranks.get(bytes([c]), -1) for c in range(256)]
+        #: The token that two tokens merge to, by both ids.
+        self.pairs = {ranks[b[:k]] << 32 | ranks[b[k:]]: i for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Encoder:
@@ -55,19 +60,20 @@ class Encoder:
 
     def merged(self, piece: bytes) -> list[int]:
         """The tokens of a short piece: the pair of the lowest rank is merged, the first among equals, until none is left."""
-        get = self.ranks.get
-        if (whole := get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        at = list(range(len(piece) + 1))  # where tokens begin, and the end
-        pairs = [get(piece[i : i + 2], _NONE) for i in at[:-2]]
-        while pairs and (least := min(pairs)) < _NONE:
-            i = pairs.index(least)
-            del at[i + 1], pairs[i]
-            if i < len(pairs):
-                pairs[i] = get(piece[at[i] : at[i + 2]], _NONE)
+        get = self.pairs.get
+        ids = [self.byte_ids[c] for c in piece]
+        ranks = [get(a << 32 | b, _NONE) for a, b in pairwise(ids)]
+        while ranks and (least := min(ranks)) < _NONE:
+            i = ranks.index(least)
+            ids[i] = least  # a token's id is its rank
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(least << 32 | ids[i + 1], _NONE)
             if i:
-                pairs[i - 1] = get(piece[at[i - 1] : at[i + 1]], _NONE)
-        return [self.ranks[piece[a:b]] for a, b in pairwise(at)]
+                ranks[i - 1] = get(ids[i - 1] << 32 | least, _NONE)
+        return ids
 
     def decoded(self, tokens: list[int]) -> bytes:
         """The bytes of tokens: leaves of TOKENS each, concatenated up the tree."""
@@ -115,10 +121,11 @@ class Encoder:
         return self._cut(text)
 
     def _cut(self, text: str) -> bytes:
-        return b"".join([self._piece(p) for p in self.cut(text)])
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.encoded(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.encoded(piece.encode("utf-8", "surrogatepass"))
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def decoded_ids(self, ids: bytes) -> bytes:
         return self.decoded(np.frombuffer(ids, "<u4").tolist())
@@ -152,6 +159,8 @@ class Remembered(dict):
 
 
 _NONE = 1 << 40
+#: Packers of short rows of ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
 
 
 @cache
