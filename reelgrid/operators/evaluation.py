@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.timing import MAX_MS, RATES, corrected
+from reelgrid.operators import series
 from reelgrid.operators.catalogue import FEWEST_CUES
 
 # Fixed values.
@@ -51,6 +52,24 @@ def cases(truth: DataFrame) -> DataFrame:
     return out.where("put IS NOT NULL AND put_end IS NOT NULL").select("film", "way", "family", "slack", "ordinal", F.col("put").alias("start_ms"), F.greatest("put", "put_end").alias("end_ms"), "belongs_ms", "text")
 
 
+def mismatched(truth: DataFrame, against: int = 2) -> DataFrame:
+    """(film, of_film, way, family, slack, ordinal, start_ms, end_ms, belongs_ms, text): each film's true cues as if they were another's, of the ``against`` films
+    that follow it in a hashed order, round in a circle. Any correction of these is wrong.
+
+    The order is by ranks, joined with ranks a step away: a film meets ``against`` others, not all of them.
+    """
+    films = truth.select("film").distinct().withColumn("_h", F.conv(F.substring(F.md5(F.col("film").cast("string").cast("binary")), 1, 15), 16, 10).cast("long"))
+    ranked = series.placed(films, [], ["_h", "film"], 1 << 50)  # 1,024 stretches of hashes
+    n = films.agg(F.count("*").alias("_n"))  # one row
+    steps = ranked.crossJoin(F.broadcast(n)).select(F.col("film").alias("of_film"), "place", "_n", F.explode(F.sequence(F.lit(1), F.lit(against))).alias("_j"))
+    others = ranked.select(F.col("film"), F.col("place").alias("_place"))
+    pairs = steps.join(others, F.col("_place") == (F.col("place") + F.col("_j")) % F.col("_n")).where(F.col("film") != F.col("of_film"))
+    first = len(ways())
+    pairs = pairs.select("film", "of_film", (first - 1 + F.col("_j")).cast("int").alias("way"), F.lit("mismatched").alias("family"), F.lit(None).cast("int").alias("slack")).dropDuplicates(["film", "of_film"])
+    lines = truth.select(F.col("film").alias("of_film"), "ordinal", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.lit(None).cast("long").alias("belongs_ms"), "text")
+    return pairs.join(lines, "of_film").select("film", "of_film", "way", "family", "slack", "ordinal", "start_ms", "end_ms", "belongs_ms", "text")
+
+
 def worst_errors(made: DataFrame, corrections: DataFrame) -> DataFrame:
     """(film, way, worst_ms): the furthest that a correction (film, way, offset_ms, rate) puts a line of a case from where it belongs."""
     both = made.join(corrections, ["film", "way"])

@@ -266,26 +266,22 @@ def picture_labels(spark, d):
     return films(spark, d).select("id", labels.picture_kind(F.col("cover_path"), F.col("cover_source"), F.col("subtitles_off")).alias("picture"), labels.cover_name(F.col("cover_source")).alias("cover"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN 'Loading this film was stopped before it could play.' WHEN 2 THEN 'This file could not be read. If it sits on an external drive or a network share, it may have been disconnected.'
-    WHEN 3 THEN 'This file opened but its picture or sound could not be decoded. ' || k WHEN 4 THEN 'This window cannot open this file. ' || k ELSE 'This film could not be played, and the window did not say why.' END AS why FROM
-    (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Matroska files commonly carry HEVC video or DTS audio.' WHEN 1 THEN 'AVI files usually carry an older codec.' WHEN 2 THEN 'Most files of this kind play, so this one is likely HEVC rather than H.264.'
-      WHEN 3 THEN 'WebM normally plays, so this file may be damaged or only partly copied.' ELSE 'The video inside is in a format there is no decoder for.' END || ' A copy encoded as H.264 with AAC audio will play.' AS k FROM orders)""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN 'aborted' WHEN 2 THEN 'the file went away' WHEN 3 THEN 'decoding failed; suspect ' || k WHEN 4 THEN 'not supported; suspect ' || k ELSE 'unknown error' END AS why
+    FROM (SELECT o_orderkey, ['HEVC or DTS', 'an old codec', 'HEVC', 'a damaged copy', 'an unknown format'][o_orderkey % 5 + 1] AS k FROM orders)""")
 def unplayable_sentences(spark, d):
     e = F.element_at(F.array(*(F.lit(x) for x in ("a.MKV", "b.avi", "c.mov", "d.webm", "e.ogv"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return read(spark, d, "orders").select("o_orderkey", labels.unplayable_sentence(F.col("o_orderkey") % 6, e).alias("why"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, ['aligned', 'no-better', 'too-few-cues', 'no-audio', 'uncertain', 'breaks', 'stopped'][o_orderkey % 7 + 1] AS said, (o_orderkey % 41 - 20) * 250 AS ms, o_orderkey % 90 AS n, o_orderkey % 3 AS examined, (o_orderkey % 100) / 100.0 AS b FROM orders),
-    m AS (SELECT *, CASE WHEN ms < 0 THEN '−' WHEN ms > 0 THEN '+' ELSE '' END || printf('%.2f s', abs(ms) / 1000.0) AS moved, CASE WHEN examined = 0 THEN '' ELSE ' As the file stands, ' || CAST(round(b * 100) AS BIGINT) || ' lines in a hundred land on the talking.' END AS measured, ' Nothing has been changed, and the bracket keys still work.' AS kept FROM o)
+    m AS (SELECT *, CASE WHEN ms < 0 THEN '−' WHEN ms > 0 THEN '+' ELSE '' END || printf('%.2f s', abs(ms) / 1000.0) AS moved, CASE WHEN examined > 0 THEN 'on time as written: ' || CAST(round(b * 100) AS BIGINT) || ' %' END AS share FROM o)
     SELECT k, CASE said WHEN 'aligned' THEN 'Lined up' WHEN 'no-better' THEN 'No better than it is' WHEN 'too-few-cues' THEN 'Not enough to go on' WHEN 'no-audio' THEN 'Nothing to listen to' WHEN 'uncertain' THEN 'Not sure enough to say' WHEN 'breaks' THEN 'This film has breaks in it' ELSE 'Stopped' END AS title,
-    CASE said WHEN 'aligned' THEN 'The subtitles now run ' || moved || '. 90 lines in a hundred land on the talking, against ' || CAST(round(b * 100) AS BIGINT) || ' before.'
-      WHEN 'no-better' THEN CASE WHEN examined = 0 THEN 'There was nothing in this film to measure the subtitle against.' ELSE 'Measured and applied, 90 lines in a hundred would land on the talking, against ' || CAST(round(b * 100) AS BIGINT) || ' as the file stands.' END || kept
-      WHEN 'too-few-cues' THEN 'This subtitle has ' || n || ' lines, and it takes about 100 to tell one moment of a film from another.' WHEN 'no-audio' THEN 'This film carries no soundtrack, so there is nothing to measure the subtitles against.'
-      WHEN 'uncertain' THEN 'The lines in this subtitle do not fall where the talking in this film does, whatever they are moved by.' || measured || kept
-      WHEN 'breaks' THEN 'The subtitles fit this film until about 0:' || lpad(CAST(n AS VARCHAR), 2, '0') || ', and after that everything is out by the same amount again.' || measured || kept ELSE 'The subtitles have been left as they were.' END AS sentence FROM m WHERE n < 60""")
+    CASE said WHEN 'aligned' THEN concat_ws('; ', 'moved by ' || moved, 'on time if moved: 90 %', share) WHEN 'no-better' THEN concat_ws('; ', CASE WHEN examined > 0 THEN 'on time if moved: 90 %' ELSE 'no speech near any line' END, share)
+      WHEN 'too-few-cues' THEN n || ' lines of the 100 that are needed' WHEN 'no-audio' THEN 'the film is silent' WHEN 'uncertain' THEN concat_ws('; ', 'no shift fits', share)
+      WHEN 'breaks' THEN concat_ws('; ', 'fits up to ' || (n // 60) || ':' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') || ', a constant step after', share) ELSE 'stopped before the end' END AS sentence FROM m""")
 def outcome_sentences(spark, d):
     said = F.element_at(F.array(*(F.lit(x) for x in ("aligned", "no-better", "too-few-cues", "no-audio", "uncertain", "breaks", "stopped"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
-    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), said.alias("outcome"), ((F.col("o_orderkey") % 41 - 20) * 250).alias("offset_ms"), (F.col("o_orderkey") % 90).alias("n_cues"), (F.col("o_orderkey") % 3).alias("examined"), (F.col("o_orderkey") % 100 / 100.0).alias("before")).where("n_cues < 60")
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), said.alias("outcome"), ((F.col("o_orderkey") % 41 - 20) * 250).alias("offset_ms"), (F.col("o_orderkey") % 90).alias("n_cues"), (F.col("o_orderkey") % 3).alias("examined"), (F.col("o_orderkey") % 100 / 100.0).alias("before"))
     given = {c: F.col(c) for c in o.columns} | {"rate": F.lit(1.0), "after": F.lit(0.9), "at_ms": F.col("n_cues") * 1000, "codec": F.lit(None), "message": F.lit(None).cast("string"), "agreed": F.lit(0), "across": F.lit(0), "spread_ms": F.lit(0), "against": F.lit(None).cast("string")}
     return o.select("k", labels.outcome_title(F.col("outcome")).alias("title"), labels.outcome_sentence(given).alias("sentence"))
 
@@ -431,23 +427,25 @@ def cover_decisions(spark, d):
     return covers.chosen(rows, found, named).select("film", "cover.path", "cover.source")
 
 
-@query("""WITH w AS (SELECT s_suppkey AS id, '/d' || (s_suppkey % 25) || '/s' || s_suppkey AS path FROM supplier), p AS (SELECT DISTINCT '/d' || (o_custkey % 25) || '/s' || (o_custkey % 100) || CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN '/x/y.srt' ELSE 'x/y.srt' END AS path FROM orders WHERE o_orderkey < 400)
+@query("""WITH w AS (SELECT s_suppkey AS id, '/d' || (s_suppkey % 25) || '/s' || s_suppkey AS path FROM supplier), p AS (SELECT DISTINCT '/d' || (o_custkey % 25) || '/s' || (o_custkey % 100) || CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN '/x/y.srt' ELSE 'x/y.srt' END AS path FROM orders)
     SELECT id, path FROM w WHERE EXISTS (SELECT 1 FROM p WHERE p.path = w.path OR starts_with(p.path, w.path || '/'))""")
 def touched_folders(spark, d):
     w = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("/d"), F.col("s_suppkey") % 25, F.lit("/s"), F.col("s_suppkey")).alias("path"))
-    o = read(spark, d, "orders").where("o_orderkey < 400")
+    o = read(spark, d, "orders")
     tail = F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, "/x/y.srt").otherwise("x/y.srt")
     return catalogue.touched_folders(w, o.select(F.concat(F.lit("/d"), F.col("o_custkey") % 25, F.lit("/s"), F.col("o_custkey") % 100, tail).alias("path")))
 
 
-@query("""WITH p AS (SELECT DISTINCT '/r' || (o_custkey % 40) || CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN '/a' || (o_orderkey % 7) ELSE '/a' || (o_orderkey % 7) || '/b' END AS path FROM orders WHERE o_orderkey < 90) SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.path <> p.path AND starts_with(p.path, q.path || '/'))""")
+@query("""WITH p AS (SELECT DISTINCT '/r' || o_custkey || CASE WHEN o_orderkey % 30 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN '/a' || (o_orderkey % 7) ELSE '/a' || (o_orderkey % 7) || '/b' END AS path FROM orders),
+    s AS (SELECT path, '/' || split_part(path, '/', 2) AS one, '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) AS two FROM p)
+    SELECT path FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.path = s.one AND p.path <> s.path) AND NOT EXISTS (SELECT 1 FROM p WHERE p.path = s.two AND p.path <> s.path)""")
 def outermost_folders(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey < 90")
-    tail = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("/a"), F.col("o_orderkey") % 7)).otherwise(F.concat(F.lit("/a"), F.col("o_orderkey") % 7, F.lit("/b")))
-    return catalogue.outermost(o.select(F.concat(F.lit("/r"), F.col("o_custkey") % 40, tail).alias("path")))
+    inner = F.concat(F.lit("/a"), F.col("o_orderkey") % 7)
+    tail = F.when(F.col("o_orderkey") % 30 == 0, F.lit("")).when(F.col("o_orderkey") % 3 == 1, inner).otherwise(F.concat(inner, F.lit("/b")))
+    return catalogue.outermost(read(spark, d, "orders").select(F.concat(F.lit("/r"), F.col("o_custkey"), tail).alias("path")))
 
 
-TRUTH = f"(SELECT track_id AS film, ordinal, start_ms, end_ms, text FROM {CUES} WHERE track_id < 20)"
+TRUTH = f"(SELECT track_id AS film, ordinal, start_ms, end_ms, text FROM {CUES})"
 WAYS = ", ".join(f"({w}, '{f}', {o!r}::DOUBLE, {r!r}::DOUBLE, {'NULL' if s is None else s})" for w, f, o, r, s in evaluation.ways())
 
 
@@ -460,7 +458,7 @@ CASES = f"""c AS (SELECT t.*, v.*, CAST(floor(l.last * 0.4) AS BIGINT) AS cut, C
 
 
 def truth(spark, d):
-    return track_cues(spark, d).where("track_id < 20").select(F.col("track_id").alias("film"), "ordinal", "start_ms", "end_ms", "text")
+    return track_cues(spark, d).select(F.col("track_id").alias("film"), "ordinal", "start_ms", "end_ms", "text")
 
 
 @query(f"""WITH {CASES} SELECT film, way, family, CAST(count(*) AS BIGINT) AS n, CAST(sum(a) AS BIGINT) AS starts, CAST(sum(greatest(a, b)) AS BIGINT) AS ends FROM k WHERE a >= 0 AND b >= 0 GROUP BY ALL""")
@@ -484,6 +482,14 @@ def evaluation_sweep(spark, d):
     return evaluation.sweep(t, alignment.LANDING_BAR)
 
 
+@query(f"""WITH t AS {TRUTH}, f AS (SELECT film, row_number() OVER (ORDER BY substr(md5(CAST(film AS VARCHAR)), 1, 15), film) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT film FROM t)),
+    p AS (SELECT DISTINCT a.film AS of_film, b.film, j FROM f a, (VALUES (1), (2)) v(j), f b WHERE b.place = (a.place + j) % a.n AND b.film <> a.film)
+    SELECT p.film, of_film, 17 + j AS way, 'mismatched' AS family, count(*) AS n, CAST(sum(start_ms) AS BIGINT) AS starts FROM p JOIN t ON t.film = p.of_film GROUP BY ALL""")
+def mismatched_cases(spark, d):
+    made_ = evaluation.mismatched(truth(spark, d), 2)
+    return made_.groupBy("film", "of_film", F.col("way").cast("int").alias("way"), "family").agg(F.count("*").alias("n"), F.sum("start_ms").alias("starts"))
+
+
 @query(f"""WITH t AS {T_}, l AS (SELECT id AS track_id, id % 100 / 100.0 AS fraction FROM t) SELECT film_id AS film, max_by(id, struct_pack(c := cue_count, b := -id)) AS track_id FROM t JOIN l ON l.track_id = t.id WHERE cue_count >= 100 AND fraction >= 0.5 GROUP BY film_id""")
 def true_tracks(spark, d):
     t = tracks(spark, d)
