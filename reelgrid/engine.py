@@ -7,6 +7,7 @@ Times are epoch milliseconds given by the caller, so that everything can be repe
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from reelgrid.streaming.changes import OneAtATime
 class Library:
     """Tables under root; folders are watched where the workers can read them."""
 
-    def __init__(self, spark: SparkSession, root: str, now: int = 0):
-        self.spark, self.store = spark, tables.Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, now: int = 0, buckets: int = 64, pack: tuple[int, int] = (mutations.PACK_TRACKS, mutations.PACK_CUES)):
+        """buckets: of the tables that are changed in part; pack: tracks and cues of one commit of a scan (larger packs are fewer jobs)."""
+        self.spark, self.store, self.pack = spark, tables.Store(spark, root, buckets), pack
         self.aligning, self.scanning = OneAtATime(spark, "alignment"), OneAtATime(spark, "scan")
         self.left_out: DataFrame | None = None
         folders.register(spark)
@@ -66,11 +68,9 @@ class Library:
         left = upserts.cascade({n: self.table(n) for n in ("film", "subtitle_track", "cue", "playback_position", "audio_stream")}, written(gone, "gone"))
         self._write({**left, "watched_folder": self.table("watched_folder").where(F.col("id") != folder_id)})
 
-    def _write(self, changed: dict[str, DataFrame]) -> None:
-        """New versions of tables that were made of each other: all are worked out before the first is written."""
-        held = {name: written(rows, name) for name, rows in changed.items()}
-        for name, rows in held.items():
-            self.store.write(name, rows)
+    def _write(self, changed: dict[str, DataFrame | tables.Part], batch: str | None = None) -> None:
+        """New rows of tables that were made of each other, as one commit."""
+        self.store.commit(changed, batch)
 
     def folders_for_paths(self, paths: list[str]) -> list[str]:
         """The folders to watch for some dropped paths: folders themselves, those that files lie in, each once and none inside another."""
@@ -102,7 +102,7 @@ class Library:
             self.left_out = closed.select("path", F.lit("unreadable").alias("outcome"))
             return self._counted(seen.where("readable"), root, 0, 0, 0)
         files = seen.where("readable")
-        films, tracks, cues = self.table("film"), self.table("subtitle_track"), self.table("cue")
+        films, tracks, no_cues = self.table("film"), self.table("subtitle_track"), self.spark.createDataFrame([], tables.SCHEMAS["cue"])
         of = lambda kind: files.where(F.col("kind") == kind)
 
         # films
@@ -143,7 +143,7 @@ class Library:
         gone = plan.where("action = 'remove'").select("path")
         removed = written(tracks.where("origin = 'sidecar'").join(gone, "path", "left_semi").select("id"), "removed")
         kept = upserts.repaired(upserts.without(tracks, removed, "id", "id"), pairs.join(plan.where("action = 'repoint'"), "path", "left_semi"))
-        new_tracks, new_cues = mutations.written_tracks(kept, upserts.without(cues, removed, "track_id", "id"), made, got.join(ids, "path"))
+        new_tracks, made_cues = mutations.written_tracks(kept, no_cues, made, got.join(ids, "path"))
 
         # films that are new or changed
         whole = jobs.select("path").join(now_films.select("path", F.col("id").alias("film_id")), "path")
@@ -157,7 +157,7 @@ class Library:
         streams = written(mutations.numbered_ids(stored, streams, ["path", "stream_number"]), "streams")
         stream_cues = said.join(streams.select("path", "stream_number", F.col("id").alias("track_id")), ["path", "stream_number"])
         opened = probe.select("film_id")
-        now_tracks, now_cues, now_films = mutations.with_streams(written(stored, "stored"), new_cues, upserts.nulled(now_films, removed, "chosen_track_id", "id"), streams, stream_cues, opened, now)
+        now_tracks, stream_cues, now_films = mutations.with_streams(written(stored, "stored"), no_cues, upserts.nulled(now_films, removed, "chosen_track_id", "id"), streams, stream_cues, opened, now)
         facts = probe.select(F.col("film_id").alias("id"), container_name(base_name(F.col("path"))).alias("container"), codec_name(F.col("video_codec_id"), VIDEO_CODECS).alias("video_codec"), F.col("width").cast("int").alias("video_width"), F.col("height").cast("int").alias("video_height"), F.col("bit_depth").cast("int").alias("bit_depth"), frame_rate(F.col("frame_ns")).alias("frame_rate"), "duration_ms")
         sound = probe.select("film_id", F.explode("audio").alias("a")).select("film_id", "a.stream_number", F.col("a.codec_id").alias("codec"), F.col("a.channels").cast("int").alias("channels"), "a.language", "a.is_default")
         described, now_audio = mutations.described(now_films, self.table("audio_stream"), facts, sound)
@@ -173,10 +173,31 @@ class Library:
         opened_art = probe.select("path").join(art, "path", "left").select("path", F.coalesce("_art", F.lit(False)).alias("opened"))
         known = catalogue.covers(here).join(here.select("id", "path"), "id").join(opened_art, "path", "left").select(F.col("path").alias("film"), F.col("cover").alias("recorded"), "opened")
         decided = covers.chosen(known, offered, thumbs).join(here.select("id", F.col("path").alias("film")), "film").select("id", "cover")
-        self._write({"film": mutations.set_covers(now_films, decided).drop("changed"), "subtitle_track": now_tracks, "cue": now_cues, "audio_stream": now_audio})
+        final = written(mutations.set_covers(now_films, decided).drop("changed"), "final")
+        now_tracks = written(now_tracks, "now_tracks")
+        gone = written(tracks.select("id").join(now_tracks.select("id"), "id", "left_anti"), "gone")
+        # films first, as tracks refer to them, with the choices that still hold; then the tracks that were read, in packs; then what went
+        self._write({"film": final, "audio_stream": now_audio}, f"scan-{folder_id}-{now}-films")
+        fresh = written(made.select("id").unionByName(streams.select("id")).distinct(), "fresh")
+        packs = written(mutations.packed(now_tracks.join(fresh, "id", "left_semi"), *self.pack), "packs")
+        read_cues = written(made_cues.unionByName(stream_cues), "read_cues")
+        for pack in sorted(r.pack for r in packs.select("pack").distinct().collect()):  # as many as a scan has commits
+            own = packs.where(F.col("pack") == pack).drop("pack")
+            self._replaced(own, read_cues.join(own.select(F.col("id").alias("track_id")), "track_id", "left_semi"), f"scan-{folder_id}-{now}-{pack}")
+        if not gone.isEmpty():
+            self._replaced(gone, no_cues, f"scan-{folder_id}-{now}-gone")
+        moved = written(now_tracks.join(fresh, "id", "left_anti"), "moved")  # pairs that other films have now
+        self._changed("subtitle_track", moved.select("id"), lambda stored: mutations.set_columns(stored, "id", moved, [c for c in moved.columns if c != "id"]))
         self.left_out = closed.select("path", F.lit("unreadable").alias("outcome")).unionByName(held.where("outcome <> 'ok'").select("path", "outcome")).unionByName(probe.where("outcome <> 'ok'").select("path", "outcome"))
         return self._counted(files, root, jobs.count(), read.count(), removed.count())
 
+    def _replaced(self, own: DataFrame, cues: DataFrame, batch: str) -> None:
+        """One commit of tracks (id, or whole rows) and their cues in place of what is stored of them; of ids alone, nothing in their place."""
+        touched = self.store.buckets_of("cue", own.select("id"))
+        stored, said = self.store.read("subtitle_track", touched), self.store.read("cue", touched)
+        kept = upserts.without(stored, own, "id", "id")
+        self._write({"subtitle_track": tables.Part(kept.unionByName(own.select(stored.columns)) if len(own.columns) > 1 else kept, touched), "cue": tables.Part(upserts.without(said, own, "track_id", "id").unionByName(cues.select(said.columns)), touched)}, batch)
+
     def _counted(self, files: DataFrame, root: str, opened: int, read: int, removed: int) -> DataFrame:
         """One row: what was found under a root and what was done about it. ``left_out`` has the paths (path, outcome) that couldn't be read."""
         total = catalogue.scan_counts(files.withColumn("folder", F.lit(root)))
@@ -193,7 +214,7 @@ class Library:
 
     def save_position(self, film_id: int, position_ms: int, duration_ms: int | None, finished: bool, now: int) -> bool:
         fresh = self.spark.createDataFrame([(film_id, position_ms, duration_ms, finished, now)], tables.SCHEMAS["playback_position"])
-        return self._changed("playback_position", mutations.saved_positions(self.table("playback_position"), fresh))
+        return self._changed("playback_position", fresh.select("film_id"), lambda stored: mutations.saved_positions(stored, fresh))
 
     def set_preference(self, key: str, value: str | None) -> None:
         """Stores a preference; None forgets it."""
@@ -202,27 +223,28 @@ class Library:
 
     def correct(self, track_id: int, offset_ms: int, rate: float) -> bool:
         fresh = self.spark.createDataFrame([(track_id, offset_ms, rate)], "id long, offset_ms int, rate double")
-        return self._changed("subtitle_track", mutations.with_corrections(self.table("subtitle_track"), fresh))
+        return self._changed("subtitle_track", fresh.select("id"), lambda stored: mutations.with_corrections(stored, fresh))
 
     def choose_track(self, film_id: int, track_id: int | None, off: bool = False) -> bool:
         """A film's track, no subtitles, or no choice. Another film's track is Refused."""
         fresh = self.spark.createDataFrame([(film_id, track_id, off)], "id long, track_id long, off boolean")
-        new = written(mutations.chosen_tracks(self.table("film"), self.table("subtitle_track"), fresh), "choice")
-        if not new.where("refused").isEmpty():
+        tracks = self.table("subtitle_track").where(F.col("id").eqNullSafe(F.lit(track_id).cast("long")))
+        if track_id is not None and not off and tracks.where(F.col("film_id") == film_id).isEmpty():
             raise mutations.Refused(f"track {track_id} isn't film {film_id}'s")
-        return self._changed("film", new.drop("refused"))
+        return self._changed("film", fresh.select("id"), lambda stored: mutations.chosen_tracks(stored, tracks, fresh).drop("refused"))
 
     def choose_cover(self, film_id: int, path: str | None) -> bool:
         """A picture for a film, which stays until it is cleared by None."""
         fresh = self.spark.createDataFrame([(film_id, (path, "chosen") if path else None)], "id long, cover struct<path: string, source: string>")
-        return self._changed("film", mutations.set_covers(self.table("film"), fresh))
+        return self._changed("film", fresh.select("id"), lambda stored: mutations.set_covers(stored, fresh))
 
     def covers_from_folder(self, folder: str) -> bool:
         """Chosen covers for all films that a picture in a folder is named after."""
         files = self.spark.read.format("folder").load(folder).where(F.col("readable") & (file_kind(base_name(F.col("path"))) == "image"))
         films = self.table("film").select("id", F.col("path").alias("film"), parsed_name(base_name(F.col("path"))).alias("n")).select("id", "film", "n.key", "n.year")
         found = covers.from_folder(films, ranged.contents(files.select("path")).where("outcome = 'ok'").select("path", "content"))
-        return self._changed("film", mutations.set_covers(self.table("film"), found.join(films.select("id", "film"), "film").select("id", "cover")))
+        fresh = written(found.join(films.select("id", "film"), "film").select("id", "cover"), "covers")
+        return self._changed("film", fresh.select("id"), lambda stored: mutations.set_covers(stored, fresh))
 
     def posters_wanted(self, directory: str) -> DataFrame:
         """(id, path, cover) of films whose cached picture in a directory is stale or isn't there."""
@@ -234,7 +256,7 @@ class Library:
         row = self.spark.createDataFrame([(film_id, path, accent)], "id long, poster_path string, accent string")
         if accent is not None and not row.where(labels.colour_pair(F.col("accent")).isNull()).isEmpty():
             raise mutations.Refused("that is not a pair of colours")
-        return self._changed("film", mutations.set_columns(self.table("film"), "id", row, ["poster_path"], ["accent"]))
+        return self._changed("film", row.select("id"), lambda stored: mutations.set_columns(stored, "id", row, ["poster_path"], ["accent"]))
 
     def attach(self, film_id: int, path: str, now: int) -> None:
         """Gives a subtitle file to a film by hand."""
@@ -244,8 +266,9 @@ class Library:
         named = text.select("path", "encoding", F.octet_length("text").cast("long").alias("size_bytes"), parsed_name(base_name(F.col("path"))).alias("n"))
         row = named.select(F.lit(None).cast("long").alias("id"), F.lit(film_id).cast("long").alias("film_id"), "path", F.lit("sidecar").alias("origin"), F.lit(0).cast("long").alias("stream_number"), F.lit("subrip").alias("codec"), "n.language", "n.forced", "n.hearing_impaired", F.lit("by-hand").alias("match_kind"), "encoding", F.lit(cues.count()).cast("long").alias("cue_count"), "size_bytes", F.lit(now).cast("long").alias("modified_at"), F.lit(0).alias("offset_ms"), F.lit(1.0).alias("rate"))
         row = written(mutations.numbered_ids(tracks, row, ["path", "stream_number"]), "row")
-        new, said = mutations.attached(tracks, self.table("cue"), self.table("film"), film_id, row, cues.join(row.select("path", F.col("id").alias("track_id")), "path"))
-        self._write({"subtitle_track": new, "cue": said})
+        touched = self.store.buckets_of("cue", row.select("id"))  # both tables are dealt by the track's id
+        new, said = mutations.attached(self.store.read("subtitle_track", touched), self.store.read("cue", touched), self.table("film"), film_id, row, cues.join(row.select("path", F.col("id").alias("track_id")), "path"))
+        self._write({"subtitle_track": tables.Part(new, touched), "cue": tables.Part(said, touched)})
 
     def cancel_alignment(self) -> None:
         self.aligning.cancel()
@@ -264,7 +287,8 @@ class Library:
 
     def _align(self, wanted: DataFrame | None) -> DataFrame:
         decided = written(decisions.outcomes(self.table("subtitle_track"), self.table("cue"), self._listened, wanted), "outcomes")
-        self._changed("subtitle_track", mutations.with_corrections(self.table("subtitle_track"), decisions.corrections(decided)))
+        fresh = decisions.corrections(decided)
+        self._changed("subtitle_track", fresh.select("id"), lambda stored: mutations.with_corrections(stored, fresh))
         return decided
 
     def _listened(self, films: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -276,10 +300,11 @@ class Library:
         length = level.groupBy("film").agg((F.max("bin") + 1).alias("film_bins"))
         return said, alignment.speech(level).join(length, "film")
 
-    def _changed(self, name: str, new: DataFrame) -> bool:
-        """Writes a table whose rows say whether they changed, if one did."""
-        held = written(new, name)
+    def _changed(self, name: str, keys: DataFrame, make: Callable[[DataFrame], DataFrame]) -> bool:
+        """Commits the buckets of a table that hold keys, after make(), whose rows say whether they changed; if one did."""
+        part = self.store.part(name, keys, make)
+        held = written(part.rows, name)
         if held.where("changed").isEmpty():
             return False
-        self.store.write(name, held)
+        self.store.commit({name: tables.Part(held, part.buckets)})
         return True

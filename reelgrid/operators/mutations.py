@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.functions.timing import clamped_offset, clamped_rate
+from reelgrid.operators import series
 from reelgrid.operators.upserts import differs, nulled, replaced, upserted, without
 
 LEAST_POSITION_MS = 1_000
+# What one commit of tracks holds.
+PACK_TRACKS, PACK_CUES = 64, 20_000
 
 
 class Refused(ValueError):
@@ -133,6 +136,16 @@ def written_tracks(tracks: DataFrame, cues: DataFrame, found: DataFrame, found_c
     return upserted(tracks, _by_hand_kept(tracks, found.select(tracks.columns)), ["path", "stream_number"], columns), without(cues, found, "track_id", "id").unionByName(found_cues.select(cues.columns))
 
 
+def packed(tracks: DataFrame, most_tracks: int = PACK_TRACKS, most_cues: int = PACK_CUES) -> DataFrame:
+    """tracks (id, cue_count) with ``pack``: which commit each belongs to, in order of ids and the same whenever it is worked out.
+
+    A pack has ``most_tracks`` tracks at most, and a track isn't put to a pack that has ``most_cues`` cues already. By sums of what comes before a
+    track: each step of either sum over a limit begins a pack, so numbers rise and may leave some out.
+    """
+    sums = {"_tracks": F.lit(1), "_cues": F.coalesce("cue_count", F.lit(0))}
+    return series.running(tracks, [], ["id"], 1 << 16, sums).withColumn("pack", (F.floor(F.col("_tracks") / most_tracks) + F.floor(F.col("_cues") / most_cues)).cast("long")).drop("_tracks", "_cues")
+
+
 def attached(tracks: DataFrame, cues: DataFrame, films: DataFrame, film_id: int, track: DataFrame, track_cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tracks, cues) after a subtitle file was given to a film by hand. track: one row with an id, track_cues its cues.
 

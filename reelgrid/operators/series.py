@@ -24,15 +24,24 @@ def carried(rows: DataFrame, by: Sequence[str], chunk: str, values: dict[str, Co
     return own.select(*by, chunk, *(c.alias(name) for name, c in merged.items()))
 
 
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], width: int, sums: dict[str, Column]) -> DataFrame:
+    """rows with the sums of whole numbers over all rows before them in their series.
+
+    The first order column is a number, dealt to chunks of ``width``; a chunk's rows are summed in one task, the chunks' sums over one row for each.
+    """
+    dealt = rows.withColumn("_chunk", F.floor(F.col(order[0]) / width)).withColumns({f"_{name}": v.cast("long") for name, v in sums.items()})
+    inner = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*(F.col(b).alias(f"_of_{b}") for b in by), F.col("_chunk").alias("_of_chunk")).agg(*(F.sum(f"_{name}").alias(f"_sum_{name}") for name in sums))
+    outer = Window.partitionBy(*(f"_of_{b}" for b in by)).orderBy("_of_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*(f"_of_{b}" for b in by), "_of_chunk", *(F.coalesce(F.sum(f"_sum_{name}").over(outer), F.lit(0)).alias(f"_before_{name}") for name in sums))
+    met = dealt.withColumns({f"_in_{name}": F.coalesce(F.sum(f"_{name}").over(inner), F.lit(0)) for name in sums})
+    met = met.join(before, [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by] + [F.col("_chunk").eqNullSafe(F.col("_of_chunk"))])
+    return met.select(*rows.columns, *((F.col(f"_before_{name}") + F.col(f"_in_{name}")).cast("long").alias(name) for name in sums))
+
+
 def placed(rows: DataFrame, by: Sequence[str], order: Sequence[str], width: int, name: str = "place") -> DataFrame:
-    """rows with their place in each series from 0. The first order column is a number, dealt to chunks of ``width``; a chunk's rows are numbered in one task."""
-    chunk = F.floor(F.col(order[0]) / width)
-    dealt = rows.withColumn("_chunk", chunk)
-    counts = dealt.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    k = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(*order))
-    met = dealt.withColumn("_k", k).join(counts.select(*(F.col(b).alias(f"_of_{b}") for b in by), F.col("_chunk").alias("_of_chunk"), before.alias("_before")), [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by] + [F.col("_chunk").eqNullSafe(F.col("_of_chunk"))])
-    return met.select(*rows.columns, (F.col("_before") + F.col("_k") - 1).cast("long").alias(name))
+    """rows with their place in each series from 0, as running() sums them; order columns tell all rows of a series apart."""
+    return running(rows, by, order, width, {name: F.lit(1)})
 
 
 def with_halo(rows: DataFrame, place: str, halo: int, size: int | None = None) -> DataFrame:

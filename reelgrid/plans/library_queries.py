@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.functions import labels, names, text, timing
-from reelgrid.operators import alignment, catalogue, covers, evaluation, library, mutations, upserts
+from reelgrid.operators import alignment, catalogue, covers, evaluation, library, mutations, series, upserts
 from reelgrid.plans.queries import query, read
 
 SOURCES = "CASE c_custkey % 7 WHEN 0 THEN 'chosen' WHEN 1 THEN 'in-file' WHEN 2 THEN 'beside' WHEN 3 THEN 'sidecar' WHEN 4 THEN 'folder-above' WHEN 5 THEN 'none' ELSE 'odd' END"
@@ -461,6 +461,19 @@ def truth(spark, d):
     return track_cues(spark, d).select(F.col("track_id").alias("film"), "ordinal", "start_ms", "end_ms", "text")
 
 
+@query(f"""WITH t AS (SELECT id, cue_count, row_number() OVER (ORDER BY id) - 1 AS tracks, coalesce(sum(cue_count) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cues FROM {T_})
+    SELECT id, tracks // 64 + CAST(cues AS BIGINT) // 20000 AS pack FROM t""")
+def track_packs(spark, d):
+    """Commits of tracks: 64 tracks or 20,000 cues each."""
+    return mutations.packed(tracks(spark, d)).select("id", "pack")
+
+
+@query(f"""SELECT film_id, tracks_before, cues_before FROM (SELECT id, film_id, row_number() OVER (PARTITION BY film_id ORDER BY id) - 1 AS tracks_before, CAST(coalesce(sum(cue_count) OVER (PARTITION BY film_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cues_before FROM {T_})""")
+def running_sums(spark, d):
+    """Sums over what comes before, in chunks of each series."""
+    return series.running(tracks(spark, d), ["film_id"], ["id"], 1000, {"tracks_before": F.lit(1), "cues_before": F.col("cue_count")}).select("film_id", "tracks_before", "cues_before")
+
+
 @query(f"""WITH {CASES} SELECT film, way, family, CAST(count(*) AS BIGINT) AS n, CAST(sum(a) AS BIGINT) AS starts, CAST(sum(greatest(a, b)) AS BIGINT) AS ends FROM k WHERE a >= 0 AND b >= 0 GROUP BY ALL""")
 def spoilt_cases(spark, d):
     return evaluation.cases(truth(spark, d)).groupBy("film", "way", "family").agg(F.count("*").alias("n"), F.sum("start_ms").alias("starts"), F.sum("end_ms").alias("ends"))

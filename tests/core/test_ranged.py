@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.operators import alignment
+from reelgrid.operators import alignment, mutations
 from reelgrid.sources import audio, folders, matroska, ranged, tables
 from reelgrid.streaming import changes
 from tests.core.test_sources import element, film
@@ -152,6 +152,59 @@ def test_store_keeps_the_last_whole_version(spark, tmp_path):
     assert not (tmp_path / "lib" / "preference" / "version=1").exists()
 
 
+def files_of(root, name):
+    return {p.relative_to(root): p.stat().st_mtime_ns for p in (root / name).rglob("*.parquet")}
+
+
+def test_a_change_writes_its_bucket_only(spark, tmp_path):
+    root = tmp_path / "lib"
+    store = tables.Store(spark, str(root), buckets=8)
+    cues = spark.range(400).select((F.col("id") % 40).alias("track_id"), F.col("id").cast("int").alias("ordinal"), F.col("id").alias("start_ms"), (F.col("id") + 5).alias("end_ms"), F.lit(None).cast("int").alias("position"), F.lit("a").alias("text"))
+    store.commit({"cue": cues, "preference": spark.createDataFrame([("a", "1")], "key string, value string")})
+    before = files_of(root, "cue")
+    one = spark.createDataFrame([(7,)], "id long")
+    n = store.commit({"cue": store.part("cue", one, lambda rows: rows.withColumn("text", F.when(F.col("track_id") == 7, "b").otherwise(F.col("text"))))})
+    fresh = set(files_of(root, "cue")) - set(before)
+    assert fresh and len({p.parts[2] for p in fresh}) == 1 and before.items() <= files_of(root, "cue").items()
+    assert {(r.text, r.n) for r in store.read("cue").groupBy("text").agg(F.count("*").alias("n")).collect()} == {("a", 390), ("b", 10)}
+    store.commit({"cue": tables.Part(store.read("cue", []), store.buckets_of("cue", one))})  # a bucket that is empty now
+    assert store.read("cue").where("track_id = 7").count() == 0 and store.read("preference").count() == 1 and store.version("cue") == n + 1
+    store.commit({"cue": store.part("cue", spark.createDataFrame([(8,)], "id long"), lambda rows: rows)})
+    assert all(store._paths("cue", store.current()[1]["tables"]["cue"])) and len(list((root / "_commits").glob("[0-9]*"))) == 2
+
+
+def test_tables_change_together_or_not_at_all(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "lib"), buckets=4)
+    prefs = lambda v: spark.createDataFrame([("a", v)], "key string, value string")
+    films = spark.createDataFrame([(1, "/f")], "id long, path string")
+    store.commit({"preference": prefs("1"), "film": films}, "one")
+
+    @F.udf("string")
+    def broken(x):
+        raise ValueError(x)
+
+    with pytest.raises(Exception, match="broken|ValueError"):
+        store.commit({"preference": prefs("2"), "film": films.withColumn("path", broken("path"))})
+    assert store.read("preference").first().value == "1" and store.read("film").first().path == "/f"
+    at = store.version("preference")
+    assert store.commit({"preference": prefs("3")}, "one") == at and store.read("preference").first().value == "1"  # a batch that is tried again
+    assert store.commit({"preference": prefs("3")}, "two") == at + 1 and store.read("preference").first().value == "3"
+    with pytest.raises(tables.Conflict):
+        store._publish(at + 1, {})
+
+
+def test_packs_are_bounded_and_repeatable(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([0, 10, 900, 25_000])) for i in rng.sample(range(200_000), 500)]
+    tracks = spark.createDataFrame(rows, "id long, cue_count long")
+    got = [r for r in mutations.packed(tracks).sort("id").collect()]
+    assert got == mutations.packed(tracks.repartition(7)).sort("id").collect()
+    packs = {}
+    for r in got:
+        packs.setdefault(r.pack, []).append(r.cue_count)
+    assert list(packs) == sorted(packs) and all(len(p) <= 64 and sum(p[:-1]) < 20_000 for p in packs.values()) and len(packs) > 50
+
+
 def test_migrations_run_once_and_refuse_what_is_newer(spark, tmp_path):
     store = tables.Store(spark, str(tmp_path / "lib"))
     old = spark.createDataFrame([(1, 1, "/a/f.mkv", "f")], "id long, folder_id long, path string, title string")
