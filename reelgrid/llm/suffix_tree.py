@@ -210,8 +210,10 @@ def grown(training: DataFrame, counts: DataFrame, text: str = "text") -> Tree:
     candidates = np.flatnonzero((codes.counts >= LEAST_CONTEXT * total) & (np.arange(base) != end)) if base else np.zeros(0, np.int64)
     held = {}
     for depth in range(1, DEPTH + 1):
-        if not len(candidates) or base ** (depth + 1) >= 1 << 62:
+        if not len(candidates):
             break
+        if base ** (depth + 1) >= 1 << 62:
+            raise ValueError(f"{base} symbols and contexts of {depth} words don't fit into 62 bits")
         sums = _ngram_counts(texts, codes, candidates, depth)
         within = codes.counts[candidates] if depth == 1 else held["next_totals"]
         share = dict(zip(candidates.tolist(), within.tolist(), strict=True))
