@@ -13,13 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.functions import charsets
 from reelgrid.functions.text import cleaned
 from reelgrid.functions.timing import parse_clock
 
-WINDOW = 16 * 1024
-#: Guesses for bytes that aren't UTF-8, by what their letters look like.
-LATIN, CYRILLIC = "windows-1252", "windows-1251"
-
 
 def decode_bytes(raw: bytes | None) -> tuple[str, str, bool]:
     """(text, encoding, whether bytes were replaced): by byte-order mark, then the shape of UTF-16, strict UTF-8, and a guess."""
@@ -38,10 +35,8 @@ def decode_bytes(raw: bytes | None) -> tuple[str, str, bool]:
         return raw.decode("utf-8"), "utf-8", False
     except UnicodeDecodeError:
         pass
-    high = [b for b in raw[:WINDOW] if b >= 0x80]
-    pairs = sum(a >= 0xC0 and b >= 0xC0 for a, b in zip(raw[:WINDOW], raw[1:WINDOW], strict=False))
-    name = CYRILLIC if pairs * 2 > len(high) else LATIN
-    text = raw.decode(name, "replace")
+    name, codec = charsets.guessed(raw)
+    text = raw.decode(codec, "replace")
     return text, name, "�" in text
 
 
