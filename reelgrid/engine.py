@@ -18,7 +18,7 @@ from reelgrid.functions.names import parsed_name
 from reelgrid.functions.timing import frame_rate
 from reelgrid.operators import alignment, catalogue, covers, decisions, library, mutations, pairing, subtitles, upserts
 from reelgrid.sources import audio, folders, matroska, ranged, tables
-from reelgrid.sources.shared import written
+from reelgrid.sources.shared import Watch, written
 from reelgrid.streaming.changes import OneAtATime
 
 
@@ -30,6 +30,7 @@ class Library:
         self.spark, self.store, self.pack = spark, tables.Store(spark, root, buckets), pack
         self.aligning, self.scanning = OneAtATime(spark, "alignment"), OneAtATime(spark, "scan")
         self.left_out: DataFrame | None = None
+        self.listening: Watch | None = None
         folders.register(spark)
         self.store.migrate(now)
 
@@ -271,7 +272,13 @@ class Library:
         self._write({"subtitle_track": tables.Part(new, touched), "cue": tables.Part(said, touched)})
 
     def cancel_alignment(self) -> None:
-        self.aligning.cancel()
+        """Films that are being listened to, or still to come, have the outcome "stopped"; what was measured before stays."""
+        if self.listening:
+            self.listening.stop()
+
+    def alignment_progress(self) -> float:
+        """The share of the films' sound that was listened to, while align_all() runs in another thread."""
+        return self.listening.fraction if self.listening else 0.0
 
     def align(self, track_id: int) -> str:
         """align_all() of one track; its outcome."""
@@ -286,6 +293,7 @@ class Library:
         return self.aligning.run(lambda: self._align(wanted))
 
     def _align(self, wanted: DataFrame | None) -> DataFrame:
+        self.listening = Watch(self.spark)
         decided = written(decisions.outcomes(self.table("subtitle_track"), self.table("cue"), self._listened, wanted), "outcomes")
         fresh = decisions.corrections(decided)
         self._changed("subtitle_track", fresh.select("id"), lambda stored: mutations.with_corrections(stored, fresh))
@@ -294,7 +302,7 @@ class Library:
     def _listened(self, films: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(film_id, outcome) and speech (film, from_bin, to_bin, film_bins) of films (film_id), read once each."""
         paths = written(self.table("film").select(F.col("id").alias("film_id"), "path").join(films, "film_id", "left_semi"), "paths")
-        energy = written(audio.energy_at(paths.select("path")).join(paths.withColumnRenamed("path", "film"), "film"), "energy")
+        energy = written(audio.energy_at(paths.select("path"), watch=self.listening).join(paths.withColumnRenamed("path", "film"), "film"), "energy")
         said = energy.groupBy("film_id").agg(F.coalesce(F.max(F.when(F.col("outcome") != "ok", F.col("outcome"))), F.lit("ok")).alias("outcome"))
         level = written(alignment.levels(energy.where("outcome = 'ok' AND bin IS NOT NULL").withColumn("film", F.col("film_id"))), "levels")
         length = level.groupBy("film").agg((F.max("bin") + 1).alias("film_bins"))

@@ -12,9 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from reelgrid.sources.ranged import opened, rows_of
+from reelgrid.sources.shared import Watch, written
 
 LOW_HZ, HIGH_HZ, Q, MARGIN = 300.0, 3400.0, 1 / math.sqrt(2), 0.45
 STEP = 1 << 16
+#: Seconds of a range of a file, and of what is read before it for the filters' state (fixed value).
+RANGE_S, PREROLL_S = 600, 0.5
 
 
 def _biquad(rate: int, hz: float, high: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -91,23 +94,26 @@ class _Filter:
         return y[: len(x)]
 
 
-def streamed_energy(file, stop: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, list[tuple[int, float, int]]]]:
-    """energy_of() of an open WAV file in parts of STEP frames, so that memory doesn't grow with it. The sums of a bin may come in two parts.
+def streamed_energy(file, stop: Callable[[], bool] = lambda: False, begin: int = 0, end: int | None = None) -> Iterator[tuple[str, list[tuple[int, float, int]]]]:
+    """energy_of() of an open WAV file, or its frames from begin to end, in parts of STEP frames, so that memory doesn't grow with it. The sums of a bin may come in two parts.
 
-    stop is asked before each part; a reading that was stopped ends with the outcome "stopped".
+    The frames of PREROLL_S before begin are read for the filters' state, which reaches less far back: sums of ranges add up to those of one
+    pass. stop is asked before each part; a reading that was stopped ends with the outcome "stopped".
     """
     try:
         w = wave.open(file, "rb")
     except (wave.Error, EOFError):
         yield "unreadable", []
         return
-    rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-    if not w.getnframes():
+    rate, channels, width, n = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()
+    if not n:
         yield "no-audio", []
         return
     filters = [_Filter(rate, hz, high) for hz, high in ((LOW_HZ, True), (HIGH_HZ, False)) if hz < MARGIN * rate]
-    at = 0
-    while raw := w.readframes(STEP):
+    at, last = max(0, begin - int(rate * PREROLL_S)), n if end is None else min(n, end)
+    if at:
+        w.setpos(at)
+    while at < last and (raw := w.readframes(min(STEP, last - at))):
         if stop():
             yield "stopped", []
             return
@@ -115,27 +121,66 @@ def streamed_energy(file, stop: Callable[[], bool] = lambda: False) -> Iterator[
         x = x[: len(x) // channels * channels].reshape(-1, channels).mean(1) / float(1 << 8 * width - 1)
         for f in filters:
             x = f(x)
-        bins = (at + np.arange(len(x))) * 100 // rate
-        first = int(bins[0])
-        sums, n = np.bincount(bins - first, x * x), np.bincount(bins - first)
-        yield "ok", [(first + k, float(s), int(c)) for k, (s, c) in enumerate(zip(sums, n, strict=True))]
+        own = x[max(0, begin - at) :]
+        if len(own):
+            bins = (max(at, begin) + np.arange(len(own))) * 100 // rate
+            first = int(bins[0])
+            sums, counts = np.bincount(bins - first, own * own), np.bincount(bins - first)
+            yield "ok", [(first + k, float(s), int(c)) for k, (s, c) in enumerate(zip(sums, counts, strict=True))]
         at += len(x)
 
 
-def energy_at(paths: DataFrame) -> DataFrame:
-    """energy() of the files at paths (path), read in parts where they lie: a bin's sums may come in two rows, which levels() adds up."""
-    arrow = pa.schema([("film", pa.string()), ("outcome", pa.string()), ("bin", pa.int64()), ("sum_sq", pa.float64()), ("n", pa.int64())])
+def ranges_of(paths: DataFrame, seconds: int) -> DataFrame:
+    """(path, outcome, begin, end): the ranges of frames of each WAV file at paths (path), read from its header alone; a refused file has one row without a range."""
 
     def make(path: str) -> Iterator[dict]:
+        none = {"path": path, "begin": None, "end": None}
         try:
-            with opened(path) as f:
-                for outcome, rows in streamed_energy(f):
-                    for b, s, n in rows or [(None, None, None)]:
-                        yield {"film": path, "outcome": outcome, "bin": b, "sum_sq": s, "n": n}
-        except OSError:
-            yield {"film": path, "outcome": "unreadable", "bin": None, "sum_sq": None, "n": None}
-
-    return rows_of(paths, make, arrow, "film string, outcome string, bin long, sum_sq double, n long", held=50_000)
+            with opened(path) as f, wave.open(f, "rb") as w:
+                n, step = w.getnframes(), max(1, w.getframerate() * seconds)
+        except (OSError, wave.Error, EOFError):
+            yield none | {"outcome": "unreadable"}
+            return
+        if not n:
+            yield none | {"outcome": "no-audio"}
+        for k in range(0, n, step):
+            yield {"path": path, "outcome": "ok", "begin": k, "end": min(n, k + step)}
+
+    arrow = pa.schema([("path", pa.string()), ("outcome", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
+    return rows_of(paths, make, arrow, "path string, outcome string, begin long, end long")
+
+
+def energy_at(paths: DataFrame, seconds: int = RANGE_S, watch: Watch | None = None) -> DataFrame:
+    """energy() of the files at paths (path), by ranges of ``seconds``: a long file is many tasks. A bin's sums may come in several rows, which levels() adds up.
+
+    watch: counts the ranges that are done, and is asked whether to stop.
+    """
+    arrow = pa.schema([("film", pa.string()), ("outcome", pa.string()), ("bin", pa.int64()), ("sum_sq", pa.float64()), ("n", pa.int64())])
+    planned = written(ranges_of(paths, seconds), "ranges")
+    count = planned.count()
+    stop, done = (watch.begun(count), watch.done) if watch else ((lambda: False), None)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path, outcome = row["path"], row["outcome"]
+                found = iter([(outcome, [])])
+                try:
+                    if outcome == "ok":
+                        with opened(path) as f:
+                            for said, rows in streamed_energy(f, stop, row["begin"], row["end"]):
+                                yield pa.RecordBatch.from_pylist([{"film": path, "outcome": said, "bin": b, "sum_sq": s, "n": n} for b, s, n in rows or [(None, None, None)]], arrow)
+                        found = iter(())
+                except OSError:
+                    found = iter([("unreadable", [])])
+                for said, _ in found:
+                    yield pa.RecordBatch.from_pylist([{"film": path, "outcome": said, "bin": None, "sum_sq": None, "n": None}], arrow)
+                if done is not None:
+                    done.add(1)
+
+    tasks = max(1, min(count, 1 << 16))
+    dealt = planned.repartitionByRange(tasks, "path", "begin") if count > 1 else planned
+    return dealt.mapInArrow(read, "film string, outcome string, bin long, sum_sq double, n long")
 
 
 def energy(files: DataFrame) -> DataFrame:

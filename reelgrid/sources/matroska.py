@@ -25,7 +25,10 @@ NUMBER, TYPE, CODEC, LANGUAGE, BCP47, DEFAULT, FORCED, IMPAIRED = 0xD7, 0x83, 0x
 VIDEO, WIDTH, HEIGHT, FRAME_NS, AUDIO, CHANNELS, COLOUR, DEPTH = 0xE0, 0xB0, 0xBA, 0x23E383, 0xE1, 0x9F, 0x55B0, 0x55B2
 CLUSTER, TIMESTAMP, SIMPLE, GROUP, BLOCK, LASTS = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 ATTACHMENTS, ATTACHED, FILE_NAME, MIME, DATA = 0x1941A469, 0x61A7, 0x466E, 0x4660, 0x465C
+SEEK_HEAD, SEEK, SEEK_ID, SEEK_POSITION, SEEK_HOPS = 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC, 2
 TRACK_LIMIT, CUE_LIMIT, BLOCK_LIMIT = 64, 200_000, 64 << 10
+#: The most bytes of each part that are read.
+PART_LIMIT = {SEEK_HEAD: 1 << 20, INFO: 1 << 20, TRACKS: 16 << 20, ATTACHMENTS: 1 << 30}
 PICTURES, COVERS = ("image/jpeg", "image/jpg", "image/png", "image/webp"), ("cover", "small_cover", "cover_land", "small_cover_land")
 
 
@@ -91,14 +94,56 @@ def _segment(b: bytes) -> tuple[int, int] | None:
     return next(((a, z) for i, a, z in children(b, 0, len(b)) if i == SEGMENT), None)
 
 
+def _element(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(id, begin, end) of the element at a place."""
+    return next(children(b, at, end), None) if at < end else None
+
+
+def located(b: bytes, span: tuple[int, int], wanted: tuple[int, ...]) -> tuple[dict[int, tuple[int, int]], int]:
+    """Where a segment's parts are, and how many were refused as larger than PART_LIMIT.
+
+    First by the index that the segment begins with, and one that this refers to; an entry counts if the part stands where it says. What
+    the index doesn't have is looked for among what stands before the first frames. So parts behind the frames cost a few pages.
+    """
+    found: dict[int, tuple[int, int]] = {}
+    refused, at = 0, span[0]
+
+    def take(i: int, a: int, z: int) -> None:
+        nonlocal refused
+        if i in wanted and i not in found:
+            found[i] = (a, a) if z - a > PART_LIMIT[i] else (a, z)
+            refused += z - a > PART_LIMIT[i]
+
+    for _ in range(SEEK_HOPS):
+        head = _element(b, at, span[1])
+        if head is None or head[0] != SEEK_HEAD or head[2] - head[1] > PART_LIMIT[SEEK_HEAD]:
+            break
+        places = {}
+        for i, a, z in children(b, head[1], head[2]):
+            entry = _fields(b, a, z) if i == SEEK else {}
+            if SEEK_ID in entry and SEEK_POSITION in entry:
+                places.setdefault(_uint(b, *entry[SEEK_ID]), span[0] + _uint(b, *entry[SEEK_POSITION]))
+        for i in wanted:
+            part = _element(b, places[i], span[1]) if i in places and i not in found else None
+            if part and part[0] == i:
+                take(*part)
+        if SEEK_HEAD not in places:
+            break
+        at = places[SEEK_HEAD]
+    if not found.keys() >= set(wanted):
+        for i, a, z in children(b, *span):
+            if i == CLUSTER:
+                break
+            take(i, a, z)
+            if found.keys() >= set(wanted):
+                break
+    return found, refused
+
+
 def described(b: bytes) -> dict:
     """Duration and tracks of a file; nothing where it isn't Matroska."""
     span = _segment(b)
-    top: dict[int, tuple[int, int]] = {}
-    for i, a, z in children(b, *span) if span else ():
-        top.setdefault(i, (a, z))
-        if INFO in top and TRACKS in top:  # the rest of the file isn't needed
-            break
+    top, refused = located(b, span, (INFO, TRACKS)) if span else ({}, 0)
     info = _fields(b, *top[INFO]) if INFO in top else {}
     scale = _uint(b, *info[SCALE]) if SCALE in info else 1_000_000
     units = 0.0
@@ -107,7 +152,7 @@ def described(b: bytes) -> dict:
         units = struct.unpack(">d" if z - a == 8 else ">f", b[a:z])[0] if z - a in (4, 8) else 0.0
     ms = int(units * scale / 1e6) if DURATION in info and units > 0 and scale > 0 else None
     tracks, more = tracks_of(b, *top[TRACKS]) if TRACKS in top else ([], 0)
-    return {"duration_ms": ms, "scale": scale, "tracks": tracks, "tracks_left_out": more}
+    return {"duration_ms": ms, "scale": scale, "tracks": tracks, "tracks_left_out": more, "parts_refused": refused}
 
 
 def dialogue_of(b: bytes, left_out: dict | None = None) -> list[dict]:
@@ -164,7 +209,7 @@ def dialogue_of(b: bytes, left_out: dict | None = None) -> list[dict]:
 def artwork_of(b: bytes) -> tuple[str, bytes] | None:
     """The name and bytes of the attached picture with the most conventional name, the first of equals."""
     span, best = _segment(b), None
-    for a, z in ((a, z) for i, a, z in (children(b, *span) if span else ()) if i == ATTACHMENTS):
+    for a, z in located(b, span, (ATTACHMENTS,))[0].values() if span else ():
         for i, p, q in children(b, a, z):
             f = _fields(b, p, q) if i == ATTACHED else {}
             name, mime = _text(b, f.get(FILE_NAME)) or "", (_text(b, f.get(MIME)) or "").lower()
@@ -211,10 +256,10 @@ def facts(files: DataFrame) -> DataFrame:
 
 # ---- by ranges -----------------------------------------------------------------------------------------------------------
 
-_PROBE = "path string, outcome string, duration_ms long, video_codec_id string, width long, height long, bit_depth long, frame_ns long, tracks_left_out long, bytes_read long, audio array<struct<stream_number: long, codec_id: string, channels: long, language: string, is_default: boolean>>, subtitles array<struct<stream_number: long, codec_id: string, language: string, forced: boolean, hearing_impaired: boolean>>"
+_PROBE = "path string, outcome string, duration_ms long, video_codec_id string, width long, height long, bit_depth long, frame_ns long, tracks_left_out long, parts_refused long, bytes_read long, audio array<struct<stream_number: long, codec_id: string, channels: long, language: string, is_default: boolean>>, subtitles array<struct<stream_number: long, codec_id: string, language: string, forced: boolean, hearing_impaired: boolean>>"
 _AUDIO = pa.struct([("stream_number", pa.int64()), ("codec_id", pa.string()), ("channels", pa.int64()), ("language", pa.string()), ("is_default", pa.bool_())])
 _SUBTITLE = pa.struct([("stream_number", pa.int64()), ("codec_id", pa.string()), ("language", pa.string()), ("forced", pa.bool_()), ("hearing_impaired", pa.bool_())])
-_PROBED = pa.schema([("path", pa.string()), ("outcome", pa.string()), *((c, pa.string() if c == "video_codec_id" else pa.int64()) for c in ("duration_ms", "video_codec_id", "width", "height", "bit_depth", "frame_ns", "tracks_left_out", "bytes_read")), ("audio", pa.list_(_AUDIO)), ("subtitles", pa.list_(_SUBTITLE))])
+_PROBED = pa.schema([("path", pa.string()), ("outcome", pa.string()), *((c, pa.string() if c == "video_codec_id" else pa.int64()) for c in ("duration_ms", "video_codec_id", "width", "height", "bit_depth", "frame_ns", "tracks_left_out", "parts_refused", "bytes_read")), ("audio", pa.list_(_AUDIO)), ("subtitles", pa.list_(_SUBTITLE))])
 
 
 def probed(path: str) -> Iterator[dict]:
@@ -232,7 +277,7 @@ def probed(path: str) -> Iterator[dict]:
     tracks = found["tracks"]
     video = next((t for t in tracks if t["kind"] == 1), {})
     yield {
-        "path": path, "outcome": "ok", "duration_ms": found["duration_ms"], "video_codec_id": video.get("codec_id"), **{c: video.get(c) for c in ("width", "height", "bit_depth", "frame_ns")}, "tracks_left_out": found["tracks_left_out"], "bytes_read": b.fetched,
+        "path": path, "outcome": "ok", "duration_ms": found["duration_ms"], "video_codec_id": video.get("codec_id"), **{c: video.get(c) for c in ("width", "height", "bit_depth", "frame_ns")}, "tracks_left_out": found["tracks_left_out"], "parts_refused": found["parts_refused"], "bytes_read": b.fetched,
         "audio": [{"stream_number": t["number"], **{c: t[c] for c in ("codec_id", "channels", "language", "is_default")}} for t in tracks if t["kind"] == 2],
         "subtitles": [{"stream_number": t["number"], **{c: t[c] for c in ("codec_id", "language", "forced", "hearing_impaired")}} for t in tracks if t["kind"] == 0x11],
     }

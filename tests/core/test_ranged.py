@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from reelgrid.operators import alignment, mutations
 from reelgrid.sources import audio, folders, matroska, ranged, tables
+from reelgrid.sources.shared import Watch
 from reelgrid.streaming import changes
-from tests.core.test_sources import element, film
+from tests.core.test_sources import element, film, indexed
 
 
 def paths(spark, *names):
@@ -230,3 +231,92 @@ def test_reports_are_lines_of_json(spark, tmp_path):
     assert sorted(map(tuple, tables.read_report(spark, f"{tmp_path}/r", "a long, b string, c double").collect())) == sorted(map(tuple, rows.collect()))
     text = "".join(open(tmp_path / "r" / n).read() for n in os.listdir(tmp_path / "r") if n.endswith(".json"))
     assert '"b":null' in text
+
+
+def a_wav(path, seconds, rate=8000):
+    x = (np.sin(np.arange(seconds * rate) * 0.9) * 9000 + np.random.default_rng(3).normal(0, 2000, seconds * rate)).astype("<i2")
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes(x.tobytes())
+
+
+def test_sums_of_ranges_are_those_of_one_pass(spark, tmp_path):
+    a_wav(tmp_path / "long.wav", 61)
+    a_wav(tmp_path / "short.wav", 1)
+    (tmp_path / "broken.wav").write_bytes(b"RIFF")
+    a_wav(tmp_path / "none.wav", 0)
+    files = paths(spark, *(tmp_path / f"{n}.wav" for n in ("long", "short", "broken", "none", "absent")))
+    plan = audio.ranges_of(files, 7)
+    assert plan.where(plan.path.endswith("long.wav")).count() == 9
+    watch = Watch(spark)
+    got = audio.energy_at(files, 7, watch)
+    assert got.rdd.getNumPartitions() >= 9
+    rows = got.collect()
+    assert {(r.film.rsplit("/", 1)[1], r.outcome) for r in rows} == {("long.wav", "ok"), ("short.wav", "ok"), ("broken.wav", "unreadable"), ("none.wav", "no-audio"), ("absent.wav", "unreadable")}
+    assert watch.total == 13 and watch.fraction == 1.0
+    for name in ("long", "short"):
+        sums = {}
+        for r in rows:
+            if r.film.endswith(f"{name}.wav"):
+                s, n = sums.get(r.bin, (0.0, 0))
+                sums[r.bin] = s + r.sum_sq, n + r.n
+        _, want = audio.energy_of((tmp_path / f"{name}.wav").read_bytes())
+        assert [b for b, _, _ in want] == sorted(sums)
+        assert all(sums[b][1] == n and abs(sums[b][0] - s) < 1e-9 * max(1.0, s) for b, s, n in want)
+
+
+def test_a_stopped_reading_says_so(spark, tmp_path):
+    a_wav(tmp_path / "a.wav", 20)
+    watch = Watch(spark)
+    assert watch.fraction == 0.0 and not watch.stopped
+    watch.stop()
+    rows = audio.energy_at(paths(spark, tmp_path / "a.wav"), 5, watch).collect()
+    assert watch.stopped and {r.outcome for r in rows} == {"stopped"} and len(rows) == 4
+    running = Watch(spark)
+    stop = running.begun(2)
+    parts = audio.streamed_energy(open(tmp_path / "a.wav", "rb"), stop)
+    assert next(parts)[0] == "ok"
+    running.stop()
+    assert next(parts)[0] == "stopped"
+    running.done.add(1)
+    assert 0 < running.fraction < 1
+
+
+def heading():
+    number = lambda i, v: element(i, v.to_bytes(2, "big"))
+    info = element(matroska.INFO, number(matroska.SCALE, 1000) + element(matroska.DURATION, np.array(5e6, ">f8").tobytes()))
+    return info, element(matroska.TRACKS, element(matroska.ENTRY, number(matroska.NUMBER, 1) + number(matroska.TYPE, 1) + element(matroska.CODEC, b"V_TEST")))
+
+
+def test_parts_behind_the_frames_are_found_by_the_index(spark, tmp_path):
+    """4 GiB of frames that aren't there: a sparse file."""
+    info, tracks = heading()
+    frames = 4 << 30
+    head = lambda i, n: i.to_bytes(4, "big") + (n | 1 << 56).to_bytes(8, "big")
+    index = indexed((matroska.INFO, info), (matroska.TRACKS, b""), said={matroska.TRACKS: 0})
+    behind = len(index) + 12 + frames
+    index = indexed((matroska.INFO, info), (matroska.TRACKS, b""), said={matroska.TRACKS: behind})
+    with open(tmp_path / "big.mkv", "wb") as f:
+        f.write(element(0x1A45DFA3, b"") + head(matroska.SEGMENT, behind + len(tracks)) + index + head(matroska.CLUSTER, frames))
+        f.seek(frames, 1)
+        f.write(tracks)
+    row = matroska.probe(paths(spark, tmp_path / "big.mkv")).first()
+    assert (row.outcome, row.video_codec_id, row.duration_ms, row.parts_refused) == ("ok", "V_TEST", 5000, 0) and row.bytes_read < 4096
+
+
+def test_an_index_is_a_hint_and_large_parts_are_refused(monkeypatch):
+    info, tracks = heading()
+    cluster = element(matroska.CLUSTER, b"")
+    whole = lambda body: element(0x1A45DFA3, b"") + element(matroska.SEGMENT, body)
+    wrong = whole(indexed((matroska.INFO, info), (matroska.TRACKS, tracks), said={matroska.TRACKS: 3}))
+    assert matroska.described(wrong)["tracks"][0]["codec_id"] == "V_TEST"  # walked to instead
+    assert matroska.described(whole(info + cluster + tracks))["tracks"] == []  # behind the frames, and no index
+    far = indexed((matroska.INFO, info), (matroska.SEEK_HEAD, b""), said={matroska.SEEK_HEAD: 0})
+    far = indexed((matroska.INFO, info), (matroska.SEEK_HEAD, b""), said={matroska.SEEK_HEAD: len(far) + len(cluster)})
+    second = element(matroska.SEEK_HEAD, element(matroska.SEEK, element(matroska.SEEK_ID, matroska.TRACKS.to_bytes(4, "big")) + element(matroska.SEEK_POSITION, (len(far) + len(cluster) + 12 + 12 + 8 + 40).to_bytes(8, "big"))))
+    at = len(far) + len(cluster) + len(second)
+    second = element(matroska.SEEK_HEAD, element(matroska.SEEK, element(matroska.SEEK_ID, matroska.TRACKS.to_bytes(4, "big")) + element(matroska.SEEK_POSITION, at.to_bytes(8, "big"))))
+    assert matroska.described(whole(far + cluster + second + tracks))["tracks"][0]["codec_id"] == "V_TEST"  # an index that the first one names
+    monkeypatch.setitem(matroska.PART_LIMIT, matroska.TRACKS, 4)
+    found = matroska.described(whole(info + tracks))
+    assert (found["tracks"], found["parts_refused"], found["duration_ms"]) == ([], 1, 5000)

@@ -76,7 +76,17 @@ def film() -> bytes:
     block = lambda at, text, lasts: element(matroska.GROUP, element(matroska.BLOCK, b"\x83" + struct.pack(">h", at) + b"\0" + text) + number(matroska.LASTS, lasts))
     cluster = element(matroska.CLUSTER, number(matroska.TIMESTAMP, 5000) + block(250, b"<i>Later.</i>", 900) + block(-250, "Tôt.".encode(), 500))
     art = element(matroska.ATTACHMENTS, element(matroska.ATTACHED, element(matroska.FILE_NAME, b"cover.jpg") + element(matroska.MIME, b"image/jpeg") + element(matroska.DATA, b"\xff\xd8\xffpicture")))
-    return element(0x1A45DFA3, b"") + element(matroska.SEGMENT, info + element(matroska.TRACKS, entry) + cluster + art)
+    return element(0x1A45DFA3, b"") + element(matroska.SEGMENT, indexed((matroska.INFO, info), (matroska.TRACKS, element(matroska.TRACKS, entry)), (matroska.CLUSTER, cluster), (matroska.ATTACHMENTS, art)))
+
+
+def indexed(*parts: tuple[int, bytes], said: dict[int, int] | None = None) -> bytes:
+    """A segment's parts behind an index of where each begins; said: places that the index has wrong."""
+    seek = lambda i, at: element(matroska.SEEK, element(matroska.SEEK_ID, i.to_bytes(4, "big")) + element(matroska.SEEK_POSITION, at.to_bytes(8, "big")))
+    at, places = len(element(matroska.SEEK_HEAD, b"".join(seek(i, 0) for i, _ in parts))), {}
+    for i, part in parts:
+        places[i] = at
+        at += len(part)
+    return element(matroska.SEEK_HEAD, b"".join(seek(i, p) for i, p in (places | (said or {})).items())) + b"".join(p for _, p in parts)
 
 
 def test_matroska(spark):
