@@ -114,6 +114,70 @@ class _Changes(DataSourceStreamReader):
                 yield self.root, path, modified
 
 
+def _listed(partition: _Folder) -> Iterator[tuple[str, str, int | None, int | None, str]]:
+    """(folder, path, size, modified_at, kind) of a part: a row "listed" or "closed" for each folder, then its files and folders. A root that isn't there is closed."""
+    todo = [partition.path]
+    while todo:
+        at = todo.pop()
+        try:
+            entries = sorted(os.scandir(at), key=lambda e: e.name)
+        except OSError:
+            yield at, at, None, None, "closed"
+            continue
+        yield at, at, None, None, "listed"
+        for e in entries:
+            if not _encodable(e.name):
+                continue
+            if e.is_dir(follow_symlinks=False):
+                if _walkable(e.name):
+                    yield at, e.path, None, None, "folder"
+                    if partition.deep:
+                        todo.append(e.path)
+            elif e.is_file(follow_symlinks=False):
+                try:
+                    s = e.stat(follow_symlinks=False)
+                except OSError:
+                    continue
+                yield at, e.path, s.st_size, s.st_mtime_ns // 1_000_000, "file"
+
+
+class _Snapshots(DataSourceStreamReader):
+    """The whole tree at each batch; a batch that is tried again lists it again, which the state that it is compared with doesn't mind."""
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:
+        return {"at": time.time_ns() // 1_000_000}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Span(p, start["at"], end["at"]) for p in _parts(self.root)]
+
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        for row in _listed(partition.folder):
+            yield (self.root, *row, partition.after == 0)
+
+
+class SnapshotSource(DataSource):
+    """``spark.readStream.format("folder-snapshots").load(root)``: root, folder, path, size_bytes, modified_at, kind, first of all of a tree, for ``changes.changed_paths``.
+
+    kind: listed or closed (a row for each folder), file, folder. first: whether it is the stream's first batch.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder-snapshots"
+
+    def schema(self) -> str:
+        return "root string, folder string, path string, size_bytes long, modified_at long, kind string, first boolean"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Snapshots(self.options["path"])
+
+
 class FolderSource(DataSource):
     """``spark.read.format("folder").load(root)``: path, size_bytes, modified_at (ms), readable. Symbolic links aren't followed.
 
@@ -151,3 +215,4 @@ class ChangeSource(DataSource):
 def register(spark) -> None:
     spark.dataSource.register(FolderSource)
     spark.dataSource.register(ChangeSource)
+    spark.dataSource.register(SnapshotSource)

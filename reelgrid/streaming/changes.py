@@ -41,6 +41,48 @@ def settled(changes: DataFrame, quiet_ms: int = QUIET_MS, patience_ms: int = PAT
     return changes.groupBy("folder").applyInPandasWithState(step, "folder string, path string", "paths array<string>, first long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def changed_paths(snapshots: DataFrame, forget_ms: int = 7 * 86_400_000) -> DataFrame:
+    """(root, folder, path, change, modified_at) of a stream of snapshots (``sources.folders.SnapshotSource``): created, changed, deleted, folder-created, folder-deleted.
+
+    The state of a folder is what it held when it was last listed, so a file that went, or was renamed, is known by its path, and a change that
+    leaves the time as it was by its size. A closed folder says nothing about what it holds; nor do those below it, as they aren't listed. A
+    folder that went is one row, by its parent's listing: it stands for all below it. What the first batch lists is there already, and no change.
+    A folder that isn't listed for ``forget_ms`` is forgotten.
+    """
+    schema = "root string, folder string, path string, change string, modified_at long"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        root, folder = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        new = not state.exists
+        names, sizes, times, folders = ([], [], [], []) if new else state.get
+        state.setTimeoutDuration(forget_ms)
+        if not (rows["kind"] == "listed").any():  # closed, or only known to be there
+            if not new:
+                state.update((names, sizes, times, folders))
+            return
+        before, seen = dict(zip(names, zip(sizes, times, strict=True), strict=True)), {}
+        files = rows[rows["kind"] == "file"]
+        for path, size, at in zip(files["path"], files["size_bytes"], files["modified_at"], strict=True):
+            seen[path] = int(size), int(at)
+        below = sorted(set(rows[rows["kind"] == "folder"]["path"]))
+        state.update((list(seen), [s for s, _ in seen.values()], [t for _, t in seen.values()], below))
+        if new and rows["first"].all():
+            return
+        found = [(p, "created" if p not in before else "changed", at) for p, (size, at) in seen.items() if before.get(p) != (size, at)]
+        found += [(p, "deleted", None) for p in before if p not in seen]
+        found += [(p, "folder-created", None) for p in below if p not in set(folders)] + [(p, "folder-deleted", None) for p in folders if p not in set(below)]
+        if found:
+            out = pd.DataFrame(sorted(found), columns=["path", "change", "modified_at"]).astype({"modified_at": "Int64"})
+            yield out.assign(root=root, folder=folder)[["root", "folder", "path", "change", "modified_at"]]
+
+    grouped = snapshots.groupBy("root", "folder")
+    return grouped.applyInPandasWithState(step, schema, "names array<string>, sizes array<long>, times array<long>, folders array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def _latest(rows: DataFrame, by: str, at: str, mark: str, name: str) -> DataFrame:
     """rows (by, at, b) with the last time up to theirs that is marked: windows over buckets, and what came before a bucket from one row for each."""
     w = Window.partitionBy(by, "b").orderBy(at)
