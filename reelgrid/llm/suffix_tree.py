@@ -44,7 +44,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Rows of partial counts a task holds before it passes them on.
 HELD = 1_000_000
 #: Training tokens for each bucket of rarer words' contexts, about.
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -352,8 +352,12 @@ def adjusted(one: np.ndarray, two: np.ndarray, word: np.ndarray, train: np.ndarr
     return value / math.log(10), covered
 
 
-def _bucket_sums(rows: pa.Table, tree: Tree) -> pa.Table:
-    """(key, more, gone) of a bucket's texts: what to add to their scores, and hashes of rare words whose root shares go."""
+#: What a bucket says of its texts: a row for each range of keys.
+SUMS = "range int, keys array<bigint>, more array<double>, sizes array<int>, gone array<bigint>"
+
+
+def _bucket_sums(rows: pa.Table, tree: Tree, ranges: int) -> pa.Table:
+    """SUMS of a bucket's wanted texts: what to add to the scores of keys, and ``sizes`` hashes each of rare words whose root shares go."""
     flat = lambda c: rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     keys, sizes, one, word, two = flat("keys"), flat("sizes"), flat("one"), flat("word"), flat("two")
     doc = np.repeat(np.arange(len(keys)), sizes)
@@ -367,11 +371,48 @@ def _bucket_sums(rows: pa.Table, tree: Tree) -> pa.Table:
         coded = hashes[at] == word
         root = np.where(coded, tree.root(codes.counts)[at], most)
     value, covered = adjusted(one, two, word, flat("train")[doc].astype(float), root)
+    keys, of = np.unique(keys, return_inverse=True)  # texts that were gathered in several parts
+    doc = of[doc]
     more = np.bincount(doc, value - np.where(covered & coded, root, 0.0), len(keys))
     lost = np.flatnonzero(covered & ~coded)
     lost = lost[np.argsort(doc[lost], kind="stable")]
-    ends = np.searchsorted(doc[lost], np.arange(len(keys) + 1))
-    gone = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word[lost], pa.int64()))
+    return _ranged(keys, more, np.bincount(doc[lost], minlength=len(keys)), word[lost], ranges)
+
+
+def _ranged(keys: np.ndarray, more: np.ndarray, sizes: np.ndarray, gone: np.ndarray, ranges: int) -> pa.Table:
+    """Sorted keys with their sums and hashes as SUMS; the key 0 stands for texts that aren't scored."""
+    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    edges = np.arange(1, ranges).astype(np.uint64) << shift
+    # ranges of the keys as signed numbers, in their order
+    cuts = np.concatenate(([0], np.searchsorted(keys, (edges ^ np.uint64(1 << 63)).view(np.int64)) if ranges > 1 else [], [len(keys)])).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    wanted = keys != 0
+    out = {"range": [], "keys": [], "more": [], "sizes": [], "gone": []}
+    for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
+        own = np.arange(a, z)[wanted[a:z]]
+        if not len(own):
+            continue
+        hashes = gone[ends[a] : ends[z]]
+        zero = np.flatnonzero(~wanted[a:z])
+        if len(zero):
+            i = a + zero[0]
+            hashes = np.concatenate((gone[ends[a] : ends[i]], gone[ends[i + 1] : ends[z]]))
+        for name, x in (("range", k), ("keys", keys[own]), ("more", more[own]), ("sizes", sizes[own].astype(np.int32)), ("gone", hashes)):
+            out[name].append(x)
+    types = {"range": pa.int32(), "keys": pa.list_(pa.int64()), "more": pa.list_(pa.float64()), "sizes": pa.list_(pa.int32()), "gone": pa.list_(pa.int64())}
+    return pa.table({n: pa.array(v, types[n]) for n, v in out.items()})
+
+
+def _merged_sums(rows: pa.Table) -> pa.Table:
+    """(key, more, gone) of the texts of a range of keys: the sums of all buckets, a row for each text."""
+    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = flat("sizes")
+    keys, of = np.unique(flat("keys"), return_inverse=True)
+    more = np.bincount(of, flat("more"), len(keys))
+    to = np.repeat(of, sizes)
+    order = np.argsort(to, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=len(keys)))))
+    gone = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat("gone")[order], pa.int64()))
     return pa.table({"key": pa.array(keys, pa.int64()), "more": pa.array(more), "gone": gone})
 
 
@@ -431,7 +472,9 @@ def _scored(rows: DataFrame, id: str) -> DataFrame:
     texts = staged(wanted.select("_id", "_key", "s.n_tokens", "s.base", "s.score", "s.rare", F.lit(1).cast("long").alias("copies")), "scores")
     # the tokens go straight to their buckets: written first, they would take the room twice
     tokens = rows.select(F.when(F.col("_wanted"), key).otherwise(0).alias("_key"), "_text", "_train").mapInArrow(gather, "bucket int, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items()))
-    sums = staged(tokens.groupBy("bucket").applyInArrow(lambda t: _bucket_sums(t, kept.value), "key long, more double, gone array<bigint>").where("key <> 0"), "sums")
+    # a bucket's sums travel as one row for each range of keys; a range's rows are added up to one for each text
+    by_bucket = tokens.groupBy("bucket").applyInArrow(lambda t: _bucket_sums(t, kept.value, buckets), SUMS)
+    sums = staged(by_bucket.groupBy("range").applyInArrow(_merged_sums, "key long, more double, gone array<bigint>"), "sums")
     few = texts.select("_key", F.explode("rare").alias("h"), F.lit(1).alias("in_base"), F.lit(1).alias("in_score"))
     few = few.unionByName(sums.select(F.col("key").alias("_key"), F.explode("gone").alias("h"), F.lit(0).alias("in_base"), F.lit(-1).alias("in_score")))
     few = few.groupBy("h", "_key").agg(F.sum("in_base").alias("in_base"), F.sum("in_score").alias("in_score"))
@@ -442,7 +485,7 @@ def _scored(rows: DataFrame, id: str) -> DataFrame:
         F.sum(F.col("in_base") * share).alias("rare_base"), F.sum(F.col("in_score") * share).alias("rare_score"),
     )
     copies = texts.groupBy("_key").agg(F.sum("copies").alias("copies"))
-    whole = copies.join(sums.groupBy(F.col("key").alias("_key")).agg(F.sum("more").alias("more")), "_key", "left").join(found, "_key", "left")
+    whole = copies.join(sums.select(F.col("key").alias("_key"), "more"), "_key", "left").join(found, "_key", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
     shared = whole.select("_key", zero("n_rare").cast("long").alias("n_rare"), zero("rare_known").cast("long").alias("rare_known"), zero("rare_base").alias("rare_base"), (zero("rare_score") + zero("more")).alias("more"))
     return hot_join(texts.drop("rare", "copies"), shared, "_key").select(
