@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelgrid.plans import library_queries  # noqa: F401  registers its queries
+from reelgrid.plans import film_queries, library_queries  # noqa: F401  they register their queries
 from reelgrid.plans.queries import QUERIES, SQL
 
 
