@@ -12,8 +12,9 @@ Both shares bound what is sent to the tasks, whatever the corpus: symbols with a
 (1 / that many words at most), and 1 / LEAST_CONTEXT contexts of each length. Contexts that end with any other word, whose
 number grows with the corpus, are never sent: their tokens are dealt to buckets by that word, so that one task has all tokens of a
 context, none with a larger share than LEAST_CONTEXT. There a context of one or two words needs two training tokens and the
-same divergence; a next word seen twice has its discounted share, without the suffix's part (so these states' probabilities
-sum to less than one by the counted words' shares in the suffix). Rarer words meet their counts in a join. Counting covers
+same divergence; a next word seen twice has its discounted share and the suffix's part, as in the tree. Only for words without a code, whose
+share of all tokens isn't known in a bucket, that part is of the least that it can be (it was seen twice): of a share of LEAST_CONTEXT *
+LEAST_NEXT at most. Rarer words meet their counts in a join. Counting covers
 all training texts; sums are made before each shuffle. Words are told apart by 64-bit hashes in the buckets and the join:
 of N distinct words one in 2^64 / N is taken for another.
 
@@ -312,17 +313,18 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def adjusted(one: np.ndarray, two: np.ndarray, word: np.ndarray, train: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def adjusted(one: np.ndarray, two: np.ndarray, word: np.ndarray, train: np.ndarray, root: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores of tokens after rarer words, given all tokens of their contexts: (value, covered).
 
     one, two: hashes of the word before and of the one before that; train: whether a token is learnt from; root: log10 of
-    the word's share of all tokens (for a rare word the most it can be, so a divergence isn't overstated). A covered token has its
-    value in place of the root's share; for others it is the back-off added to that. States need two training tokens, a
-    counted next word two as well.
+    the word's share of all tokens (for a rare word the most it can be, so a divergence isn't overstated); mixed: the same, for a rare word the least
+    it can be, as it is added to its share in a state. A covered token has its value in place of the root's share: its discounted
+    share in its state and the suffix's part; for others it is the back-off added to the root's share. States need two training tokens, a counted next word two
+    as well.
     """
     if not len(one):
         return np.zeros(0), np.zeros(0, bool)
-    value, covered, lower = np.zeros(len(one)), np.zeros(len(one), bool), root * math.log(10)
+    value, covered, lower, mixed = np.zeros(len(one)), np.zeros(len(one), bool), root * math.log(10), mixed * math.log(10)
     levels = []
     for contexts in ((one,), (two, one)):
         _, context = _runs(*contexts)
@@ -341,13 +343,14 @@ def adjusted(one: np.ndarray, two: np.ndarray, word: np.ndarray, train: np.ndarr
         hit, direct = counted[gram], np.log(np.maximum(n - DISCOUNT, DISCOUNT) / total)
         levels.append((context, diverges, hit, direct, back))
         keep = diverges[context]
-        lower = np.where(keep & hit, direct, np.where(keep, lower + back[context], lower))
+        lower = np.where(keep, np.where(hit, np.logaddexp(direct, lower + back[context]), lower + back[context]), lower)
     longer = np.zeros(len(levels[0][1]), bool)
     longer[levels[0][0][levels[1][1][levels[1][0]]]] = True  # what a longer kept context ends with is kept too
     levels[0] = (levels[0][0], levels[0][1] | longer, *levels[0][2:])
     for context, kept, hit, direct, back in levels:
         keep = kept[context]
-        value = np.where(keep & hit, direct, np.where(keep, value + back[context], value))
+        suffix = np.where(covered, value, value + mixed) + back[context]
+        value = np.where(keep & hit, np.logaddexp(direct, suffix), np.where(keep, value + back[context], value))
         covered |= keep & hit
     return value / math.log(10), covered
 
@@ -365,12 +368,13 @@ def _bucket_sums(rows: pa.Table, tree: Tree, ranges: int) -> pa.Table:
     hashes = np.array([_hash(w) for w in codes.of], np.uint64).view(np.int64)
     place = np.argsort(hashes)
     most = math.log10((tree.least_symbol + 1) / (tree.total + tree.distinct + 1))
-    root, coded = np.full(len(word), most), np.zeros(len(word), bool)
+    root, mixed, coded = np.full(len(word), most), np.full(len(word), math.log10(3 / (tree.total + tree.distinct + 1))), np.zeros(len(word), bool)
     if len(hashes):
         at = place[np.minimum(np.searchsorted(hashes[place], word), len(hashes) - 1)]
         coded = hashes[at] == word
-        root = np.where(coded, tree.root(codes.counts)[at], most)
-    value, covered = adjusted(one, two, word, flat("train")[doc].astype(float), root)
+        own = tree.root(codes.counts)[at]
+        root, mixed = np.where(coded, own, root), np.where(coded, own, mixed)
+    value, covered = adjusted(one, two, word, flat("train")[doc].astype(float), root, mixed)
     keys, of = np.unique(keys, return_inverse=True)  # texts that were gathered in several parts
     doc = of[doc]
     more = np.bincount(doc, value - np.where(covered & coded, root, 0.0), len(keys))

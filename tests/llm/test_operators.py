@@ -574,6 +574,8 @@ def brute_scores(rows, share):
     least = max(1.0, share * n)
     root = lambda w: math.log((count[w] + 1) / (n + v + 1))
     known = lambda w: root(w) if count[w] >= least else math.log((least + 1) / (n + v + 1))
+    mixed = lambda w: root(w) if count[w] >= least else math.log(3 / (n + v + 1))
+    both = lambda a, b: math.log(math.exp(a) + math.exp(b))
     after = collections.defaultdict(dict)
     for (c, w), k in gram.items():
         after[c][w] = k
@@ -585,7 +587,7 @@ def brute_scores(rows, share):
     two = set()
     for c in [c for c in after if len(c) == 2]:
         s = c[1:]
-        lower = lambda w, s=s: (direct(s, w) if counted(s, w) else known(w) + back(s)) if s in one else known(w)
+        lower = lambda w, s=s: (both(direct(s, w), known(w) + back(s)) if counted(s, w) else known(w) + back(s)) if s in one else known(w)
         if differs(c, lower):
             two.add(c)
     one |= {c[1:] for c in two}
@@ -593,11 +595,13 @@ def brute_scores(rows, share):
     for d, t in rows:
         w, score = words(t), 0.0
         for i in range(len(w)):
-            p = root(w[i])
+            p, covered = 0.0, False  # beside the root's share, and then in its place
             for c, kept in zip(before(w, i), (one, two), strict=True) if i else ():
-                if c in kept:
-                    p = direct(c, w[i]) if counted(c, w[i]) else p + back(c)
-            score += p
+                if c in kept and counted(c, w[i]):
+                    p, covered = both(direct(c, w[i]), (p if covered else p + mixed(w[i])) + back(c)), True
+                elif c in kept:
+                    p += back(c)
+            score += p if covered else p + root(w[i])
         out.append((d, t, score / math.log(10)))
     return out
 
@@ -615,6 +619,66 @@ def test_scores_of_rarer_words_contexts_equal_brute_force(which, request, monkey
     assert all(abs(g[1] - w[1]) < 1e-3 for g, w in zip(got, want, strict=True))
 
 
+def brute_tree(rows):
+    """Scores when every word is common: the tree of one and two words from plain counts, each state mixed with its suffix's."""
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(common.LOWER_TABLE)), "\n"]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    count, after = collections.Counter(), collections.defaultdict(collections.Counter)
+    for d, t in rows:
+        if not held(d):
+            w = words(t)
+            count.update(w)
+            for depth in (1, 2):
+                for i in range(depth, len(w)):
+                    after[tuple(w[i - depth : i])][w[i]] += 1
+    n, v = sum(count.values()), len(count)
+    assert suffix_tree.LEAST_CONTEXT * n <= 1
+    kept = set()
+
+    def share(c, w):
+        if not c:
+            return (count[w] + 1) / (n + v + 1)
+        lower = share(c[1:], w)
+        if c not in kept:
+            return lower
+        total = sum(after[c].values())
+        counted = {x: k for x, k in after[c].items() if k >= max(2, suffix_tree.LEAST_NEXT * total)}
+        return ((counted[w] - 0.75) / total if w in counted else 0.0) + (1 - sum(k - 0.75 for k in counted.values()) / total) * lower
+
+    for depth in (1, 2):
+        for c in [c for c in after if len(c) == depth]:
+            total = sum(after[c].values())
+            counted = {x: k for x, k in after[c].items() if k >= max(2, suffix_tree.LEAST_NEXT * total)}
+            if counted and sum(k / total * math.log(k / total / share(c[1:], x)) for x, k in counted.items()) >= suffix_tree.DIVERGENCE:
+                kept.add(c)
+    kept |= {c[1:] for c in kept if len(c) == 2 and any(k >= max(2, suffix_tree.LEAST_NEXT * sum(after[c[1:]].values())) for k in after[c[1:]].values())}
+    out = []
+    for d, t in rows:
+        w = words(t)
+        score = 0.0
+        for i in range(len(w)):
+            c = tuple(w[max(0, i - 2) : i])
+            while c and any(x not in count for x in c):
+                c = c[1:]
+            score += math.log10(share(c, w[i]))
+        out.append((d, score))
+    return out, kept
+
+
+def test_scores_of_common_words_contexts_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        w = ["a"]
+        while len(w) < 45:  # a chain with memory, so that some states differ from their suffixes
+            w.append(rng.choice("bcde") if w[-1] == "a" else "a" if w[-1] in "bc" and rng.random() < 0.8 else f"w{min(rng.randrange(60), rng.randrange(60))}")
+        rows.append((i, " ".join(w) + (" never-seen a b" if i % 9 == 0 else "")))
+    want, kept = brute_tree(rows)
+    assert {len(c) for c in kept} == {1, 2} and len(kept) > 20
+    got = sorted((r.doc_id, r.score) for r in suffix_tree.score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(g[0] == w[0] and abs(g[1] - w[1]) < 1e-6 * abs(w[1]) for g, w in zip(got, want, strict=True)), [(g, w) for g, w in zip(got, want) if abs(g[1] - w[1]) > 1e-6][:5]
+
+
 def test_scores_by_any_column_s_name(odd):
     rows = odd.drop("id", "key").withColumnRenamed("doc_id", "key").withColumnRenamed("text", "copies")
     got = suffix_tree.scored(rows, rows, id="key", text="copies")
