@@ -170,7 +170,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def encoded_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with a binary column ``ids`` (little-endian unsigned 32-bit) of each whole text; a map without a shuffle."""
+    """docs with a binary column ``ids`` (little-endian unsigned 32-bit) of each whole text, in place of one of that name; a map without a shuffle."""
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -182,7 +182,7 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, text: str = "tex
 
 
 def decoded_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """docs with a binary column ``decoded``: the bytes of their ids."""
+    """docs with a binary column ``decoded``: the bytes of their ids, in place of one of that name."""
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -194,7 +194,7 @@ def decoded_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids"
 
 
 def both_ways(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with ``ids`` and, decoded from them, ``decoded``: as the two above, in one Python worker."""
+    """docs with ``ids`` and, decoded from them, ``decoded``: as the two above, in one Python worker; columns of these names are replaced."""
 
     @F.arrow_udf("struct<ids: binary, decoded: binary>")
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -90,7 +90,7 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 
 
 def with_wav(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a binary column ``media``: each whole text's payload as a WAV."""
+    """docs with a binary column ``media``: each whole text's payload as a WAV, in place of a column of that name."""
 
     @F.arrow_udf("binary")
     def stored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -101,7 +101,7 @@ def with_wav(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_fingerprints(clips: DataFrame, media: str = "media") -> DataFrame:
-    """clips with an array column ``landmarks`` of time-coded peak pairs."""
+    """clips with an array column ``landmarks`` of time-coded peak pairs, in place of one of that name."""
 
     @F.arrow_udf("array<long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -112,7 +112,7 @@ def with_fingerprints(clips: DataFrame, media: str = "media") -> DataFrame:
 
 
 def with_clips(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``media`` and its ``landmarks``: the two above in one Python worker, by small slices of rows."""
+    """docs with ``media`` and its ``landmarks``: the two above in one Python worker, by small slices of rows; columns of these names are replaced."""
 
     @F.arrow_udf("struct<media: binary, landmarks: array<long>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -129,7 +129,7 @@ def with_clips(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def summaries(clips: DataFrame, media: str = "media", landmarks: str = "landmarks") -> DataFrame:
-    """clips (with landmarks) with a struct column ``read``: figures of the samples read back, and a digest of their fingerprint. Null clips have nulls."""
+    """clips (with landmarks) with a struct column ``read``: figures of the samples read back, and a digest of their fingerprint. Null clips have nulls; a column ``read`` is replaced."""
 
     @F.arrow_udf("struct<payload_bytes: long, payload_sha256: string, tail_crc32: long, feature: string>")
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
