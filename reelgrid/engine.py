@@ -31,6 +31,7 @@ class Library:
         self.aligning, self.scanning = OneAtATime(spark, "alignment"), OneAtATime(spark, "scan")
         self.left_out: DataFrame | None = None
         self.listening: Watch | None = None
+        self.reading: Watch | None = None
         folders.register(spark)
         self.store.migrate(now)
 
@@ -87,7 +88,21 @@ class Library:
 
     def scan(self, folder_id: int, now: int) -> DataFrame:
         """_scan(), one at a time; ``scanning.busy`` says whether one runs."""
-        return self.scanning.run(lambda: self._scan(folder_id, now))
+
+        def begun() -> DataFrame:
+            self.reading = Watch(self.spark)
+            return self._scan(folder_id, now)
+
+        return self.scanning.run(begun)
+
+    def scan_progress(self) -> float:
+        """The share of files that the scan which runs, in another thread, has read of those that it knows it must."""
+        return self.reading.fraction if self.reading else 0.0
+
+    def cancel_scan(self) -> None:
+        """Lets the scan that runs end soon: files it hasn't read yet are left out as "stopped", and read by the next one."""
+        if self.reading:
+            self.reading.stop()
 
     def _scan(self, folder_id: int, now: int) -> DataFrame:
         """Brings the tables up to what a folder holds; counts of what was found and done, one row.
@@ -130,7 +145,7 @@ class Library:
         on_disk = written(on_disk, "on_disk")
         elsewhere = written(beside.where("match_kind = 'by-hand'").select("path").join(on_disk, "path", "left_anti"), "elsewhere")
         plan = written(upserts.plan(beside, on_disk, "path", elsewhere.join(ranged.existing(elsewhere), "path", "left_anti")), "plan")
-        held = written(ranged.contents(plan.where("action = 'read'").select("path")), "contents")
+        held = written(ranged.contents(plan.where("action = 'read'").select("path"), watch=self.reading), "contents")
         text = written(subtitles.decoded(held.where("outcome = 'ok'").drop("outcome")), "texts")
         read = text.select("path")
         got, _ = subtitles.parsed(text)
@@ -148,7 +163,8 @@ class Library:
 
         # films that are new or changed
         whole = jobs.select("path").join(now_films.select("path", F.col("id").alias("film_id")), "path")
-        probe = written(matroska.probe(whole).join(whole, "path"), "probe")
+        looked = written(matroska.probe(whole, self.reading).join(whole, "path"), "probe")
+        probe = looked.where("outcome <> 'stopped'")  # the next scan looks into the others
         streams = probe.select("film_id", "path", F.explode("subtitles").alias("s")).select(
             F.lit(None).cast("long").alias("id"), "film_id", "path", F.lit("stream").alias("origin"), "s.stream_number", F.coalesce(_cases(F.col("s.codec_id"), SUBTITLE_CODECS), F.lit("unknown")).alias("codec"), "s.language", "s.forced", "s.hearing_impaired", F.lit("exact").alias("match_kind"), F.lit("utf-8").alias("encoding"), F.lit(0).cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("modified_at"), F.lit(0).alias("offset_ms"), F.lit(1.0).alias("rate"),
         )
@@ -189,7 +205,7 @@ class Library:
             self._replaced(gone, no_cues, f"scan-{folder_id}-{now}-gone")
         moved = written(now_tracks.join(fresh, "id", "left_anti"), "moved")  # pairs that other films have now
         self._changed("subtitle_track", moved.select("id"), lambda stored: mutations.set_columns(stored, "id", moved, [c for c in moved.columns if c != "id"]))
-        self.left_out = closed.select("path", F.lit("unreadable").alias("outcome")).unionByName(held.where("outcome <> 'ok'").select("path", "outcome")).unionByName(probe.where("outcome <> 'ok'").select("path", "outcome"))
+        self.left_out = closed.select("path", F.lit("unreadable").alias("outcome")).unionByName(held.where("outcome <> 'ok'").select("path", "outcome")).unionByName(looked.where("outcome <> 'ok'").select("path", "outcome"))
         return self._counted(files, root, jobs.count(), read.count(), removed.count())
 
     def _replaced(self, own: DataFrame, cues: DataFrame, batch: str) -> None:
@@ -247,6 +263,17 @@ class Library:
         fresh = written(found.join(films.select("id", "film"), "film").select("id", "cover"), "covers")
         return self._changed("film", fresh.select("id"), lambda stored: mutations.set_covers(stored, fresh))
 
+    def cover_image(self, film_id: int) -> bytes | None:
+        """The bytes of a film's cover: the picture it is chosen from, or the one inside the film; None without one, or where it can't be read."""
+        film = self.table("film").where(F.col("id") == film_id).select("path", "cover_path", "cover_source").first()
+        if film is None or film.cover_path is None:
+            return None
+        if film.cover_source == "in-file":
+            row = matroska.artwork(self.spark.createDataFrame([(film.path,)], "path string")).first()
+        else:
+            row = ranged.contents(self.spark.createDataFrame([(film.cover_path,)], "path string")).first()
+        return bytes(row.content) if row and row.content is not None else None
+
     def posters_wanted(self, directory: str) -> DataFrame:
         """(id, path, cover) of films whose cached picture in a directory is stale or isn't there."""
         cached = self.spark.read.format("folder").load(directory).where("readable").select("path")

@@ -17,7 +17,10 @@ from reelgrid.functions.timing import MAX_MS, corrected, progress
 from reelgrid.operators import library
 
 FEWEST_CUES = 100
+# Fixed values.
 AROUND_MS, STARTED_MS, STEP_BACK_MS = 15_000, 1_000, 400
+#: Films of a shelf that are shown.
+SHELF_SHOWN = 12
 
 
 # ---- lookups and filters -------------------------------------------------------------------------------------------------
@@ -110,18 +113,21 @@ def places(films: DataFrame, name: str, descending: bool = False) -> DataFrame:
     return library.numbered_by(k, ["folder_id"], F.col("_k"), descending, ["_filed", "title", "id"]).select("id", "folder_id", "place")
 
 
-def shelves(films: DataFrame, resumable: DataFrame) -> DataFrame:
-    """(key, name, place, film_ids): shelves of films (id, shelf, shelf_path) in order of their first film; what is being watched, if anything, before them.
+def shelves(films: DataFrame, resumable: DataFrame, shown: int = SHELF_SHOWN) -> DataFrame:
+    """(key, name, place, n, film_ids): shelves of films (id, shelf, shelf_path) in order of their first film; what is being watched, if anything, before them.
 
-    resumable: film_id, updated_at. Film ids are in the films' own order of ids; those being watched, the latest first.
+    resumable: film_id, updated_at. film_ids: the first ``shown`` of the n films, in order of ids; of those being watched the latest first. Ranks are
+    cut off before films are shuffled, so no shelf is gathered whole.
     """
-    own = films.groupBy(F.col("shelf_path").alias("key"), F.col("shelf").alias("name")).agg(F.array_sort(F.collect_list("id")).alias("film_ids"), F.min("id").alias("first"))
-    own = own.select("key", "name", F.struct(F.lit(1).alias("late"), F.col("first")).alias("o"), "film_ids")
-    latest = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("updated_at")).alias("u"), "film_id"))), lambda x: x["film_id"])
-    on = resumable.agg(latest.alias("film_ids")).where(F.size("film_ids") > 0)
-    on = on.select(F.lit("carrying-on").alias("key"), F.lit("Carry on watching").alias("name"), F.struct(F.lit(0).alias("late"), F.lit(0).cast("long").alias("first")).alias("o"), "film_ids")
-    both = on.unionByName(own)
-    return both.withColumn("place", F.row_number().over(Window.orderBy("o")).cast("long")).select("key", "name", "place", "film_ids")  # a row for each shelf
+    own = films.select(F.lit(1).alias("late"), F.col("shelf_path").alias("key"), F.col("shelf").alias("name"), F.col("id").alias("o"), "id")
+    watched = resumable.select(F.lit(0).alias("late"), F.lit("carrying-on").alias("key"), F.lit("Carry on watching").alias("name"), (-F.col("updated_at")).alias("o"), F.col("film_id").alias("id"))
+    both = own.unionByName(watched)
+    k = F.row_number().over(Window.partitionBy("late", "key", "name").orderBy("o", "id"))
+    heads = both.withColumn("_k", k).where(F.col("_k") <= shown).groupBy("late", "key", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "id"))), lambda x: x["id"]).alias("film_ids"))
+    counts = both.groupBy(F.col("late").alias("_late"), F.col("key").alias("_key"), F.col("name").alias("_name")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    met = heads.join(counts, F.col("late").eqNullSafe(F.col("_late")) & F.col("key").eqNullSafe(F.col("_key")) & F.col("name").eqNullSafe(F.col("_name")))
+    place = F.row_number().over(Window.orderBy("late", "first")).cast("long")  # a row for each shelf
+    return met.withColumn("place", place).select("key", "name", "place", "n", "film_ids")
 
 
 def columns_for(width: Column, least: int, gap: int) -> Column:

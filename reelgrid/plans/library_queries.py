@@ -116,8 +116,8 @@ def authored_cues(spark, d):
 @query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS place FROM supplier")
 def folder_list(spark, d):
     w = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("added_at"), F.col("s_name").alias("path"))
-    listed = catalogue.folders(w).select("id", "added_at")
-    return library.numbered_by(listed.withColumn("_all", F.lit(1)), ["_all"], F.col("added_at"), False, ["id"]).select("id", "place")
+    listed = series.placed(catalogue.folders(w).select("id", "added_at"), [], ["added_at", "id"], 4)
+    return listed.select("id", (F.col("place") + 1).alias("place"))
 
 
 @query(f"SELECT film_id, position_ms, coalesce(duration_ms, -1) AS duration_ms FROM {P_} WHERE film_id = 4")
@@ -171,11 +171,11 @@ for _name, _key, _down in (
 
 @query(f"""WITH s AS (SELECT split_part(path, '/', 3) AS key, list_sort(list(id)) AS ids, min(id) AS first FROM {F_} GROUP BY 1), r AS (SELECT list(film_id ORDER BY updated_at DESC, film_id) AS ids FROM {P_} WHERE NOT finished),
     b AS (SELECT 'carrying-on' AS key, 'Carry on watching' AS name, 0 AS late, CAST(0 AS BIGINT) AS first, ids FROM r UNION ALL SELECT key, key, 1, first, ids FROM s)
-    SELECT key, name, row_number() OVER (ORDER BY late, first) AS place, len(ids) AS n, array_to_string(ids[1:5], ',') AS head FROM b""")
+    SELECT key, name, row_number() OVER (ORDER BY late, first) AS place, len(ids) AS n, array_to_string(ids[1:12], ',') AS head FROM b""")
 def shelves_with_resume(spark, d):
     f = films(spark, d).withColumn("shelf", F.element_at(F.split("path", "/"), 3)).withColumn("shelf_path", F.col("shelf"))
     got = catalogue.shelves(f, positions(spark, d).where("NOT finished"))
-    return got.select("key", "name", "place", F.size("film_ids").cast("long").alias("n"), F.array_join(F.slice("film_ids", 1, 5), ",").alias("head"))
+    return got.select("key", "name", "place", "n", F.array_join("film_ids", ",").alias("head"))
 
 
 @query(f"SELECT id, (row_number() OVER (PARTITION BY folder_id ORDER BY title, id) - 1) // 7 AS line, (row_number() OVER (PARTITION BY folder_id ORDER BY title, id) - 1) % 7 AS at FROM {F_}")

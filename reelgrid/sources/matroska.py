@@ -18,6 +18,7 @@ from reelgrid.functions.media import SUBTITLE_CODECS, TEXT_CODECS
 from reelgrid.functions.names import language_code
 from reelgrid.functions.text import clean_markup
 from reelgrid.sources.ranged import Ranged, opened, rows_of
+from reelgrid.sources.shared import Watch
 
 # Ids of the elements that are read.
 SEGMENT, INFO, SCALE, DURATION, TRACKS, ENTRY = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x1654AE6B, 0xAE
@@ -283,9 +284,9 @@ def probed(path: str) -> Iterator[dict]:
     }
 
 
-def probe(paths: DataFrame) -> DataFrame:
-    """_PROBE of each path (path): a few pages of each file are read, whatever its size."""
-    return rows_of(paths, probed, _PROBED, _PROBE)
+def probe(paths: DataFrame, watch: Watch | None = None) -> DataFrame:
+    """_PROBE of each path (path): a few pages of each file are read, whatever its size. watch: as in rows_of()."""
+    return rows_of(paths, probed, _PROBED, _PROBE, watch=watch)
 
 
 def dialogue(paths: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from reelgrid.sources.shared import Watch
+
 PAGE, PAGES = 512, 4096
 
 
@@ -53,14 +55,26 @@ class Ranged:
         return b"".join(parts)[begin - skip : end - skip]
 
 
-def rows_of(paths: DataFrame, make: Callable[[str], Iterator[dict]], schema: pa.Schema, kind: str, least: int = 1, held: int = 5000) -> DataFrame:
-    """Rows made of each path (path) in tasks, ``held`` at a time; paths are dealt evenly over ``least`` tasks or more."""
+def rows_of(paths: DataFrame, make: Callable[[str], Iterator[dict]], schema: pa.Schema, kind: str, least: int = 1, held: int = 5000, watch: Watch | None = None) -> DataFrame:
+    """Rows made of each path (path) in tasks, ``held`` at a time; paths are dealt evenly over ``least`` tasks or more.
+
+    watch: counts the paths that are done, and is asked before each whether to stop; those that follow have the one row (path, outcome "stopped").
+    """
+    stop, done = (watch.begun(paths.count()), watch.done) if watch else ((lambda: False), None)
+
+    def asked(path: str) -> Iterator[dict]:
+        if stop():
+            yield {"path": path, "outcome": "stopped"}
+            return
+        yield from make(path)
+        if done is not None:
+            done.add(1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                for row in make(path):
+                for row in asked(path):
                     rows.append(row)
                     if len(rows) == held:
                         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -72,8 +86,8 @@ def rows_of(paths: DataFrame, make: Callable[[str], Iterator[dict]], schema: pa.
     return dealt.mapInArrow(read, kind)
 
 
-def contents(paths: DataFrame, most: int = 32 << 20) -> DataFrame:
-    """(path, content, outcome) of small files: outcome ok, too-large (over ``most`` bytes) or unreadable."""
+def contents(paths: DataFrame, most: int = 32 << 20, watch: Watch | None = None) -> DataFrame:
+    """(path, content, outcome) of small files: outcome ok, too-large (over ``most`` bytes), unreadable or stopped."""
 
     def make(path: str) -> Iterator[dict]:
         try:
@@ -84,7 +98,7 @@ def contents(paths: DataFrame, most: int = 32 << 20) -> DataFrame:
             return
         yield {"path": path, "content": raw if len(raw) <= most else None, "outcome": "ok" if len(raw) <= most else "too-large"}
 
-    return rows_of(paths, make, pa.schema([("path", pa.string()), ("content", pa.binary()), ("outcome", pa.string())]), "path string, content binary, outcome string", held=16)
+    return rows_of(paths, make, pa.schema([("path", pa.string()), ("content", pa.binary()), ("outcome", pa.string())]), "path string, content binary, outcome string", held=16, watch=watch)
 
 
 def existing(paths: DataFrame) -> DataFrame:

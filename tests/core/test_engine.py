@@ -32,6 +32,7 @@ def test_a_library_from_its_first_scan_on(spark, tmp_path):
     moon = rows["Blue Moon"]
     assert (moon.year, moon.duration_ms, moon.container, moon.probed_at, moon.missing_since) == (1999, 90_000, "Matroska", 10, None)
     assert moon.cover_source == "in-file"  # artwork attached inside goes before the poster beside it
+    assert lib.cover_image(moon.id) == b"\xff\xd8\xffpicture" and lib.cover_image(rows["Other"].id) is None and lib.scan_progress() == 1.0
     assert sorted((t.language, t.cue_count) for t in moon.tracks) == [("en", 2), ("fr", 2)]
     beside = lib.table("subtitle_track").where("origin = 'sidecar'").first()
     assert [(r.start_ms, r.text) for r in lib.cues(beside.id).orderBy("place").collect()] == [(1000, "Good evening."), (3000, "And you.")]
@@ -151,3 +152,16 @@ def test_a_subtitle_too_large_is_left_out(small, monkeypatch):
     counts = lib.scan(1, 20).first()
     assert counts.read == 0 and lib.table("subtitle_track").count() == 1
     assert (str(big), "too-large") in [tuple(r) for r in lib.left_out.collect()]
+
+
+def test_a_scan_that_is_stopped_leaves_the_rest_to_the_next(small, monkeypatch):
+    lib, films, _ = small
+    (films / "inner" / "Red.Sun.1971.fr.srt").write_text(SRT)
+    (films / "inner" / "Blue.Sun.1972.mkv").write_bytes(b"not matroska")
+    real = lib._scan
+    monkeypatch.setattr(lib, "_scan", lambda folder, now: (lib.cancel_scan(), real(folder, now))[1])
+    assert lib.scan(1, 20).first().read == 0 and 0 <= lib.scan_progress() < 1
+    assert {r.outcome for r in lib.left_out.collect()} == {"stopped"} and lib.left_out.count() == 2
+    assert {r.title: r.probed_at for r in lib.table("film").collect()} == {"Red Sun": 10, "Blue Sun": None}
+    monkeypatch.setattr(lib, "_scan", real)
+    assert lib.scan(1, 30).first().read == 1 and lib.table("subtitle_track").count() == 2
