@@ -298,8 +298,8 @@ class Positions:
         return rows
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42)
+def _hash(word: bytes, digest=xxhash.xxh64_intdigest) -> int:
+    return digest(word, 42)
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -463,13 +463,16 @@ def _scored(rows: DataFrame, id: str) -> DataFrame:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tree = kept.value
         for texts in batches:
-            out = []
+            out, hashes, ends = [], [], [0]
             for t in texts.cast(pa.binary()):
                 words = words_of(t.as_py())
                 n, base, whole, rare = tree.score(words, tree.codes.coded(words))
-                out.append((n, base, whole, [_signed(_hash(w)) for w in rare]))
-            made = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))]
-            yield pa.StructArray.from_arrays(made, ["n_tokens", "base", "score", "rare"])
+                hashes.append(np.fromiter(map(_hash, rare), np.uint64, len(rare)))
+                ends.append(ends[-1] + len(rare))
+                out.append((n, base, whole))
+            made = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+            flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
+            yield pa.StructArray.from_arrays([*made, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["n_tokens", "base", "score", "rare"])
 
     key = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_id").isNull(), F.coalesce(F.col("_text"), F.lit("")))
     wanted = rows.where("_wanted").select("_id", key.alias("_key"), score("_text").alias("s"))
@@ -498,10 +501,6 @@ def _scored(rows: DataFrame, id: str) -> DataFrame:
     )
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def score_held_out(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """scored() over all documents, learnt from those that aren't held out; with held_out."""
     out = held_out(F.col(id))
