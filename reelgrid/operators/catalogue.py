@@ -203,15 +203,13 @@ def nearest_within(positions: DataFrame, lines: DataFrame, by: Sequence[str], at
 
     The distance to a line is that to its nearer edge. Only the last line begun and the next one are looked at.
     """
-    spans = lines.select(*by, F.struct(F.col(start).alias("s"), F.col(end).alias("e")).alias("span"), F.col(start).alias("_at"))
-    both = positions.select(F.struct(*positions.columns).alias("row"), *by, F.col(at).alias("_at"), F.lit(None).cast(spans.schema["span"].dataType).alias("span")).unionByName(spans.withColumn("row", F.lit(None).cast(positions.select(F.struct(*positions.columns).alias("r")).schema["r"].dataType)))
-    w = Window.partitionBy(*by).orderBy("_at")
-    before, after = F.max("span").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.min("span").over(w.rangeBetween(1, Window.unboundedFollowing))
-    seen = both.withColumns({"b": before, "a": after}).where("row IS NOT NULL")
-    t = F.col(f"row.{at}")
-    away_b, away_a = F.greatest(F.lit(0), t - F.col("b.e")), F.col("a.s") - t
-    line = F.when((away_b <= around) & (away_a.isNull() | (away_b <= away_a)), F.col("b.s")).when(away_a <= around, F.col("a.s")).when(away_b <= around, F.col("b.s"))
-    return seen.select("row.*", F.when(t >= least, line).alias("line_ms"))
+    from reelgrid.operators import intervals, series
+
+    seen = series.nearest(positions, lines, by, at, start, intervals.CHUNK_MS, F.struct(F.col(start).alias("s"), F.col(end).alias("e")))
+    t, b, a = F.col(at), F.col("previous"), F.col("following")
+    away_b, away_a = F.when(b.isNotNull(), F.greatest(F.lit(0), t - b["e"])), a["s"] - t
+    line = F.when((away_b <= around) & (away_a.isNull() | (away_b <= away_a)), b["s"]).when(away_a <= around, a["s"]).when(away_b <= around, b["s"])
+    return seen.select(*positions.columns, F.when(t >= least, line).alias("line_ms"))
 
 
 def best_reference(tracks: DataFrame) -> DataFrame:

@@ -55,15 +55,18 @@ def with_halo(rows: DataFrame, place: str, halo: int, size: int | None = None) -
     return rows.select("*", F.inline(F.array_compact(beside)))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, width: int) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, width: int, hit: Column | None = None) -> DataFrame:
     """left with ``previous`` (the last right_at <= at) and ``following`` (the first right_at >= at), null where there is none.
 
+    hit: what is wanted of right in place of right_at, in the same order: a struct that begins with it.
+
     An as-of join both ways in chunks of ``width``: one shuffle of the union by series and chunk; what lies beyond a chunk comes from one row for each
     chunk of the series. No row is paired with another's. Rows without a time have neither.
     """
     row = F.struct(*left.columns)
-    l = left.select(row.alias("row"), *by, F.col(at).alias("t"), F.lit(None).cast(right.schema[right_at].dataType).alias("hit"))
-    r = right.select(F.lit(None).cast(l.schema["row"].dataType).alias("row"), *by, F.col(right_at).alias("t"), F.col(right_at).alias("hit"))
+    r = right.select(*by, F.col(right_at).alias("t"), (F.col(right_at) if hit is None else hit).alias("hit"))
+    l = left.select(row.alias("row"), *by, F.col(at).alias("t"), F.lit(None).cast(r.schema["hit"].dataType).alias("hit"))
+    r = r.select(F.lit(None).cast(l.schema["row"].dataType).alias("row"), *by, "t", "hit")
     both = l.unionByName(r).withColumn("chunk", F.floor(F.col("t") / width))
     series = Window.partitionBy(*by, "chunk").orderBy("t")
     inner = both.withColumns({"_back": F.max("hit").over(series.rangeBetween(Window.unboundedPreceding, 0)), "_ahead": F.min("hit").over(series.rangeBetween(0, Window.unboundedFollowing))}).where("row IS NOT NULL")

@@ -102,6 +102,9 @@ def test_stepping_through_lines(spark):
     at = spark.createDataFrame([("f", t) for t in (500, 1000, 1300, 5399, 5400, 40_000, 95_000, 200_000)], "k string, t long")
     got = {r.t: (r.previous_ms, r.next_ms) for r in catalogue.stepped(at, lines, ["k"], "t", "s").collect()}
     assert got == {500: (None, 1000), 1000: (None, 5000), 1300: (None, 5000), 5399: (1000, 90_000), 5400: (5000, 90_000), 40_000: (5000, 90_000), 95_000: (90_000, None), 200_000: (90_000, None)}
+    first = spark.createDataFrame([("f", 1000), ("f", 300_000)], "k string, t long")
+    late = spark.createDataFrame([("f", 9000, 9500), ("f", 300_000, 300_500)], "k string, s long, e long")
+    assert {r.t: r.line_ms for r in catalogue.nearest_within(first, late, ["k"], "t", "s", "e").collect()} == {1000: 9000, 300_000: 300_000}  # nothing before the first
     near = {r.t: r.line_ms for r in catalogue.nearest_within(at, lines, ["k"], "t", "s", "e").collect()}
     assert near == {500: None, 1000: 1000, 1300: 1000, 5399: 5000, 5400: 5000, 40_000: None, 95_000: 90_000, 200_000: None}
 
