@@ -109,9 +109,17 @@ def landing(lines: DataFrame, starts: DataFrame, by: list[str], at: str, start:
 
 
 def lag_products(a: DataFrame, b: DataFrame, by: list[str], bin: str, window: int) -> DataFrame:
-    """(by, lag, n): bins of b that are active ``lag`` after one of a, for each lag within the window. Sparse signals: a row for each active bin."""
-    moved = a.select(*by, F.col(bin).alias("_a"), F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("lag")).withColumn(bin, F.col("_a") + F.col("lag"))
-    return moved.join(b.select(*by, bin), [*by, bin]).groupBy(*by, "lag").agg(F.count("*").alias("n"))
+    """(by, lag, n): bins of b that are active ``lag`` after one of a, for each lag within the window. Sparse signals: a row for each active bin.
+
+    Bins meet by stretches as wide as the window: a's in their own, b's in the two at most that they reach. Merged, as a broadcast would put a whole
+    signal on the driver.
+    """
+    wide = 2 * window + 1
+    slot = lambda c: F.floor(c / wide)
+    own = a.select(*by, F.col(bin).alias("_a"), slot(F.col(bin)).alias("_slot"))
+    near = b.select(*by, F.col(bin).alias("_b"), F.explode(F.sequence(slot(F.col(bin) - window), slot(F.col(bin) + window))).alias("_slot"))
+    lag = (F.col("_b") - F.col("_a")).alias("lag")
+    return own.join(near.hint("merge"), [*by, "_slot"]).select(*by, lag).where(F.col("lag").between(-window, window)).groupBy(*by, "lag").agg(F.count("*").alias("n"))
 
 
 def theil_sen(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
