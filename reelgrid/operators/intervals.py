@@ -27,8 +27,7 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right
         return series.nearest(left, right, by, at, right_at, width)
     l = left.select(F.struct(*left.columns).alias("row"), *by, F.col(at).alias("t"), F.lit(None).cast(right.schema[right_at].dataType).alias("hit"))
     r = right.select(F.lit(None).cast(l.schema["row"].dataType).alias("row"), *by, F.col(right_at).alias("t"), F.col(right_at).alias("hit"))
-    w = Window.partitionBy(*by).orderBy("t")
-    both = l.unionByName(r).withColumns({"previous": F.max("hit").over(w.rangeBetween(Window.unboundedPreceding, 0)), "following": F.min("hit").over(w.rangeBetween(0, Window.unboundedFollowing))})
+    both = l.unionByName(r).withColumns({"previous": F.max("hit").over(series.upto(by, "t")), "following": F.min("hit").over(series.upto(by, "t", True))})
     return both.where("row IS NOT NULL").select("row.*", "previous", "following")
 
 

@@ -8,18 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def upto(by: Sequence[str], at: str, back: bool = False) -> WindowSpec:
+    """All up to each moment, or with ``back`` all from it on: read from the end, as Spark computes a frame with an open end anew for each row."""
+    return Window.partitionBy(*by).orderBy(F.col(at).desc() if back else F.col(at).asc()).rangeBetween(Window.unboundedPreceding, 0)
+
+
 def carried(rows: DataFrame, by: Sequence[str], chunk: str, values: dict[str, Column], backward: Sequence[str] = ()) -> DataFrame:
     """(by, chunk, names): for each chunk of each series what the aggregates say over all chunks before it, or after it for names of ``backward``.
 
     Aggregates that merge by themselves: F.max, F.min, F.sum or F.count of rows; counts and sums are added up.
     """
     own = rows.groupBy(*by, chunk).agg(*(v.alias(name) for name, v in values.items()))
-    w = Window.partitionBy(*by).orderBy(chunk)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    before, after = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col(chunk).asc(), F.col(chunk).desc()))
     merged = {name: (F.min if name in backward else F.max)(name).over(after if name in backward else before) for name in values}
     return own.select(*by, chunk, *(c.alias(name) for name, c in merged.items()))
 
@@ -68,8 +72,7 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right
     l = left.select(row.alias("row"), *by, F.col(at).alias("t"), F.lit(None).cast(r.schema["hit"].dataType).alias("hit"))
     r = r.select(F.lit(None).cast(l.schema["row"].dataType).alias("row"), *by, "t", "hit")
     both = l.unionByName(r).withColumn("chunk", F.floor(F.col("t") / width))
-    series = Window.partitionBy(*by, "chunk").orderBy("t")
-    inner = both.withColumns({"_back": F.max("hit").over(series.rangeBetween(Window.unboundedPreceding, 0)), "_ahead": F.min("hit").over(series.rangeBetween(0, Window.unboundedFollowing))}).where("row IS NOT NULL")
+    inner = both.withColumns({"_back": F.max("hit").over(upto([*by, "chunk"], "t")), "_ahead": F.min("hit").over(upto([*by, "chunk"], "t", True))}).where("row IS NOT NULL")
     # a row for each chunk that has any: hits, or left rows that ask for those of other chunks
     edges = carried(both, by, "chunk", {"_before": F.max("hit"), "_after": F.min("hit")}, ["_after"])
     edges = edges.select(*(F.col(b).alias(f"_of_{b}") for b in by), F.col("chunk").alias("_of_chunk"), "_before", "_after")

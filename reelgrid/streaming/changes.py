@@ -97,11 +97,13 @@ def sessions(changes: DataFrame, by: str, at: str, quiet: int = QUIET_MS, patien
     """The same over a table: (by, first, last, n) of runs broken by ``quiet`` without a change, long runs cut every ``patience`` from their first.
 
     Equal times are summed first. Times are dealt to buckets as wide as patience with their neighbours' edges, so a long or dense
-    series is many tasks. Each time points at the first one patience later in its run; which times begin a session is found
-    from the runs' first ones by pointers that double their reach, in as many rounds as the logarithm of a run's sessions,
-    each written to the shared folder. quiet is no longer than patience. Rows without a key or a time are left out.
+    series is many tasks. Each time points at the first one patience later in its run. Blocks of time double in width: a link of a level
+    leads from where a block can be entered (from the one before it, or as a run's first time) to the first time beyond it, so each level
+    has about half the links of the one below. Back down the levels, the times that are entered from the runs' first ones are those
+    that begin a session. Twice as many rounds as the logarithm of the buckets, each written to the shared folder. quiet is no
+    longer than patience. Rows without a key or a time are left out.
     """
-    from reelgrid.operators.intervals import nearest
+    from reelgrid.operators.series import upto
 
     if quiet > patience:
         raise ValueError("quiet is longer than patience")
@@ -112,14 +114,27 @@ def sessions(changes: DataFrame, by: str, at: str, quiet: int = QUIET_MS, patien
     lag = F.lag(at).over(Window.partitionBy(by, "b").orderBy(at))
     marked = dealt.withColumn("new", F.coalesce(F.col(at) - lag >= quiet, F.lit(True))).where("own").drop("own")
     runs = written(_latest(marked, by, at, "new", "run"), "runs")
-    probes = runs.select(by, "run", F.col(at).alias("t"), (F.col(at) + patience).alias("target")).withColumn("b", F.floor(F.col("target") / patience))
-    near = runs.select(by, F.col(at).alias("next"), F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"))
-    found = nearest(probes, near, [by, "b"], "target", "next", None).select(by, "run", "t", F.col("following").alias("next")).where("next IS NOT NULL")
-    jump = written(found.join(runs.select(by, F.col("run").alias("_run"), F.col(at).alias("next")), [by, "next"]).where(F.col("run") == F.col("_run")).select(by, "t", "next"), "links")
+    step = lambda b, t, asks, hit: F.struct(b.alias("b"), t.alias("t"), asks.alias("asks"), hit.alias("hit"))
+    here, none = F.struct(F.col(at).alias("next"), F.col("run").alias("run")), F.lit(None)
+    kind, target = runs.schema[at].dataType, F.col(at) + patience
+    ways = F.array(*(step(F.col("b") - i, F.col(at), none.cast(kind), here) for i in (0, 1)), step(F.floor(target / patience), target, F.col(at), F.when(F.lit(False), here)))
+    found = runs.select(by, "run", F.inline(ways)).withColumn("following", F.min("hit").over(upto([by, "b"], "t", True)))
+    links = written(found.where("asks IS NOT NULL AND following.run = run").select(by, F.col("asks").alias("t"), F.col("following.next").alias("next")), "links")
     starts = runs.where("new").select(by, F.col(at).alias("t"))
-    while not jump.isEmpty():
-        starts = written(starts.unionByName(starts.join(jump, [by, "t"]).select(by, F.col("next").alias("t"))).distinct(), "starts")
-        jump = written(jump.join(jump.select(by, F.col("t").alias("next"), F.col("next").alias("after")), [by, "next"]).select(by, "t", F.col("after").alias("next")), "links")
+    least = links.agg(F.min("t")).first()[0]
+    block = lambda c, level: F.floor((F.col(c) - least) / (patience << level))
+    levels = []
+    while not links.isEmpty():
+        levels.append(links)
+        beyond = block("t", len(levels)) != block("next", len(levels))
+        entered = links.where(beyond).select(by, F.col("next").alias("t")).unionByName(starts).distinct()
+        second = links.select(by, F.col("t").alias("next"), F.col("next").alias("after"))
+        one = links.join(entered.hint("merge"), [by, "t"], "left_semi")
+        more = one.where(~beyond).join(second.hint("merge"), [by, "next"]).select(by, "t", F.col("after").alias("next"))
+        links = written(one.where(beyond).unionByName(more), "links")
+    while levels:
+        reached = starts.join(levels.pop().hint("merge"), [by, "t"]).select(by, F.col("next").alias("t"))
+        starts = written(starts.unionByName(reached).distinct(), "starts")
     opened = starts.select(by, F.col("t").alias(at), F.lit(True).alias("start"))
     cut = _latest(runs.drop("new").join(opened, [by, at], "left").withColumn("start", F.coalesce("start", F.lit(False))), by, at, "start", "first")
     return cut.groupBy(by, "first").agg(F.max(at).alias("last"), F.sum("n").alias("n")).select(by, "first", "last", "n")

@@ -29,3 +29,33 @@ def test_signals_meet_without_a_broadcast(spark):
                 want[u, y - x] += 1
     assert {(r.user, r.lag): r.n for r in got.collect()} == want
     assert "Broadcast" not in plan(got)
+
+
+def test_levels_of_links_halve(spark, monkeypatch):
+    times = sorted({k * 7919 % 400_000 for k in range(6000)} | {900_000, 900_003})
+    counts, write = [], changes.written
+
+    def counted(rows, name):
+        out = write(rows, name)
+        counts.append(out.count() if name == "links" else 0)
+        return out
+
+    monkeypatch.setattr(changes, "written", counted)
+    got = changes.sessions(spark.createDataFrame([("a", t) for t in times], "k string, ms long"), "k", "ms", 1000, 3000)
+    want, first = [], None
+    for i, t in enumerate(times):
+        if first is None or t - times[i - 1] >= 1000 or t - first >= 3000:
+            first = t
+            want.append([first, t, 0])
+        want[-1][1:] = t, want[-1][2] + 1
+    assert sorted((r["first"], r["last"], r["n"]) for r in got.collect()) == sorted(map(tuple, want))
+    assert sum(counts) < 3 * len(times)
+
+
+@pytest.mark.parametrize("width", [None, 1000])
+def test_no_window_is_open_ahead(spark, width):
+    rows = spark.createDataFrame([(1, t) for t in (5, 900, 2500)], "k int, t long")
+    hits = spark.createDataFrame([(1, t) for t in (4, 901, 7000)], "k int, h long")
+    near = intervals.nearest(rows, hits, ["k"], "t", "h", width)
+    assert sorted((r.t, r.previous, r.following) for r in near.collect()) == [(5, 4, 901), (900, 4, 901), (2500, 901, 7000)]
+    assert "unboundedfollowing" not in plan(near).lower()
