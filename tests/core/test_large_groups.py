@@ -59,3 +59,10 @@ def test_no_window_is_open_ahead(spark, width):
     near = intervals.nearest(rows, hits, ["k"], "t", "h", width)
     assert sorted((r.t, r.previous, r.following) for r in near.collect()) == [(5, 4, 901), (900, 4, 901), (2500, 901, 7000)]
     assert "unboundedfollowing" not in plan(near).lower()
+
+
+def test_one_key_of_many(spark):
+    rows = spark.range(MANY).select("id", F.lit("key").alias("key"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).cast("int").alias("year"))
+    got = pairing.exact(rows.withColumnRenamed("id", "subtitle"), rows.withColumnRenamed("id", "film"))
+    n = {i: rows.where(f"id % 3 = {i}").count() for i in range(3)}
+    assert {(r.y, r.n, r.film) for r in got.select(F.col("subtitle") % 3, "n_films", "film").distinct().toDF("y", "n", "film").collect()} == {(0, MANY, None), (1, n[0] + n[1], None), (2, n[0] + n[2], None)}
