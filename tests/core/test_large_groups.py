@@ -66,3 +66,11 @@ def test_one_key_of_many(spark):
     got = pairing.exact(rows.withColumnRenamed("id", "subtitle"), rows.withColumnRenamed("id", "film"))
     n = {i: rows.where(f"id % 3 = {i}").count() for i in range(3)}
     assert {(r.y, r.n, r.film) for r in got.select(F.col("subtitle") % 3, "n_films", "film").distinct().toDF("y", "n", "film").collect()} == {(0, MANY, None), (1, n[0] + n[1], None), (2, n[0] + n[2], None)}
+
+
+def test_one_beginning_of_many(spark):
+    rows = spark.range(MANY).select("id", F.array(F.lit("large"), F.lit("ring")).alias("words"), F.lit(1).alias("year"))
+    one = spark.createDataFrame([(-1, ["large", "ring", "new"], 1)], "id long, words array<string>, year int")
+    films = rows.unionByName(one).withColumnRenamed("id", "film")
+    got = pairing.by_beginning(rows.unionByName(one).withColumnRenamed("id", "subtitle"), films)
+    assert [tuple(r) for r in got.collect()] == [(-1, -1, 3)]
