@@ -74,3 +74,8 @@ def test_one_beginning_of_many(spark):
     films = rows.unionByName(one).withColumnRenamed("id", "film")
     got = pairing.by_beginning(rows.unionByName(one).withColumnRenamed("id", "subtitle"), films)
     assert [tuple(r) for r in got.collect()] == [(-1, -1, 3)]
+
+
+def test_unpaired_of_one_key(spark, tmp_path):
+    spark.range(MANY).select(F.col("id").alias("p_partkey"), F.lit("large ring").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    assert film_queries.unpaired_subtitles(spark, str(tmp_path)).count() == MANY
