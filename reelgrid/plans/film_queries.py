@@ -151,7 +151,7 @@ def lines_at_stops(spark, d):
 def daily_levels(spark, d):
     """Mean power in decibels from partial sums."""
     e = events(spark, d, "user_id", "value").select(F.col("user_id").alias("film"), F.floor(F.col("ms") / DAY).alias("bin"), (F.col("value") * F.col("value")).alias("sum_sq"), F.col("value").isNotNull().cast("int").alias("n"))
-    return alignment.levels(e).where("level > -120").select("film", "bin", F.round("level", 6).alias("level"))
+    return alignment.levels(e.where("n > 0")).select("film", "bin", F.round("level", 6).alias("level"))
 
 
 @query(f"""WITH t AS (SELECT * FROM {T_}), u AS (SELECT * FROM t WHERE codec IN ('subrip', 'ass', 'webvtt') AND cue_count >= 100),

@@ -79,3 +79,9 @@ def test_one_beginning_of_many(spark):
 def test_unpaired_of_one_key(spark, tmp_path):
     spark.range(MANY).select(F.col("id").alias("p_partkey"), F.lit("large ring").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
     assert film_queries.unpaired_subtitles(spark, str(tmp_path)).count() == MANY
+
+
+def test_a_silent_day_has_its_level(spark, tmp_path):
+    rows = [(1, "2024-01-01 10:00:00", 0.0), (1, "2024-01-02 10:00:00", None), (2, "2024-01-01 10:00:00", 10.0)]
+    spark.createDataFrame(rows, "user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted((r.film, r.level) for r in film_queries.daily_levels(spark, str(tmp_path)).collect()) == [(1, -120.0), (2, 20.0)]
