@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reelgrid.functions.media import AUDIO_CODECS, BITMAP_CODECS, TEXT_CODECS, _cases, base_name, codec_name, extension
-from reelgrid.functions.timing import offset_label, player_clock, runtime_label, size_label, time_left_label
+from reelgrid.functions.timing import offset_label, one_decimal, player_clock, runtime_label, size_label, time_left_label
 
 # Fixed values.
 LANGUAGE_NAMES = {
@@ -68,7 +68,7 @@ def frame_rate_label(rate: Column) -> Column:
 
 
 def bitrate_label(bits: Column) -> Column:
-    return F.when(bits >= 1_000_000, F.format_string("%.1f Mb/s", bits / 1e6)).when(bits > 0, F.concat(F.round(bits / 1e3).cast("long").cast("string"), F.lit(" kb/s")))
+    return F.when(bits >= 1_000_000, F.concat(one_decimal(bits / 1e6), F.lit(" Mb/s"))).when(bits > 0, F.concat(F.round(bits / 1e3).cast("long").cast("string"), F.lit(" kb/s")))
 
 
 def facts(film: dict[str, Column], today: Column) -> Column:

@@ -90,9 +90,19 @@ def time_left_label(position_ms: Column, duration_ms: Column) -> Column:
     )
 
 
+def one_decimal(x: Column) -> Column:
+    """A number from 1 on with one decimal as C prints it: the double's own value to the nearest, exact ties to even. Java's formats round what they would print in full."""
+    whole = F.floor(x)
+    q = ((x - whole) * float(1 << 52)).cast("long") * 10  # exact: the fraction is a multiple of 2^-52
+    tenth, rest = F.shiftright(q, 52), q.bitwiseAND((1 << 52) - 1)
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (tenth % 2 == 1))
+    tenths = whole * 10 + tenth + up.cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def size_label(size_bytes: Column) -> Column:
     return (
-        F.when(size_bytes >= 10**9, F.format_string("%.1f GB", size_bytes / 1e9)).when(size_bytes >= 10**6, F.concat(F.round(size_bytes / 1e6).cast("long").cast("string"), F.lit(" MB")))
+        F.when(size_bytes >= 10**9, F.concat(one_decimal(size_bytes / 1e9), F.lit(" GB"))).when(size_bytes >= 10**6, F.concat(F.round(size_bytes / 1e6).cast("long").cast("string"), F.lit(" MB")))
         .when(size_bytes >= 1000, F.concat(F.round(size_bytes / 1e3).cast("long").cast("string"), F.lit(" kB"))).otherwise(F.concat(size_bytes.cast("string"), F.lit(" bytes")))
     )
 

@@ -85,3 +85,9 @@ def test_a_silent_day_has_its_level(spark, tmp_path):
     rows = [(1, "2024-01-01 10:00:00", 0.0), (1, "2024-01-02 10:00:00", None), (2, "2024-01-01 10:00:00", 10.0)]
     spark.createDataFrame(rows, "user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
     assert sorted((r.film, r.level) for r in film_queries.daily_levels(spark, str(tmp_path)).collect()) == [(1, -120.0), (2, 20.0)]
+
+
+def test_rates_and_sizes_as_c_prints_them(spark):
+    bits = [1_000_000, 1_149_999, 1_150_000, 1_250_000, 1_350_000, 1_450_000, 1_750_000, 9_950_000, 12_650_000, 999_950_000, *range(1_050_000, 40_000_000, 100_000)]
+    rows = spark.createDataFrame([(b,) for b in bits], "bits long").select("bits", labels.bitrate_label(F.col("bits")).alias("rate"), timing.size_label(F.col("bits") * 1000).alias("size"))
+    assert [(r.rate, r.size) for r in rows.collect()] == [(f"{b / 1e6:.1f} Mb/s", f"{b * 1000 / 1e9:.1f} GB") for b in bits]
