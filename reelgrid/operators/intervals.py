@@ -92,14 +92,16 @@ def rolling_count(events: DataFrame, by: Sequence[str], at: str, width: int) ->
 def busiest(events: DataFrame, at: str, width: int) -> DataFrame:
     """(at, n): the event with most events in the ``width`` from it on, the earliest among equals.
 
-    Without a sort in one task: events are dealt to overlapping buckets of ``width`` as candidates and as neighbours, and
-    counted by a window in each; each bucket's best is kept before the last comparison.
+    Without a sort in one task: moments are dealt to overlapping buckets of ``width`` as candidates, as neighbours and as the ends of candidates' windows.
+    A window's count is the running sum at its end less what came before it, so a bucket costs its rows, however dense; each bucket's best is kept
+    before the last comparison.
     """
     bucket = F.floor(F.col(at) / width)
-    both = F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("b"), F.lit(False).alias("own")))
-    dealt = events.groupBy(at).agg(F.count("*").alias("same")).select(at, "same", F.inline(both))
-    w = Window.partitionBy("b").orderBy(at).rangeBetween(0, width - 1)
-    counted = dealt.withColumn("n", F.sum("same").over(w)).where("own")
+    kind = lambda b, t, add, sign: F.struct(b.alias("b"), t.alias("t"), add.alias("add"), F.lit(sign).alias("sign"))
+    ways = F.array(kind(bucket, F.col(at), F.col("same"), -1), kind(bucket - 1, F.col(at), F.col("same"), 0), kind(bucket, F.col(at) + (width - 1), F.lit(0).cast("long"), 1))
+    dealt = events.groupBy(at).agg(F.count("*").alias("same")).select(at, F.inline(ways))
+    summed = dealt.withColumn("upto", F.sum("add").over(series.upto(["b"], "t"))).where("sign <> 0")
+    counted = summed.groupBy("b", at).agg(F.sum(F.col("sign") * F.col("upto") + F.col("add")).alias("n"))
     best = counted.groupBy("b").agg(F.max(F.struct(F.col("n"), (-F.col(at)).alias("back"))).alias("best"))
     return best.agg(F.max("best").alias("best")).where("best IS NOT NULL").select((-F.col("best.back")).alias(at), F.col("best.n").alias("n"))
 

@@ -91,3 +91,8 @@ def test_rates_and_sizes_as_c_prints_them(spark):
     bits = [1_000_000, 1_149_999, 1_150_000, 1_250_000, 1_350_000, 1_450_000, 1_750_000, 9_950_000, 12_650_000, 999_950_000, *range(1_050_000, 40_000_000, 100_000)]
     rows = spark.createDataFrame([(b,) for b in bits], "bits long").select("bits", labels.bitrate_label(F.col("bits")).alias("rate"), timing.size_label(F.col("bits") * 1000).alias("size"))
     assert [(r.rate, r.size) for r in rows.collect()] == [(f"{b / 1e6:.1f} Mb/s", f"{b * 1000 / 1e9:.1f} GB") for b in bits]
+
+
+def test_busiest_of_one_dense_hour(spark):
+    rows = spark.range(3 * MANY).select(F.when(F.col("id") > 0, 3_600_000 * 7 + F.col("id") * 3).alias("ms"))
+    assert [tuple(r) for r in intervals.busiest(rows, "ms", 300_000).collect()] == [(3_600_000 * 7 + 3, MANY)]
