@@ -50,13 +50,18 @@ def simhash(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(begins), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
+    """The same as a signed long."""
+    return _signed(simhash(text, shingle))
+
+
 def fingerprints(shingle: int = SHINGLE):
     """A UDF from texts to fingerprints as signed longs."""
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield mapped(texts.cast(pa.binary()), lambda t: _signed(simhash(t, shingle)), pa.int64())
+            yield mapped(texts.cast(pa.binary()), lambda t: fingerprint(t, shingle), pa.int64())
 
     return of
 
@@ -122,13 +127,17 @@ def _rooted(prints: DataFrame, radius: int) -> DataFrame:
     return firsts.join(roots, F.col("f") == F.col("node"), "left").select("f", "first", F.coalesce("root", "f").alias("root"))
 
 
+def component_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(f, component_id) of every distinct fingerprint of prints (id, f): the least id of its component."""
+    rooted = _rooted(prints, radius)
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(least, "root").select("f", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) of every row: components of the links at radius or fewer differing bits."""
     prints = staged(docs.select(F.col(id).alias("id"), fingerprints(shingle)(text).alias("f")), "fingerprints")
-    rooted = _rooted(prints, radius)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = rooted.join(least, "root").select("f", "component_id")
-    return hot_join(prints, of_print, "f").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return hot_join(prints, component_of(prints, radius), "f").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

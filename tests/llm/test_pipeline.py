@@ -3,6 +3,7 @@
 import corpus_pipeline
 import pytest
 
+from reelgrid.llm import simhash
 from tests.llm.test_near_copies import brute_firsts
 from tests.llm.test_operators import SCHEMA, brute_hits, odd_rows, reference_encoding
 
@@ -36,3 +37,12 @@ def test_stages_stand_odd_rows(spark, sf, rows):
         assert n <= docs.count(), name
         if i + 1 < len(corpus_pipeline.STAGES):
             assert out.columns == docs.columns
+
+
+def test_near_dedup_links_by_fingerprints_and_by_sets(spark, sf):
+    often, prose = "to be or " * 60, [f"w{i}" for i in range(200)]
+    texts = [often + "one two three four five six", often + "seven eight nine ten eleven twelve", " ".join(prose), " ".join(prose[:170] + ["new"] + prose[171:]), "nothing like it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [simhash.simhash(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[2] ^ prints[3]).bit_count()
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [0, 2, 4]
