@@ -72,7 +72,7 @@ def mismatched(truth: DataFrame, against: int = 2) -> DataFrame:
 
 def worst_errors(made: DataFrame, corrections: DataFrame) -> DataFrame:
     """(film, way, worst_ms): the furthest that a correction (film, way, offset_ms, rate) puts a line of a case from where it belongs."""
-    both = made.join(corrections, ["film", "way"])
+    both = made.join(corrections.hint("shuffle_hash"), ["film", "way"])  # a row for each case, so its many lines aren't sorted
     away = F.abs(corrected(F.col("start_ms"), F.col("offset_ms"), F.col("rate")) - F.col("belongs_ms"))
     return both.groupBy("film", "way").agg(F.max(away).alias("worst_ms"))
 
