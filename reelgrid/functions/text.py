@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "ldquo": "\u201c", "lsquo": "\u2018", "lt": "<", "nbsp": " ", "quot": '"', "rdquo": "\u201d", "rsquo": "\u2019"}
 LEGACY_POSITIONS = {1: 1, 2: 2, 3: 3, 5: 7, 6: 8, 7: 9, 9: 4, 10: 5, 11: 6}
 LYRICS = "\u266a\u266b\u266c\u2669"
+#: Texts whose Python objects a worker holds at a time.
+ROWS = 100
+CLEANED = pa.struct([("text", pa.string()), ("position", pa.int32())])
 _MARKUP = re.compile(
     r"(?P<override>\{(?=\\|[A-Za-z]:|an[0-9]*\})[^}]*\})|(?P<tag></?[A-Za-z][^>]*>)|&(?P<entity>#[xX]?[0-9A-Fa-f]+|[A-Za-z]+);|(?P<escape>\\[Nnh])|(?P<drop>[\ufeff\u200b])"
 )
@@ -51,14 +56,19 @@ def clean_markup(text: str | None) -> tuple[str, int | None]:
     return "\n".join(x for x in lines if x), position[0] if position else None
 
 
+def cleaned_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """CLEANED of a batch of texts, ROWS at a time."""
+    for i in range(0, len(texts), ROWS):
+        yield pa.array([dict(zip(CLEANED.names, clean_markup(t.as_py()), strict=True)) for t in texts[i : i + ROWS]], CLEANED)
+
+
 def cleaned(text: Column) -> Column:
-    """A struct (text, position); an Arrow UDF."""
+    """A struct (text, position); an Arrow UDF that holds Python objects for ROWS texts at a time."""
 
-    @F.pandas_udf("text string, position int")
-    def clean(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([clean_markup(t) for t in texts], columns=["text", "position"])
-        out["position"] = out["position"].astype("Int32")
-        return out
+    @F.arrow_udf("struct<text: string, position: int>")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([pa.array([], CLEANED), *cleaned_parts(texts)])
 
     return clean(text)
 

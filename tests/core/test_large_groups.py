@@ -2,11 +2,12 @@
 
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.functions import labels, timing
-from reelgrid.operators import alignment, intervals, pairing, series
+from reelgrid.functions import labels, text, timing
+from reelgrid.operators import alignment, evaluation, intervals, pairing
 from reelgrid.plans import film_queries
 from reelgrid.streaming import changes
 
@@ -96,3 +97,20 @@ def test_rates_and_sizes_as_c_prints_them(spark):
 def test_busiest_of_one_dense_hour(spark):
     rows = spark.range(3 * MANY).select(F.when(F.col("id") > 0, 3_600_000 * 7 + F.col("id") * 3).alias("ms"))
     assert [tuple(r) for r in intervals.busiest(rows, "ms", 300_000).collect()] == [(3_600_000 * 7 + 3, MANY)]
+
+
+def test_texts_are_cleaned_a_few_at_a_time(spark):
+    raw = [None, "", *(f"<i>{k} &amp; {{\\an{k % 9 + 1}}}b</i>" for k in range(1000))]
+    parts = list(text.cleaned_parts(pa.array(raw)))
+    want = [text.clean_markup(t) for t in raw]
+    assert max(map(len, parts)) <= text.ROWS and [tuple(x.values()) for p in parts for x in p.to_pylist()] == want
+    got = spark.createDataFrame(list(enumerate(raw)), "id int, t string").select("id", text.cleaned(F.col("t")).alias("c")).orderBy("id").collect()
+    assert [(r.c.text, r.c.position) for r in got] == want
+
+
+def test_cases_meet_their_corrections_unsorted(spark):
+    made = spark.createDataFrame([(1, 0, 1000, 1500), (1, 0, 5000, 5000), (2, 1, 7, 7)], "film long, way int, start_ms long, belongs_ms long")
+    said = spark.createDataFrame([(1, 0, 500, 1.0), (2, 1, 0, 1.0)], "film long, way int, offset_ms int, rate double")
+    got = evaluation.worst_errors(made, said)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 500), (2, 1, 0)]
+    assert "ShuffledHashJoin" in plan(got)
