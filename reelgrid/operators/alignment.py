@@ -7,9 +7,11 @@ correction needs a film's whole signal at once, as runs: a grouped map by film a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,26 +262,61 @@ def found_correction(starts: np.ndarray, ends: np.ndarray, film: Signal) -> dict
 ALIGNED = "track_id long, offset_ms int, rate double, score double, misfit string, misfit_at_ms long"
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group in batches that are sorted by keys; no more than a batch and a group are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        with_last = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch]) if held else batch
+        changed = np.zeros(with_last.num_rows - 1, bool)
+        for key in keys:
+            column = with_last.column(key)
+            a, b = column.slice(0, len(changed)), column.slice(1)
+            other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+            changed |= other.to_numpy(zero_copy_only=False)
+        at = 0
+        for end in (np.flatnonzero(changed) + (0 if held else 1)).tolist():
+            yield pa.concat_batches([*held, batch.slice(at, end - at)])
+            held, at = [], end
+        held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
+_FOUND = pa.schema([("track_id", pa.int64()), ("offset_ms", pa.int32()), ("rate", pa.float64()), ("score", pa.float64()), ("misfit", pa.string()), ("misfit_at_ms", pa.int64())])
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of ALIGNED for each track of rows (film, track_id, film_bins, a, b) sorted by film and track: its lines, and with film_bins its film's runs. None without lines."""
+    rows: list[dict] = []
+    for group in _groups(batches, ["film", "track_id"]):
+        bins, a, b = (group.column(c) for c in ("film_bins", "a", "b"))
+        of_film, a, b = (x.to_numpy(zero_copy_only=False) for x in (bins.is_valid(), a, b))
+        n = min(pc.max(bins).as_py() or 0, MAX_BINS)
+        film = united(a[of_film].astype(np.int64), b[of_film].astype(np.int64), n)
+        if of_film.all():
+            continue
+        rows.append({"track_id": group.column("track_id")[0].as_py(), **found_correction(a[~of_film], b[~of_film], film)})
+        if len(rows) == 1000:
+            yield pa.RecordBatch.from_pylist(rows, _FOUND)
+            rows = []
+    yield pa.RecordBatch.from_pylist(rows, _FOUND)
+
+
 def aligned(cues: DataFrame, speech_runs: DataFrame) -> DataFrame:
     """ALIGNED for each track of cues (track_id, film, start_ms, end_ms, text) against speech_runs (film, from_bin, to_bin, film_bins).
 
-    A cogrouped map by film and track: a film's runs go to each of its tracks, so one film with many tracks is many tasks. Signals stay runs.
+    A map over rows dealt and sorted by film and track: a film's runs go to each of its tracks, so one film with many tracks is many tasks. Signals stay runs.
+    Lines and runs of a track come one after the other in batches of many tracks, which costs less than a group at a time.
     """
-
-    def per_track(lines: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        columns = ["track_id", "offset_ms", "rate", "score", "misfit", "misfit_at_ms"]
-        n = min(int(runs["film_bins"].max()), MAX_BINS) if len(runs) else 0
-        film = united(runs["from_bin"].to_numpy(np.int64), runs["to_bin"].to_numpy(np.int64), n)
-        rows = [{"track_id": lines["track_id"].iloc[0], **found_correction(lines["start_ms"].to_numpy(float), lines["end_ms"].to_numpy(float), film)}] if len(lines) else []
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"track_id": "int64", "offset_ms": "int32", "rate": "float64", "score": "float64", "misfit": object, "misfit_at_ms": "Int64"})
-
-    lines = cues.where(spoken(F.col("text"))).select("track_id", "film", "start_ms", "end_ms")
-    pairs = lines.select(F.col("film").alias("of_film"), F.col("track_id").alias("of_track")).distinct()
-    runs = speech_runs.select(F.col("film").alias("run_film"), "from_bin", "to_bin", "film_bins").join(pairs, F.col("run_film") == F.col("of_film"))
+    lines = cues.where(spoken(F.col("text"))).select("film", "track_id", F.lit(None).cast("long").alias("film_bins"), F.col("start_ms").cast("double").alias("a"), F.col("end_ms").cast("double").alias("b"))
+    pairs = cues.select("film", "track_id").distinct()  # of tracks without spoken lines too, rather than to look for speech twice
+    runs = speech_runs.select("film", F.coalesce("film_bins", F.lit(0)).cast("long").alias("film_bins"), F.col("from_bin").cast("double").alias("a"), F.col("to_bin").cast("double").alias("b"))
+    runs = runs.join(pairs, "film").select("film", "track_id", "film_bins", "a", "b")
     n = max(4 * lines.sparkSession.sparkContext.defaultParallelism, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = lines.repartition(n, "film", "track_id")  # the rows are few and each group is work: their number isn't to be made less by their size
-    return dealt.groupBy("film", "track_id").cogroup(runs.repartition(n, "of_film", "of_track").groupBy("of_film", "of_track")).applyInPandas(per_track, ALIGNED)
+    dealt = lines.unionByName(runs).repartition(n, "film", "track_id")  # the rows are few and each track is work: their number isn't to be made less by their size
+    return dealt.sortWithinPartitions("film", "track_id").mapInArrow(_searched, ALIGNED)
 
 
 def decided(found: DataFrame) -> DataFrame:

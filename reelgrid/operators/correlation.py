@@ -106,11 +106,17 @@ def part_correlations(a: Tiles, b: Tiles, window: int) -> np.ndarray:
     other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
     width = 2 * window + 1
     bend = np.bincount(np.repeat(of * width + p + window, n) - q[other], np.repeat(s, n) * r[other], a.count * width).reshape(a.count, width)
-    # the rise from one lag to the next, and the value
-    rise = slope[:, None] - np.cumsum(bend[:, :-1], 1)
-    c = np.concatenate((first[:, None], first[:, None] + np.cumsum(rise, 1)), 1)
+    # the rise from one lag to the next, and the value; in one array, as fresh ones of this size cost as much as the sums
+    rise = np.cumsum(bend, 1, out=bend)
+    np.subtract(slope[:, None], rise, out=rise)
+    np.cumsum(rise, 1, out=rise)
+    c = np.empty_like(rise)
+    c[:, 0] = first
+    np.add(first[:, None], rise[:, :-1], out=c[:, 1:])
     power = a.active * (1 - a.active / a.size) * b.active * (1 - b.active / b.size)
-    return np.where((a.flat | b.flat)[:, None], 0.0, c / np.sqrt(np.where(power > 0, power, 1.0))[:, None])
+    c /= np.sqrt(np.where(power > 0, power, 1.0))[:, None]
+    c[a.flat | b.flat] = 0.0
+    return c
 
 
 def correlations(a: Signal, b: Signal, window: int) -> np.ndarray:

@@ -114,3 +114,17 @@ def test_cases_meet_their_corrections_unsorted(spark):
     got = evaluation.worst_errors(made, said)
     assert sorted(map(tuple, got.collect())) == [(1, 0, 500), (2, 1, 0)]
     assert "ShuffledHashJoin" in plan(got)
+
+
+def test_tracks_are_searched_in_batches_of_many(spark):
+    places = [k * k * 137 % 700_000 for k in range(150)]
+    runs = spark.createDataFrame([(f, p, p + 90, 720_000) for f in "ab" for p in places], "film string, from_bin long, to_bin long, film_bins long")
+    moved = {1: ("a", 0), 2: ("a", 200), 3: ("b", -300), 4: (None, 0), 5: ("c", 0)}
+    cues = spark.createDataFrame([(k, f, (p + by) * 10, (p + by + 90) * 10, "line") for k, (f, by) in moved.items() for p in places if p + by >= 0], "track_id long, film string, start_ms long, end_ms long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)  # a track goes over several batches
+    try:
+        got = alignment.aligned(cues, runs)
+        assert "CoGroup" not in plan(got)
+        assert {r.track_id: (r.offset_ms, r.score > 0.9) for r in got.collect()} == {1: (0, True), 2: (-2000, True), 3: (3000, True), 4: (0, False), 5: (0, False)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
