@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-The documents of an Arrow batch form shards of about SHARD_BYTES; a document never leaves its shard. A shard's suffix
+The documents of a slice of an Arrow batch form shards of about SHARD_BYTES; a document never leaves its shard. A shard's suffix
 array orders its positions by the words that follow, up to the longest item or the document's end, by doubling the
 compared length. Only runs of benchmark words can match, so positions at other words are left out. Every suffix of
 every item is binary-searched in every shard: the range of its first WINDOW words gives all occurrences of that
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ WINDOW = 10
 SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text in a task at once.
 BLOCK_BYTES = 16 << 20
+#: Bytes of documents that a task takes from an Arrow batch at a time; only a shard of these is Python objects.
+SLICE_BYTES = 8 << 20
+#: Words that are hashed at a time.
+WORDS = 1 << 15
 
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[list(UPPER.encode())] = list(LOWER.encode())
@@ -56,10 +61,12 @@ class Words:
         powers = np.full(int(length.max()), _STEP, np.uint64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
-        at = np.flatnonzero(word)
-        which = np.repeat(np.arange(len(length)), length)
-        first_of = np.concatenate(([0], np.cumsum(length)[:-1]))
-        h = np.add.reduceat(_MIX[self.bytes[at]] * powers[np.arange(len(at)) - first_of[which]], first_of)
+        h = np.zeros(len(length), np.uint64)
+        for i in range(0, len(length), WORDS):  # a few words at a time: indices take eight times a byte's room
+            n, begin = length[i : i + WORDS], self.begin[i : i + WORDS]
+            first_of = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(first_of, n)
+            h[i : i + WORDS] = np.add.reduceat(_MIX[self.bytes[np.repeat(begin, n) + place]] * powers[place], first_of)
         self.hash = (h ^ (h >> np.uint64(29))) * _STEP
 
     def word(self, i: int) -> bytes:
@@ -232,17 +239,17 @@ class Shard:
 
 
 RESULT = pa.struct([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.int64())), ("hit_items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64())])
+_NAMES = [f.name for f in RESULT]
 KIND = "struct<n_words: long, hit_spans: array<long>, hit_items: array<string>, longest: long, longest_at: long>"
 
 
-def _shards(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+def _cut(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of some binary texts, none of them null, of about ``most`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1)
     at = 0
     while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
-            size += len(texts[end]) + 1
-            end += 1
-        yield texts[at:end]
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, end - at)
         at = end
 
 
@@ -252,11 +259,12 @@ def _searched(block: Benchmark):
     @F.arrow_udf(KIND)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-            unique = {t: i for i, t in enumerate(dict.fromkeys(raw))}  # exact copies are searched once in a batch
-            found = [h for shard in _shards(list(unique), SHARD_BYTES) for h in Shard(shard, block).hits()]
-            rows = [found[unique[t]] for t in raw]
-            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(RESULT)], fields=list(RESULT))
+            found = [pa.array([], RESULT)]
+            for some in _cut(pc.fill_null(texts.cast(pa.binary()), b""), SLICE_BYTES):
+                coded = some.dictionary_encode()  # exact copies are searched once in a slice
+                hits = (h for shard in _cut(coded.dictionary, SHARD_BYTES) for h in Shard(shard.to_pylist(), block).hits())
+                found.append(pa.array([dict(zip(_NAMES, h, strict=True)) for h in hits], RESULT).take(coded.indices))
+            yield pa.concat_arrays(found)
 
     return search
 

@@ -10,6 +10,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import wave
 import zlib
 
@@ -848,3 +849,16 @@ def test_rollups_of_the_documents(spark, sf, docs, name):
 def test_every_operator_has_a_query():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in queries.queries()) == 1
+
+
+def test_hashing_words_takes_little_room():
+    texts = [f"word{k % 977} Other{k}x é{k % 31}".encode() for k in range(100_000)]
+    tracemalloc.start()
+    try:
+        words = suffix_arrays.Words(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    few = suffix_arrays.Words(texts[-50:])
+    assert (words.hash[-len(few.hash) :] == few.hash).all()
+    assert peak < 20 * sum(map(len, texts))
