@@ -31,6 +31,8 @@ def token_count(text: Column, tokenizer: str) -> Column:
 
 #: Words that a worker remembers of a tokenizer in the library's format; twice as many at most.
 REMEMBERED = 100_000
+#: Bytes of text that are counted at a time: two tokenizers share an executor, and what a slice takes is many times its text.
+CHARACTERS = 1 << 22
 
 
 def counted(path: str, pattern: str | None = None):
@@ -43,8 +45,8 @@ def counted(path: str, pattern: str | None = None):
             if pattern:
                 yield mapped(texts, lambda t: len(own.ids(t or "")) // 4, pa.int64())
             else:
-                some = token_blocks.slices(pa.record_batch([texts], ["text"]), 0)
-                yield pa.concat_arrays([pa.array([], pa.int64()), *(pa.array(own.ids(b.column(0))[1]) for b in some)])
+                some = token_blocks.slices(pa.record_batch([texts], ["text"]), 0, CHARACTERS)
+                yield pa.concat_arrays([pa.array([], pa.int64()), *(pa.array(own.counts(b.column(0))) for b in some)])
 
     return of
 

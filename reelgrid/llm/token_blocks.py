@@ -86,11 +86,9 @@ class Encoder:
         self.known.update(found)
         return [found[w] if m is None else m for w, m in zip(words, made, strict=True)]
 
-    def ids(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, each with ``end`` after it if there is one; and each text's number of ids."""
+    def _parts(self, texts: pa.Array, end: int | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of distinct parts, the part at each place of some texts (not none), and each text's number of parts up to its end."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        if not len(texts):
-            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         if pc.any(pc.match_substring_regex(texts, NOT_LONE)).as_py():
             cut = pa.array([t.split(" ") if lone_spaces(t) else LONE.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
@@ -111,12 +109,27 @@ class Encoder:
             which = np.insert(which, ends, len(made))
             made.append(np.array([end], "<u4").tobytes())
             ends = ends + np.arange(1, len(texts) + 1)
+        return made, which, ends
+
+    def ids(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each with ``end`` after it if there is one; and each text's number of ids."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        made, which, ends = self._parts(texts, end)
         sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
         flat, begins = np.frombuffer(b"".join(made), "<u4"), np.cumsum(sizes) - sizes
         size = sizes[which]
         upto = np.cumsum(size)
         return flat[np.repeat(begins[which] - (upto - size), size) + np.arange(upto[-1])], np.diff(upto[ends - 1], prepend=0)
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Each text's number of ids; they aren't put together."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        made, which, ends = self._parts(texts, None)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        return np.diff(np.cumsum(sizes[which])[ends - 1], prepend=0)
+
 
 @cache
 def encoder(path: str, most: int = REMEMBERED) -> Encoder:
@@ -124,12 +137,12 @@ def encoder(path: str, most: int = REMEMBERED) -> Encoder:
     return Encoder(path, most)
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Rows with about CHARACTERS bytes of text together, in the column of that number."""
+def slices(batch: pa.RecordBatch, text: int, most: int = CHARACTERS) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``most`` bytes of text together, in the column of that number."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARACTERS, side="right"))
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
         upto = max(at + 1, upto)
         yield batch.slice(at, upto - at)
         at = upto

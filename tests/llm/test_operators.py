@@ -862,3 +862,10 @@ def test_hashing_words_takes_little_room():
     few = suffix_arrays.Words(texts[-50:])
     assert (words.hash[-len(few.hash) :] == few.hash).all()
     assert peak < 20 * sum(map(len, texts))
+
+
+def test_counts_are_those_of_the_ids():
+    own = token_blocks.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = pa.array([None, "", "a b  c", "one two three one", "\tx \n y", "é ü " * 50])
+    assert own.counts(texts).tolist() == own.ids(texts)[1].tolist()
+    assert own.counts(texts.slice(0, 0)).tolist() == []
