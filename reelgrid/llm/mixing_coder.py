@@ -49,117 +49,181 @@ class Damaged(ValueError):
     """A block that isn't what was written."""
 
 
+#: Blocks whose shares are taken, or whose ids are turned from blocks by steps to steps by blocks, at a time.
+_SOME = 64
+
+
+def _turned(a: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows as columns, some at a time."""
+    for i in range(0, a.shape[0], _SOME):
+        for j in range(0, a.shape[1], _SOME):
+            out[j : j + _SOME, i : i + _SOME] = a[i : i + _SOME, j : j + _SOME].T
+    return out
+
+
 class _Bytes:
     """Shares of one byte of the ids, for n blocks: begin << 16 | width of every byte, and the byte of every slot."""
 
     def __init__(self, n: int, inverse: bool):
         self.n, self.inverse = n, inverse
-        self.counts = np.zeros(n * 256, np.int64)
+        self.counts = np.zeros((n, 256), np.float32)  # whole numbers up to BLOCK
         self.rows, self.slots = np.arange(n) << 8, np.arange(n) << _BITS
+        self.table = np.empty((n, 256), np.int32)
+        self.byte_of = np.empty(n << _BITS if inverse else 0, np.uint8)
         self._shared()
 
     def count(self, some: np.ndarray) -> None:
-        """Adds the bytes of some steps (steps by blocks), and takes the shares anew."""
-        self.counts += np.bincount((self.rows + some).ravel(), minlength=len(self.counts))
+        """Adds the bytes of some steps (blocks by steps), and takes the shares anew."""
+        for i in range(0, self.n, _SOME):
+            own = some[i : i + _SOME]
+            self.counts[i : i + _SOME] += np.bincount((own + self.rows[: len(own), None]).ravel(), minlength=len(own) << 8).reshape(-1, 256)
         self._shared()
 
     def _shared(self) -> None:
-        c = self.counts.reshape(self.n, 256).astype(np.int32)
-        total = np.maximum(c.sum(1, keepdims=True, dtype=np.int32), 1)
-        width = c * ((1 << _BITS) - 256) // total + 1
-        left = (1 << _BITS) - width.sum(1, dtype=np.int32)
-        width += (left >> 8)[:, None]  # all of it before any byte was seen
-        width[:, 0] += left & 255
-        end = np.cumsum(width, 1, dtype=np.int32)
-        self.table = ((end - width) << 16 | width).ravel()
-        if self.inverse:
-            self.byte_of = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), width.ravel())
-
-
-def _after_one(last: np.ndarray) -> np.ndarray:
-    return ((last * np.int32(40503)) >> 7) & ((1 << _SLOTS1) - 1)
-
-
-def _after_two(last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return ((last * np.int32(40503) + before * np.int32(30011)) >> 6) & ((1 << _SLOTS2) - 1)
+        """Quotients of whole numbers below 2 ** 21 by ones up to BLOCK have the right whole part in 32 bits of floating point."""
+        every = np.arange(256, dtype=np.uint8)
+        for i in range(0, self.n, _SOME):
+            c = self.counts[i : i + _SOME]
+            width = (c * np.float32((1 << _BITS) - 256) / np.maximum(c.sum(1, keepdims=True), np.float32(1))).astype(np.int32)
+            width += 1
+            left = (1 << _BITS) - width.sum(1, dtype=np.int32)
+            width += (left >> 8)[:, None]  # all of it before any byte was seen
+            width[:, 0] += left & 255
+            begin = np.cumsum(width, 1, dtype=np.int32)
+            begin -= width
+            begin <<= 16
+            np.bitwise_or(begin, width, out=self.table[i : i + _SOME])
+            if self.inverse:
+                self.byte_of[i << _BITS : (i + len(c)) << _BITS] = np.repeat(np.tile(every, len(c)), width.ravel())
+
+
+def _places(last: np.ndarray, before: np.ndarray, bases: np.ndarray) -> np.ndarray:
+    """Where the tables hold what followed one id (first row) and two."""
+    at = np.empty((2, *last.shape), np.int64)
+    np.multiply(last, 40503, out=at[0])
+    np.multiply(before, 30011, out=at[1])
+    at[1] += at[0]
+    at[0] >>= 7
+    at[0] &= (1 << _SLOTS1) - 1
+    at[1] >>= 6
+    at[1] &= (1 << _SLOTS2) - 1
+    at[0] += bases[0]
+    at[1] += bases[1]
+    return at
 
 
 class _Model:
-    """The models of n blocks. Arrays hold one entry for each; places in the tables are longs, all else has 32 bits."""
+    """The models of n blocks. Arrays hold one entry for each; those of two rows have order 1 first, then order 2.
+
+    All blocks are computed alike and the fitting results kept by masks, which costs less than picking blocks out.
+    """
 
     def __init__(self, n: int, inverse: bool):
         self.high, self.low = _Bytes(n, inverse), _Bytes(n, inverse)
-        self.base1, self.base2 = np.arange(n) << _SLOTS1, np.arange(n) << _SLOTS2
-        self.after1, self.after2 = np.full(n << _SLOTS1, _NONE, np.uint16), np.full(n << _SLOTS2, _NONE, np.uint16)
-        self.trust1, self.trust2 = np.full(n, 16 << 4, np.int32), np.full(n, 32 << 4, np.int32)
+        self.bases = np.stack([np.arange(n) << _SLOTS1, (n << _SLOTS1) + (np.arange(n) << _SLOTS2)])
+        self.after = np.full((n << _SLOTS1) + (n << _SLOTS2), _NONE, np.uint16)
+        self.trust = np.repeat(np.array([[16 << 4], [32 << 4]], np.int32), n, axis=1)
+        self.most = np.array([[39 << 4], [55 << 4]], np.int32)
 
-    def predict(self, at1: np.ndarray, at2: np.ndarray) -> None:
+    def predict(self, at: np.ndarray) -> None:
         """The predicted ids for places in the tables, and where the orders' intervals end."""
-        n = len(at1)
-        self.at1, self.at2 = at1, at2
-        self.p1, self.p2 = self.after1[at1].astype(np.int32), self.after2[at2].astype(np.int32)
-        self.seen1, self.seen2 = self.p1 != _NONE, self.p2 != _NONE
-        w2 = (self.trust2[:n] >> 4) * self.seen2
-        upto = w2 + ((self.trust1[:n] >> 4) * (_PARTS - w2) * self.seen1 >> 6)
-        self.w0 = _PARTS - upto
-        self.end2, self.end1 = w2 << 2 * _BITS, upto << 2 * _BITS
+        n = at.shape[1]
+        self.at = at
+        self.p = self.after.take(at)
+        self.seen = (self.p != _NONE).astype(np.int32)
+        w = self.trust[:, :n] >> 4
+        w *= self.seen
+        w1, w2 = w
+        w1 *= _PARTS - w2
+        w1 >>= 6
+        w1 += w2
+        self.w0 = _PARTS - w1
+        w <<= 2 * _BITS
+        self.end1, self.end2 = w
 
     def plain(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of ids (steps by blocks) by order 0 alone."""
         n = ids.shape[1]
-        h, l = self.high.table[self.high.rows[:n] + (ids >> 8)], self.low.table[self.low.rows[:n] + (ids & 255)]
+        h, l = self.high.table.ravel().take(self.high.rows[:n] + (ids >> 8)), self.low.table.ravel().take(self.low.rows[:n] + (ids & 255))
         f = h & 0xFFFF
         return (h >> 16 << _BITS) + f * (l >> 16), f * (l & 0xFFFF)
 
     def interval(self, x: np.ndarray, begin: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of the ids' intervals, out of 2 to the power of _TOTAL_BITS, given those by order 0."""
-        begin, width = self.end1 + self.w0 * begin, self.w0 * width
-        self.hit1, self.hit2 = x == self.p1, x == self.p2
-        one = np.flatnonzero(self.hit1 & (self.end1 > self.end2))
-        begin[one] = self.end2[one]
-        width[one] = self.end1[one] - begin[one]
-        two = np.flatnonzero(self.hit2)
-        begin[two], width[two] = 0, self.end2[two]
+        self.hit = x == self.p
+        one, two = self.hit
+        first = self.end1 - self.end2
+        two = -two.astype(np.int32)
+        one = -(one & (first > 0)).astype(np.int32) & ~two
+        other = ~(one | two)
+        begin = self.w0 * begin
+        begin += self.end1
+        begin &= other
+        begin |= self.end2 & one
+        width = self.w0 * width
+        width &= other
+        width |= first & one
+        width |= self.end2 & two
         return begin, width
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose intervals hold v, and those intervals' begins and widths."""
         n = len(v)
-        x, begin, width = self.p2.copy(), np.zeros(n, np.int32), self.end2.copy()
-        below = v < self.end1
-        one = np.flatnonzero(below & (v >= self.end2))
-        x[one], begin[one] = self.p1[one], self.end2[one]
-        width[one] = self.end1[one] - begin[one]
-        k = np.flatnonzero(~below)
-        start, w0 = self.end1[k], self.w0[k]
-        r = (v[k] - start) // w0
-        high = self.high.byte_of[self.high.slots[k] + (r >> _BITS)]
-        h = self.high.table[self.high.rows[k] + high]
+        one, two = -(v < self.end1).astype(np.int32), -(v < self.end2).astype(np.int32)
+        other = ~one
+        one ^= two
+        r = v - self.end1
+        np.maximum(r, 0, out=r)
+        r = (r / self.w0).astype(np.int32)
+        high = self.high.byte_of.take(self.high.slots[:n] + (r >> _BITS))
+        h = self.high.table.ravel().take(self.high.rows[:n] + high)
         c, f = h >> 16 << _BITS, h & 0xFFFF
-        low = self.low.byte_of[self.low.slots[k] + (r - c) // f]
-        l = self.low.table[self.low.rows[k] + low]
-        x[k] = (high.astype(np.int32) << 8) | low
-        begin[k], width[k] = start + w0 * (c + f * (l >> 16)), w0 * (f * (l & 0xFFFF))
-        self.hit1, self.hit2 = x == self.p1, x == self.p2
+        low = self.low.byte_of.take(self.low.slots[:n] + ((r - c) / f).astype(np.int32))
+        l = self.low.table.ravel().take(self.low.rows[:n] + low)
+        begin, width = l >> 16, l & 0xFFFF
+        begin *= f
+        begin += c
+        begin *= self.w0
+        begin += self.end1
+        width *= f
+        width *= self.w0
+        x = high.astype(np.int32)
+        x <<= 8
+        x |= low
+        begin &= other
+        begin |= self.end2 & one
+        width &= other
+        width |= (self.end1 - self.end2) & one
+        width |= self.end2 & two
+        x &= other
+        x |= self.p[0] & one
+        x |= self.p[1] & two
+        self.hit = x == self.p
         return x, begin, width
 
     def learn(self, x: np.ndarray) -> None:
-        n = len(x)
-        for trust, seen, hit, most in ((self.trust1, self.seen1, self.hit1, 40), (self.trust2, self.seen2, self.hit2, 56)):
-            own = trust[:n]
-            own += (hit * np.int32((most - 1) << 4) + (16 - own)) * seen >> 4
-        self.after1[self.at1] = self.after2[self.at2] = x
-
-
-def _cut(ids: np.ndarray, block: int) -> tuple[np.ndarray, list[int]]:
-    """Steps by blocks after two rows of _NONE, and how many blocks have a step; only the last block is shorter."""
+        own = self.trust[:, : len(x)]
+        more = self.hit * self.most
+        more += 16
+        more -= own
+        more *= self.seen
+        more >>= 4
+        own += more
+        x = x.astype(np.uint16)
+        self.after[self.at[0]] = x
+        self.after[self.at[1]] = x
+
+
+def _cut(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Blocks by steps; steps by blocks after two rows of _NONE; and how many blocks have a step. Only the last block is shorter."""
     n = -(-len(ids) // block)
     padded = np.zeros(n * block, np.int32)
     padded[: len(ids)] = ids
+    padded = padded.reshape(n, block)
     steps = np.full((block + 2, n), _NONE, np.int32)
-    steps[2:] = padded.reshape(n, block).T
+    _turned(padded, steps[2:])
     tail = len(ids) - (n - 1) * block
-    return steps, [n if t < tail else n - 1 for t in range(block)]
+    return padded, steps, [n if t < tail else n - 1 for t in range(block)]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Iterator[bytes]:
@@ -171,35 +235,33 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Iterator[
 
 
 def _encode(ids: np.ndarray, block: int) -> Iterator[bytes]:
-    steps, live = _cut(ids, block)
+    blocks, steps, live = _cut(ids, block)
     n = steps.shape[1]
     model, renewed, known = _Model(n, False), 0, 0
     low, width = np.zeros(n, np.uint64), np.full(n, _FULL)
-    wide = 2 * block + 8
-    out, size = np.zeros(n * wide, np.uint32), np.arange(n) * wide
-    begin_of = size.copy()
+    out, size = np.zeros((2 * block + 8) * n, np.uint32), np.arange(n)  # words by blocks, which advance alike
     for t in range(block):
         if not (m := live[t]):
             break
         if t in RENEWED:
-            some = steps[renewed + 2 : t + 2]
+            some = blocks[:, renewed:t]
             model.high.count(some >> 8)
             model.low.count(some & 255)
             renewed = t
         if t == renewed or t == known:  # what doesn't depend on the weights, for some steps at once
             since, known = t, min([t + AHEAD, block, *(r for r in RENEWED if r > t)])
             before, last, own = (steps[t + i : known + i] for i in range(3))
-            at1, at2 = model.base1 + _after_one(last), model.base2 + _after_two(last, before)
+            places = _places(last, before, model.bases)
             begins, widths = model.plain(own)
-        x, lo, wi, at, row = steps[t + 2, :m], low[:m], width[:m], size[:m], t - since
-        model.predict(at1[row, :m], at2[row, :m])
+        x, lo, wi, at, row = own[t - since, :m], low[:m], width[:m], size[:m], t - since
+        model.predict(places[:, row, :m])
         begin, share = model.interval(x, begins[row, :m], widths[row, :m])
         wi >>= _U(_TOTAL_BITS)
         lo += begin.astype(np.uint64) * wi
         wi *= share.astype(np.uint64)
         need = wi < _LOW
         out[at] = lo >> _DOWN  # written again where nothing settled
-        at += need
+        at += need * n
         settled = need.astype(np.uint64)
         lo &= (settled - _U(1)) | _REST
         settled <<= _U(4)
@@ -207,22 +269,23 @@ def _encode(ids: np.ndarray, block: int) -> Iterator[bytes]:
         wi <<= settled
         while len(more := np.flatnonzero(wi < _LOW)):
             out[at[more]] = lo[more] >> _DOWN
-            at[more] += 1
+            at[more] += n
             lo[more] = (lo[more] & _REST) << _WORD
             wi[more] <<= _WORD
         model.learn(x)
     out[size] = low >> _DOWN
-    out[size + 1] = low >> _U(24) & _U(0xFFFF)
-    out[size + 2] = low >> _U(8) & _U(0xFFFF)
-    out[size + 3] = (low & _U(0xFF)) << _U(8)
-    words = out.reshape(n, wide)
-    for k in range(int((size - begin_of).max()) + 3, 0, -1):
-        words[:, k - 1] += words[:, k] >> 16
-    words &= 0xFFFF
-    raw, ends = ids.astype("<u4"), size + 4 - begin_of
+    out[size + n] = low >> _U(24) & _U(0xFFFF)
+    out[size + 2 * n] = low >> _U(8) & _U(0xFFFF)
+    out[size + 3 * n] = (low & _U(0xFF)) << _U(8)
+    size //= n
+    words = out.reshape(-1, n)[: int(size.max()) + 4]
+    for k in range(len(words) - 1, 0, -1):
+        words[k - 1] += words[k] >> 16
+    words = _turned(words, np.empty(words.shape[::-1], "<u2"))
+    raw, ends = ids.astype("<u4"), size + 4
     for i in range(n):
         own = raw[i * block : (i + 1) * block]
-        yield HEAD.pack(MAGIC, len(own), zlib.crc32(own.tobytes())) + words[i, : ends[i]].astype("<u2").tobytes()
+        yield HEAD.pack(MAGIC, len(own), zlib.crc32(own.tobytes())) + words[i, : ends[i]].tobytes()
 
 
 def decode(blocks: list[bytes], lanes: int = LANES) -> np.ndarray:
@@ -241,15 +304,13 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
     n, most = len(blocks), int(lengths.max(initial=0))
     words = [np.frombuffer(blocks[i], "<u2", offset=HEAD.size) for i in order]
     flat = np.concatenate([*words, np.zeros(8, np.uint16)])
-    end = len(flat) - 1
     at = np.cumsum([0, *map(len, words)])[:-1]
     code = np.zeros(n, np.uint64)
     for _ in range(3):
         code = code << _WORD | flat[at].astype(np.uint64)
         at += 1
-    new = flat[at].astype(np.uint64)
-    code, held = code << _U(8) | new >> _U(8), new & _U(0xFF)  # 56 bits; the word's low half comes next
-    at += 1
+    code = code << _U(8) | (flat[at] >> 8).astype(np.uint64)  # 56 bits; the word's low half comes next
+    flat[:-1] = flat[:-1] << 8 | flat[1:] >> 8  # from here on, words of a low half and the next one's high half
     model, renewed = _Model(n, True), 0
     width = np.full(n, _FULL)
     out = np.full((most + 2, n), _NONE, np.int32)
@@ -257,31 +318,35 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
     for t in range(most):
         m = int(ends[t])
         if t in RENEWED:
-            some = out[renewed + 2 : t + 2]
+            some = _turned(out[renewed + 2 : t + 2], np.empty((n, t - renewed), np.int32))
             model.high.count(some >> 8)
             model.low.count(some & 255)
             renewed = t
-        last = out[t + 1, :m]
-        model.predict(model.base1[:m] + _after_one(last), model.base2[:m] + _after_two(last, out[t, :m]))
+        model.predict(_places(out[t + 1, :m], out[t, :m], model.bases[:, :m]))
         co, wi, where = code[:m], width[:m], at[:m]
         wi >>= _U(_TOTAL_BITS)
         v = np.minimum(co // wi, _U((1 << _TOTAL_BITS) - 1)).astype(np.int32)
         x, begin, share = model.find(v)
         co -= begin.astype(np.uint64) * wi
         wi *= share.astype(np.uint64)
-        more = np.flatnonzero(wi < _LOW)
-        while len(more):
-            new = flat[np.minimum(where[more], end)].astype(np.uint64)
-            co[more] = co[more] << _WORD | held[more] << _U(8) | new >> _U(8)
-            held[more] = new & _U(0xFF)
+        need = wi < _LOW
+        new = flat.take(where, mode="clip").astype(np.uint64)
+        new *= need
+        where += need
+        settled = need.astype(np.uint64)
+        settled <<= _U(4)
+        co <<= settled
+        co |= new
+        wi <<= settled
+        while len(more := np.flatnonzero(wi < _LOW)):
+            co[more] = co[more] << _WORD | flat.take(where[more], mode="clip").astype(np.uint64)
             where[more] += 1
             wi[more] <<= _WORD
-            more = more[wi[more] < _LOW]
         model.learn(x)
         out[t + 2, :m] = x
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    by_block = np.ascontiguousarray(out[2:].T).astype(np.uint32)
+    by_block = _turned(out[2:], np.empty((n, most), np.uint32))
     found = [by_block[back[i], : lengths[i]] for i in range(n)]
     for ids, h in zip(found, heads, strict=True):
         if zlib.crc32(ids.tobytes()) != h[2]:

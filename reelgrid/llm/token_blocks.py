@@ -14,6 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,18 @@ from reelgrid.llm import mixing_coder
 from reelgrid.llm.bpe import lone_spaces
 
 END_ID = 0
-#: Words whose ids a worker remembers; twice as many at most.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, and those of one chunk besides.
+REMEMBERED = 1_000_000
 #: Characters of texts that are encoded at a time.
 CHARACTERS = 1 << 23
-#: How a byte-level vocabulary writes the space that a token begins with.
-SPACE = "\u0120"
-NOT_LONE = "[{0}] | [{0}]".format("\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
+#: How a byte-level vocabulary writes the space or line feed that a token begins with.
+SPACE, LINE_FEED = "\u0120", "\u010a"
+#: What is cut off after a word's last letter; no apostrophe, which may begin a contraction.
+TAILS = ",.;:!?$#%&*"
+WHITE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+INNER_WHITE = f".[{WHITE}]|^.?$|^[{WHITE}][{WHITE}]"
+NOT_LONE_LINES = f"^\n|\n$|[{WHITE}]\n|\n[{WHITE}]"
+NOT_LONE = f"[{WHITE}] | [{WHITE}]"
 LONE = re.compile(r"(?<=\S) (?=\S)")
 SEGMENT = mixing_coder.BLOCK * mixing_coder.LANES
 _ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("blocks", pa.list_(pa.binary()))])
@@ -41,8 +47,9 @@ SCHEMA = "part int, segment int, doc_ids array<long>, lengths array<long>, n_ids
 class Encoder:
     """A tokenizer file's encoder that remembers what lies between lone spaces, which the tokenizer treats apart.
 
-    Each distinct word of a chunk is looked up once. New words are encoded many at a time, joined by their spaces: a
-    token that begins with a space begins a word.
+    Each distinct word of a chunk is looked up once, cut at lone line feeds and without the punctuation after its last
+    letter, which the tokenizer treats apart too. New words are encoded many at a time, joined by their spaces: a token
+    that begins with a space begins a word. Words and their ids stay Arrow arrays throughout.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
@@ -50,85 +57,131 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.known_ids = pa.array([], pa.binary()), pa.array([], pa.binary())
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """The ids of each word after its space."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.begins[ids]) * 4
-        if len(at) != len(words):  # white space within a word
-            return [self._whole(" " + w) for w in words]
-        raw, ends = ids.tobytes(), [*at[1:].tolist(), len(ids) * 4]
-        return [raw[a:b] for a, b in zip(at.tolist(), ends, strict=True)]
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some distinct words after its space."""
-        made = list(map(self.known.get, words))
-        if None not in made:
-            return made
-        if len(self.known) + len(words) > self.most:
-            self.known, self.older = {}, self.known
-        found = {}
-        for w, m in zip(words, made, strict=True):
-            if m is None:
-                found[w] = self.older.get(w)
-        new = [w for w, m in found.items() if m is None]
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            found.update(zip(some, self._together(some), strict=True))
-        self.known.update(found)
-        return [found[w] if m is None else m for w, m in zip(words, made, strict=True)]
-
-    def _parts(self, texts: pa.Array, end: int | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The ids of distinct parts, the part at each place of some texts (not none), and each text's number of parts up to its end."""
+        self.begins[[i for token, i in vocabulary.items() if token.startswith((SPACE, LINE_FEED))]] = True
+        special = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.cut_off = "".join(c for c in TAILS if c not in special)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and each one's number of ids."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def _together(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """As _each, for n words with a lone space or line feed before each, in one text; None if it has more white space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.begins[ids])
+        return (ids, np.diff(at, append=len(ids))) if len(at) == n else None
+
+    def _new(self, words: pa.Array) -> pa.Array:
+        """The coded ids of each of some words, which begin with white space."""
+        found = []
+        for i in range(0, len(words), 1000):
+            some = words.slice(i, 1000)
+            ends, raw = _ends(some), some.buffers()[2]
+            made = self._together(raw[int(ends[0]) : int(ends[-1])].to_pybytes().decode(), len(some))
+            found.append(made or self._each(some.cast(pa.string()).to_pylist()))
+        return _coded(*map(np.concatenate, zip(*found, strict=True)))
+
+    def _of_stems(self, stems: pa.Array) -> pa.Array:
+        if len(self.known) > self.most:  # the older ones are forgotten
+            self.known, self.known_ids = (pa.concat_arrays([a.slice(len(a) - self.most // 2)]) for a in (self.known, self.known_ids))
+        stems = stems.dictionary_encode()
+        at = pc.index_in(stems.dictionary, value_set=self.known)
+        if at.null_count:
+            missing = pc.is_null(at)
+            rest = stems.dictionary.filter(missing)
+            many = pc.match_substring_regex(rest.cast(pa.string()), INNER_WHITE)  # these aren't encoded together
+            new = pa.concat_arrays([rest.filter(pc.invert(many)), rest.filter(many)])
+            parts = [self._new(new.slice(0, len(new) - many.true_count))] if many.true_count < len(new) else []
+            if many.true_count:
+                parts.append(_coded(*self._each(new.slice(len(new) - many.true_count).cast(pa.string()).to_pylist())))
+            place = at.fill_null(0).to_numpy().copy()
+            later = many.to_numpy(zero_copy_only=False)
+            place[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.argsort(np.argsort(later, kind="stable"), kind="stable")
+            at = pa.array(place)
+            self.known, self.known_ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.known_ids, *parts])
+        return self.known_ids.take(at.take(stems.indices))
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """The coded ids of each of some distinct words after its space."""
+        whole = pc.match_substring_regex(words, NOT_LONE_LINES)
+        lines = pc.split_pattern(pc.if_else(whole, "", words), "\n")
+        begins, first = lines.offsets.to_numpy(), np.zeros(len(lines.values), np.int8)
+        first[begins[:-1]] = 1
+        of_whole = np.zeros(len(first), bool)
+        of_whole[begins[:-1][whole.to_numpy(zero_copy_only=False)]] = True
+        lines = pc.replace_with_mask(lines.values, pa.array(of_whole), words.filter(whole)) if whole.true_count else lines.values
+        lines = pc.binary_join_element_wise(pa.array(["\n", " "]).take(pa.array(first)), lines, "")
+        stems = pc.ascii_rtrim(lines, characters=self.cut_off)
+        upto, ends = _ends(stems), _ends(lines)
+        cut = np.diff(ends) - np.diff(upto)
+        last = np.frombuffer(stems.buffers()[2] or b"", np.uint8)[upto[1:] - 1] | 32
+        cut[(last < ord("a")) | (last > ord("z"))] = 0
+        raw, some = np.frombuffer(lines.buffers()[2] or b"", np.uint8), np.cumsum(cut)
+        raw = raw[np.repeat(ends[1:] - some, cut) + np.arange(some[-1] if len(some) else 0)]
+        tails = pa.Array.from_buffers(pa.string(), len(cut), [None, pa.py_buffer(np.append(0, some).astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        tails = _coded(*self._each(tails.dictionary.to_pylist())).take(tails.indices)
+        stems = self._of_stems(pc.if_else(pa.array(cut > 0), stems, lines).cast(pa.binary()))
+        made = pc.binary_join_element_wise(stems, tails, pa.scalar(b""))
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(_ends(made)[begins].astype(np.int32)), made.buffers()[2]])
+
+    def _parts(self, texts: pa.Array, end: int | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The coded ids of distinct parts, the part at each place of some texts (not none), and each text's first place; ``end`` comes before all texts but the first."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if pc.any(pc.match_substring_regex(texts, NOT_LONE)).as_py():
             cut = pa.array([t.split(" ") if lone_spaces(t) else LONE.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
             cut = pc.split_pattern(texts, " ")
-        offsets, pieces = cut.offsets.to_numpy(), cut.values
-        offsets = offsets - offsets[0]
-        first = np.zeros(len(pieces), bool)
-        first[offsets[:-1]] = True
-        coded = pieces.filter(pa.array(~first)).dictionary_encode()
-        made = self._of_words(coded.dictionary.to_pylist())
-        n = len(made)
-        made += [self._whole(t) for t in pieces.take(pa.array(offsets[:-1])).to_pylist()]
-        which = np.empty(len(pieces), np.int64)
-        which[offsets[:-1]] = n + np.arange(len(texts))
-        which[~first] = coded.indices.to_numpy(zero_copy_only=False)
-        ends = offsets[1:]
+        first = cut.offsets.to_numpy()[:-1]
+        coded = cut.values.cast(pa.binary()).dictionary_encode()
+        which = coded.indices.to_numpy().copy()
+        later = np.ones(len(which), bool)
+        later[first] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[which[later]] = True
+        made = self._of_words(coded.dictionary.filter(pa.array(used)).cast(pa.string()))
+        which = (np.cumsum(used, dtype=np.int32) - 1)[which]
+        which[first] = len(made) + np.arange(len(texts), dtype=np.int32)
+        ids, sizes = self._each(cut.values.take(pa.array(first)).to_pylist())
         if end is not None:
-            which = np.insert(which, ends, len(made))
-            made.append(np.array([end], "<u4").tobytes())
-            ends = ends + np.arange(1, len(texts) + 1)
-        return made, which, ends
+            ids, sizes = np.insert(ids, np.cumsum(sizes)[:-1], end), sizes + (np.arange(len(sizes)) > 0)
+        return pa.concat_arrays([made.cast(pa.large_binary()), _coded(ids, sizes).cast(pa.large_binary())]), which, first
 
     def ids(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, each with ``end`` after it if there is one; and each text's number of ids."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        made, which, ends = self._parts(texts, end)
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        flat, begins = np.frombuffer(b"".join(made), "<u4"), np.cumsum(sizes) - sizes
-        size = sizes[which]
-        upto = np.cumsum(size)
-        return flat[np.repeat(begins[which] - (upto - size), size) + np.arange(upto[-1])], np.diff(upto[ends - 1], prepend=0)
+        made, which, first = self._parts(texts, end)
+        found = made.take(pa.array(which))
+        ends, ids = _ends(found) // 4, np.frombuffer(found.buffers()[2] or b"", "<u4")
+        begins, upto = ends[first], len(ids)
+        if end is not None:
+            ids, upto = np.append(ids, np.uint32(end)), upto + 1
+            begins[1:] += 1
+        return ids, np.diff(begins, append=upto)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Each text's number of ids; they aren't put together."""
         if not len(texts):
             return np.zeros(0, np.int64)
-        made, which, ends = self._parts(texts, None)
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        return np.diff(np.cumsum(sizes[which])[ends - 1], prepend=0)
+        made, which, first = self._parts(texts, None)
+        return np.add.reduceat(np.diff(_ends(made))[which], first) // 4
+
+
+def _ends(values: pa.Array) -> np.ndarray:
+    """Where the values of a binary array begin in its bytes, and where the last one ends."""
+    kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    return np.frombuffer(values.buffers()[1], kind)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, kind)
+
+
+def _coded(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Ids cut into pieces of some sizes, as little-endian unsigned 32-bit."""
+    ends = np.cumsum([0, *sizes], dtype=np.int64) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
 
 
 @cache
