@@ -32,11 +32,11 @@ LARGEST = _NONE - 1
 #: Steps before which the shares of order 0 are taken anew.
 RENEWED = frozenset({16, 64, 192, 512, 1024})
 #: Steps that the encoder looks ahead.
-AHEAD = 64
+AHEAD = 16
 _PARTS, _BITS = 64, 11  # the orders' weights add up to the one, a byte's shares to two to the power of the other
 _TOTAL_BITS = 2 * _BITS + 6
 _U = np.uint64
-_FULL, _LOW, _DOWN, _WORD = _U(1 << 56), _U(1 << 40), _U(40), _U(16)
+_FULL, _LOW, _LOWER, _DOWN, _WORD = _U(1 << 56), _U(1 << 40), _U(1 << 24), _U(40), _U(16)
 _REST = _LOW - _U(1)
 _SLOTS1, _SLOTS2 = 9, 10  # bits of a block's tables of what followed one id, and two
 
@@ -64,11 +64,10 @@ def _turned(a: np.ndarray, out: np.ndarray) -> np.ndarray:
 class _Bytes:
     """Shares of one byte of the ids, for n blocks: begin << 16 | width of every byte, and the byte of every slot."""
 
-    def __init__(self, n: int, inverse: bool):
-        self.n, self.inverse = n, inverse
+    def __init__(self, n: int, inverse: bool, table: np.ndarray):
+        self.n, self.inverse, self.table = n, inverse, table
         self.counts = np.zeros((n, 256), np.float32)  # whole numbers up to BLOCK
         self.rows, self.slots = np.arange(n) << 8, np.arange(n) << _BITS
-        self.table = np.empty((n, 256), np.int32)
         self.byte_of = np.empty(n << _BITS if inverse else 0, np.uint8)
         self._shared()
 
@@ -119,7 +118,7 @@ class _Model:
     """
 
     def __init__(self, n: int, inverse: bool):
-        self.high, self.low = _Bytes(n, inverse), _Bytes(n, inverse)
+        self.high, self.low = (_Bytes(n, inverse, table) for table in np.empty((2, n, 256), np.int32))
         self.bases = np.stack([np.arange(n) << _SLOTS1, (n << _SLOTS1) + (np.arange(n) << _SLOTS2)])
         self.after = np.full((n << _SLOTS1) + (n << _SLOTS2), _NONE, np.uint16)
         self.trust = np.repeat(np.array([[16 << 4], [32 << 4]], np.int32), n, axis=1)
@@ -285,12 +284,12 @@ def _encode(ids: np.ndarray, block: int) -> Iterator[bytes]:
     raw, ends = ids.astype("<u4"), size + 4
     for i in range(n):
         own = raw[i * block : (i + 1) * block]
-        yield HEAD.pack(MAGIC, len(own), zlib.crc32(own.tobytes())) + words[i, : ends[i]].tobytes()
+        yield HEAD.pack(MAGIC, len(own), zlib.crc32(own)) + words[i, : ends[i]].tobytes()
 
 
 def decode(blocks: list[bytes], lanes: int = LANES) -> np.ndarray:
     """The ids of coded blocks, each checked against its checksum."""
-    return np.concatenate([np.zeros(0, np.uint32), *(_decode(blocks[i : i + lanes]) for i in range(0, len(blocks), lanes))])
+    return np.concatenate([np.zeros(0, "<u4"), *(_decode(blocks[i : i + lanes]) for i in range(0, len(blocks), lanes))])
 
 
 def _decode(blocks: list[bytes]) -> np.ndarray:
@@ -311,6 +310,8 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
         at += 1
     code = code << _U(8) | (flat[at] >> 8).astype(np.uint64)  # 56 bits; the word's low half comes next
     flat[:-1] = flat[:-1] << 8 | flat[1:] >> 8  # from here on, words of a low half and the next one's high half
+    flat[-1] = 0
+    flat = flat.astype(np.uint32) << 16 | np.append(flat[1:], np.uint16(0))  # two words at each place
     model, renewed = _Model(n, True), 0
     width = np.full(n, _FULL)
     out = np.full((most + 2, n), _NONE, np.int32)
@@ -329,26 +330,21 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
         x, begin, share = model.find(v)
         co -= begin.astype(np.uint64) * wi
         wi *= share.astype(np.uint64)
-        need = wi < _LOW
-        new = flat.take(where, mode="clip").astype(np.uint64)
-        new *= need
-        where += need
-        settled = need.astype(np.uint64)
-        settled <<= _U(4)
-        co <<= settled
-        co |= new
-        wi <<= settled
-        while len(more := np.flatnonzero(wi < _LOW)):
-            co[more] = co[more] << _WORD | flat.take(where[more], mode="clip").astype(np.uint64)
-            where[more] += 1
-            wi[more] <<= _WORD
+        need = (wi < _LOW).astype(np.uint64)
+        need += wi < _LOWER  # at most two words, as the width has been 40 bits
+        new = flat.take(where, mode="clip")
+        where += need.view(np.int64)
+        need <<= _U(4)
+        co <<= need
+        wi <<= need
+        co |= new >> (_U(32) - need)
         model.learn(x)
         out[t + 2, :m] = x
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    by_block = _turned(out[2:], np.empty((n, most), np.uint32))
+    by_block = _turned(out[2:], np.empty((n, most), "<u4"))
     found = [by_block[back[i], : lengths[i]] for i in range(n)]
     for ids, h in zip(found, heads, strict=True):
-        if zlib.crc32(ids.tobytes()) != h[2]:
+        if zlib.crc32(ids) != h[2]:
             raise Damaged("a block's checksum differs")
-    return np.concatenate(found)
+    return np.concatenate(found) if lengths.min() < most else by_block.ravel()

@@ -26,8 +26,10 @@ from reelgrid.llm import mixing_coder
 from reelgrid.llm.bpe import lone_spaces
 
 END_ID = 0
-#: Words whose ids a worker remembers, and those of one chunk besides.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers at most.
+REMEMBERED = 2_000_000
+#: Places for these words, as a power of two.
+PLACE_BITS = 22
 #: Characters of texts that are encoded at a time.
 CHARACTERS = 1 << 23
 #: How a byte-level vocabulary writes the space or line feed that a token begins with.
@@ -56,8 +58,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known, self.known_ids = pa.array([], pa.binary()), pa.array([], pa.binary())
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = _Words(most)
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith((SPACE, LINE_FEED))]] = True
@@ -87,24 +89,21 @@ class Encoder:
         return _coded(*map(np.concatenate, zip(*found, strict=True)))
 
     def _of_stems(self, stems: pa.Array) -> pa.Array:
-        if len(self.known) > self.most:  # the older ones are forgotten
-            self.known, self.known_ids = (pa.concat_arrays([a.slice(len(a) - self.most // 2)]) for a in (self.known, self.known_ids))
         stems = stems.dictionary_encode()
-        at = pc.index_in(stems.dictionary, value_set=self.known)
-        if at.null_count:
-            missing = pc.is_null(at)
-            rest = stems.dictionary.filter(missing)
-            many = pc.match_substring_regex(rest.cast(pa.string()), INNER_WHITE)  # these aren't encoded together
-            new = pa.concat_arrays([rest.filter(pc.invert(many)), rest.filter(many)])
-            parts = [self._new(new.slice(0, len(new) - many.true_count))] if many.true_count < len(new) else []
-            if many.true_count:
-                parts.append(_coded(*self._each(new.slice(len(new) - many.true_count).cast(pa.string()).to_pylist())))
-            place = at.fill_null(0).to_numpy().copy()
-            later = many.to_numpy(zero_copy_only=False)
-            place[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.argsort(np.argsort(later, kind="stable"), kind="stable")
-            at = pa.array(place)
-            self.known, self.known_ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.known_ids, *parts])
-        return self.known_ids.take(at.take(stems.indices))
+        at, keys = self.known.find(stems.dictionary)
+        if len(missing := np.flatnonzero(at < 0)):
+            rest = stems.dictionary.take(pa.array(missing))
+            many = pc.match_substring_regex(rest.cast(pa.string()), INNER_WHITE).to_numpy(zero_copy_only=False)  # these aren't encoded together
+            parts = [_coded(*self._each(rest.filter(pa.array(many)).cast(pa.string()).to_pylist()))] if many.any() else []
+            if not many.all():
+                parts.insert(0, self._new(rest.filter(pa.array(~many))))
+            new, coded = np.concatenate([missing[~many], missing[many]]), pa.concat_arrays(parts)
+            made = pa.concat_arrays([self.known.ids(at[at >= 0]), coded])
+            at[at >= 0], at[new] = np.arange(len(at) - len(new)), len(at) - len(new) + np.arange(len(new))
+            self.known.add(keys[new], coded)
+        else:
+            made, at = self.known.ids(at), np.arange(len(at))
+        return made.take(pa.array(at).take(stems.indices))
 
     def _of_words(self, words: pa.Array) -> pa.Array:
         """The coded ids of each of some distinct words after its space."""
@@ -172,6 +171,65 @@ class Encoder:
         return np.add.reduceat(np.diff(_ends(made))[which], first) // 4
 
 
+class _Words:
+    """The coded ids of up to ``most`` words of up to 23 bytes, found by the words' own bytes; the older half is forgotten at a time."""
+
+    def __init__(self, most: int):
+        self.most, self.n = most, 0
+        self.keys = np.zeros((most, 3), np.uint64)
+        self.ends, self.raw = np.zeros(most + 1, np.int32), np.zeros(0, np.uint8)
+        self.table = np.full(1 << PLACE_BITS, -1, np.int32)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the known ones each word is, or -1; and three longs for each that say what it is, its length among them (0: too long)."""
+        ends, sizes = _ends(words), np.diff(_ends(words))
+        raw = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]], np.zeros(24, np.uint8))
+        longs = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # of every eight bytes
+        upto = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        keys = np.empty((len(words), 3), np.uint64)
+        for j in range(3):
+            keys[:, j] = longs[np.minimum(ends[:-1] + 8 * j, len(longs) - 1)] & upto[np.clip(sizes - 8 * j, 0, 8)]
+        keys[:, 2] |= sizes.astype(np.uint64) << np.uint64(56)
+        keys[sizes > 23] = 0
+        at = np.full(len(words), -1)
+        for place in self._places(keys):
+            i = self.table[place]
+            k = self.keys[i]
+            found = (i >= 0) & (k[:, 0] == keys[:, 0]) & (k[:, 1] == keys[:, 1]) & (k[:, 2] == keys[:, 2])
+            at[found] = i[found]
+        return at, keys
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two places in the table for each word."""
+        h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        for j in (1, 2):
+            h = (h ^ h >> np.uint64(29) ^ keys[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return (h & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64), (h >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+    def ids(self, at: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(self.ends), pa.py_buffer(self.raw)]).take(pa.array(at))
+
+    def add(self, keys: np.ndarray, coded: pa.Array) -> None:
+        some = np.flatnonzero(keys[:, 2])[: self.most // 2]
+        keys, coded = keys[some], coded.take(pa.array(some))
+        if self.n + len(some) > self.most:
+            gone = self.n - min(self.n, self.most // 2)
+            size = int(self.ends[gone])
+            self.keys[: self.n - gone], self.raw = self.keys[gone : self.n].copy(), self.raw[size:].copy()
+            self.ends[: self.n - gone + 1] = self.ends[gone : self.n + 1] - size
+            self.table = np.where(self.table >= gone, self.table - np.int32(gone), np.int32(-1))
+            self.n -= gone
+        n, at, ends = self.n + len(some), int(self.ends[self.n]), _ends(coded)
+        if at + int(ends[-1]) > len(self.raw):
+            self.raw = np.concatenate([self.raw[:at], np.zeros(at // 2 + 2 * int(ends[-1]), np.uint8)])
+        self.raw[at : at + int(ends[-1])] = np.frombuffer(coded.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        self.keys[self.n : n], self.ends[self.n + 1 : n + 1] = keys, at + ends[1:]
+        first, second = self._places(keys)
+        self.table[np.where(self.table[first] >= 0, second, first)] = np.arange(self.n, n)
+        self.n = n
+
+
 def _ends(values: pa.Array) -> np.ndarray:
     """Where the values of a binary array begin in its bytes, and where the last one ends."""
     kind = np.int64 if pa.types.is_large_binary(values.type) else np.int32
@@ -249,13 +307,14 @@ def documents(segments: DataFrame) -> DataFrame:
     def decoded(batches):
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                ids = mixing_coder.decode(row["blocks"]).astype("<u4")
-                ends = np.cumsum(row["lengths"])
-                begins = ends - row["lengths"]
-                for i in range(0, len(ends), 2000):
-                    own = [ids[a:b].tobytes() for a, b in zip(begins[i : i + 2000].tolist(), ends[i : i + 2000].tolist(), strict=True)]
-                    k = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * k, pa.int32()), pa.array([row["segment"]] * k, pa.int32()), pa.array(begins[i : i + k]), pa.array(row["doc_ids"][i : i + k], pa.int64()), pa.array(own, pa.binary())], ["part", "segment", "place", "doc_id", "ids"])
+                ids = np.ascontiguousarray(mixing_coder.decode(row["blocks"]), "<u4")
+                ends = np.cumsum([0, *row["lengths"]])
+                for i in range(0, len(row["lengths"]), 2000):
+                    own = ends[i : i + 2001]
+                    k = len(own) - 1
+                    raw = [None, pa.py_buffer((own - own[0]) * 4), pa.py_buffer(ids[own[0] : own[-1]])]
+                    coded = pa.Array.from_buffers(pa.large_binary(), k, raw).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * k, pa.int32()), pa.array([row["segment"]] * k, pa.int32()), pa.array(own[:-1]), pa.array(row["doc_ids"][i : i + k], pa.int64()), coded], ["part", "segment", "place", "doc_id", "ids"])
 
     return segments.select("part", "segment", "doc_ids", "lengths", "blocks").mapInArrow(decoded, "part int, segment int, place long, doc_id long, ids binary")
 
