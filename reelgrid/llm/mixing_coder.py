@@ -50,7 +50,7 @@ class Damaged(ValueError):
 
 
 #: Blocks whose shares are taken, or whose ids are turned from blocks by steps to steps by blocks, at a time.
-_SOME = 64
+_SOME = 128
 
 
 def _turned(a: np.ndarray, out: np.ndarray) -> np.ndarray:

@@ -29,8 +29,8 @@ def token_count(text: Column, tokenizer: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
 
 
-#: Words that a worker remembers of a tokenizer in the library's format; twice as many at most.
-REMEMBERED = 100_000
+#: Words that a worker remembers at most of a tokenizer in the library's format.
+REMEMBERED = 500_000
 #: Bytes of text that are counted at a time: two tokenizers share an executor, and what a slice takes is many times its text.
 CHARACTERS = 1 << 22
 

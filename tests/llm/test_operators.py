@@ -343,6 +343,46 @@ def test_words_encoded_together_are_the_library_s(most):
         assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
 
 
+def test_words_are_encoded_once_whatever_follows_them():
+    """Lines, commas and the like around a known word cost the library no further word."""
+    own = token_blocks.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library, seen = own.tokenizer, []
+
+    class Spy:
+        def encode(self, text, **how):
+            seen.append(text)
+            return library.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    own.ids(pa.array(["a zyxophone\nzyxophone"]))
+    own.tokenizer = Spy()
+    text = "a zyxophone, zyxophone. zyxophone!\nzyxophone; zyxophone?!\nzyxophone $ zyxophone"
+    ids, _ = own.ids(pa.array([text]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert seen and not any("zyxophone" in t for t in seen)
+
+
+def test_lines_and_punctuation_are_the_library_s():
+    rng, path = random.Random(3), public_tokenizers.path("byte_bpe_50k.json")
+    own = token_blocks.Encoder(path, 40)
+    pieces = ["a", "the", "wordthatislongerthanwhatisremembered", " ", " ", " ", "\n", "\n\n", ".", ",", "!", "***", "'s", "'", "\u00e9", "12", "<|endoftext|>", "|>", "\t", "\r\n", "\x0b", "\u3000", "\x85", "x.", "\u2026", "\0"]
+    for k in range(200):
+        some = pieces if k % 2 else [p for p in pieces if p not in ("\t", "\r\n", "\x0b", "\u3000", "\x85", "\n\n")]
+        texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(5)]
+        texts = [t.replace("  ", " ").replace(" \n", " ").replace("\n ", " ") for t in texts] if k % 4 < 2 else texts
+        ids, sizes = own.ids(pa.array(texts), 7)
+        want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+
+def test_coded_blocks_are_those_of_earlier_files():
+    ids = np.random.default_rng(1).zipf(1.3, 20_000) % 50_257
+    assert zlib.crc32(b"".join(mixing_coder.encode(ids))) == 4019695410
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_token_blocks_hold_every_id(spark, which, request, tmp_path):
     from tokenizers import Tokenizer
