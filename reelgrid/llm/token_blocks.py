@@ -28,8 +28,6 @@ from reelgrid.llm.bpe import lone_spaces
 END_ID = 0
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 2_000_000
-#: Places for these words, as a power of two.
-PLACE_BITS = 22
 #: Characters of texts that are encoded at a time.
 CHARACTERS = 1 << 23
 #: How a byte-level vocabulary writes the space or line feed that a token begins with.
@@ -178,7 +176,8 @@ class _Words:
         self.most, self.n = most, 0
         self.keys = np.zeros((most, 3), np.uint64)
         self.ends, self.raw = np.zeros(most + 1, np.int32), np.zeros(0, np.uint8)
-        self.table = np.full(1 << PLACE_BITS, -1, np.int32)
+        self.bits = (2 * most).bit_length()  # of a place in the table
+        self.table = np.full(1 << self.bits, -1, np.int32)
 
     def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Which of the known ones each word is, or -1; and three longs for each that say what it is, its length among them (0: too long)."""
@@ -205,7 +204,7 @@ class _Words:
         for j in (1, 2):
             h = (h ^ h >> np.uint64(29) ^ keys[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        return (h & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64), (h >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        return (h & np.uint64(len(self.table) - 1)).astype(np.int64), (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def ids(self, at: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(self.ends), pa.py_buffer(self.raw)]).take(pa.array(at))
