@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reelgrid.functions.text import spoken
 from reelgrid.functions.timing import FURTHEST_MS, RATE_TOLERANCE, RATES, DRIFT_MS, corrected
@@ -28,6 +29,8 @@ SLOW_BINS, FAST_BINS, DEPTH_BINS = 51, 5, 25
 COARSE_BINS, LOCAL_BINS, SHOULDER_BINS, CARRIED = 12_000, 1_000, 100, 6
 CHUNKS, SHORTEST_BINS, LONGEST_BINS = 24, 6_000, 30_000
 AGREE_MS, APART_MS, FAR_MS, STEP_MS = 150.0, 250.0, 2000.0, 1000.0
+# Bins of a stretch, so that an Arrow batch of their pairs stays small, and sums over lags that are held at once.
+STRETCH, HELD = 1 << 12, 500
 FEWEST_CUES, REFERENCE_SCORE, LEAST_SCORE, LANDING_BAR = 100, 0.80, 0.10, 0.58
 
 
@@ -110,18 +113,68 @@ def landing(lines: DataFrame, starts: DataFrame, by: list[str], at: str, start:
 # ---- correlation and lines, relational -------------------------------------------------------------------------------
 
 
-def lag_products(a: DataFrame, b: DataFrame, by: list[str], bin: str, window: int) -> DataFrame:
-    """(by, lag, n): bins of b that are active ``lag`` after one of a, for each lag within the window. Sparse signals: a row for each active bin.
+def lag_products(a: DataFrame, b: DataFrame, by: list[str], bin: str, window: int | None = None, groups: list[str] | None = None) -> DataFrame:
+    """(groups, lag, n): bins of b that are active ``lag`` after one of a, for every lag, or each within the window if there is one.
 
-    Bins meet by stretches as wide as the window: a's in their own, b's in the two at most that they reach. Merged, as a broadcast would put a whole
-    signal on the driver.
+    Sparse signals: a row for each active bin. groups: columns of ``by`` that are kept, all of them if none are given; a sum over others is taken before
+    the shuffle. Within a window bins meet by stretches as wide as it: a's in their own, b's in the two at most that they reach. Without one,
+    each stretch of a meets each of b, as arrays, so a long signal is many pairs of stretches and a task holds a few of them, not a signal.
+    Merged, as a broadcast would put a whole signal on the driver.
     """
+    groups = by if groups is None else groups
+    total = F.sum("n").cast("long").alias("n")
+    if window is None:
+        one, two = (_stretches(x, by, bin, name) for x, name in ((a, "_a"), (b, "_b")))
+        met = one.join(two.hint("merge"), by) if by else one.crossJoin(two)
+        dealt = met.repartition(*by, "_a_slot", "_b_slot").select(*groups, (F.col("_b_slot") - F.col("_a_slot")).alias("_apart"), "_a", "_b")
+        kept = [dealt.schema[c] for c in groups]
+        return dealt.mapInArrow(_counted_lags, StructType([*kept, StructField("lag", LongType()), StructField("n", LongType())])).groupBy(*groups, "lag").agg(total)
     wide = 2 * window + 1
     slot = lambda c: F.floor(c / wide)
     own = a.select(*by, F.col(bin).alias("_a"), slot(F.col(bin)).alias("_slot"))
     near = b.select(*by, F.col(bin).alias("_b"), F.explode(F.sequence(slot(F.col(bin) - window), slot(F.col(bin) + window))).alias("_slot"))
     lag = (F.col("_b") - F.col("_a")).alias("lag")
-    return own.join(near.hint("merge"), [*by, "_slot"]).select(*by, lag).where(F.col("lag").between(-window, window)).groupBy(*by, "lag").agg(F.count("*").alias("n"))
+    return own.join(near.hint("merge"), [*by, "_slot"]).select(*groups, lag).where(F.col("lag").between(-window, window)).groupBy(*groups, "lag").agg(F.count("*").alias("n"))
+
+
+def _stretches(signal: DataFrame, by: list[str], bin: str, name: str) -> DataFrame:
+    """(by, slot, places): the active bins of each stretch that has some, as places from its beginning."""
+    slot = F.floor(F.col(bin) / STRETCH)
+    place = (F.col(bin) - slot * STRETCH).cast("int")
+    return signal.where(F.col(bin).isNotNull()).groupBy(*by, slot.alias(f"{name}_slot")).agg(F.collect_list(place).alias(name))
+
+
+def _lags(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many pairs of places lie each lag apart, from 1 - STRETCH to STRETCH - 1: by pairs if these are few, else by a transform (exact once rounded)."""
+    if len(a) * len(b) <= 1 << 16:
+        return np.bincount((b[None] - a[:, None] + (STRETCH - 1)).ravel(), minlength=2 * STRETCH - 1)
+    one, two = (np.fft.rfft(np.bincount(x, minlength=STRETCH), 2 * STRETCH) for x in (a, b))
+    return np.roll(np.rint(np.fft.irfft(one.conj() * two, 2 * STRETCH)).astype(np.int64), STRETCH - 1)[: 2 * STRETCH - 1]
+
+
+def _counted_lags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(groups, lag, n) of rows (groups, _apart, _a, _b), summed over a few hundred groups and distances of stretches at a time."""
+    held: dict[tuple, np.ndarray] = {}
+
+    def summed() -> pa.RecordBatch:
+        found = [np.flatnonzero(n) for n in held.values()]
+        rows = pa.array(np.repeat(np.arange(len(held)), [len(i) for i in found]))
+        lag = [i + 1 - STRETCH + key[-1] * STRETCH for key, i in zip(held, found, strict=True)]
+        n = [n[i] for n, i in zip(held.values(), found, strict=True)]
+        keys = [pa.array([key[i] for key in held], kind).take(rows) for i, kind in enumerate(kinds)]
+        return pa.record_batch([*keys, pa.array(np.concatenate(lag)), pa.array(np.concatenate(n))], [*names, "lag", "n"])
+
+    for batch in batches:
+        names, kinds = batch.schema.names[:-3], batch.schema.types[:-3]
+        keys = zip(*(batch.column(i).to_pylist() for i in range(len(names) + 1)), strict=True)
+        for key, a, b in zip(keys, batch.column("_a"), batch.column("_b"), strict=True):
+            n = _lags(*(x.values.to_numpy(zero_copy_only=False) for x in (a, b)))
+            held[key] = held[key] + n if key in held else n
+            if len(held) == HELD:
+                yield summed()
+                held = {}
+    if held:
+        yield summed()
 
 
 def theil_sen(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -119,11 +119,10 @@ def active_interval(spark, d):
 
 
 @query(f"""WITH {EVENTS}, h AS (SELECT DISTINCT user_id, event_type, ms // {HOUR} AS bin FROM e WHERE event_type IN ('view', 'click'))
-    SELECT b.bin - a.bin AS lag, count(*) AS n FROM h a JOIN h b ON a.user_id = b.user_id AND b.bin - a.bin BETWEEN -48 AND 48 WHERE a.event_type = 'view' AND b.event_type = 'click' GROUP BY ALL""")
+    SELECT b.bin - a.bin AS lag, count(*) AS n FROM h a JOIN h b ON a.user_id = b.user_id WHERE a.event_type = 'view' AND b.event_type = 'click' GROUP BY ALL""")
 def cross_correlation(spark, d):
     h = events(spark, d, "user_id", "event_type").select("user_id", "event_type", F.floor(F.col("ms") / HOUR).alias("bin")).distinct()
-    pairs = alignment.lag_products(h.where("event_type = 'view'"), h.where("event_type = 'click'"), ["user_id"], "bin", 48)
-    return pairs.groupBy(F.col("lag").cast("long").alias("lag")).agg(F.sum("n").cast("long").alias("n"))
+    return alignment.lag_products(h.where("event_type = 'view'"), h.where("event_type = 'click'"), ["user_id"], "bin", groups=[])
 
 
 @query("""WITH t AS (SELECT o_orderpriority AS series, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS DOUBLE) AS x, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS y FROM orders GROUP BY ALL),
